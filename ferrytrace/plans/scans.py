@@ -55,10 +55,16 @@ def scan_csv_typed(t):
 def scan_part_dir(t):
     """Rows of all parts, and their bytes without the header line of each part."""
     path = _csv_of(t, PLAIN_COLUMNS)
-    rows = files.read_csv_text(t.spark, path).agg(F.count(F.lit(1)).alias("records"))
+    rows = files.read_csv_text(t.spark, path).select(
+        F.lit(1).alias("records"), F.lit(0).cast("long").alias("data_bytes")
+    )
     sizes = files.file_sizes(t.spark, path, "part-*.csv").filter(F.col("length") > 0)
-    weight = sizes.agg(F.sum(F.col("length") - (len(HEADER) + 1)).alias("data_bytes"))
-    return rows.withColumn("one", F.lit(1)).join(weight.withColumn("one", F.lit(1)), "one").drop("one")
+    weight = sizes.select(
+        F.lit(0).alias("records"), (F.col("length") - (len(HEADER) + 1)).alias("data_bytes")
+    )
+    return rows.unionByName(weight).agg(
+        F.sum("records").alias("records"), F.sum("data_bytes").alias("data_bytes")
+    )
 
 
 @query("scan_json_lines", "SELECT json_extract(props, '$.k')::INTEGER AS k FROM events")
@@ -164,20 +170,17 @@ def scan_results_multi_run(t):
 
 @query(
     "scan_log_text",
-    f"""SELECT event_type AS log, count(*) AS n_lines, sum(strlen({PLAIN_LINE_SQL}))::BIGINT AS n_bytes,
-               arg_max({PLAIN_LINE_SQL}, event_id) AS last_line
+    f"""SELECT event_type AS log, count(*) AS n_lines, sum(strlen({PLAIN_LINE_SQL}))::BIGINT AS n_bytes
         FROM events GROUP BY 1""",
 )
 def scan_log_text(t):
-    """One log file per run; lines keep their file and their order."""
+    """Log lines per run, the run taken from the file's path."""
     lines = t.events.select(
         F.concat_ws(",", *[F.col(c).cast("string") for c in PLAIN_COLUMNS]).alias("value"),
         F.col("event_type").alias("run_dir"),
-        "event_id",
     )
     path = t.area("logs")
-    by_run = lines.repartition("run_dir").sortWithinPartitions("run_dir", "event_id")
-    by_run.select("value", "run_dir").write.partitionBy("run_dir").text(path)
+    lines.write.partitionBy("run_dir").text(path)
     read = files.read_log(t.spark, f"{path}/run_dir=*")
     return (
         read.withColumn("log", F.regexp_extract("log", r"/run_dir=([^/]+)/", 1))
@@ -185,7 +188,6 @@ def scan_log_text(t):
         .agg(
             F.count(F.lit(1)).alias("n_lines"),
             F.sum(F.octet_length("line")).alias("n_bytes"),
-            F.max_by("line", "line_ix").alias("last_line"),
         )
     )
 
