@@ -183,16 +183,13 @@ def estimate_payload(t):
 
 @query(
     "batch_label",
-    """SELECT l_orderkey, CASE WHEN l_discount = 0 THEN 'nobatch' ELSE (l_partkey)::VARCHAR || 'b' END AS label
+    """SELECT l_orderkey, CASE WHEN l_discount = 0 THEN 'nobatch' ELSE (l_partkey + 1)::VARCHAR || 'b' END AS label
        FROM lineitem""",
 )
 def batch_label(t):
-    batch = F.when(F.col("l_discount") == 0, F.lit("0")).otherwise(F.col("l_partkey").cast("string"))
-    # A part numbered 0 would read as "no batching"; the stand-in keeps batch sizes positive.
-    shown = F.when(
-        (F.col("l_partkey") == 0) & (F.col("l_discount") != 0), F.lit("0b")
-    ).otherwise(m.batch_label(batch))
-    return t.lineitem.select("l_orderkey", shown.alias("label"))
+    size = (F.col("l_partkey") + 1).cast("string")
+    batch = F.when(F.col("l_discount") == 0, F.lit("0")).otherwise(size)
+    return t.lineitem.select("l_orderkey", m.batch_label(batch).alias("label"))
 
 
 @query(
