@@ -6,7 +6,9 @@ reduced where it is read and never sorted or collected as a whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,27 +43,40 @@ def _last(value: Column, present: Column, ix: str = "line_ix") -> Column:
     return F.max_by(value, F.when(present, F.col(ix)))
 
 
+def _latest_numbers(lines: DataFrame, patterns: Mapping[str, str], marker: str) -> DataFrame:
+    """Per log, the numbers on its latest line that matches ``marker``.
+
+    One ``max_by`` per number keeps the aggregation state flat, so it is hashed, not sorted,
+    when ``line_ix`` is a number.
+    """
+    line = F.col("line")
+    numbers = {name: number_after(line, pattern) for name, pattern in patterns.items()}
+    at = F.when(line.rlike(marker), F.col("line_ix"))
+    parsed = lines.select("log", at.alias("at"), *[n.alias(name) for name, n in numbers.items()])
+    return parsed.groupBy("log").agg(
+        *[F.max_by(name, "at").alias(name) for name in patterns], F.count("at").alias("_matched")
+    )
+
+
 def producer_perf(lines: DataFrame) -> DataFrame:
     """Final summary of a producer run; a log without one is marked failed, not zero."""
-    line = F.col("line")
-    summary = F.struct(
-        number_after(line, RECORDS_PER_SEC).alias("records_per_sec"),
-        number_after(line, MB_PER_SEC).alias("mb_per_sec"),
-        number_after(line, AVG_LATENCY).alias("avg_latency_ms"),
-        number_after(line, MAX_LATENCY).alias("max_latency_ms"),
+    found = _latest_numbers(
+        lines,
+        {
+            "records_per_sec": RECORDS_PER_SEC,
+            "mb_per_sec": MB_PER_SEC,
+            "avg_latency_ms": AVG_LATENCY,
+            "max_latency_ms": MAX_LATENCY,
+        },
+        RECORDS_PER_SEC,
     )
-    found = lines.groupBy("log").agg(_last(summary, line.rlike(RECORDS_PER_SEC)).alias("s"))
-    return found.select("log", "s.*", F.col("s").isNull().alias("failed"))
+    return found.withColumn("failed", F.col("_matched") == 0).drop("_matched")
 
 
 def percentiles(lines: DataFrame) -> DataFrame:
-    line = F.col("line")
-    summary = F.struct(
-        number_after(line, P50).alias("p50_latency_ms"),
-        number_after(line, P99).alias("p99_latency_ms"),
-    )
-    found = lines.groupBy("log").agg(_last(summary, line.rlike(P99)).alias("s"))
-    return found.select("log", "s.*")
+    """Median and 99th percentile latency of the final summary."""
+    wanted = {"p50_latency_ms": P50, "p99_latency_ms": P99}
+    return _latest_numbers(lines, wanted, P99).drop("_matched")
 
 
 def _csv_field(line: Column, position: int) -> Column:
@@ -124,7 +139,8 @@ def json_block(lines: DataFrame, names: Sequence[str]) -> DataFrame:
         F.min(F.when(line == RESULTS_START, F.col("line_ix"))).alias("opened"),
         F.max(F.when(line == RESULTS_END, F.col("line_ix"))).alias("closed"),
     )
-    inside = lines.join(edges, "log").filter(
+    fields = lines.filter(reduce(or_, [v.isNotNull() for v in values.values()]))
+    inside = fields.join(edges, "log").filter(
         (F.col("line_ix") > F.col("opened")) & (F.col("line_ix") < F.col("closed"))
     )
     return inside.groupBy("log").agg(

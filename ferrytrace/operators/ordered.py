@@ -9,6 +9,7 @@ carries its total, and a running sum over those rows gives each block its start.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -16,24 +17,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BLOCK = 4_000_000
-FIRST_CUTS = 1024
+# A block has at least this many rows, and there are about this many blocks at most: 100,000 rows
+# of 10 KB, or 20 million rows of 100 B out of 10^12, are a comfortable sort for one task.
+MIN_BLOCK_ROWS = 100_000
+MAX_BLOCKS = 50_000
+POSITIONS_PER_BLOCK = 131_072
+
+# Rows looked at per cut point.  Cut points only balance the blocks; results never depend on them.
+_SAMPLES_PER_CUT = 200
 
 _BLOCK = "_block"
 
 
-def _cuts(df: DataFrame, columns: Sequence[str], cuts: int) -> tuple[int, list[list[float]]]:
-    """Row count and ``cuts`` evenly spaced quantiles of each column: one narrow pass."""
-    shares = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    accuracy = max(10_000, 4 * cuts)
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ],
+def _cuts(df: DataFrame, columns: Sequence[str], rows: int, blocks: int) -> list[list[float]]:
+    """Evenly spaced quantiles of each column, from a sample when there are many rows."""
+    shares = [i / blocks for i in range(1, blocks)]
+    narrow = df.select(*[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(columns)])
+    fraction = _SAMPLES_PER_CUT * blocks / rows
+    if fraction < 0.5:
+        narrow = narrow.sample(fraction, seed=17)
+    accuracy = max(10_000, 4 * blocks)
+    row = narrow.agg(
+        *[F.percentile_approx(c, shares, accuracy).alias(c) for c in narrow.columns]
     ).first()
-    return row["n"], [row[f"q{i}"] or [] for i in range(len(columns))]
+    return [row[c] or [] for c in narrow.columns]
 
 
 def _bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
@@ -48,9 +55,9 @@ def _bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> Dat
 
 
 def add_order_blocks(
-    df: DataFrame, order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK, name: str = _BLOCK
+    df: DataFrame, order: Sequence[str], rows_per_block: int | None = None, name: str = _BLOCK
 ) -> tuple[DataFrame, int]:
-    """Add a block number that never decreases along ``order`` and bounds the rows per block.
+    """Add a block number that never decreases along ``order``; returns also the block count.
 
     ``order`` is one unique numeric (or timestamp) column, or such a column followed by
     tie-breakers of which the first is (nearly) unique.  A value that fills several blocks by
@@ -60,34 +67,27 @@ def add_order_blocks(
     The cut points are literals, so every evaluation of the plan, also after a lost executor,
     puts a row into the same block.
     """
-    first = order[0]
-    asked = list(order[:2])
-    n, quantiles = _cuts(df, asked, FIRST_CUTS)
-    wanted = math.ceil(n / rows_per_block) - 1
-    if wanted <= 0:
+    rows = df.count()
+    size = rows_per_block or max(MIN_BLOCK_ROWS, math.ceil(rows / MAX_BLOCKS))
+    blocks = math.ceil(rows / size)
+    if blocks <= 1:
         return df.withColumn(name, F.lit(0).cast("long")), 1
-    if wanted > FIRST_CUTS:
-        n, quantiles = _cuts(df, asked, wanted)
-    have = len(quantiles[0])
-    step = max(1, have // wanted)
-    picked = [q[::step] for q in quantiles]
-
-    primary = picked[0]
+    primary, *ties = _cuts(df, order[:2], rows, blocks)
     distinct = sorted(set(primary))
-    heavy = sorted({v for v in distinct if primary.count(v) > 1} if len(primary) != len(distinct) else set())
-    if not heavy or len(order) == 1:
-        return _bucket(df, first, distinct, name), len(distinct) + 1
+    heavy = {value for value, times in Counter(primary).items() if times > 1}
+    if not heavy or not ties:
+        return _bucket(df, order[0], distinct, name), len(distinct) + 1
 
     # A heavy value gets a bucket of its own: [value, next representable number).
-    edges = sorted({*distinct, *(math.nextafter(v, math.inf) for v in heavy)})
-    heavy_buckets = [edges.index(v) + 1 for v in heavy]
-    ties = sorted(set(picked[1]))
-    parts = len(ties) + 1
-    both = _bucket(_bucket(df, first, edges, f"{name}_a"), order[1], ties, f"{name}_b")
-    block = F.col(f"{name}_a") * F.lit(parts) + F.when(
-        F.col(f"{name}_a").isin(heavy_buckets), F.col(f"{name}_b")
-    ).otherwise(F.lit(0))
-    return both.withColumn(name, block).drop(f"{name}_a", f"{name}_b"), (len(edges) + 1) * parts
+    edges = sorted({*distinct, *(math.nextafter(value, math.inf) for value in heavy)})
+    heavy_buckets = [edges.index(value) + 1 for value in sorted(heavy)]
+    tie_edges = sorted(set(ties[0]))
+    parts = len(tie_edges) + 1
+    first, second = f"{name}_a", f"{name}_b"
+    both = _bucket(_bucket(df, order[0], edges, first), order[1], tie_edges, second)
+    split = F.when(F.col(first).isin(heavy_buckets), F.col(second)).otherwise(F.lit(0))
+    blocked = both.withColumn(name, F.col(first) * F.lit(parts) + split)
+    return blocked.drop(first, second), (len(edges) + 1) * parts
 
 
 def totals_before(
@@ -131,7 +131,7 @@ def dense_index(
     order: Sequence[str],
     keys: Sequence[str] = (),
     name: str = "ix",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """0, 1, 2, ... along ``order``, over the data set or per key (keys must not be null)."""
     keys = list(keys)
@@ -154,17 +154,17 @@ def running_totals(
     keys: Sequence[str],
     position: str,
     measures: Mapping[str, Column],
-    rows_per_block: int = ROWS_PER_BLOCK,
+    positions_per_block: int = POSITIONS_PER_BLOCK,
 ) -> DataFrame:
     """Running sums along a dense position (such as a topic offset) of each key.
 
-    A position range is a block, so a block holds at most ``rows_per_block`` rows however
-    the keys are distributed.
+    A range of positions is a block, so a block holds at most ``positions_per_block`` rows
+    however the keys are distributed.
     """
     keys = list(keys)
     names = list(measures)
     blocked = df.withColumns(
-        {_BLOCK: F.floor(F.col(position) / F.lit(rows_per_block)), **measures}
+        {_BLOCK: F.floor(F.col(position) / F.lit(positions_per_block)), **measures}
     )
     upto = Window.partitionBy(*keys, _BLOCK).orderBy(position).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -179,7 +179,7 @@ def running_totals(
 
 
 def take_first(
-    df: DataFrame, order: Sequence[str], n: int, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, order: Sequence[str], n: int, rows_per_block: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows along ``order`` (0 = no limit), as a plain filter.
 

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrytrace.functions.messages import line_value, payload_bytes
-from ferrytrace.operators.ordered import ROWS_PER_BLOCK, add_order_blocks, running_totals, totals_before
+from ferrytrace.operators.ordered import (
+    POSITIONS_PER_BLOCK,
+    add_order_blocks,
+    running_totals,
+    totals_before,
+)
 
 
 def pack_messages(
@@ -16,7 +21,7 @@ def pack_messages(
     order: Sequence[str],
     records_per_message: int,
     columns: Sequence[str] | None = None,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """``(pack, records, value)``: every ``records_per_message`` consecutive rows as lines of one
     message; only the very last message may be shorter.
@@ -75,13 +80,13 @@ def assign_chunks(
     chunk_bytes: int,
     keys: Sequence[str] = ("topic", "partition"),
     position: str = "offset",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    positions_per_block: int = POSITIONS_PER_BLOCK,
 ) -> DataFrame:
     """Number the transfer chunk of each message: the running byte count of its partition over
     the chunk size.  A chunk exceeds the size by less than one message."""
     sized = topic.withColumn("_bytes", payload_bytes())
     summed = running_totals(
-        sized, keys, position, {"running_bytes": F.col("_bytes")}, rows_per_block
+        sized, keys, position, {"running_bytes": F.col("_bytes")}, positions_per_block
     )
     # An empty message in front has running count 0 and belongs to the first chunk.
     return summed.withColumn(
@@ -106,12 +111,12 @@ def chunk_by_bytes(
     chunk_bytes: int,
     keys: Sequence[str] = ("topic", "partition"),
     position: str = "offset",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    positions_per_block: int = POSITIONS_PER_BLOCK,
 ) -> DataFrame:
     """One row per chunk.  Only positions and sizes are shuffled, never the message text."""
     narrow = topic.select(*keys, position, payload_bytes().alias("_size"))
     summed = running_totals(
-        narrow, keys, position, {"running_bytes": F.col("_size")}, rows_per_block
+        narrow, keys, position, {"running_bytes": F.col("_size")}, positions_per_block
     )
     chunked = summed.select(
         *keys,

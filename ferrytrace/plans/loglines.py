@@ -1,4 +1,4 @@
-"""Queries over logs: one order is one log, its line items are the lines."""
+"""Queries over logs: one user is one log, the user's events are its lines."""
 
 from __future__ import annotations
 
@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from ferrytrace.operators import logs
 from ferrytrace.plans.registry import query
 
-# The line order of a log, unique within it.
-_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
-_ORDER_SQL = ", ".join(_ORDER)
-_ORDER_DESC_SQL = ", ".join(f"{c} DESC" for c in _ORDER)
-_LAST = f"QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER_DESC_SQL}) = 1"
+K_SQL = "json_extract(props, '$.k')::INTEGER"
 
 
 def _text(column: str) -> Column:
@@ -20,44 +16,56 @@ def _text(column: str) -> Column:
 
 
 def _lines(t, *texts: Column) -> DataFrame:
-    """Each line item gives the lines ``texts`` in that order."""
-    lines = F.posexplode(F.array(*texts))
-    return (
-        t.lineitem.select(F.col("l_orderkey").alias("log"), *_ORDER, lines.alias("n", "line"))
-        .select("log", F.struct(*_ORDER, "n").alias("line_ix"), "line")
+    """Each event gives the lines ``texts`` in that order."""
+    events = t.events.select(
+        F.col("user_id").alias("log"),
+        "event_id",
+        "value",
+        "event_type",
+        F.from_json("props", "k int")["k"].alias("k"),
+    )
+    lines = F.posexplode(F.array(*texts)).alias("n", "line")
+    return events.select("log", "event_id", lines).select(
+        "log", (F.col("event_id") * len(texts) + F.col("n")).alias("line_ix"), "line"
     )
 
 
 def _progress() -> Column:
     return F.concat(
-        _text("l_partkey"), F.lit(" records sent, "), _text("l_quantity"), F.lit(" records/sec ("),
-        _text("l_discount"), F.lit(" MB/sec), "), _text("l_tax"), F.lit(" ms avg latency, "),
-        _text("l_extendedprice"), F.lit(" ms max latency."),
+        _text("event_id"), F.lit(" records sent, "), _text("value"), F.lit(" records/sec ("),
+        _text("k"), F.lit(" MB/sec), "), _text("value"), F.lit(" ms avg latency, "),
+        _text("event_id"), F.lit(".0 ms max latency."),
     )
 
 
 def _summary() -> Column:
     return F.concat(
-        _progress(), F.lit(" "), _text("l_suppkey"), F.lit(" ms 50th, 30 ms 95th, "),
-        _text("l_partkey"), F.lit(" ms 99th, 42 ms 99.9th."),
+        _progress(), F.lit(" "), _text("k"), F.lit(" ms 50th, 30 ms 95th, "),
+        _text("event_id"), F.lit(" ms 99th, 42 ms 99.9th."),
     )
 
 
-@query(
-    "log_producer_perf",
-    f"""SELECT l_orderkey AS log, l_quantity AS records_per_sec, l_discount AS mb_per_sec, l_tax AS avg_latency_ms,
-               l_extendedprice AS max_latency_ms, false AS failed FROM lineitem {_LAST}""",
+def _last_sql(**columns: str) -> str:
+    """Each column's value on the last event of a user."""
+    picked = ", ".join(f"arg_max({sql}, event_id) AS {name}" for name, sql in columns.items())
+    return f"SELECT user_id AS log, {picked} FROM events GROUP BY 1"
+
+
+PRODUCER_SQL = _last_sql(
+    records_per_sec="value",
+    mb_per_sec=f"{K_SQL}::DOUBLE",
+    avg_latency_ms="value",
+    max_latency_ms="event_id::DOUBLE",
 )
+
+
+@query("log_producer_perf", f"SELECT *, false AS failed FROM ({PRODUCER_SQL})")
 def log_producer_perf(t):
     """Interim lines come first; the last summary counts."""
     return logs.producer_perf(_lines(t, F.lit("starting"), _progress(), F.lit("metric,value")))
 
 
-@query(
-    "log_percentiles",
-    f"""SELECT l_orderkey AS log, l_suppkey::DOUBLE AS p50_latency_ms, l_partkey::DOUBLE AS p99_latency_ms
-        FROM lineitem {_LAST}""",
-)
+@query("log_percentiles", _last_sql(p50_latency_ms=f"{K_SQL}::DOUBLE", p99_latency_ms="event_id::DOUBLE"))
 def log_percentiles(t):
     return logs.percentiles(_lines(t, _progress(), _summary()))
 
@@ -67,18 +75,17 @@ _HEADER_LINE = "start.time, end.time, data.consumed.in.MB, MB.sec, data.consumed
 
 def _consumer_line() -> Column:
     return F.concat_ws(
-        ", ", F.lit("10:00:00"), F.lit("10:00:09"), _text("l_tax"), _text("l_discount"),
-        _text("l_partkey"), _text("l_quantity"), _text("l_suppkey"), _text("l_linenumber"),
+        ", ", F.lit("10:00:00"), F.lit("10:00:09"), _text("event_id"), _text("k"),
+        _text("event_id"), _text("value"), _text("event_id"), _text("k"),
     )
 
 
 @query(
     "log_consumer_perf",
-    f"""SELECT l_orderkey AS log, l_discount AS mb_per_sec, l_quantity AS records_per_sec, false AS failed
-        FROM lineitem {_LAST}""",
+    f"SELECT *, false AS failed FROM ({_last_sql(mb_per_sec=f'{K_SQL}::DOUBLE', records_per_sec='value')})",
 )
 def log_consumer_perf(t):
-    """Each line item repeats header, metrics and a footer; the last header's next line counts."""
+    """Each event repeats header, metrics and a footer; the last header's next line counts."""
     return logs.consumer_perf(
         _lines(t, F.lit(_HEADER_LINE), _consumer_line(), F.lit("a, b, c, 0, e, 0"))
     )
@@ -86,9 +93,12 @@ def log_consumer_perf(t):
 
 @query(
     "log_consumer_detailed",
-    f"""SELECT l_orderkey AS log, l_quantity AS records_per_sec, l_discount AS mb_per_sec,
-               l_suppkey::DOUBLE AS rebalance_time_ms, l_linenumber::DOUBLE AS fetch_time_ms
-        FROM lineitem {_LAST}""",
+    _last_sql(
+        records_per_sec="value",
+        mb_per_sec=f"{K_SQL}::DOUBLE",
+        rebalance_time_ms="event_id::DOUBLE",
+        fetch_time_ms=f"{K_SQL}::DOUBLE",
+    ),
 )
 def log_consumer_detailed(t):
     return logs.consumer_perf_detailed(_lines(t, _consumer_line(), F.lit("time, threadId, MB")))
@@ -96,94 +106,87 @@ def log_consumer_detailed(t):
 
 @query(
     "log_key_values",
-    f"""SELECT l_orderkey AS log, l_quantity AS read_time_s, -l_tax AS first_record_latency, l_partkey::DOUBLE AS records
-        FROM lineitem {_LAST}""",
+    _last_sql(
+        read_time_s="value", first_record_latency=f"-{K_SQL}::DOUBLE", records="event_id::DOUBLE"
+    ),
 )
 def log_key_values(t):
     lines = _lines(
         t,
         F.lit("=" * 20),
-        F.concat(F.lit("  read_time_s: "), _text("l_quantity")),
-        F.concat(F.lit("  first_record_latency:  "), (-F.col("l_tax")).cast("string"), F.lit("s")),
-        F.concat(F.lit("  records:        "), _text("l_partkey")),
+        F.concat(F.lit("  read_time_s: "), _text("value")),
+        F.concat(F.lit("  first_record_latency:  "), (-F.col("k").cast("double")).cast("string"), F.lit("s")),
+        F.concat(F.lit("  records:        "), _text("event_id")),
     )
     return logs.key_values(lines, ["read_time_s", "first_record_latency", "records"])
 
 
-@query(
-    "log_json_block",
-    f"""SELECT l_orderkey AS log, l_partkey::DOUBLE AS records, l_quantity AS duration_seconds FROM lineitem {_LAST}""",
-)
+@query("log_json_block", _last_sql(records="event_id::DOUBLE", duration_seconds="value"))
 def log_json_block(t):
-    """A block over several lines; the numbers before and after it do not belong to it."""
+    """Blocks over several lines; a number after the last block does not belong to it."""
     lines = _lines(
         t,
         F.lit("RESULTS_START"),
         F.lit("{"),
-        F.concat(F.lit('  "records": '), _text("l_partkey"), F.lit(",")),
-        F.concat(F.lit('  "duration_seconds": '), _text("l_quantity")),
+        F.concat(F.lit('  "records": '), _text("event_id"), F.lit(",")),
+        F.concat(F.lit('  "duration_seconds": '), _text("value")),
         F.lit("}"),
         F.lit("RESULTS_END"),
+        F.lit('  "records": -1,'),
     )
-    noise = t.lineitem.select(
-        F.col("l_orderkey").alias("log"),
-        F.struct(
-            F.lit(1000).alias("l_linenumber"), *_ORDER[1:], F.lit(0).alias("n")
-        ).alias("line_ix"),
-        F.lit('  "records": -1,').alias("line"),
-    )
-    return logs.json_block(lines.unionByName(noise), ["records", "duration_seconds"])
+    return logs.json_block(lines, ["records", "duration_seconds"])
 
 
 @query(
     "log_csv_marker",
-    """SELECT 'run_' || l_orderkey::VARCHAR AS run_id, l_partkey AS records, l_tax AS bytes_mb,
-              l_discount AS first_record_latency_s, l_quantity AS active_duration_s,
-              l_extendedprice AS consumer_total_s, l_suppkey::DOUBLE AS throughput_mbps FROM lineitem""",
+    f"""SELECT 'run_' || user_id::VARCHAR AS run_id, event_id AS records, value AS bytes_mb,
+              {K_SQL}::DOUBLE AS first_record_latency_s, value AS active_duration_s,
+              value AS consumer_total_s, {K_SQL}::DOUBLE AS throughput_mbps FROM events""",
 )
 def log_csv_marker(t):
-    marked = F.concat(
-        F.lit("CONSUMER_CSV:"),
-        F.concat_ws(
-            ",", F.concat(F.lit("run_"), _text("l_orderkey")), _text("l_partkey"), _text("l_tax"),
-            _text("l_discount"), _text("l_quantity"), _text("l_extendedprice"), _text("l_suppkey"),
-        ),
+    fields = F.concat_ws(
+        ",", F.concat(F.lit("run_"), _text("log")), _text("event_id"), _text("value"),
+        _text("k"), _text("value"), _text("value"), _text("k"),
     )
+    marked = F.concat(F.lit("CONSUMER_CSV:"), fields)
     return logs.csv_marker(_lines(t, F.lit("CONSUMER RESULTS"), marked))
 
 
+def _runs(t) -> tuple[DataFrame, DataFrame]:
+    """Every customer is an expected run; a run's log has a summary where it had a purchase."""
+    line = F.when(F.col("event_type") == "purchase", _progress()).otherwise(F.lit("error"))
+    parsed = logs.producer_perf(_lines(t, line)).filter(~F.col("failed"))
+    expected = t.customer.select(F.col("c_custkey").alias("log"))
+    return expected, parsed.select("log", "records_per_sec")
+
+
 @query(
     "log_failed_runs",
-    f"""WITH last AS (
-          SELECT l_orderkey AS log, l_quantity AS records_per_sec FROM lineitem WHERE l_returnflag = 'A' {_LAST})
-        SELECT o_orderkey AS log, records_per_sec, records_per_sec IS NULL AS failed
-        FROM orders LEFT JOIN last ON o_orderkey = log""",
+    """WITH last AS (SELECT user_id, arg_max(value, event_id) AS records_per_sec FROM events
+                     WHERE event_type = 'purchase' GROUP BY 1)
+       SELECT c_custkey AS log, records_per_sec, records_per_sec IS NULL AS failed
+       FROM customer LEFT JOIN last ON c_custkey = user_id""",
 )
 def log_failed_runs(t):
-    """Every order is an expected run; its log has a summary where the return flag says so."""
-    line = F.when(F.col("l_returnflag") == "A", _progress()).otherwise(F.lit("error"))
-    parsed = logs.producer_perf(_lines(t, line)).filter(~F.col("failed"))
-    expected = t.orders.select(F.col("o_orderkey").alias("log"))
-    return logs.failed_runs(expected, parsed.select("log", "records_per_sec"))
+    return logs.failed_runs(*_runs(t))
 
 
 @query(
     "log_missing_runs",
-    "SELECT o_orderkey AS log FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')",
+    """SELECT c_custkey AS log FROM customer
+       WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')""",
 )
 def log_missing_runs(t):
-    line = F.when(F.col("l_returnflag") == "A", _progress()).otherwise(F.lit("error"))
-    parsed = logs.producer_perf(_lines(t, line)).filter(~F.col("failed"))
-    return logs.missing_runs(t.orders.select(F.col("o_orderkey").alias("log")), parsed)
+    return logs.missing_runs(*_runs(t))
 
 
-_TAIL_SQL = f"""tail AS (SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem
-   QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER_DESC_SQL}) <= 5)"""
+_TAIL_SQL = """tail AS (SELECT user_id, event_id, value FROM events
+   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5)"""
 
 
 @query(
     "tail_mean",
-    f"WITH {_TAIL_SQL} SELECT l_orderkey AS log, round(avg(l_quantity), 4) AS tail_mean FROM tail GROUP BY 1",
+    f"WITH {_TAIL_SQL} SELECT user_id AS log, round(avg(value), 4) AS tail_mean FROM tail GROUP BY 1",
 )
 def tail_mean(t):
     means = logs.tail_mean(_lines(t, _progress(), F.lit("noise")), logs.RECORDS_PER_SEC)
@@ -192,7 +195,7 @@ def tail_mean(t):
 
 @query(
     "tail_max",
-    f"WITH {_TAIL_SQL} SELECT l_orderkey AS log, max(l_extendedprice) AS tail_max FROM tail GROUP BY 1",
+    f"WITH {_TAIL_SQL} SELECT user_id AS log, max(event_id)::DOUBLE AS tail_max FROM tail GROUP BY 1",
 )
 def tail_max(t):
     return logs.tail_max(_lines(t, _progress(), F.lit("noise")), logs.MAX_LATENCY)
@@ -200,9 +203,9 @@ def tail_max(t):
 
 @query(
     "log_last_metric",
-    f"""SELECT l_orderkey AS log, concat_ws(', ', '10:00:00', '10:00:09', l_tax::VARCHAR, l_discount::VARCHAR,
-               l_partkey::VARCHAR, l_quantity::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR) AS last_line
-        FROM lineitem {_LAST}""",
+    f"""SELECT user_id AS log, arg_max(concat_ws(', ', '10:00:00', '10:00:09', event_id::VARCHAR, {K_SQL}::VARCHAR,
+               event_id::VARCHAR, value::VARCHAR, event_id::VARCHAR, {K_SQL}::VARCHAR), event_id) AS last_line
+        FROM events GROUP BY 1""",
 )
 def log_last_metric(t):
     return logs.last_record(_lines(t, _consumer_line(), F.lit("time, threadId, MB")))

@@ -72,15 +72,14 @@ def read_results(
 def read_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Log lines as ``(log, line_ix, line)``.
 
-    ``line_ix`` orders the lines of one log: first where the piece of the file begins, then the
-    read order within that piece.
+    ``line_ix`` increases along the lines of one log: the byte where the piece of the file begins
+    plus the row number within the task.  A task reads no more rows than bytes, and no more bytes
+    than lie between two pieces of a file, so a later piece always starts above an earlier one.
     """
+    row_in_task = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("log"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("n"),
-        ).alias("line_ix"),
+        (F.col("_metadata.file_block_start") + row_in_task).alias("line_ix"),
         F.col("value").alias("line"),
     )
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytrace.operators.ordered import ROWS_PER_BLOCK, dense_index
+from ferrytrace.operators.ordered import dense_index
 from ferrytrace.schemas import TOPIC
 
 BATCH_DIR = "batch_id"
@@ -25,7 +25,7 @@ def with_offsets(
     topic: str | Column,
     order: list[str],
     partitions: int = 8,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """Messages in the Kafka source layout, offsets counted from 0 in each topic partition.
 
@@ -102,40 +102,41 @@ class FileTopics:
         order: list[str],
         partitions: int = 8,
         batch_id: int = 0,
-        rows_per_block: int = ROWS_PER_BLOCK,
+        rows_per_block: int | None = None,
     ) -> None:
         """Write one batch.  Writing the same ``batch_id`` again replaces it, so a retry after a
         failure neither loses nor doubles messages; offsets go on after the earlier batches."""
         numbered = with_offsets(messages, topic, order, partitions, rows_per_block)
         if batch_id > 0:
-            spark = messages.sparkSession
-            before = end_offsets(self.before_batch(spark, topic, batch_id)).drop("topic")
-            numbered = (
-                numbered.join(before, "partition", "left")
-                .withColumn(
-                    "offset", F.col("offset") + F.coalesce(F.col("end_offset"), F.lit(0))
-                )
-                .select(*[f.name for f in TOPIC])
+            before = self.ends_before(messages.sparkSession, topic, batch_id)
+            numbered = numbered.join(before, "partition", "left").withColumn(
+                "offset", F.col("offset") + F.coalesce(F.col("end_offset"), F.lit(0))
             )
         self.write_batch(numbered, topic, batch_id)
 
     def write_batch(self, topic_rows: DataFrame, topic: str, batch_id: int = 0) -> None:
-        """Write rows that already have partition and offset."""
+        """Write rows that already have partition and offset, then the end offsets they reach."""
         target = f"{self.path(topic)}/{BATCH_DIR}={batch_id}"
         topic_rows.select(*[f.name for f in TOPIC]).write.mode("overwrite").parquet(target)
+        written = topic_rows.sparkSession.read.schema(TOPIC).parquet(target)
+        ends = written.groupBy("partition").agg((F.max("offset") + 1).alias("end_offset"))
+        ends.coalesce(1).write.mode("overwrite").parquet(f"{self._ends(topic)}/{BATCH_DIR}={batch_id}")
+
+    def _ends(self, topic: str) -> str:
+        return f"{self.root.rstrip('/')}/_ends/{topic}"
+
+    def ends_before(self, spark: SparkSession, topic: str, batch_id: int) -> DataFrame:
+        """End offsets left by earlier batches: a few rows per batch, not the messages."""
+        ends = spark.read.schema(f"partition int, end_offset long, {BATCH_DIR} long").parquet(
+            self._ends(topic)
+        )
+        earlier = ends.filter(F.col(BATCH_DIR) < batch_id)
+        return earlier.groupBy("partition").agg(F.max("end_offset").alias("end_offset"))
 
     def read(self, spark: SparkSession, topic: str) -> DataFrame:
         """Everything from the earliest to the latest offset."""
         return spark.read.schema(TOPIC).option("recursiveFileLookup", True).parquet(self.path(topic))
 
-    def before_batch(self, spark: SparkSession, topic: str, batch_id: int) -> DataFrame:
-        """The messages of earlier batches, found by directory."""
-        return (
-            spark.read.parquet(self.path(topic))
-            .filter(F.col(BATCH_DIR) < batch_id)
-            .select(*[f.name for f in TOPIC])
-        )
-
     def read_stream(self, spark: SparkSession, topic: str, **options: str) -> DataFrame:
         """The topic as an unbounded table; ``topic`` may be a glob over topic names."""
         return (
