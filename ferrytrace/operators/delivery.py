@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ferrytrace.functions.measures import epoch_seconds, mib, safe_ratio
 from ferrytrace.functions.messages import header_long, payload_bytes
-from ferrytrace.operators.ordered import totals_before
+from ferrytrace.operators.ordered import floor_div, totals_before_many
+from ferrytrace.session import written
+
+# Marks at least this far apart are few enough per partition for one task to add them up.
+SPAN_FOR_ONE_TASK = 10_000
 
 
 def filter_stats(
@@ -107,7 +111,7 @@ def idle_slots(
     messages: DataFrame, keys: Sequence[str], timeout_s: int, arrival: str = "timestamp"
 ) -> DataFrame:
     """Arrivals summed over time slots as long as the timeout."""
-    slot = F.floor(F.unix_micros(arrival) / F.lit(timeout_s * 1_000_000))
+    slot = floor_div(F.unix_micros(arrival), timeout_s * 1_000_000)
     return messages.groupBy(*keys, slot.alias("slot")).agg(
         F.min(arrival).alias("first_arrival"),
         F.max(arrival).alias("last_arrival"),
@@ -189,30 +193,48 @@ def progress_marks(
     Positions are dense, so the messages between two marks are a group; sums over the groups
     replace a running sum over the messages, and nothing but the sums is shuffled.
     """
-    spans = topic.groupBy(*keys, F.floor(F.col(position) / F.lit(every)).alias("span")).agg(
+    spans = topic.groupBy(*keys, floor_div(F.col(position), every).alias("span")).agg(
         F.count(F.lit(1)).alias("records"),
         F.sum(payload_bytes()).alias("bytes"),
         F.min_by(arrival, position).alias("first_arrival"),
         F.max_by(arrival, position).alias("mark_arrival"),
     )
-    starts = spans.filter(F.col("span") == 0).select(
-        *keys, F.col("first_arrival").alias("started")
-    )
-    before = totals_before(spans, keys, "span", ["records", "bytes"])
-    elapsed = epoch_seconds(F.col("mark_arrival")) - epoch_seconds(F.col("started"))
-    count = F.col("records") + F.col("records_before")
-    size = F.col("bytes") + F.col("bytes_before")
-    return (
-        spans.join(before, [*keys, "span"])
-        .join(starts, list(keys))
-        .filter(F.col("records") == every)
-        .select(
+    if every >= SPAN_FOR_ONE_TASK:
+        by_span = Window.partitionBy(*keys).orderBy("span")
+        upto = by_span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = spans.select(
             *keys,
-            count.alias("running_records"),
-            F.round(size / F.lit(1048576.0), 4).alias("running_mb"),
-            F.round(elapsed, 2).alias("elapsed_s"),
-            F.round(safe_ratio(count, elapsed), 4).alias("records_per_sec"),
+            "mark_arrival",
+            F.col("records").alias("span_records"),
+            F.sum("records").over(upto).alias("records"),
+            F.sum("bytes").over(upto).alias("bytes"),
+            F.first("first_arrival").over(upto).alias("started"),
         )
+    else:
+        spans = written(spans, "spans")
+        starts = spans.filter(F.col("span") == 0).select(
+            *keys, F.col("first_arrival").alias("started")
+        )
+        before = totals_before_many(spans, keys, "span", ["records", "bytes"])
+        running = (
+            spans.join(before, [*keys, "span"])
+            .join(starts, list(keys))
+            .select(
+                *keys,
+                "mark_arrival",
+                F.col("records").alias("span_records"),
+                (F.col("records") + F.col("records_before")).alias("records"),
+                (F.col("bytes") + F.col("bytes_before")).alias("bytes"),
+                "started",
+            )
+        )
+    elapsed = epoch_seconds(F.col("mark_arrival")) - epoch_seconds(F.col("started"))
+    return running.filter(F.col("span_records") == every).select(
+        *keys,
+        F.col("records").alias("running_records"),
+        F.round(F.col("bytes") / F.lit(1048576.0), 4).alias("running_mb"),
+        F.round(elapsed, 2).alias("elapsed_s"),
+        F.round(safe_ratio(F.col("records"), elapsed), 4).alias("records_per_sec"),
     )
 
 

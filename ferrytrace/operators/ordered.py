@@ -29,6 +29,11 @@ _SAMPLES_PER_CUT = 200
 _BLOCK = "_block"
 
 
+def floor_div(value: Column, step: int) -> Column:
+    """Exact whole-number division, rounding down."""
+    return F.call_function("div", value - F.pmod(value, F.lit(step)), F.lit(step))
+
+
 def _cuts(df: DataFrame, columns: Sequence[str], rows: int, blocks: int) -> list[list[float]]:
     """Evenly spaced quantiles of each column, from a sample when there are many rows."""
     shares = [i / blocks for i in range(1, blocks)]
@@ -91,38 +96,33 @@ def add_order_blocks(
 
 
 def totals_before(
-    blocks: DataFrame,
-    keys: Sequence[str],
-    block: str,
-    measures: Sequence[str],
-    fanout: int = 4096,
+    blocks: DataFrame, keys: Sequence[str], block: str, measures: Sequence[str]
 ) -> DataFrame:
     """For each block row, the sum of every measure over the earlier blocks of its key.
 
-    Runs in two levels, so one key with very many blocks is not summed by one task.
+    One task sums the blocks of one key: one narrow row per block, not per record.
     """
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(block)
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_before") for m in measures]
+    return blocks.select(*keys, block, *sums)
+
+
+def totals_before_many(
+    blocks: DataFrame, keys: Sequence[str], block: str, measures: Sequence[str], fanout: int = 4096
+) -> DataFrame:
+    """The same in two levels, for keys with so many blocks that one task should not sum them."""
     group = "_group"
-    grouped = blocks.withColumn(group, F.floor(F.col(block) / F.lit(fanout)))
-    inside = (
-        Window.partitionBy(*keys, group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(group)
-    across = across.rowsBetween(Window.unboundedPreceding, -1)
-    group_starts = grouped.groupBy(*keys, group).agg(
-        *[F.sum(m).alias(f"_sum_{m}") for m in measures]
+    grouped = blocks.withColumn(group, floor_div(F.col(block), fanout))
+    groups = grouped.groupBy(*keys, group).agg(*[F.sum(m).alias(m) for m in measures])
+    starts = totals_before(groups, keys, group, measures).withColumnsRenamed(
+        {f"{m}_before": f"_start_{m}" for m in measures}
     )
-    for m in measures:
-        group_starts = group_starts.withColumn(
-            f"_start_{m}", F.coalesce(F.sum(f"_sum_{m}").over(across), F.lit(0))
-        )
-    group_starts = group_starts.drop(*[f"_sum_{m}" for m in measures])
-    local = grouped
-    for m in measures:
-        local = local.withColumn(f"_in_{m}", F.coalesce(F.sum(m).over(inside), F.lit(0)))
-    return local.join(group_starts, [*keys, group]).select(
+    inside = totals_before(grouped, [*keys, group], block, measures)
+    return inside.join(starts, [*keys, group]).select(
         *keys,
         block,
-        *[(F.col(f"_in_{m}") + F.col(f"_start_{m}")).alias(f"{m}_before") for m in measures],
+        *[(F.col(f"{m}_before") + F.col(f"_start_{m}")).alias(f"{m}_before") for m in measures],
     )
 
 
@@ -164,14 +164,15 @@ def running_totals(
     keys = list(keys)
     names = list(measures)
     blocked = df.withColumns(
-        {_BLOCK: F.floor(F.col(position) / F.lit(positions_per_block)), **measures}
-    )
+        {_BLOCK: floor_div(F.col(position), positions_per_block), **measures}
+    ).filter(F.col(_BLOCK).isNotNull())
     upto = Window.partitionBy(*keys, _BLOCK).orderBy(position).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    totals = blocked.groupBy(*keys, _BLOCK).agg(*[F.sum(m).alias(m) for m in names])
-    starts = totals_before(totals, keys, _BLOCK, names)
     local = blocked.withColumns({m: F.sum(m).over(upto) for m in names})
+    # Block totals come off the same shuffle (Spark reuses it), so the input is read once.
+    totals = local.groupBy(*keys, _BLOCK).agg(*[F.max_by(m, position).alias(m) for m in names])
+    starts = totals_before(totals, keys, _BLOCK, names)
     summed = local.join(starts, [*keys, _BLOCK])
     return summed.withColumns({m: F.col(m) + F.col(f"{m}_before") for m in names}).drop(
         _BLOCK, *[f"{m}_before" for m in names]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrytrace.functions.messages import line_value, payload_bytes
 from ferrytrace.operators.ordered import (
     POSITIONS_PER_BLOCK,
     add_order_blocks,
+    floor_div,
     running_totals,
     totals_before,
 )
@@ -49,7 +50,7 @@ def pack_messages(
         "\n",
     )
     parts = (
-        lines.withColumn("pack", F.floor(F.col("_ix") / F.lit(k)))
+        lines.withColumn("pack", floor_div(F.col("_ix"), k))
         .groupBy("_block", "pack")
         .agg(
             ordered_lines.alias("value"),
@@ -75,6 +76,11 @@ def pack_messages(
     return whole.unionByName(straddling)
 
 
+def chunk_number(running_bytes: Column, chunk_bytes: int) -> Column:
+    """Chunk of the message that ends at this byte; an empty message in front is in the first."""
+    return floor_div(F.greatest(running_bytes - 1, F.lit(0)), chunk_bytes)
+
+
 def assign_chunks(
     topic: DataFrame,
     chunk_bytes: int,
@@ -88,11 +94,8 @@ def assign_chunks(
     summed = running_totals(
         sized, keys, position, {"running_bytes": F.col("_bytes")}, positions_per_block
     )
-    # An empty message in front has running count 0 and belongs to the first chunk.
-    return summed.withColumn(
-        "chunk",
-        F.floor(F.greatest(F.col("running_bytes") - 1, F.lit(0)) / F.lit(chunk_bytes)),
-    ).withColumnRenamed("_bytes", "bytes")
+    numbered = summed.withColumn("chunk", chunk_number(F.col("running_bytes"), chunk_bytes))
+    return numbered.withColumnRenamed("_bytes", "bytes")
 
 
 def chunk_summary(
@@ -122,8 +125,6 @@ def chunk_by_bytes(
         *keys,
         position,
         F.col("_size").alias("bytes"),
-        F.floor(F.greatest(F.col("running_bytes") - 1, F.lit(0)) / F.lit(chunk_bytes)).alias(
-            "chunk"
-        ),
+        chunk_number(F.col("running_bytes"), chunk_bytes).alias("chunk"),
     )
     return chunk_summary(chunked, keys, position)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -45,3 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
 def new_area(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, safe if executors are lost."""
+    spark = df.sparkSession
+    path = new_area(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from ferrytrace.functions.measures import prefixed_topic
 from ferrytrace.functions.messages import parse_json
 from ferrytrace.operators.delivery import idle_slots
 from ferrytrace.operators.filters import keep_listed
-from ferrytrace.operators.packing import assign_chunks
+from ferrytrace.operators.packing import assign_chunks, chunk_number
 from ferrytrace.schemas import SQUARES, TOPIC
 from ferrytrace.sources.files import rows_as_messages
 from ferrytrace.sources.topics import FileTopics
@@ -121,7 +121,7 @@ def transfer_chunks(
         chunked = assign_chunks(carried, chunk_bytes)
         upto = F.col("running_bytes") + F.coalesce(F.col("_carried"), F.lit(0))
         placed = chunked.withColumn(
-            "chunk", F.floor(F.greatest(upto - 1, F.lit(0)) / F.lit(chunk_bytes))
+            "chunk", chunk_number(upto, chunk_bytes)
         ).drop("_carried", "running_bytes")
         placed.write.mode("overwrite").parquet(f"{target_path}/messages/batch_id={batch_id}")
         written = spark.read.parquet(f"{target_path}/messages/batch_id={batch_id}")
