@@ -163,13 +163,13 @@ def running_totals(
     """
     keys = list(keys)
     names = list(measures)
-    blocked = df.withColumns(
-        {_BLOCK: floor_div(F.col(position), positions_per_block), **measures}
-    ).filter(F.col(_BLOCK).isNotNull())
+    blocked = df.withColumn(_BLOCK, floor_div(F.col(position), positions_per_block)).filter(
+        F.col(_BLOCK).isNotNull()
+    )
     upto = Window.partitionBy(*keys, _BLOCK).orderBy(position).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = blocked.withColumns({m: F.sum(m).over(upto) for m in names})
+    local = blocked.withColumns({m: F.sum(of).over(upto) for m, of in measures.items()})
     # Block totals come off the same shuffle (Spark reuses it), so the input is read once.
     totals = local.groupBy(*keys, _BLOCK).agg(*[F.max_by(m, position).alias(m) for m in names])
     starts = totals_before(totals, keys, _BLOCK, names)
