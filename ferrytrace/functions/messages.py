@@ -44,7 +44,7 @@ def payload_bytes(value: Column | str = "value") -> Column:
     return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
 
 
-def parse_json(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+def parse_json(df: DataFrame, schema: T.StructType | str, value: str = "value") -> DataFrame:
     """JSON message text to the columns of ``schema``."""
     return df.select(F.from_json(value_text(value), schema).alias("data")).select("data.*")
 

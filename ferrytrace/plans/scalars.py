@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ferrytrace.functions import measures as m
 from ferrytrace.functions.messages import (
@@ -25,7 +24,7 @@ from ferrytrace.plans.registry import (
     query,
 )
 
-K = StructType.fromDDL("k int")
+K = "k int"
 
 
 @query(
@@ -90,7 +89,7 @@ def json_read_messages(t):
     """What a reader decodes from the published JSON."""
     columns = ["event_id", "user_id", "event_type", "value"]
     messages = t.event_text(columns).select(json_value(columns).cast("binary").alias("value"))
-    texts = parse_json(messages, StructType.fromDDL(", ".join(f"{c} string" for c in columns)))
+    texts = parse_json(messages, ", ".join(f"{c} string" for c in columns))
     return texts.select(
         F.col("event_id").cast("long"),
         F.col("user_id").cast("long"),

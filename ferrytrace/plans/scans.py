@@ -42,9 +42,7 @@ def scan_csv_strings(t):
 
 @query("scan_csv_typed", "SELECT event_id, user_id, event_type, value FROM events")
 def scan_csv_typed(t):
-    from pyspark.sql.types import StructType
-
-    schema = StructType.fromDDL("event_id long, user_id long, event_type string, value double")
+    schema = "event_id long, user_id long, event_type string, value double"
     return files.read_csv_typed(t.spark, _csv_of(t, PLAIN_COLUMNS), schema)
 
 
@@ -69,11 +67,9 @@ def scan_part_dir(t):
 
 @query("scan_json_lines", "SELECT json_extract(props, '$.k')::INTEGER AS k FROM events")
 def scan_json_lines(t):
-    from pyspark.sql.types import StructType
-
     path = t.area("json")
     t.events.select("props").write.text(path)
-    return files.read_json_lines(t.spark, path, StructType.fromDDL("k int"))
+    return files.read_json_lines(t.spark, path, "k int")
 
 
 TOPIC_VIEW_SQL = f"WITH {TOPIC_SQL} SELECT part, pos, key, value, ts_us FROM topic"
@@ -121,8 +117,6 @@ def topic_scan_from_latest(t):
 )
 def scan_results_csv(t):
     """Consumer rows have no latency: the file says N/A, the table null."""
-    from pyspark.sql.types import StructType
-
     rows = t.lineitem.select(
         F.col("l_linestatus").alias("test_type"),
         F.col("l_linenumber").alias("partitions"),
@@ -132,7 +126,7 @@ def scan_results_csv(t):
     )
     path = t.area("results")
     files.write_csv(rows, path)
-    schema = StructType.fromDDL("test_type string, partitions int, avg_latency_ms double")
+    schema = "test_type string, partitions int, avg_latency_ms double"
     read = files.read_results(t.spark, path, schema)
     return read.groupBy("test_type").agg(
         F.count(F.lit(1)).alias("n"),
@@ -192,13 +186,18 @@ def scan_log_text(t):
     )
 
 
-# Generators.  DRAW is the integer arithmetic of ``generated.draw`` in SQL.
+# Generators.  ``_draw_sql`` is the arithmetic of ``generated.draw`` in SQL.
 
 
 def _draw_sql(stream: int, size: int | str, row_id: str = "event_id") -> str:
-    m, k = generated.MODULUS, generated.MULTIPLIER
-    once = f"((({row_id} % {m}) * {k} + {12345 + 7919 * stream}) % {m})"
-    return f"((((({once} * {k}) + {stream}) % {m}) >> 8) % {size})"
+    def fold(number, bits):
+        return f"xor({number}, {number} >> {bits})"
+
+    m = generated.MODULUS
+    start = f"(({row_id} % {m}) * {generated.FIRST_MULTIPLIER} + {generated.STREAM_STEP * stream}) % {m}"
+    once = fold(f"({start})", 15)
+    twice = fold(f"(({once} * {generated.SECOND_MULTIPLIER}) % {m})", 13)
+    return f"({twice} % {size})"
 
 
 def _country_sql() -> str:
@@ -379,8 +378,6 @@ def ingest_rows_as_json(t):
 @query("ingest_rows_inline", "SELECT c_custkey AS id, c_name AS name, c_nationkey AS age FROM customer")
 def ingest_rows_inline(t):
     """Rows published as JSON and decoded again by the reader."""
-    from pyspark.sql.types import StructType
-
     people = t.customer.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("age")
     )
@@ -391,7 +388,7 @@ def ingest_rows_inline(t):
         F.col("id").alias("_order"),
     )
     topics.publish(messages, "people", ["_order"])
-    schema = StructType.fromDDL("id long, name string, age int")
+    schema = "id long, name string, age int"
     return parse_json(topics.read(t.spark, "people"), schema)
 
 

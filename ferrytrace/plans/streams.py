@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ferrytrace.functions.measures import safe_ratio
 from ferrytrace.functions.messages import header_text
@@ -28,7 +27,7 @@ from ferrytrace.streaming import flows
 def stream_parse_project(t):
     renamed = F.regexp_replace("props", '"k"', '"number"')
     stream = t.event_stream().select(renamed.alias("value"))
-    parsed = flows.parse_and_cube(stream, StructType.fromDDL("number int"))
+    parsed = flows.parse_and_cube(stream, "number int")
     target = t.area("parsed")
     flows.drain(flows.append_files(parsed, target, t.area("checkpoint")))
     return t.spark.read.parquet(target)

@@ -3,8 +3,13 @@
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType, "long": T.LongType, "int": T.IntegerType, "double": T.DoubleType}
+
+
+def _struct(columns: str) -> T.StructType:
+    """``"name type, name type"`` to a schema, without needing a running session."""
+    fields = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]()) for name, kind in fields])
 
 
 READING = _struct(
@@ -16,9 +21,20 @@ READING_TEXT = T.StructType([T.StructField(f.name, T.StringType()) for f in READ
 PAYLOAD = _struct("id long, timestamp long, data string")
 SQUARES = _struct("number int, squared int")
 
-TOPIC = _struct(
-    "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, "
-    "timestampType int, headers array<struct<key: string, value: binary>>"
+_HEADER = T.StructType(
+    [T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())]
+)
+TOPIC = T.StructType(
+    [
+        T.StructField("key", T.BinaryType()),
+        T.StructField("value", T.BinaryType()),
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("timestampType", T.IntegerType()),
+        T.StructField("headers", T.ArrayType(_HEADER)),
+    ]
 )
 
 RUN_METRICS = _struct(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrytrace.functions.messages import empty_to_null, json_value
 from ferrytrace.schemas import READING
 
 _NEVER_IN_TEXT = "\u0001"
@@ -21,14 +22,17 @@ def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_csv_typed(
     spark: SparkSession,
     path: str | Sequence[str],
-    schema: T.StructType = READING,
+    schema: T.StructType | str = READING,
     mode: str = "PERMISSIVE",
     corrupt_column: str | None = None,
 ) -> DataFrame:
     """CSV with declared types.  ``corrupt_column`` keeps the text of lines that do not fit."""
     reader = spark.read.option("header", True).option("mode", mode)
     if corrupt_column:
-        schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
+        if isinstance(schema, str):
+            schema = f"{schema}, {corrupt_column} string"
+        else:
+            schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
     return reader.schema(schema).csv(path)
 
@@ -51,7 +55,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines with a declared schema, so nothing is read twice to infer one."""
     return spark.read.schema(schema).json(path)
 
@@ -107,10 +111,8 @@ def append_metrics(df: DataFrame, path: str) -> None:
 
 def rows_as_messages(df: DataFrame, key: str, keep: Sequence[Column] = ()) -> DataFrame:
     """Each row becomes a message: key (null when empty) and the row as JSON, nulls kept."""
-    from ferrytrace.functions.messages import empty_to_null, json_value
-
     return df.select(
-        empty_to_null(F.col(key)).alias("key"),
+        empty_to_null(F.col(key).cast("string")).alias("key"),
         json_value(df.columns, keep_nulls=True).alias("value"),
         *keep,
     )

@@ -49,21 +49,27 @@ STATIONS = 500
 COMPACT_STATIONS = {"LU": 5, "DE": 50, "BE": 20}
 COMPACT_SOURCE = "eea_filtered"
 
-# Our own arithmetic: x -> (x * MULTIPLIER + step) mod 2^31, upper bits used.
-MULTIPLIER = 1103515245
+# Our own arithmetic: two rounds of multiply (mod 2^31) and fold the upper bits onto the lower.
 MODULUS = 2147483648
+FIRST_MULTIPLIER = 1103515245
+SECOND_MULTIPLIER = 1597334677
+STREAM_STEP = 362437
 
 
 def rows_for_size(gigabytes: float) -> int:
     return int(gigabytes * 1024**3 / ROW_BYTES)
 
 
+def _fold(number: Column, bits: int) -> Column:
+    return number.bitwiseXOR(F.shiftright(number, bits))
+
+
 def draw(row_id: Column, stream: int, size: int | Column) -> Column:
     """A number in ``[0, size)`` from the id; each ``stream`` gives another sequence."""
-    mixed = F.pmod(row_id, F.lit(MODULUS)) * F.lit(MULTIPLIER) + F.lit(12345 + 7919 * stream)
-    once = F.pmod(mixed, F.lit(MODULUS))
-    again = F.pmod(once * F.lit(MULTIPLIER) + F.lit(stream), F.lit(MODULUS))
-    return F.pmod(F.shiftright(again, 8), size if isinstance(size, Column) else F.lit(size))
+    start = F.pmod(row_id, F.lit(MODULUS)) * F.lit(FIRST_MULTIPLIER)
+    once = _fold(F.pmod(start + F.lit(STREAM_STEP * stream), F.lit(MODULUS)), 15)
+    twice = _fold(F.pmod(once * F.lit(SECOND_MULTIPLIER), F.lit(MODULUS)), 13)
+    return F.pmod(twice, size if isinstance(size, Column) else F.lit(size))
 
 
 def _lookup(key: Column, table: dict) -> Column:

@@ -14,12 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ferrytrace.functions.measures import prefixed_topic
-from ferrytrace.functions.messages import parse_json
+from ferrytrace.functions.messages import json_value, parse_json
 from ferrytrace.operators.delivery import idle_slots
 from ferrytrace.operators.filters import keep_listed
 from ferrytrace.operators.packing import assign_chunks, chunk_number
 from ferrytrace.schemas import SQUARES, TOPIC
-from ferrytrace.sources.files import rows_as_messages
 from ferrytrace.sources.topics import FileTopics
 
 
@@ -45,7 +44,7 @@ def append_files(stream: DataFrame, path: str, checkpoint: str, bounded: bool =
     return start(writer, checkpoint, bounded)
 
 
-def parse_and_cube(topic: DataFrame, schema: T.StructType = SQUARES, number: str = "number") -> DataFrame:
+def parse_and_cube(topic: DataFrame, schema: T.StructType | str = SQUARES, number: str = "number") -> DataFrame:
     """JSON messages to columns plus the cube of one of them (null where it overflows)."""
     parsed = parse_json(topic, schema)
     n = F.col(number).cast("long")
@@ -74,7 +73,9 @@ def filter_and_deliver(
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         numbers = [F.col(c).cast("long").alias(f"_{c}") for c in order]
-        messages = rows_as_messages(batch, key, keep=numbers)
+        messages = batch.select(
+            F.col(key).cast("string").alias("key"), json_value(batch.columns).alias("value"), *numbers
+        )
         topics.publish(messages, topic, [f"_{c}" for c in order], partitions, batch_id)
 
     return start(kept.writeStream.foreachBatch(publish), checkpoint, bounded)
