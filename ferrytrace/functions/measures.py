@@ -54,11 +54,11 @@ def size_label(size: Column) -> Column:
 
 
 def topic_size(topic: Column) -> Column:
-    return F.regexp_extract(topic, TOPIC_SIZE_FIRST, 1).try_cast("int")
+    return F.nullif(F.regexp_extract(topic, TOPIC_SIZE_FIRST, 1), F.lit("")).try_cast("int")
 
 
 def topic_partitions(topic: Column) -> Column:
-    return F.regexp_extract(topic, TOPIC_SIZE_FIRST, 2).try_cast("int")
+    return F.nullif(F.regexp_extract(topic, TOPIC_SIZE_FIRST, 2), F.lit("")).try_cast("int")
 
 
 def topic_sweep_field(topic: Column, position: int) -> Column:

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from ferrytrace.schemas import CONSUMER_METRICS
 
-# Fixed patterns and markers of the log formats.
+# Fixed patterns and markers of the log formats: a number stands before each of these units.
 _NUMBER = r"(\d+(?:\.\d+)?)"
-RECORDS_PER_SEC = _NUMBER + r" records/sec"
-MB_PER_SEC = _NUMBER + r" MB/sec"
-AVG_LATENCY = _NUMBER + r" ms avg latency"
-MAX_LATENCY = _NUMBER + r" ms max latency"
-P50 = _NUMBER + r" ms 50th"
-P99 = _NUMBER + r" ms 99th"
+RECORDS_PER_SEC = " records/sec"
+MB_PER_SEC = " MB/sec"
+AVG_LATENCY = " ms avg latency"
+MAX_LATENCY = " ms max latency"
+P50 = " ms 50th"
+P99 = " ms 99th"
 KEY_VALUE = r"^\s*(\w+):\s+(-?[0-9.]+)"
 CONSUMER_HEADER = "start.time"
 DETAIL_HEADER = "time"
@@ -33,9 +33,19 @@ CONSUMER_CSV = "CONSUMER_CSV:"
 _CONSUMER_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CONSUMER_METRICS)
 
 
-def number_after(line: Column, pattern: str, group: int = 1) -> Column:
-    """A number captured by the pattern; null when the line does not match."""
-    return F.regexp_extract(line, pattern, group).try_cast("double")
+def number_before(line: Column, unit: str) -> Column:
+    """The number in front of a unit; null when the line has none.
+
+    The plain text search comes first: most lines of a log stop there, before the pattern.
+    """
+    found = F.regexp_extract(line, _NUMBER + unit, 1)
+    return F.when(line.contains(unit), found.try_cast("double"))
+
+
+def number_matching(line: Column, pattern: str, group: int = 1) -> Column:
+    """The number captured by a pattern; null when the line does not match."""
+    found = F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
+    return found.try_cast("double")
 
 
 def _last(value: Column, present: Column, ix: str = "line_ix") -> Column:
@@ -43,18 +53,18 @@ def _last(value: Column, present: Column, ix: str = "line_ix") -> Column:
     return F.max_by(value, F.when(present, F.col(ix)))
 
 
-def _latest_numbers(lines: DataFrame, patterns: Mapping[str, str], marker: str) -> DataFrame:
-    """Per log, the numbers on its latest line that matches ``marker``.
+def _latest_numbers(lines: DataFrame, units: Mapping[str, str], marker: str) -> DataFrame:
+    """Per log, the numbers on its latest line that has the ``marker`` column's number.
 
     One ``max_by`` per number keeps the aggregation state flat, so it is hashed, not sorted,
     when ``line_ix`` is a number.
     """
     line = F.col("line")
-    numbers = {name: number_after(line, pattern) for name, pattern in patterns.items()}
-    at = F.when(line.rlike(marker), F.col("line_ix"))
-    parsed = lines.select("log", at.alias("at"), *[n.alias(name) for name, n in numbers.items()])
-    return parsed.groupBy("log").agg(
-        *[F.max_by(name, "at").alias(name) for name in patterns], F.count("at").alias("_matched")
+    numbers = [number_before(line, unit).alias(name) for name, unit in units.items()]
+    parsed = lines.select("log", "line_ix", *numbers)
+    marked = parsed.withColumn("at", F.when(F.col(marker).isNotNull(), F.col("line_ix")))
+    return marked.groupBy("log").agg(
+        *[F.max_by(name, "at").alias(name) for name in units], F.count("at").alias("_matched")
     )
 
 
@@ -68,7 +78,7 @@ def producer_perf(lines: DataFrame) -> DataFrame:
             "avg_latency_ms": AVG_LATENCY,
             "max_latency_ms": MAX_LATENCY,
         },
-        RECORDS_PER_SEC,
+        "records_per_sec",
     )
     return found.withColumn("failed", F.col("_matched") == 0).drop("_matched")
 
@@ -76,7 +86,7 @@ def producer_perf(lines: DataFrame) -> DataFrame:
 def percentiles(lines: DataFrame) -> DataFrame:
     """Median and 99th percentile latency of the final summary."""
     wanted = {"p50_latency_ms": P50, "p99_latency_ms": P99}
-    return _latest_numbers(lines, wanted, P99).drop("_matched")
+    return _latest_numbers(lines, wanted, "p99_latency_ms").drop("_matched")
 
 
 def _csv_field(line: Column, position: int) -> Column:
@@ -119,7 +129,7 @@ def key_values(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     """``name: number`` lines to one column per name (the latest value of each)."""
     name = F.regexp_extract("line", KEY_VALUE, 1)
     pairs = lines.select(
-        "log", "line_ix", name.alias("name"), number_after(F.col("line"), KEY_VALUE, 2).alias("v")
+        "log", "line_ix", name.alias("name"), number_matching(F.col("line"), KEY_VALUE, 2).alias("v")
     )
     return pairs.groupBy("log").agg(
         *[_last(F.col("v"), F.col("name") == n).alias(n) for n in names]
@@ -133,7 +143,7 @@ def json_block(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     """
     line = F.trim("line")
     values = {
-        n: number_after(F.col("line"), rf'"{n}":\s*(-?[0-9.]+(?:[eE][-+]?\d+)?)') for n in names
+        n: number_matching(F.col("line"), rf'"{n}":\s*(-?[0-9.]+(?:[eE][-+]?\d+)?)') for n in names
     }
     edges = lines.groupBy("log").agg(
         F.min(F.when(line == RESULTS_START, F.col("line_ix"))).alias("opened"),
@@ -166,12 +176,12 @@ def missing_runs(expected: DataFrame, parsed: DataFrame, run: str = "log") -> Da
     return expected.join(parsed, run, "left_anti")
 
 
-def tail_values(lines: DataFrame, pattern: str, last: int = 5) -> DataFrame:
-    """The ``last`` values of a pattern in each log.
+def tail_values(lines: DataFrame, unit: str, last: int = 5) -> DataFrame:
+    """The ``last`` numbers with a unit in each log.
 
     The rank limit runs before the shuffle too, so a log sends at most ``last`` rows per task.
     """
-    values = lines.select("log", "line_ix", number_after(F.col("line"), pattern).alias("value"))
+    values = lines.select("log", "line_ix", number_before(F.col("line"), unit).alias("value"))
     latest = Window.partitionBy("log").orderBy(F.desc("line_ix"))
     ranked = values.filter(F.col("value").isNotNull()).withColumn(
         "n", F.row_number().over(latest)
@@ -179,12 +189,12 @@ def tail_values(lines: DataFrame, pattern: str, last: int = 5) -> DataFrame:
     return ranked.filter(F.col("n") <= last).select("log", "line_ix", "value")
 
 
-def tail_mean(lines: DataFrame, pattern: str, last: int = 5) -> DataFrame:
-    return tail_values(lines, pattern, last).groupBy("log").agg(F.avg("value").alias("tail_mean"))
+def tail_mean(lines: DataFrame, unit: str, last: int = 5) -> DataFrame:
+    return tail_values(lines, unit, last).groupBy("log").agg(F.avg("value").alias("tail_mean"))
 
 
-def tail_max(lines: DataFrame, pattern: str, last: int = 5) -> DataFrame:
-    return tail_values(lines, pattern, last).groupBy("log").agg(F.max("value").alias("tail_max"))
+def tail_max(lines: DataFrame, unit: str, last: int = 5) -> DataFrame:
+    return tail_values(lines, unit, last).groupBy("log").agg(F.max("value").alias("tail_max"))
 
 
 def last_record(lines: DataFrame) -> DataFrame:
