@@ -1,7 +1,8 @@
 """Jobs as functions: each returns its metrics as a one-row DataFrame.
 
-Row counts and bytes come from ``observe``, so a job reads its input once: the counts are taken
-while the rows pass by on their way into the topic or the files.
+Kept rows and bytes are counted by ``observe`` while they pass by on their way into the topic or
+the files.  Counting the raw rows there too would keep the filter from reaching the CSV reader, so
+they come from a count-only scan, which parses no fields; measured on 5 GB, that is faster in all.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ferrytrace.operators.delivery import delivery_from_headers, delivery_summar
 from ferrytrace.operators.filters import keep_listed
 from ferrytrace.operators.packing import pack_messages
 from ferrytrace.schemas import PAYLOAD, RUN_METRICS, RUN_METRICS_PACKED
+from ferrytrace.session import written
 from ferrytrace.sources import files
 from ferrytrace.sources.topics import FileTopics, KafkaTopics
 
@@ -35,7 +37,7 @@ def _input_mib(spark: SparkSession, path: str) -> float:
     return round((total["bytes"] or 0) / MIB, 1)
 
 
-def _shares(raw: int, kept: int, size: float, seconds: float) -> dict:
+def _shares(raw: int, kept: int, size: float, reading: float, publishing: float) -> dict:
     ratio = kept / raw if raw else 0.0
     estimate = size * ratio
     return {
@@ -44,19 +46,19 @@ def _shares(raw: int, kept: int, size: float, seconds: float) -> dict:
         "filtered_records": kept,
         "filter_ratio": round(ratio, 4),
         "estimated_filtered_mb": round(estimate, 1),
-        "kafka_produce_time_s": round(seconds, 2),
-        "total_time_s": round(seconds, 2),
-        "kafka_throughput_mbps": round(estimate / seconds, 2) if seconds > 0 else 0.0,
+        "read_time_s": round(reading, 2),
+        "kafka_produce_time_s": round(publishing, 2),
+        "total_time_s": round(reading + publishing, 2),
+        "kafka_throughput_mbps": round(estimate / publishing, 2) if publishing > 0 else 0.0,
     }
 
 
-def _observed_filter(
+def _select(
     rows: DataFrame, column: str, values: Sequence[str]
-) -> tuple[DataFrame, Observation, Observation]:
-    raw, kept = Observation(), Observation()
-    counted = rows.observe(raw, F.count(F.lit(1)).alias("rows"))
-    selected = keep_listed(counted, column, values)
-    return selected.observe(kept, F.count(F.lit(1)).alias("rows")), raw, kept
+) -> tuple[DataFrame, Observation]:
+    kept = Observation()
+    selected = keep_listed(rows, column, values)
+    return selected.observe(kept, F.count(F.lit(1)).alias("rows")), kept
 
 
 def publish_filtered(
@@ -74,14 +76,16 @@ def publish_filtered(
     size = _input_mib(spark, path)
     began = time.monotonic()
     rows = files.read_csv_text(spark, path)
-    selected, raw, kept = _observed_filter(rows, column, values)
+    raw = rows.count()
+    read = time.monotonic()
+    selected, kept = _select(rows, column, values)
     messages = selected.select(
         F.col(key).alias("key"),
         json_value(rows.columns).alias("value"),
         F.monotonically_increasing_id().alias("_order"),
     )
-    topics.publish(messages, topic, order=["_order"], partitions=partitions)
-    seconds = time.monotonic() - began
+    topics.publish(messages, topic, order=["_order"], partitions=partitions, stage=True)
+    ended = time.monotonic()
     producer = dict(getattr(topics, "producer", {}))
     return _metrics(
         spark,
@@ -93,7 +97,7 @@ def publish_filtered(
         bootstrap_servers=getattr(topics, "bootstrap_servers", None),
         acks=producer.get("acks"),
         batch_size=producer.get("batch.size"),
-        **_shares(raw.get["rows"], kept.get["rows"], size, seconds),
+        **_shares(raw, kept.get["rows"], size, read - began, ended - read),
     )
 
 
@@ -112,13 +116,15 @@ def publish_packed(
     size = _input_mib(spark, path)
     began = time.monotonic()
     rows = files.read_csv_text(spark, path)
-    selected, raw, kept = _observed_filter(rows, column, values)
-    numbered = selected.withColumn("_order", F.monotonically_increasing_id())
+    raw = rows.count()
+    read = time.monotonic()
+    selected, kept = _select(rows, column, values)
+    numbered = written(selected.withColumn("_order", F.monotonically_increasing_id()), "kept")
     k = records_per_pack(batch_kb)
     packed = pack_messages(numbered, ["_order"], k, columns=rows.columns)
     messages = packed.select(F.lit(None).cast("string").alias("key"), "value", "pack")
-    topics.publish(messages, topic, order=["pack"], partitions=partitions)
-    seconds = time.monotonic() - began
+    topics.publish(messages, topic, order=["pack"], partitions=partitions, stage=True)
+    ended = time.monotonic()
     counted = kept.get["rows"]
     return _metrics(
         spark,
@@ -131,7 +137,7 @@ def publish_packed(
         partitions=partitions,
         bootstrap_servers=getattr(topics, "bootstrap_servers", None),
         acks=dict(getattr(topics, "producer", {})).get("acks"),
-        **_shares(raw.get["rows"], counted, size, seconds),
+        **_shares(raw, counted, size, read - began, ended - read),
     )
 
 
@@ -145,10 +151,12 @@ def save_filtered(
 ) -> DataFrame:
     """CSV, filter, CSV parts."""
     began = time.monotonic()
-    selected, raw, kept = _observed_filter(files.read_csv_text(spark, path), column, values)
+    rows = files.read_csv_text(spark, path)
+    raw = rows.count()
+    selected, kept = _select(rows, column, values)
     files.write_csv(selected, target)
     seconds = time.monotonic() - began
-    row = (run_id, raw.get["rows"], kept.get["rows"], _input_mib(spark, target), round(seconds, 2))
+    row = (run_id, raw, kept.get["rows"], _input_mib(spark, target), round(seconds, 2))
     return spark.createDataFrame(
         [row],
         "run_id string, raw_records long, filtered_records long, output_size_mb double, total_time_s double",
@@ -161,7 +169,7 @@ def publish_lines(
     """Every data line of headed files as a message."""
     lines = files.lines_as_messages(files.read_lines(spark, path))
     ordered = lines.withColumn("_order", F.monotonically_increasing_id())
-    topics.publish(ordered, topic, order=["_order"], partitions=partitions)
+    topics.publish(ordered, topic, order=["_order"], partitions=partitions, stage=True)
 
 
 def publish_rows(
@@ -170,7 +178,7 @@ def publish_rows(
     """Every CSV row as a JSON message with its key."""
     rows = files.read_csv_text(spark, path)
     order = F.monotonically_increasing_id().alias("_order")
-    topics.publish(files.rows_as_messages(rows, key, [order]), topic, order=["_order"], partitions=partitions)
+    topics.publish(files.rows_as_messages(rows, key, [order]), topic, order=["_order"], partitions=partitions, stage=True)
 
 
 def throughput_publish(
@@ -185,7 +193,7 @@ def throughput_publish(
         json_value(rows.columns).alias("value"),
         F.monotonically_increasing_id().alias("_order"),
     ).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(payload_bytes()).alias("bytes"))
-    topics.publish(messages, topic, order=["_order"], partitions=partitions)
+    topics.publish(messages, topic, order=["_order"], partitions=partitions, stage=True)
     return _rates(spark, seen.get["rows"], seen.get["bytes"], time.monotonic() - began)
 
 

@@ -64,7 +64,7 @@ def deliver_files(
     lines = lines_as_messages(read_lines(spark, csv_path)).withColumn(
         "_order", F.monotonically_increasing_id()
     )
-    topics.publish(lines, topic, ["_order"], partitions)
+    topics.publish(lines, topic, ["_order"], partitions, stage=True)
 
 
 def deliver_replicated(
@@ -102,4 +102,4 @@ def deliver_packed(
     numbered = keep_listed(rows, column, values).withColumn("_order", F.col(order).cast("long"))
     packed = pack_messages(numbered, ["_order"], records_per_message, columns=rows.columns)
     messages = packed.select(F.lit(None).cast("string").alias("key"), "value", "pack")
-    topics.publish(messages, topic, ["pack"], partitions)
+    topics.publish(messages, topic, ["pack"], partitions, stage=True)

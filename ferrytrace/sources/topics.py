@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ferrytrace.operators.ordered import dense_index
 from ferrytrace.schemas import TOPIC
+from ferrytrace.session import written
 
 BATCH_DIR = "batch_id"
 
@@ -103,9 +104,16 @@ class FileTopics:
         partitions: int = 8,
         batch_id: int = 0,
         rows_per_block: int | None = None,
+        stage: bool = False,
     ) -> None:
         """Write one batch.  Writing the same ``batch_id`` again replaces it, so a retry after a
-        failure neither loses nor doubles messages; offsets go on after the earlier batches."""
+        failure neither loses nor doubles messages; offsets go on after the earlier batches.
+
+        Numbering looks at the messages several times.  ``stage`` writes them to the shared folder
+        first, for inputs that are dear to compute again: text files, packed messages, streams.
+        """
+        if stage:
+            messages = written(messages, "messages")
         numbered = with_offsets(messages, topic, order, partitions, rows_per_block)
         if batch_id > 0:
             before = self.ends_before(messages.sparkSession, topic, batch_id)

@@ -76,7 +76,9 @@ def filter_and_deliver(
         messages = batch.select(
             F.col(key).cast("string").alias("key"), json_value(batch.columns).alias("value"), *numbers
         )
-        topics.publish(messages, topic, [f"_{c}" for c in order], partitions, batch_id)
+        topics.publish(
+            messages, topic, [f"_{c}" for c in order], partitions, batch_id, stage=True
+        )
 
     return start(kept.writeStream.foreachBatch(publish), checkpoint, bounded)
 
