@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ferrytrace.operators.ordered import dense_index
 from ferrytrace.schemas import TOPIC
@@ -188,10 +189,19 @@ class KafkaTopics:
             options["endingOffsets"] = offsets(ending)
         return options
 
-    def publish(self, messages: DataFrame, topic: str, **_) -> None:
+    def publish(
+        self, messages: DataFrame, topic: str, order: list[str] | None = None, *_, **__
+    ) -> None:
+        """Publish in one pass; the broker numbers the messages, so ``order`` is not used."""
         columns = [c for c in ("key", "value", "headers", "partition") if c in messages.columns]
         messages.select(*columns).write.format("kafka").options(**self.write_options(topic)).save()
 
+    def publish_stream(self, stream: DataFrame) -> DataStreamWriter:
+        """A stream writer for rows that name their ``topic`` in a column."""
+        options = self.write_options("")
+        options.pop("topic")
+        return stream.writeStream.format("kafka").options(**options)
+
     def read(self, spark: SparkSession, topic: str, **offsets) -> DataFrame:
         return spark.read.format("kafka").options(**self.read_options(topic, **offsets)).load()
 

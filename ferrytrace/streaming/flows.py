@@ -6,6 +6,7 @@ there, then stop.  Progress lives in the checkpoint, so a restarted query goes o
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ferrytrace.functions.measures import prefixed_topic
-from ferrytrace.functions.messages import json_value, parse_json
+from ferrytrace.functions.messages import json_value, make_header, parse_json
 from ferrytrace.operators.delivery import idle_slots
 from ferrytrace.operators.filters import keep_listed
 from ferrytrace.operators.packing import assign_chunks, chunk_number
 from ferrytrace.schemas import SQUARES, TOPIC
-from ferrytrace.sources.topics import FileTopics
+from ferrytrace.sources.topics import FileTopics, KafkaTopics
 
 
 def start(writer: DataStreamWriter, checkpoint: str, bounded: bool = True) -> StreamingQuery:
@@ -38,6 +39,18 @@ def drain(query: StreamingQuery, seconds: float | None = None) -> StreamingQuery
     return query
 
 
+def stop_when_idle(query: StreamingQuery, idle_s: float, poll_s: float = 0.5) -> StreamingQuery:
+    """Let an unbounded query run until, after its first rows, none came for ``idle_s`` seconds."""
+    latest, rows_at = None, None
+    while not query.awaitTermination(poll_s):
+        progress = query.lastProgress
+        if progress and progress["numInputRows"] > 0 and progress["batchId"] != latest:
+            latest, rows_at = progress["batchId"], time.monotonic()
+        elif rows_at is not None and time.monotonic() - rows_at >= idle_s:
+            query.stop()
+    return query
+
+
 def append_files(stream: DataFrame, path: str, checkpoint: str, bounded: bool = True) -> StreamingQuery:
     """Append-mode sink; the file sink's own log makes each batch count once."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
@@ -57,7 +70,7 @@ def filter_and_deliver(
     column: str,
     values: Sequence[str],
     key: str,
-    topics: FileTopics,
+    topics: FileTopics | KafkaTopics,
     topic: str,
     order: Sequence[str],
     checkpoint: str,
@@ -94,6 +107,25 @@ def replicate(
     return append_files(copied.select(*[f.name for f in TOPIC]), target_path, checkpoint, bounded)
 
 
+def replicate_to_kafka(
+    source: DataFrame,
+    topics: KafkaTopics,
+    checkpoint: str,
+    prefix: str = "source",
+    bounded: bool = True,
+) -> StreamingQuery:
+    """The same copy into Kafka.  Its sink delivers at least once, so each message carries the
+    partition and offset it came from as headers, by which a reader can tell repeats."""
+    position = [
+        make_header(f"source_{name}", F.col(name).cast("string")) for name in ("partition", "offset")
+    ]
+    headers = F.concat(F.coalesce("headers", F.array().cast(TOPIC["headers"].dataType)), F.array(*position))
+    copied = source.select(
+        "key", "value", "partition", prefixed_topic(F.col("topic"), prefix).alias("topic"), headers.alias("headers")
+    )
+    return start(topics.publish_stream(copied), checkpoint, bounded)
+
+
 def transfer_chunks(
     source: DataFrame,
     chunk_bytes: int,

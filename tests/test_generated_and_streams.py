@@ -148,3 +148,11 @@ def test_drain_stops_an_unbounded_stream(spark, topic):
     query = flows.append_files(topic.read_stream(spark, "t"), target, checkpoint, bounded=False)
     flows.drain(query, seconds=3)
     assert not query.isActive
+
+
+def test_idle_stop(spark, topic):
+    target, checkpoint = new_area(spark, "idle"), new_area(spark, "cp")
+    query = flows.append_files(topic.read_stream(spark, "t"), target, checkpoint, bounded=False)
+    flows.stop_when_idle(query, idle_s=2, poll_s=0.2)
+    assert not query.isActive
+    assert spark.read.parquet(target).count() == 600

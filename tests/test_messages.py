@@ -93,7 +93,7 @@ def test_labels(spark):
 
 def test_topic_names(spark):
     df = spark.createDataFrame(
-        [("spark-perf-test-100b-4p-nobatch",), ("test-prod-2-1024-1000000-all",), ("other",)], "topic string"
+        [("my-perf-test-100b-4p-nobatch",), ("test-prod-2-1024-1000000-all",), ("other",)], "topic string"
     )
     got = df.select(
         m.topic_size(F.col("topic")), m.topic_partitions(F.col("topic")), m.topic_sweep_field(F.col("topic"), 4)
