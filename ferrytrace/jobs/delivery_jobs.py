@@ -20,7 +20,7 @@ from ferrytrace.operators.delivery import delivery_from_headers, delivery_summar
 from ferrytrace.operators.filters import keep_listed
 from ferrytrace.operators.packing import pack_messages
 from ferrytrace.schemas import PAYLOAD, RUN_METRICS, RUN_METRICS_PACKED
-from ferrytrace.session import written
+from ferrytrace.session import size_shuffles, written
 from ferrytrace.sources import files
 from ferrytrace.sources.topics import FileTopics, KafkaTopics
 
@@ -74,6 +74,7 @@ def publish_filtered(
 ) -> DataFrame:
     """CSV, filter, keyed JSON, topic."""
     size = _input_mib(spark, path)
+    size_shuffles(spark, size)
     began = time.monotonic()
     rows = files.read_csv_text(spark, path)
     raw = rows.count()
@@ -114,6 +115,7 @@ def publish_packed(
 ) -> DataFrame:
     """CSV, filter, many rows per message, topic."""
     size = _input_mib(spark, path)
+    size_shuffles(spark, size)
     began = time.monotonic()
     rows = files.read_csv_text(spark, path)
     raw = rows.count()

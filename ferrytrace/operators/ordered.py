@@ -85,7 +85,7 @@ def add_order_blocks(
 
     # A heavy value gets a bucket of its own: [value, next representable number).
     edges = sorted({*distinct, *(math.nextafter(value, math.inf) for value in heavy)})
-    heavy_buckets = [edges.index(value) + 1 for value in sorted(heavy)]
+    heavy_buckets = [at + 1 for at, edge in enumerate(edges) if edge in heavy]
     tie_edges = sorted(set(ties[0]))
     parts = len(tie_edges) + 1
     first, second = f"{name}_a", f"{name}_b"

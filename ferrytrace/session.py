@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -9,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# More partitions than this cost the driver more than they save the tasks.
+MOST_SHUFFLE_PARTITIONS = 50_000
+
+# The temporary folder of each local application that has none configured.
+_local_dirs: dict[str, str] = {}
+
 
 def build_session(app: str = "ferrytrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on (UTC, AQE)."""
@@ -37,9 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="ferrytrace-")
-    spark.conf.set(CHECKPOINT_DIR, fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="ferrytrace-")
+    return _local_dirs[application]
+
+
+def size_shuffles(spark: SparkSession, input_mib: float) -> int:
+    """Raise the number of shuffle partitions to about one per 256 MiB of input, so that a task
+    sorts in memory; AQE merges them again where less arrives.  Never lowers a setting."""
+    name = "spark.sql.shuffle.partitions"
+    now = int(spark.conf.get(name))
+    wanted = min(math.ceil(input_mib / 256), MOST_SHUFFLE_PARTITIONS)
+    if wanted > now:
+        spark.conf.set(name, str(wanted))
+    return max(now, wanted)
 
 
 def new_area(spark: SparkSession, label: str) -> str:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrytrace.schemas import NATIVE_RESULTS, READING, TOPIC
-from ferrytrace.session import CHECKPOINT_DIR, new_area, shared_dir, written
+from ferrytrace.session import CHECKPOINT_DIR, new_area, shared_dir, size_shuffles, written
 from ferrytrace.sources import files
 from ferrytrace.sources.topics import (
     KEYED_PRODUCER,
@@ -29,6 +29,32 @@ def test_shared_dir_is_read_from_the_session(spark):
     assert new_area(spark, "x") != new_area(spark, "x")
 
 
+class _Bare:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})()
+
+
+def test_only_a_local_session_may_leave_the_folder_unset():
+    local = _Bare("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+        shared_dir(_Bare("spark://host:7077"))
+
+
+def test_shuffles_grow_with_the_input(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        assert size_shuffles(spark, 10) == int(before)
+        assert size_shuffles(spark, 256_000) == 1000 == int(spark.conf.get(name))
+        assert size_shuffles(spark, 1e12) == 50_000
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_written_is_the_same_table(spark):
     df = spark.range(10).withColumn("s", F.lit("a"))
     again = written(df, "t")
