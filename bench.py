@@ -12,6 +12,7 @@ import statistics
 import sys
 import time
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ferrytrace.plans.catalog import QUERIES
@@ -67,10 +68,18 @@ HEADLINE = {
 }
 
 
-def timed(spark, name: str) -> float:
+def timed(spark, name: str) -> tuple[float, dict | None]:
+    """Seconds of one whole run, and the messages and bytes seen passing by, if it makes any."""
     began = time.perf_counter()
-    QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - began
+    result = QUERIES[name](spark, SF_DIR)
+    seen = None
+    if "value" in result.columns and result.schema["value"].dataType.simpleString() == "string":
+        seen = Observation()
+        result = result.observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")
+        )
+    result.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began, seen.get if seen else None
 
 
 def main() -> None:
@@ -90,7 +99,8 @@ def main() -> None:
     seconds, details = {}, {}
     for name in chosen:
         timed(spark, name)
-        runs = [timed(spark, name) for _ in range(RUNS)]
+        results = [timed(spark, name) for _ in range(RUNS)]
+        runs = [duration for duration, _ in results]
         mean = statistics.mean(runs)
         seconds[name] = round(mean, 4)
         details[name] = {
@@ -98,13 +108,10 @@ def main() -> None:
             "input_rows": rows[HEADLINE[name]],
             "input_rows_per_sec": round(rows[HEADLINE[name]] / mean),
         }
-        result = QUERIES[name](spark, SF_DIR)
-        if "value" in result.columns and result.schema["value"].dataType.simpleString() == "string":
-            out = result.agg(
-                F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")
-            ).first()
+        out = results[-1][1]
+        if out:
             details[name]["messages_per_sec"] = round(out["n"] / mean)
-            details[name]["mib_per_sec"] = round(out["bytes"] / 1048576 / mean, 2)
+            details[name]["mib_per_sec"] = round((out["bytes"] or 0) / 1048576 / mean, 2)
     print(
         json.dumps(
             {
