@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytrace.llm import bpe, decontaminate, ngram_join, secrets
+from ferrytrace.llm import bpe, decontaminate, ngram_join, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The key of the registered query; a real run brings its own.
+PII_KEY = "registered query"
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with personal data replaced by format-preserving pseudonyms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, count="n_replaced")
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text, weak parts only where complementary ones are near."""
