@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytrace.llm import bpe, decontaminate, ngram_join, pii, secrets
+from ferrytrace.llm import bpe, chat, decontaminate, ngram_join, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +92,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its roles repaired at the least cost, rendered turn by turn."""
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
