@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytrace.llm import bpe, chat, decontaminate, ngram_join, pii, secrets
+from ferrytrace.llm import bpe, chat, common, decontaminate, langid, ngram_join, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(common.crc_of_id(), F.lit(3)) == 1
+    net = langid.learn(docs.where(~held_out).select("text", "lang"))
+    found = langid.predict_languages(docs, net)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item, by windows of ten words."""
