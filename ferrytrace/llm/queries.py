@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytrace.llm import bpe, chat, common, decontaminate, langid, ngram_join, pii, secrets
+from ferrytrace.llm import bpe, chat, common, decontaminate, langid, ngram_join, pii, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(common.crc_of_id(), F.lit(5)) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    found = toxicity.score_texts(docs, toxicity.learn(labelled))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with its roles repaired at the least cost, rendered turn by turn."""
