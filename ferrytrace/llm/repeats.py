@@ -33,7 +33,9 @@ REACH = 256
 # Bytes that a hash of one place looks at.
 GRAM = 16
 # Segments ordered at once; larger groups are dealt into blocks, every two of which meet.
-SEGMENTS = 16_384
+SEGMENTS = 8192
+# Text bytes that a step holds at once, unless one text alone is longer.
+HELD_BYTES = 1 << 20
 # Stands for what lies beyond a segment; it equals nothing, not even itself.
 OUTSIDE = 256
 
@@ -80,7 +82,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
 def _anchors(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()
     sure = length - min(REACH, length - GRAM + 1) + 1
-    for chunk in chunks(batches):
+    for chunk in chunks(batches, limit=HELD_BYTES):
         texts = list(zip(chunk.column("t1").to_pylist(), chunk.column("t2").to_pylist(), strict=True))
         new = [text not in seen and not seen.add(text) for text in texts]  # a task enters a text once
         chunk = chunk.filter(pa.array(new, pa.bool_()))
@@ -141,7 +143,7 @@ def repeated_columns(
 def _segments(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted segment."""
     names = ["t1", "t2", "text", "wanted"]
-    for batch in batches:
+    for batch in chunks(batches, limit=HELD_BYTES):
         found: dict[str, list] = {k: [] for k in ("key", "t1", "t2", "at", "blocks", "segment")}
         for t1, t2, text, wanted in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
             data = text.encode()
@@ -198,7 +200,7 @@ def _collections(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.
 def _strip(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Merge the ranges of each row and cut them out."""
     names = ["text", "copies", "ranges"]
-    for batch in batches:
+    for batch in chunks(batches, limit=HELD_BYTES):
         spans, kept, sizes = [], [], []
         for text, copies, ranges in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
             data = (text or "").encode()
