@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytrace.llm import bpe, chat, common, decontaminate, langid, ngram_join, pii, repeats, secrets, toxicity
+from ferrytrace.llm import bpe, chat, common, decontaminate, fingerprints, langid, ngram_join, pii, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint, compared with its edited text's and the next document's."""
+    return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the rows that are not held out."""
