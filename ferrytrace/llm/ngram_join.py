@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrytrace.llm.common import chunks, ids_and_text, string_bytes
+from ferrytrace.llm.common import chunks, free_name, ids_and_text, string_bytes
 from ferrytrace.llm.components import components
 from ferrytrace.llm.words import NOT_SPACE, RangeHash, mixed, word_spans
 from ferrytrace.session import written
@@ -214,23 +214,9 @@ def _compare(batches: Iterable[pa.RecordBatch], words: int, percent: int) -> Ite
         yield links()
 
 
-def near_duplicates(
-    docs: DataFrame,
-    words: int = 5,
-    percent: int = 80,
-    key: str = "doc_id",
-    text: str = "text",
-    block_docs: int = BLOCK_DOCS,
-) -> DataFrame:
-    """Per document: ``doc_id``, ``n_shingles``, ``component_id`` and the text's key ``t1``, ``t2``.
-
-    Documents are linked when 100 * intersection >= percent * union of their n-gram sets (A-Z in
-    lower case, words between white space); ``component_id`` is the smallest doc_id that links reach.
-    Null and empty texts and texts of white space have no n-grams, are linked with nothing and keep
-    their own id.  Rows with a null id take part; a component of only such rows has a null id.
-    Repeated rows stay and are linked with each other; other columns are ignored; an empty table
-    gives none.
-    """
+def _groups(docs: DataFrame, words: int, percent: int, key: str, text: str, block_docs: int) -> DataFrame:
+    """Per row ``doc_id, t1, t2, n_shingles, component`` (a node, null without n-grams) and
+    ``component_id`` (the least doc_id of the component)."""
     source = ids_and_text(docs, key, text)
     kind = source.schema["doc_id"].dataType.simpleString()
     keyed = source.withColumns(dict(zip(("t1", "t2"), text_key("text"), strict=True)))
@@ -287,7 +273,53 @@ def near_duplicates(
     groups = nodes.withColumn("node", F.struct("t1", "t2")).join(linked, "node", "left")
     groups = groups.withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.join(least, "component").select("t1", "t2", "component_id")
-    full = index.select("doc_id", "t1", "t2", "n_shingles").join(named, ["t1", "t2"], "left")
+    named = groups.join(least, "component").select("t1", "t2", "component", "component_id")
+    return index.select("doc_id", "t1", "t2", "n_shingles").join(named, ["t1", "t2"], "left")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    key: str = "doc_id",
+    text: str = "text",
+    block_docs: int = BLOCK_DOCS,
+) -> DataFrame:
+    """Per document: ``doc_id``, ``n_shingles``, ``component_id`` and the text's key ``t1``, ``t2``.
+
+    Documents are linked when 100 * intersection >= percent * union of their n-gram sets (A-Z in
+    lower case, words between white space); ``component_id`` is the smallest doc_id that links reach.
+    Null and empty texts and texts of white space have no n-grams, are linked with nothing and keep
+    their own id.  Rows with a null id take part; a component of only such rows has a null id.
+    Repeated rows stay and are linked with each other; other columns are ignored; an empty table
+    gives none.
+    """
+    groups = _groups(docs, words, percent, key, text, block_docs)
     lonely = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return full.withColumn("component_id", lonely)
+    return groups.select("doc_id", "n_shingles", lonely.alias("component_id"), "t1", "t2")
+
+
+def keep_one_of_each(
+    docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The documents, all columns: of each component only the row with the smallest id stays (null
+    ids last, ties by the text's hash); of equal rows one.  Rows without n-grams all stay."""
+    groups = _groups(docs, words, percent, key, text, BLOCK_DOCS).where("n_shingles > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    kept = groups.groupBy("component").agg(F.min(rank).alias("kept")).select("kept.*")
+    one, two, three, turn = (free_name(docs, f"kept_{x}") for x in ("t1", "t2", "id", "turn"))
+    hashes = dict(zip((one, two), text_key(text), strict=True))
+    k1, k2, k3 = (free_name(docs, f"kept_k{x}") for x in (1, 2, 3))
+    named = kept.select(F.col("t1").alias(k1), F.col("t2").alias(k2), F.col("doc_id").alias(k3))
+    marked = docs.withColumns({**hashes, three: F.col(key)})
+    same = [
+        F.col(one) == F.col(k1),
+        F.col(two) == F.col(k2),
+        F.col(three).eqNullSafe(F.col(k3)),
+    ]
+    numbered = marked.join(named, same, "left").withColumn(
+        turn, F.row_number().over(Window.partitionBy(one, two, three).orderBy(F.lit(0)))
+    )
+    blank = ~F.coalesce(F.rlike(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    chosen = numbered.where(blank | (F.col(k1).isNotNull() & (F.col(turn) == 1)))
+    return chosen.select(*docs.columns)
