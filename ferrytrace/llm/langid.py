@@ -109,22 +109,26 @@ class Network:
         hidden = w["uf"].shape[0]
         for way, part in (("f", slice(0, hidden)), ("b", slice(hidden, None))):
             u = w["u" + way]
-            gu, ge = np.zeros_like(u), np.zeros_like(w["e" + way])
-            gc = np.zeros(3 * hidden, np.float32)
+            gu = np.zeros_like(u)
+            inputs = np.empty((rows.shape[1], len(label), 3 * hidden), np.float32)
             dh = np.zeros((len(label), hidden), np.float32)
             for t, before, z, r, new, gn in reversed(runs[way][1]):
                 dh = dh + down[t][:, part]
                 dn = dh * (1 - z) * (1 - new * new)
                 dz = dh * (before - new) * z * (1 - z)
                 dr = dn * gn * r * (1 - r)
-                dx = np.concatenate([dz, dr, dn], 1)
+                inputs[t] = np.concatenate([dz, dr, dn], 1)
                 dg = np.concatenate([dz, dr, dn * r], 1)
                 gu += before.T @ dg
-                gc += dx.sum(0)
-                for s in range(STRIDE):
-                    np.add.at(ge, rows[:, t, s], dx)
                 dh = dh * z + dg @ u.T
-            grads |= {"u" + way: gu, "e" + way: ge, "c" + way: gc}
+            flat = inputs.reshape(-1, 3 * hidden)
+            ge = np.zeros_like(w["e" + way])
+            for s in range(STRIDE):
+                at = rows[:, :, s].T.ravel()
+                order = np.argsort(at, kind="stable")
+                used, begin = np.unique(at[order], return_index=True)
+                ge[used] += np.add.reduceat(flat[order], begin, 0)
+            grads |= {"u" + way: gu, "e" + way: ge, "c" + way: flat.sum(0)}
         return grads
 
 

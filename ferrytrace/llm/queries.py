@@ -127,9 +127,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every text, learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(common.crc_of_id(), F.lit(5)) == 0
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
-    found = toxicity.score_texts(docs, toxicity.learn(labelled))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    found = toxicity.score_texts(docs, toxicity.learn(docs, labels))
     return found.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

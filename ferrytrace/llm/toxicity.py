@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 One zstandard dictionary is trained on ordinary text, one on toxic text; the latter on the stretches
-whose byte six-grams the ordinary sample does not know, as the rest of a toxic text is ordinary too.
+whose byte six-grams are in several toxic texts and much rarer in ordinary ones, as the rest of a
+toxic text is ordinary too.
 Every window of a text is compressed with the ordinary dictionary alone and with the toxic one
 beside it: the difference in length says how much the window looks like what only toxic texts hold.
 
@@ -27,10 +28,15 @@ from ferrytrace.llm.common import chunks, ids_and_text
 WINDOW = 96
 LEVEL = 9
 GRAM = 6
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 4096, 16384
+TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 1024, 16384
 # The labelled sample: documents of each class (about), and code points of each document at most.
 DOCS_PER_CLASS = 8000
 SAMPLE_CHARS = 6000
+# A six-gram marks toxic text when it is in so many toxic texts (groups of near copies are smaller
+# shares), and so many times as often as in ordinary ones.
+LEAST_TEXTS, LEAST_SHARE, ENRICHED = 3, 0.01, 25
+# The trainer takes no shorter samples.
+LEAST_SAMPLE = 8
 LOWEST, HIGHEST = -6, 24
 
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -49,10 +55,18 @@ def _grams(data: bytes) -> np.ndarray:
     return (((found ^ (found >> np.uint64(29))) * _MIX) >> np.uint64(40)).astype(np.int64)
 
 
-def unknown_stretches(data: bytes, known: np.ndarray) -> list[bytes]:
-    """The stretches of a text whose six-grams are not marked as known."""
-    new = ~known[_grams(data)]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], new, [False]]).astype(np.int8)))
+def gram_counts(texts: list[bytes]) -> np.ndarray:
+    """In how many of the texts each six-gram occurs."""
+    counts = np.zeros(1 << 24, np.uint16)
+    for text in texts:
+        counts[np.unique(_grams(text))] += 1
+    return counts
+
+
+def marked_stretches(data: bytes, marks: np.ndarray) -> list[bytes]:
+    """The stretches of a text whose six-grams are marked."""
+    inside = marks[_grams(data)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     return [data[a : b + GRAM - 1] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
@@ -131,16 +145,14 @@ def train(texts: list[bytes], labels: list[int], share: list[float]) -> ToxicMod
     learn = np.zeros(len(y), bool)
     for value in (0, 1):
         learn[np.flatnonzero(y == value)[::2]] = True
-    known = np.zeros(1 << 24, bool)
-    ordinary = [t for t, i, use in zip(texts, labels, learn, strict=True) if use and not i]
-    for text in ordinary:
-        known[_grams(text)] = True
-    fresh = [
-        s for t, i, use in zip(texts, labels, learn, strict=True) if use and i for s in unknown_stretches(t, known)
-    ]
+    ordinary, toxic = ([t for t, i, use in zip(texts, labels, learn, strict=True) if use and i == v] for v in (0, 1))
+    plain, marked = gram_counts(ordinary), gram_counts(toxic)
+    least = max(LEAST_TEXTS, LEAST_SHARE * len(toxic))
+    fresh = (marked >= least) & (marked * float(len(ordinary)) > ENRICHED * (plain + 0.5) * len(toxic))
+    fresh = [b"".join(marked_stretches(t, fresh)) for t in toxic]
     model = ToxicModel(
         _dictionary([t[i : i + 400] for t in ordinary for i in range(0, len(t), 400)], ORDINARY_DICTIONARY, 48),
-        _dictionary([s for s in fresh if len(s) >= 8], TOXIC_DICTIONARY, 24),
+        _dictionary([s for s in fresh if len(s) >= LEAST_SAMPLE], TOXIC_DICTIONARY, 24),
         np.zeros(HIGHEST - LOWEST + 1),
         np.zeros(3),
         np.ones(2),
@@ -159,32 +171,39 @@ def train(texts: list[bytes], labels: list[int], share: list[float]) -> ToxicMod
     return model
 
 
-def sample(labelled: DataFrame, per_class: int = DOCS_PER_CLASS) -> tuple[list[bytes], list[int], list[float]]:
-    """About ``per_class`` different texts of each class, chosen by a hash of the text; of a long one
-    a stretch of ``SAMPLE_CHARS`` code points at a place chosen by the hash."""
-    rows = labelled.where("text IS NOT NULL AND toxic IN (0, 1)").select("text", F.col("toxic").cast("int"))
-    counted = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    chosen = rows.join(counted, "toxic").withColumn("draw", draw)
-    chosen = chosen.where(F.col("draw") * F.col("n") < per_class)
+def sample(
+    docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS
+) -> tuple[list[bytes], list[int], list[float]]:
+    """About ``per_class`` labelled documents of each class, chosen by a hash of the id; of a long
+    text a stretch of ``SAMPLE_CHARS`` code points at a place chosen by a hash.  Equal texts count
+    once.  At most three times ``per_class`` labels are sent out, to pick their documents' texts where
+    they are read."""
+    rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int"))
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)).cast("double") / (1 << 30)
+    share = F.when(F.col("toxic") == 1, F.lit(counts.get(1, 0))).otherwise(F.lit(counts.get(0, 0)))
+    chosen = rows.withColumn("draw", draw).where(F.col("draw") * share < per_class)
+    chosen = chosen.orderBy("draw", "doc_id", "toxic").limit(3 * per_class)
     place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     piece = F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS))
-    few = chosen.groupBy("draw", "toxic", "n", piece.alias("piece")).agg(F.count(F.lit(1)).alias("copies"))
-    found = few.orderBy("draw", "toxic", "piece").limit(3 * per_class).collect()
-    of = {t: sum(r["toxic"] == t for r in found) for t in (0, 1)}
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = sorted({(r["draw"], r["piece"], r["toxic"]) for r in texts.select("draw", "toxic", piece.alias("piece")).collect()})
+    unique = {(text, toxic): None for _, text, toxic in found}
+    of = {t: sum(toxic == t for _, toxic in unique) for t in (0, 1)}
     return (
-        [r["piece"].encode() for r in found],
-        [r["toxic"] for r in found],
-        [r["n"] / of[r["toxic"]] for r in found],
+        [text.encode() for text, _ in unique],
+        [toxic for _, toxic in unique],
+        [counts[toxic] / of[toxic] for _, toxic in unique],
     )
 
 
-def learn(labelled: DataFrame) -> ToxicModel | None:
-    """The model for (text, toxic) rows; None unless both classes occur often enough to calibrate."""
-    texts, labels, share = sample(labelled)
-    if min(sum(labels), len(labels) - sum(labels)) < 2:
+def learn(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
+    """The model for documents (doc_id, text) and labels (doc_id, toxic); None unless both classes
+    occur often enough to calibrate.  Null labels, and labels without a document, count for nothing."""
+    texts, marks, share = sample(docs, labels)
+    if min(sum(marks), len(marks) - sum(marks)) < 2:
         return None
-    return train(texts, labels, share)
+    return train(texts, marks, share)
 
 
 def score_texts(
