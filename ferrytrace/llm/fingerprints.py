@@ -25,7 +25,7 @@ from ferrytrace.session import written
 PARAGRAPH = r"\n+|(?<=[^\p{L}\p{N}\s,])\s+"
 TABLES = 3
 # Cells in each sub-table of the printed fingerprint, and of the smallest sketch that is peeled.
-PRINTED_CELLS = 8
+PRINTED_CELLS = 4
 LEAST_CELLS = 32
 # Sub-tables in the order in which a round opens them.
 SWEEPS = (0, 1, 2, 0, 1, 2, 0, 1)
@@ -171,7 +171,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, digests) with ``row`` (a unique number), ``next_text``, ``next_digests``:
+    """Rows (doc_id, text, digests) with ``block``, ``row`` (a unique number), ``next_text``, ``next_digests``:
     of the next row in descending order of doc_id (nulls last, ties by the text's hash), in a ring.
 
     Rows are dealt into blocks of neighbouring ids.  The first row of each block also goes to the end
@@ -201,6 +201,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = dealt.select("doc_id", "text", "digests", "tie", "p.*")
     order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     ringed = dealt.select(
+        "block",
         (F.shiftleft(F.col("block"), 40) + F.row_number().over(order)).alias("row"),
         "copy",
         "doc_id",
@@ -227,34 +228,32 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     size = F.length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - third), F.substr("next_text", F.lit(1), third))
-    versions = (
-        lined.withColumn("edited", edited)
-        .select(
-            "row",
-            "doc_id",
-            size.cast("long").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            "digests",
-            paragraph_digests(F.col("edited")).alias("edited_digests"),
-            "next_digests",
-        )
-        .repartition("row")
+    versions = lined.withColumn("edited", edited).select(
+        "block",
+        "row",
+        "doc_id",
+        size.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "digests",
+        paragraph_digests(F.col("edited")).alias("edited_digests"),
+        "next_digests",
     )
     both = F.array(
         F.struct(F.lit(0).alias("pair"), F.col("edited_digests").alias("second")),
         F.struct(F.lit(1).alias("pair"), F.col("next_digests").alias("second")),
     )
-    pairs = versions.select("row", F.col("digests").alias("first"), F.explode(both).alias("p"))
-    peeled = peel(pairs.select("row", "p.pair", "first", "p.second"), ["row", "pair"])
+    # A block's rows are together already, so peeling by block and row needs no shuffle.
+    pairs = versions.select("block", "row", F.col("digests").alias("first"), F.explode(both).alias("p"))
+    peeled = peel(pairs.select("block", "row", "p.pair", "first", "p.second"), ["block", "row", "pair"])
 
     def of(pair: int, value: Column) -> Column:
         return F.coalesce(F.max(F.when(F.col("pair") == pair, value)), F.lit(0).cast("long"))
 
     apart = F.when(F.col("closed") > 0, -1).otherwise(F.col("only_first") + F.col("only_second"))
-    changes = peeled.groupBy("row").agg(
+    changes = peeled.groupBy("block", "row").agg(
         of(0, apart).alias("edited_changes"), of(1, apart).alias("next_changes")
     )
-    first = versions.join(changes, "row", "left").withColumns(
+    first = versions.drop("block").join(changes.drop("block"), "row", "left").withColumns(
         {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("edited_changes", "next_changes")}
     )
     failed = (F.col("edited_changes") < 0) | (F.col("next_changes") < 0)

@@ -27,6 +27,8 @@ HIDDEN = 16
 # The sample that is learned from: documents of each language (about), and of all at most.
 DOCS_PER_LANGUAGE = 600
 DOCS_AT_MOST = 12_000
+# Counts of so many languages are sent out; of more, they are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 ROUNDS = 200
 BATCH = 128
 WINDOWS_AT_ONCE = 1024
@@ -196,7 +198,8 @@ def sample(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE, at_most:
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("lang", "text", F.lit(5)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    chosen = rows.join(counted, "lang").withColumn("draw", draw)
+    few = counted.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    chosen = rows.join(F.broadcast(counted) if few else counted, "lang").withColumn("draw", draw)
     chosen = chosen.where(F.col("draw") * F.col("n") < per_language)
     reach = STEPS * STRIDE * 3
     place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - reach, F.lit(0)) + 1) + 1

@@ -100,7 +100,7 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
         counts = np.diff(edges)
         keys = summed[edges[1:]] - summed[edges[:-1]]
         keys = mixed(mixed(keys + counts.astype(np.uint64)) + np.arange(parts, dtype=np.uint64) * _FACTORS[0])
-        keys = mixed(keys + np.uint64(label) * _FACTORS[1])
+        keys = mixed(keys + np.uint64(label * int(_FACTORS[1]) & 0xFFFFFFFFFFFFFFFF))
         kept = counts >= (SMALL_PART if differing else 1)
         if parts - int(kept.sum()) > spare:
             kept[:] = True  # too many small parts to leave them out
