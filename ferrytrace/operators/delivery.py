@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from ferrytrace.functions.measures import epoch_seconds, mib, safe_ratio
 from ferrytrace.functions.messages import header_long, payload_bytes
-from ferrytrace.operators.ordered import floor_div, totals_before_many
-from ferrytrace.session import written
+from ferrytrace.operators.ordered import floor_div, join_null_safe, running_totals
 
-# Marks at least this far apart are few enough per partition for one task to add them up.
-SPAN_FOR_ONE_TASK = 10_000
 
 
 def filter_stats(
@@ -178,7 +175,8 @@ def keep_before_idle(
     ends = idle_cutoff(messages, keys, timeout_s, strict, arrival).select(
         *keys, F.col("last_arrival").alias("_until")
     )
-    return messages.join(ends, list(keys)).filter(F.col(arrival) <= F.col("_until")).drop("_until")
+    met = join_null_safe(messages, ends, list(keys))
+    return met.filter(F.col(arrival) <= F.col("_until")).drop("_until")
 
 
 def progress_marks(
@@ -190,46 +188,19 @@ def progress_marks(
 ) -> DataFrame:
     """State at every ``every``-th message of a partition: count, MiB, elapsed time, rate.
 
-    Positions are dense, so the messages between two marks are a group; sums over the groups
-    replace a running sum over the messages, and nothing but the sums is shuffled.
+    Messages are counted along the positions, which may start anywhere and have gaps.  Only keys,
+    position, arrival and size of a message are shuffled.
     """
-    spans = topic.groupBy(*keys, floor_div(F.col(position), every).alias("span")).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.sum(payload_bytes()).alias("bytes"),
-        F.min_by(arrival, position).alias("first_arrival"),
-        F.max_by(arrival, position).alias("mark_arrival"),
+    keys = list(keys)
+    narrow = topic.select(*keys, position, F.col(arrival).alias("mark_arrival"), payload_bytes().alias("_size"))
+    started = narrow.groupBy(*keys).agg(F.min_by("mark_arrival", position).alias("started"))
+    counted = running_totals(
+        narrow, keys, position, {"records": F.lit(1).cast("long"), "bytes": F.col("_size")}
     )
-    if every >= SPAN_FOR_ONE_TASK:
-        by_span = Window.partitionBy(*keys).orderBy("span")
-        upto = by_span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        running = spans.select(
-            *keys,
-            "mark_arrival",
-            F.col("records").alias("span_records"),
-            F.sum("records").over(upto).alias("records"),
-            F.sum("bytes").over(upto).alias("bytes"),
-            F.first("first_arrival").over(upto).alias("started"),
-        )
-    else:
-        spans = written(spans, "spans")
-        starts = spans.filter(F.col("span") == 0).select(
-            *keys, F.col("first_arrival").alias("started")
-        )
-        before = totals_before_many(spans, keys, "span", ["records", "bytes"])
-        running = (
-            spans.join(before, [*keys, "span"])
-            .join(starts, list(keys))
-            .select(
-                *keys,
-                "mark_arrival",
-                F.col("records").alias("span_records"),
-                (F.col("records") + F.col("records_before")).alias("records"),
-                (F.col("bytes") + F.col("bytes_before")).alias("bytes"),
-                "started",
-            )
-        )
+    marks = counted.filter(F.pmod("records", F.lit(every)) == 0)
+    running = join_null_safe(marks, started, keys)
     elapsed = epoch_seconds(F.col("mark_arrival")) - epoch_seconds(F.col("started"))
-    return running.filter(F.col("span_records") == every).select(
+    return running.select(
         *keys,
         F.col("records").alias("running_records"),
         F.round(F.col("bytes") / F.lit(1048576.0), 4).alias("running_mb"),

@@ -139,16 +139,20 @@ def key_values(lines: DataFrame, names: Sequence[str]) -> DataFrame:
 def json_block(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     """Number fields of the JSON between the result markers, on one line or many.
 
-    Only a closed block counts.
+    Only the last closed block of a log counts: an end marker and the start marker right before it.
     """
     line = F.trim("line")
     values = {
         n: number_matching(F.col("line"), rf'"{n}":\s*(-?[0-9.]+(?:[eE][-+]?\d+)?)') for n in names
     }
-    edges = lines.groupBy("log").agg(
-        F.min(F.when(line == RESULTS_START, F.col("line_ix"))).alias("opened"),
-        F.max(F.when(line == RESULTS_END, F.col("line_ix"))).alias("closed"),
+    # Marker lines only, so the window sorts a few rows per log.
+    marks = lines.filter(line.isin(RESULTS_START, RESULTS_END)).select(
+        "log", "line_ix", (line == RESULTS_START).alias("starts")
     )
+    along = Window.partitionBy("log").orderBy("line_ix")
+    blocks = marks.withColumn("opened", F.lag(F.when(F.col("starts"), F.col("line_ix"))).over(along))
+    blocks = blocks.filter(~F.col("starts") & F.col("opened").isNotNull())
+    edges = blocks.groupBy("log").agg(F.max("opened").alias("opened"), F.max("line_ix").alias("closed"))
     fields = lines.filter(reduce(or_, [v.isNotNull() for v in values.values()]))
     inside = fields.join(edges, "log").filter(
         (F.col("line_ix") > F.col("opened")) & (F.col("line_ix") < F.col("closed"))
@@ -161,7 +165,7 @@ def json_block(lines: DataFrame, names: Sequence[str]) -> DataFrame:
 def csv_marker(lines: DataFrame) -> DataFrame:
     """The reader's machine-readable summary lines."""
     marked = lines.filter(F.col("line").startswith(CONSUMER_CSV))
-    body = F.substring("line", len(CONSUMER_CSV) + 1, 1_000_000_000)
+    body = F.substr("line", F.lit(len(CONSUMER_CSV) + 1))
     return marked.select(F.from_csv(body, _CONSUMER_DDL).alias("m")).select("m.*")
 
 

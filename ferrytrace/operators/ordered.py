@@ -27,6 +27,7 @@ POSITIONS_PER_BLOCK = 131_072
 _SAMPLES_PER_CUT = 200
 
 _BLOCK = "_block"
+_KEY = "_key"
 
 
 def floor_div(value: Column, step: int) -> Column:
@@ -37,7 +38,9 @@ def floor_div(value: Column, step: int) -> Column:
 def _cuts(df: DataFrame, columns: Sequence[str], rows: int, blocks: int) -> list[list[float]]:
     """Evenly spaced quantiles of each column, from a sample when there are many rows."""
     shares = [i / blocks for i in range(1, blocks)]
-    narrow = df.select(*[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(columns)])
+    narrow = df.select(
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"q{i}") for i, c in enumerate(columns)]
+    )
     fraction = _SAMPLES_PER_CUT * blocks / rows
     if fraction < 0.5:
         narrow = narrow.sample(fraction, seed=17)
@@ -49,13 +52,16 @@ def _cuts(df: DataFrame, columns: Sequence[str], rows: int, blocks: int) -> list
 
 
 def _bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
-    """Number of cut points at or below the value (nulls sort first, so they go to bucket 0)."""
+    """Number of cut points at or below the value (nulls sort first, so they go to bucket 0; NaN sorts
+    last and gets a bucket of its own)."""
     if not cuts:
         return df.withColumn(name, F.lit(0).cast("long"))
     splits = [-math.inf, *cuts, math.inf]
     number = f"{name}_number"
     ready = df.withColumn(number, F.coalesce(F.col(column).cast("double"), F.lit(-math.inf)))
-    placed = Bucketizer(splits=splits, inputCol=number, outputCol=name).transform(ready)
+    placed = Bucketizer(
+        splits=splits, inputCol=number, outputCol=name, handleInvalid="keep"
+    ).transform(ready)
     return placed.drop(number).withColumn(name, F.col(name).cast("long"))
 
 
@@ -95,6 +101,19 @@ def add_order_blocks(
     return blocked.drop(first, second), (len(edges) + 1) * parts
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null; the keys appear once."""
+    other = {k: f"_right_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return left.join(right.withColumnsRenamed(other), same).drop(*other.values())
+
+
+def _with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The keys as one struct: equal structs may hold nulls, and a window and a join on it share one
+    shuffle."""
+    return (df.withColumn(_KEY, F.struct(*keys)), [_KEY]) if keys else (df, [])
+
+
 def totals_before(
     blocks: DataFrame, keys: Sequence[str], block: str, measures: Sequence[str]
 ) -> DataFrame:
@@ -119,7 +138,7 @@ def totals_before_many(
         {f"{m}_before": f"_start_{m}" for m in measures}
     )
     inside = totals_before(grouped, [*keys, group], block, measures)
-    return inside.join(starts, [*keys, group]).select(
+    return join_null_safe(inside, starts, [*keys, group]).select(
         *keys,
         block,
         *[(F.col(f"{m}_before") + F.col(f"_start_{m}")).alias(f"{m}_before") for m in measures],
@@ -133,17 +152,18 @@ def dense_index(
     name: str = "ix",
     rows_per_block: int | None = None,
 ) -> DataFrame:
-    """0, 1, 2, ... along ``order``, over the data set or per key (keys must not be null)."""
+    """0, 1, 2, ... along ``order``, over the data set or per key; null is a key like any other."""
     keys = list(keys)
     blocked, count = add_order_blocks(df, order, rows_per_block)
-    local = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    blocked, key = _with_key(blocked, keys)
+    local = Window.partitionBy(*key, _BLOCK).orderBy(*order)
     numbered = blocked.withColumn(name, F.row_number().over(local).cast("long") - 1)
     if count == 1:
-        return numbered.drop(_BLOCK)
-    totals = blocked.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("rows"))
-    starts = totals_before(totals, keys, _BLOCK, ["rows"])
+        return numbered.drop(_BLOCK, _KEY)
+    totals = blocked.groupBy(*key, _BLOCK).agg(F.count(F.lit(1)).alias("rows"))
+    starts = totals_before(totals, key, _BLOCK, ["rows"])
     return (
-        numbered.join(starts, [*keys, _BLOCK])
+        numbered.join(starts, [*key, _BLOCK])
         .withColumn(name, F.col(name) + F.col("rows_before"))
         .select(*df.columns, name)
     )
@@ -159,23 +179,26 @@ def running_totals(
     """Running sums along a dense position (such as a topic offset) of each key.
 
     A range of positions is a block, so a block holds at most ``positions_per_block`` rows
-    however the keys are distributed.
+    however the keys are distributed.  Null keys are a key like any other; a row without a position
+    has no place among the others, so it is an error.
     """
     keys = list(keys)
     names = list(measures)
-    blocked = df.withColumn(_BLOCK, floor_div(F.col(position), positions_per_block)).filter(
-        F.col(_BLOCK).isNotNull()
+    placed = F.coalesce(
+        floor_div(F.col(position), positions_per_block),
+        F.raise_error(F.lit(f"running totals: {position} is null")).cast("long"),
     )
-    upto = Window.partitionBy(*keys, _BLOCK).orderBy(position).rowsBetween(
+    blocked, key = _with_key(df.withColumn(_BLOCK, placed), keys)
+    upto = Window.partitionBy(*key, _BLOCK).orderBy(position).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = blocked.withColumns({m: F.sum(of).over(upto) for m, of in measures.items()})
     # Block totals come off the same shuffle (Spark reuses it), so the input is read once.
-    totals = local.groupBy(*keys, _BLOCK).agg(*[F.max_by(m, position).alias(m) for m in names])
-    starts = totals_before(totals, keys, _BLOCK, names)
-    summed = local.join(starts, [*keys, _BLOCK])
+    totals = local.groupBy(*key, _BLOCK).agg(*[F.max_by(m, position).alias(m) for m in names])
+    starts = totals_before_many(totals, key, _BLOCK, names)
+    summed = local.join(starts, [*key, _BLOCK])
     return summed.withColumns({m: F.col(m) + F.col(f"{m}_before") for m in names}).drop(
-        _BLOCK, *[f"{m}_before" for m in names]
+        _BLOCK, _KEY, *[f"{m}_before" for m in names]
     )
 
 
@@ -210,9 +233,13 @@ def take_first(
     kept = F.lit(False)
     equal = F.lit(True)
     for column in order:
+        if last[column] is None:  # nulls come first: nothing is before one
+            equal = equal & F.col(column).isNull()
+            continue
         bound = F.lit(last[column])
         if column in times:
             bound = F.timestamp_micros(bound)
-        kept = kept | (equal & (F.col(column) < bound))
-        equal = equal & (F.col(column) == bound)
+        before = F.col(column).isNull() | (F.col(column) < bound)
+        kept = kept | (equal & before)
+        equal = equal & F.col(column).eqNullSafe(bound)
     return df.filter(kept | equal)

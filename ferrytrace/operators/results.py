@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrytrace.functions.measures import safe_ratio
 
@@ -24,20 +25,37 @@ def config_grid(spark: SparkSession, **settings: Sequence) -> DataFrame:
     return grid.select(*settings)
 
 
+# More different settings of one column than this are no sweep.
+MOST_SETTINGS = 1000
+
+
+def settings_found(results: DataFrame, column: str) -> list:
+    """The different values of a setting, in order; an error if there are too many to be one."""
+    found = results.select(column).distinct().orderBy(column).limit(MOST_SETTINGS + 1).toLocalIterator()
+    values = [row[0] for row in found]
+    if len(values) > MOST_SETTINGS:
+        raise ValueError(f"{column} has over {MOST_SETTINGS} values: it is not a setting")
+    return values
+
+
 def grid_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every combination of the settings that occur; settings have few distinct values."""
-    found = df.agg(*[F.collect_set(c).alias(c) for c in columns])
+    """Every combination of the settings that occur, null included."""
+    grid = df.sparkSession.range(1)
     for column in columns:
-        found = found.withColumn(column, F.explode(column))
-    return found
+        kind = df.schema[column].dataType
+        values = F.array(*[F.lit(v).cast(kind) for v in settings_found(df, column)])
+        grid = grid.withColumn(column, F.explode(values.cast(T.ArrayType(kind))))
+    return grid.select(*columns)
 
 
 def grid_fill(
     grid: DataFrame, values: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """One row per grid cell; a cell without a result shows 0 and ``measured = false``."""
-    present = values.withColumn("measured", F.lit(True))
-    filled = grid.join(present, list(keys), "left").fillna(0.0, list(columns))
+    other = {k: f"_present_{k}" for k in keys}
+    present = values.withColumn("measured", F.lit(True)).withColumnsRenamed(other)
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    filled = grid.join(present, same, "left").drop(*other.values()).fillna(0.0, list(columns))
     return filled.fillna(False, ["measured"])
 
 

@@ -95,12 +95,12 @@ def union_result_kinds(t):
 )
 def union_runs(t):
     """Replicate runs of one layout stacked and summed per run."""
-    columns = [F.col("l_linenumber").alias("partitions"), F.col("l_quantity").alias("mb_per_sec")]
-    runs = [
-        t.lineitem.filter(F.col("l_returnflag") == flag).select(F.lit(flag).alias("run"), *columns)
-        for flag in ("A", "N", "R")
-    ]
-    return results.union_all(runs).groupBy("run", "partitions").agg(
+    runs = t.lineitem.select(
+        F.col("l_returnflag").alias("run"),
+        F.col("l_linenumber").alias("partitions"),
+        F.col("l_quantity").alias("mb_per_sec"),
+    )
+    return runs.groupBy("run", "partitions").agg(
         F.count(F.lit(1)).alias("n"), F.sum("mb_per_sec").alias("mb_sum")
     )
 
@@ -129,12 +129,12 @@ def pivot_acks(t):
     f"""WITH {SWEEP_SQL} SELECT size, """
     + ", ".join(
         f"round(coalesce(avg(CASE WHEN partitions = {n} THEN mb_per_sec END), 0), 4) AS p{n}"
-        for n in (1, 2, 4, 8)
+        for n in range(1, 8)
     )
     + " FROM sweep GROUP BY 1",
 )
 def pivot_partitions(t):
-    counts = [1, 2, 4, 8]
+    counts = results.settings_found(t.sweep(), "partitions")
     wide = results.pivot_partitions(t.sweep(), "size", "partitions", counts, "mb_per_sec")
     return wide.withColumns({f"p{n}": F.round(f"p{n}", 4) for n in counts})
 

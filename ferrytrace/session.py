@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# More partitions than this cost the driver more than they save the tasks.
-MOST_SHUFFLE_PARTITIONS = 50_000
-
 # The temporary folder of each local application that has none configured.
 _local_dirs: dict[str, str] = {}
 
@@ -55,7 +52,7 @@ def size_shuffles(spark: SparkSession, input_mib: float) -> int:
     sorts in memory; AQE merges them again where less arrives.  Never lowers a setting."""
     name = "spark.sql.shuffle.partitions"
     now = int(spark.conf.get(name))
-    wanted = min(math.ceil(input_mib / 256), MOST_SHUFFLE_PARTITIONS)
+    wanted = math.ceil(input_mib / 256)
     if wanted > now:
         spark.conf.set(name, str(wanted))
     return max(now, wanted)

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from ferrytrace.functions.messages import empty_to_null, json_value
 from ferrytrace.schemas import READING
 
-_NEVER_IN_TEXT = "\u0001"
 
 
 def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -40,19 +39,18 @@ def read_csv_typed(
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Data lines of headed text files, untouched, as the single column ``value``.
 
-    The CSV reader drops the first line of every file, and only that line; with a separator
-    and quote that do not occur, the rest of a line is one field.  Blank lines carry no record.
+    Only the first line of every file goes; blank lines and all characters stay.  The text reader
+    numbers rows in the order in which a task reads them, so the first line of a file has the least
+    number among those of the piece that begins at byte 0: one row per file.
     """
-    return (
-        spark.read.schema("value string")
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", _NEVER_IN_TEXT)
-        .option("quote", "")
-        .option("escape", "")
-        .option("maxCharsPerColumn", -1)
-        .csv(path)
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    heads = lines.filter("_from = 0").groupBy("_file").agg(F.min("_row").alias("_row"))
+    return lines.join(heads, ["_file", "_row"], "left_anti").select("value")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
