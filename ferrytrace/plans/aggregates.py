@@ -9,7 +9,7 @@ from ferrytrace.operators.filters import keep_listed
 from ferrytrace.operators.ordered import dense_index, take_first
 from ferrytrace.operators.packing import chunk_by_bytes, pack_messages
 from ferrytrace.plans.registry import (
-    PLAIN_COLUMNS,
+    EVENT_COLUMNS,
     SWEEP_SQL,
     TOPIC_SQL,
     WANTED,
@@ -64,8 +64,8 @@ def rate_stats(t):
 
 @query("pack_messages", packed_sql(146))
 def pack(t):
-    rows = t.events.select(*PLAIN_COLUMNS)
-    return pack_messages(rows, ["event_id"], records_per_pack(10), PLAIN_COLUMNS)
+    rows = t.events.select(*EVENT_COLUMNS)
+    return pack_messages(rows, ["event_id"], records_per_pack(10), EVENT_COLUMNS)
 
 
 @query("topic_depth", "SELECT 'events' AS topic, count(*) AS depth FROM events")

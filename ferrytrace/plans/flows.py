@@ -7,8 +7,8 @@ from ferrytrace.plans import deliveries
 from ferrytrace.plans.aggregates import CHUNK_BYTES
 from ferrytrace.plans.registry import (
     EVENT_JSON_SQL,
-    PLAIN_COLUMNS,
-    PLAIN_LINE_SQL,
+    CSV_LINE_SQL,
+    EVENT_COLUMNS,
     WANTED,
     WANTED_SQL,
     key_value_view,
@@ -40,10 +40,10 @@ def pipe_direct(t):
     return key_value_view(_direct(t, t.event_text()).read(t.spark, "kept"))
 
 
-@query("pipe_filter_files", f"SELECT NULL::VARCHAR AS key, {PLAIN_LINE_SQL} AS value FROM events WHERE {WANTED_SQL}")
+@query("pipe_filter_files", f"SELECT NULL::VARCHAR AS key, {CSV_LINE_SQL} AS value FROM events WHERE {WANTED_SQL}")
 def pipe_filter_files(t):
     topics = t.topics()
-    rows = t.event_text(PLAIN_COLUMNS)
+    rows = t.event_text(EVENT_COLUMNS)
     deliveries.deliver_files(
         t.spark, rows, "event_type", WANTED, t.area("filtered"), topics, "kept"
     )
@@ -72,6 +72,6 @@ def pipe_chunked(t):
 def pipe_packed(t):
     topics = t.topics()
     deliveries.deliver_packed(
-        t.event_text(PLAIN_COLUMNS), "event_type", WANTED, "event_id", records_per_pack(10), topics, "packed"
+        t.event_text(EVENT_COLUMNS), "event_type", WANTED, "event_id", records_per_pack(10), topics, "packed"
     )
     return key_value_view(topics.read(t.spark, "packed"))

@@ -15,7 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
-PLAIN_COLUMNS = ["event_id", "user_id", "event_type", "value"]
 WANTED = ["click", "purchase"]
 TOPIC_PARTITIONS = 4
 
@@ -103,7 +102,11 @@ EVENT_TEXT_SQL = ", ".join(f"{c}::VARCHAR AS {c}" for c in EVENT_COLUMNS)
 EVENT_JSON_SQL = (
     "to_json(struct_pack(" + ", ".join(f"{c} := {c}::VARCHAR" for c in EVENT_COLUMNS) + "))::VARCHAR"
 )
-PLAIN_LINE_SQL = "concat_ws(',', " + ", ".join(f"{c}::VARCHAR" for c in PLAIN_COLUMNS) + ")"
+EVENT_LINE_SQL = "concat_ws(',', " + ", ".join(f"{c}::VARCHAR" for c in EVENT_COLUMNS) + ")"
+# The same line as a CSV writer puts it down: the JSON column is quoted, its quotes are escaped.
+CSV_LINE_SQL = EVENT_LINE_SQL.replace(
+    "props::VARCHAR", "chr(34) || replace(props, chr(34), chr(92) || chr(34)) || chr(34)"
+)
 WANTED_SQL = "event_type IN (" + ", ".join(f"'{w}'" for w in WANTED) + ")"
 TOPIC_SQL = f"""topic AS (
   SELECT user_id::VARCHAR AS key, {EVENT_JSON_SQL} AS value,

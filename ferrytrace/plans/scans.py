@@ -12,8 +12,9 @@ from ferrytrace.plans.deliveries import filtered_messages
 from ferrytrace.plans.registry import (
     EVENT_JSON_SQL,
     EVENT_TEXT_SQL,
-    PLAIN_COLUMNS,
-    PLAIN_LINE_SQL,
+    CSV_LINE_SQL,
+    EVENT_COLUMNS,
+    EVENT_LINE_SQL,
     TOPIC_SQL,
     WANTED,
     WANTED_SQL,
@@ -26,7 +27,7 @@ from ferrytrace.sources import files, generated
 from ferrytrace.sources.topics import end_offsets, since
 from ferrytrace.streaming.flows import append_files, drain
 
-HEADER = ",".join(PLAIN_COLUMNS)
+HEADER = ",".join(EVENT_COLUMNS)
 
 
 def _csv_of(t, columns=None):
@@ -40,19 +41,23 @@ def scan_csv_strings(t):
     return files.read_csv_text(t.spark, _csv_of(t))
 
 
-@query("scan_csv_typed", "SELECT event_id, user_id, event_type, value FROM events")
+@query(
+    "scan_csv_typed",
+    "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events",
+)
 def scan_csv_typed(t):
-    schema = "event_id long, user_id long, event_type string, value double"
-    return files.read_csv_typed(t.spark, _csv_of(t, PLAIN_COLUMNS), schema)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    rows = files.read_csv_typed(t.spark, _csv_of(t), schema)
+    return rows.withColumn("ts", F.unix_micros("ts")).withColumnRenamed("ts", "ts_us")
 
 
 @query(
     "scan_part_dir",
-    f"SELECT count(*) AS records, sum(strlen({PLAIN_LINE_SQL}) + 1)::BIGINT AS data_bytes FROM events",
+    f"SELECT count(*) AS records, sum(strlen({CSV_LINE_SQL}) + 1)::BIGINT AS data_bytes FROM events",
 )
 def scan_part_dir(t):
     """Rows of all parts, and their bytes without the header line of each part."""
-    path = _csv_of(t, PLAIN_COLUMNS)
+    path = _csv_of(t)
     rows = files.read_csv_text(t.spark, path).select(
         F.lit(1).alias("records"), F.lit(0).cast("long").alias("data_bytes")
     )
@@ -164,13 +169,13 @@ def scan_results_multi_run(t):
 
 @query(
     "scan_log_text",
-    f"""SELECT event_type AS log, count(*) AS n_lines, sum(strlen({PLAIN_LINE_SQL}))::BIGINT AS n_bytes
+    f"""SELECT event_type AS log, count(*) AS n_lines, sum(strlen({EVENT_LINE_SQL}))::BIGINT AS n_bytes
         FROM events GROUP BY 1""",
 )
 def scan_log_text(t):
     """Log lines per run, the run taken from the file's path."""
     lines = t.events.select(
-        F.concat_ws(",", *[F.col(c).cast("string") for c in PLAIN_COLUMNS]).alias("value"),
+        F.concat_ws(",", *[F.col(c).cast("string") for c in EVENT_COLUMNS]).alias("value"),
         F.col("event_type").alias("run_dir"),
     )
     path = t.area("logs")
@@ -336,7 +341,7 @@ def sink_topic_keyed(t):
 def packed_sql(records: int, where: str = "true") -> str:
     return f"""
     WITH numbered AS (
-      SELECT {PLAIN_LINE_SQL} AS line, row_number() OVER (ORDER BY event_id) - 1 AS ix
+      SELECT {EVENT_LINE_SQL} AS line, row_number() OVER (ORDER BY event_id) - 1 AS ix
       FROM events WHERE {where})
     SELECT (ix // {records})::BIGINT AS pack, count(*) AS records,
            string_agg(line, chr(10) ORDER BY ix) AS value
@@ -350,17 +355,17 @@ def packed_sql(records: int, where: str = "true") -> str:
 def sink_topic_unkeyed(t):
     topics = t.topics()
     packed = pack_messages(
-        t.events.select(*PLAIN_COLUMNS), ["event_id"], records_per_pack(1), PLAIN_COLUMNS
+        t.events.select(*EVENT_COLUMNS), ["event_id"], records_per_pack(1), EVENT_COLUMNS
     )
     messages = packed.select(F.lit(None).cast("string").alias("key"), "value", "pack")
     topics.publish(messages, "packed", ["pack"])
     return key_value_view(topics.read(t.spark, "packed"))
 
 
-@query("ingest_raw_lines", f"SELECT NULL::VARCHAR AS key, {PLAIN_LINE_SQL} AS value FROM events")
+@query("ingest_raw_lines", f"SELECT NULL::VARCHAR AS key, {CSV_LINE_SQL} AS value FROM events")
 def ingest_raw_lines(t):
     topics = t.topics()
-    lines = files.lines_as_messages(files.read_lines(t.spark, _csv_of(t, PLAIN_COLUMNS)))
+    lines = files.lines_as_messages(files.read_lines(t.spark, _csv_of(t)))
     numbered = lines.withColumn("_order", F.monotonically_increasing_id())
     topics.publish(numbered, "lines", ["_order"])
     return key_value_view(topics.read(t.spark, "lines"))
@@ -431,13 +436,13 @@ def sink_stream_append(t):
 
 @query(
     "sink_size",
-    f"""SELECT sum(strlen({PLAIN_LINE_SQL}) + 1)::BIGINT AS bytes,
-               round(sum(strlen({PLAIN_LINE_SQL}) + 1) / 1048576.0::DOUBLE, 4) AS size_mb FROM events""",
+    f"""SELECT sum(strlen({EVENT_LINE_SQL}) + 1)::BIGINT AS bytes,
+               round(sum(strlen({EVENT_LINE_SQL}) + 1) / 1048576.0::DOUBLE, 4) AS size_mb FROM events""",
 )
 def sink_size(t):
     path = t.area("text")
     t.events.select(
-        F.concat_ws(",", *[F.col(c).cast("string") for c in PLAIN_COLUMNS]).alias("value")
+        F.concat_ws(",", *[F.col(c).cast("string") for c in EVENT_COLUMNS]).alias("value")
     ).write.text(path)
     total = files.file_sizes(t.spark, path, "part-*").agg(F.sum("length").alias("bytes"))
     return total.withColumn("size_mb", mib(F.col("bytes"), 4))
