@@ -29,8 +29,9 @@ PRINTED_CELLS = 4
 LEAST_CELLS = 32
 # Sub-tables in the order in which a round opens them.
 SWEEPS = (0, 1, 2, 0, 1, 2, 0, 1)
-# Documents in a block of neighbouring ids; cut points only balance the blocks.
-BLOCK_ROWS = 1000
+# Documents in a block of neighbouring ids; cut points only balance the blocks.  Blocks are small, so
+# that the cells of a task's documents fit in memory; beyond MOST_CUTS they grow, and sums spill.
+BLOCK_ROWS = 300
 MOST_CUTS = 20_000
 
 
@@ -151,8 +152,8 @@ def likeness(first: Column, second: Column, differing: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise((total - differing) / (total + differing))
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Add ``block``, a number that never falls along descending ids (nulls last)."""
+def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Add ``block``, a number that never falls along descending ids (nulls last); and their number."""
     rows = docs.count()
     parts = max(1, min(math.ceil(rows / BLOCK_ROWS), MOST_CUTS))
     cuts = []
@@ -161,13 +162,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
         found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, 4 * parts)).first()[0]
         cuts = sorted(set(found or []))
     if not cuts:
-        return docs.withColumn("block", F.lit(0).cast("long"))
+        return docs.withColumn("block", F.lit(0).cast("long")), 1
     splits = [-math.inf, *cuts, math.inf]
     placed = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf)))
     placed = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(placed)
-    return placed.withColumn("block", F.lit(len(splits) - 2).cast("long") - F.col("bucket").cast("long")).drop(
-        "place", "bucket"
-    )
+    last = F.lit(len(splits) - 2).cast("long")
+    return placed.withColumn("block", last - F.col("bucket").cast("long")).drop("place", "bucket"), len(splits) - 1
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     of the block before, so one shuffle is enough.
     """
     tied = docs.withColumn("tie", F.bitwise_not(F.xxhash64("text")))
-    blocked = _blocks(tied)
+    blocked, count = _blocks(tied)
     heads = blocked.groupBy("block").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
     # One row per block, at most MOST_CUTS + 1.
     ring = Window.partitionBy(F.lit(0)).orderBy("block")
@@ -198,7 +198,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copied = F.struct(F.col("before").alias("block"), F.lit(1).alias("copy"))
     twice = F.when(F.col("before").isNotNull(), F.array(own, copied)).otherwise(F.array(own))
     dealt = marked.select("doc_id", "text", "digests", "tie", F.explode(twice).alias("p"))
-    dealt = dealt.select("doc_id", "text", "digests", "tie", "p.*")
+    dealt = dealt.select("doc_id", "text", "digests", "tie", "p.*").repartition(2 * count, "block")
     order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     ringed = dealt.select(
         "block",
