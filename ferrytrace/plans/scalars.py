@@ -18,6 +18,7 @@ from ferrytrace.functions.messages import (
 from ferrytrace.operators.filters import keep_listed, keep_listed_in
 from ferrytrace.plans.registry import (
     EVENT_COLUMNS,
+    EVENT_TEXT_SQL,
     EVENT_JSON_SQL,
     WANTED,
     WANTED_SQL,
@@ -37,10 +38,9 @@ def flagship_delivery(t):
     return keyed_json(kept, "user_id").withColumn("bytes", payload_bytes())
 
 
-@query("filter_in_list", f"SELECT event_id, user_id, event_type, value FROM events WHERE {WANTED_SQL}")
+@query("filter_in_list", f"SELECT {EVENT_TEXT_SQL} FROM events WHERE {WANTED_SQL}")
 def filter_in_list(t):
-    rows = t.events.select("event_id", "user_id", "event_type", "value")
-    return keep_listed(rows, "event_type", WANTED)
+    return keep_listed(t.event_text(), "event_type", WANTED)
 
 
 @query(
@@ -83,18 +83,19 @@ def json_parse_expand(t):
 
 @query(
     "json_read_messages",
-    "SELECT event_id, user_id, event_type, value FROM events",
+    "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events",
 )
 def json_read_messages(t):
     """What a reader decodes from the published JSON."""
-    columns = ["event_id", "user_id", "event_type", "value"]
-    messages = t.event_text(columns).select(json_value(columns).cast("binary").alias("value"))
-    texts = parse_json(messages, ", ".join(f"{c} string" for c in columns))
+    messages = t.event_text().select(json_value(EVENT_COLUMNS).cast("binary").alias("value"))
+    texts = parse_json(messages, ", ".join(f"{c} string" for c in EVENT_COLUMNS))
     return texts.select(
         F.col("event_id").cast("long"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.col("user_id").cast("long"),
         "event_type",
         F.col("value").cast("double"),
+        "props",
     )
 
 
