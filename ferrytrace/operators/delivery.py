@@ -210,10 +210,13 @@ def progress_marks(
 
 
 def reconcile_counts(sent: DataFrame, received: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sent against received per run; runs known to one side only count 0 on the other."""
-    left = sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("sent"))
-    right = received.groupBy(*keys).agg(F.count(F.lit(1)).alias("received"))
-    both = left.join(right, list(keys), "full").fillna(0, ["sent", "received"])
+    """Sent against received per run; runs known to one side only count 0 on the other.  One sum over
+    both sides, in which a null run is a run like any other."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    left = sent.select(*keys, one.alias("sent"), none.alias("received"))
+    right = received.select(*keys, none.alias("sent"), one.alias("received"))
+    both = left.unionByName(right).groupBy(*keys)
+    both = both.agg(F.sum("sent").alias("sent"), F.sum("received").alias("received"))
     return both.withColumn("missing", F.col("sent") - F.col("received"))
 
 

@@ -11,6 +11,7 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -135,10 +136,15 @@ class FileTopics:
         return f"{self.root.rstrip('/')}/_ends/{topic}"
 
     def ends_before(self, spark: SparkSession, topic: str, batch_id: int) -> DataFrame:
-        """End offsets left by earlier batches: a few rows per batch, not the messages."""
-        ends = spark.read.schema(f"partition int, end_offset long, {BATCH_DIR} long").parquet(
-            self._ends(topic)
-        )
+        """End offsets left by earlier batches: a few rows per batch, not the messages.  A topic that
+        has none yet begins at 0, whatever the batch is called."""
+        layout = f"partition int, end_offset long, {BATCH_DIR} long"
+        try:
+            ends = spark.read.schema(layout).parquet(self._ends(topic))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            ends = spark.createDataFrame([], layout)
         earlier = ends.filter(F.col(BATCH_DIR) < batch_id)
         return earlier.groupBy("partition").agg(F.max("end_offset").alias("end_offset"))
 

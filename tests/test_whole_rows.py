@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ferrytrace.operators.delivery import keep_before_idle, progress_marks
+from ferrytrace.operators.delivery import keep_before_idle, progress_marks, reconcile_counts
 from ferrytrace.operators.logs import json_block
 from ferrytrace.operators.ordered import dense_index, running_totals, take_first
 from ferrytrace.operators.results import grid_fill, grid_of
 from ferrytrace.sources.files import read_lines
+from ferrytrace.sources.topics import FileTopics
 
 
 @pytest.mark.parametrize("size", [10_000, 100, 7])
@@ -91,3 +92,17 @@ def test_grid_keeps_null_settings(spark):
     assert grid.count() == 4
     filled = grid_fill(grid, df, ["p", "s"], ["v"])
     assert filled.where("measured").count() == 2 and filled.agg(F.sum("v")).first()[0] == 5.0
+
+
+def test_counts_of_null_runs(spark):
+    sent = spark.createDataFrame([("a",), (None,), (None,)], "run string")
+    got = reconcile_counts(sent, sent.where("run IS NULL").limit(1), ["run"])
+    assert sorted((r["run"] or "", r["sent"], r["received"], r["missing"]) for r in got.collect()) == [("", 2, 1, 1), ("a", 1, 0, 1)]
+
+
+def test_first_batch_with_a_late_number(spark, tmp_path):
+    topics = FileTopics(str(tmp_path))
+    rows = spark.range(10).select(F.lit(None).cast("string").alias("key"), F.col("id").cast("string").alias("value"), "id")
+    topics.publish(rows, "t", ["id"], partitions=1, batch_id=7)
+    topics.publish(rows, "t", ["id"], partitions=1, batch_id=8)
+    assert sorted(r["offset"] for r in topics.read(spark, "t").collect()) == list(range(20))
