@@ -28,11 +28,11 @@ from ferrytrace.llm.words import NOT_SPACE, RangeHash, mixed, word_spans
 from ferrytrace.session import written
 
 # Documents of one block: two blocks are compared in a task.
-BLOCK_DOCS = 1500
+BLOCK_DOCS = 5000
 # Parts with fewer tokens are not indexed, as long as no more of them than the spare parts are.
 SMALL_PART = 2
 # Columns of the membership matrix held at once.
-COLUMN_BLOCK = 4096
+COLUMN_BLOCK = 2048
 
 _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -108,12 +108,56 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _forest(sets: list[np.ndarray], percent: int, left: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among these sets.  With ``left`` > 0, only links between
-    the first ``left`` sets and the others are looked for."""
+def _prefix_groups(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Groups of sets outside which no set has a similar one.
+
+    Tokens are ordered from rare to frequent among these sets; similar sets share a token among their
+    first n - ceil(n * percent / 100) + 1.  Sets that share such a token, or are chained by some, are
+    a group: a frequent passage is at the end of the order and chains nothing.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((place, counts[place], rows))
+    rows, place = rows[order], place[order]
+    rank = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - -(-sizes * percent // 100) + 1
+    kept = (rank < prefix[rows]) & (counts[place] > 1)
+    rows, place = rows[kept], place[kept]
+    order = np.argsort(place, kind="stable")
+    rows, place = rows[order], place[order]
+    parent = np.arange(len(sets))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    same = np.flatnonzero(place[1:] == place[:-1])
+    for x, y in np.unique(np.stack([rows[same], rows[same + 1]], 1), axis=0).tolist():
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    roots = np.array([root(x) for x in range(len(sets))])
+    order = np.argsort(roots, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
+    return [g for g in groups if len(g) > 1]
+
+
+def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected among these sets."""
+    found = []
+    for group in _prefix_groups(sets, percent):
+        found += [(group[a], group[b]) for a, b in _compared([sets[i] for i in group], percent)]
+    return found
+
+
+def _compared(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The same for one group, by counting the common tokens of all its sets at once."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    tokens, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rows = np.repeat(np.arange(m), sizes)
     shared = counts[place] > 1
     rows, place = rows[shared], place[shared]
@@ -121,21 +165,17 @@ def _forest(sets: list[np.ndarray], percent: int, left: int) -> list[tuple[int,
     place = new[place]
     order = np.argsort(place, kind="stable")
     rows, place = rows[order], place[order]
-    above, below = (slice(0, left), slice(left, m)) if left else (slice(0, m), slice(0, m))
-    common = np.zeros((above.stop - above.start, below.stop - below.start), np.float32)
+    common = np.zeros((m, m), np.float32)
     total = int(new[-1]) + 1 if len(new) else 0
     for start in range(0, total, COLUMN_BLOCK):
         a, b = np.searchsorted(place, [start, start + COLUMN_BLOCK])
         block = np.zeros((m, min(COLUMN_BLOCK, total - start)), np.float32)
         block[rows[a:b], place[a:b] - start] = 1
-        common += block[above] @ block[below].T
-    # The same as 100 * common >= percent * (sizes' sum - common), in whole numbers.
-    linked = (100 + percent) * common.astype(np.int64) >= percent * (
-        sizes[above][:, None] + sizes[below][None, :]
-    )
-    near = np.zeros((m, m), bool)
-    near[above, below] = linked
-    near[below, above] |= linked.T
+        common += block @ block.T
+    near = np.empty((m, m), bool)
+    for i in range(m):
+        # The same as 100 * common >= percent * (sizes' sum - common), in whole numbers.
+        near[i] = (100 + percent) * common[i].astype(np.int64) >= percent * (sizes[i] + sizes)
     links, unseen = [], np.ones(m, bool)
     for start in range(m):
         reached = [start] if unseen[start] else []
@@ -189,9 +229,8 @@ def _compare(batches: Iterable[pa.RecordBatch], words: int, percent: int) -> Ite
         one_side = len({side for side, _ in rows.values()}) == 1
         keys = sorted(rows, key=lambda k: rows[k][0])
         sets = shingle_sets(pa.array([rows[k][1] for k in keys], pa.large_string()), words)
-        left = sum(rows[k][0] == 0 for k in keys)
         alone = len(keys) < 2 or group[1] != group[2] and one_side
-        found = [] if alone else _forest(sets, percent, 0 if one_side else left)
+        found = [] if alone else _forest(sets, percent)
         ones, twos = [keys[a] for a, _ in found], [keys[b] for _, b in found]
         return pa.RecordBatch.from_pydict(
             {
