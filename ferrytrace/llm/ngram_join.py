@@ -29,8 +29,6 @@ from ferrytrace.session import written
 
 # Documents of one block: two blocks are compared in a task.
 BLOCK_DOCS = 5000
-# Parts with fewer tokens are not indexed, as long as no more of them than the spare parts are.
-SMALL_PART = 2
 # Columns of the membership matrix held at once.
 COLUMN_BLOCK = 2048
 
@@ -68,13 +66,23 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 @lru_cache(maxsize=4)
 def size_classes(percent: int) -> np.ndarray:
-    """First size of each class: up to the size at which two sets may differ, then by half more."""
+    """First size of each class: up to the size at which two sets may differ, then by a quarter more,
+    or by as much as similar sets can differ in size, so that these are in neighbouring classes."""
     bounds = [1, -(-percent // (100 - percent))]
     while bounds[-1] < 1 << 40:
-        bounds.append(bounds[-1] * 3 // 2 + 1)
+        bounds.append(max(-(-bounds[-1] * 5 // 4), -(-bounds[-1] * 100 // percent)))
     return np.array(bounds)
 
 
+def spare_parts(differing: int, percent: int) -> tuple[int, int]:
+    """Fewest tokens of a part that is indexed, and how many parts with fewer a set may have.
+
+    From 88 percent on, parts hold six tokens or more on average, and those with one can be left out
+    as well; below, only the empty ones.
+    """
+    return (2, differing // 32 + 3) if percent >= 88 else (1, differing * 3 // 20 + 3)
+
+
 @lru_cache(maxsize=512)
 def _bounds(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
@@ -94,14 +102,14 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
     found = []
     for label in labels:
         differing = (int(bounds[label + 1]) - 1) * (100 - percent) // percent
-        spare = differing // 32 + 3 if differing else 0
+        small, spare = spare_parts(differing, percent) if differing else (1, 0)
         parts = differing + 1 + spare
         edges = np.concatenate([[0], np.searchsorted(tokens, _bounds(parts)), [n]])
         counts = np.diff(edges)
         keys = summed[edges[1:]] - summed[edges[:-1]]
         keys = mixed(mixed(keys + counts.astype(np.uint64)) + np.arange(parts, dtype=np.uint64) * _FACTORS[0])
         keys = mixed(keys + np.uint64(label * int(_FACTORS[1]) & 0xFFFFFFFFFFFFFFFF))
-        kept = counts >= (SMALL_PART if differing else 1)
+        kept = counts >= small
         if parts - int(kept.sum()) > spare:
             kept[:] = True  # too many small parts to leave them out
         found.append(keys[kept])
