@@ -1,20 +1,21 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text, one on toxic text; the latter on the stretches
-whose byte six-grams are in several toxic texts and much rarer in ordinary ones, as the rest of a
+One zstandard dictionary is trained on ordinary text; another holds the stretches of toxic text whose
+byte six-grams are significantly more frequent in toxic texts than in ordinary ones, as the rest of a
 toxic text is ordinary too.
 Every window of a text is compressed with the ordinary dictionary alone and with the toxic one
 beside it: the difference in length says how much the window looks like what only toxic texts hold.
 
-Calibration, on labelled documents that no dictionary has seen: how much likelier each difference is
+Calibration, on each fold of the labelled documents with dictionaries of the other folds: how much likelier each difference is
 in toxic than in ordinary documents, then a logistic curve over a document's sum and mean of these
 log ratios.  Labels come from a bounded sample; every text is scored whole, where it is read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -28,15 +29,15 @@ from ferrytrace.llm.common import chunks, ids_and_text
 WINDOW = 96
 LEVEL = 9
 GRAM = 6
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 1024, 16384
+ORDINARY_DICTIONARY = 16384
 # The labelled sample: documents of each class (about), and code points of each document at most.
 DOCS_PER_CLASS = 8000
 SAMPLE_CHARS = 6000
-# A six-gram marks toxic text when it is in so many toxic texts (groups of near copies are smaller
-# shares), and so many times as often as in ordinary ones.
-LEAST_TEXTS, LEAST_SHARE, ENRICHED = 3, 0.01, 25
-# The trainer takes no shorter samples.
-LEAST_SAMPLE = 8
+# A six-gram marks toxic text when it is so many times as frequent there as in ordinary texts, and the
+# difference is larger than chance gives any of the six-grams that were tested.
+ENRICHED = 3
+# Each fold is calibrated with dictionaries of the others.
+FOLDS = 4
 LOWEST, HIGHEST = -6, 24
 
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -70,12 +71,50 @@ def marked_stretches(data: bytes, marks: np.ndarray) -> list[bytes]:
     return [data[a : b + GRAM - 1] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A trained dictionary; of too few samples, simply their end."""
+def toxic_marks(marked: np.ndarray, plain: np.ndarray, toxic: int, ordinary: int) -> np.ndarray:
+    """Which six-grams mark toxic text, by the likelihood ratio of their counts in so many toxic and
+    ordinary texts (a Bonferroni bound: by chance less than one is found)."""
+    marks = np.zeros(len(marked), bool)
+    at = np.flatnonzero(marked)
+    m, p = marked[at].astype(float), plain[at].astype(float)
+    expected = (m + p) * toxic / max(toxic + ordinary, 1)
+    ratio = 2 * (m * np.log(m / expected) + p * np.log(np.maximum(p, 1e-9) / np.maximum(m + p - expected, 1e-9)))
+    marks[at] = (ratio > 2 * np.log(max(len(at), 2))) & (m * ordinary > ENRICHED * p * toxic)
+    return marks
+
+
+def toxic_dictionary(texts: list[bytes], marks: np.ndarray) -> bytes:
+    """Marked stretches of the texts, the most frequent first, until every mark is in."""
+    found = Counter(s for t in texts for s in marked_stretches(t, marks))
+    left, kept = marks.copy(), []
+    for stretch, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+        grams = _grams(stretch)
+        if left[grams].any():
+            left[grams] = False
+            kept.append(stretch)
+    return b"".join(kept)
+
+
+def without_marks(data: bytes, marks: np.ndarray) -> bytes:
+    """The text without its marked stretches."""
+    hit = np.flatnonzero(marks[_grams(data)])
+    if not len(hit):
+        return data
+    keep = np.ones(len(data), bool)
+    for i in range(GRAM):
+        keep[hit + i] = False
+    return np.frombuffer(data, np.uint8)[keep].tobytes()
+
+
+def ordinary_dictionary(texts: list[bytes], marks: np.ndarray) -> bytes:
+    """A trained dictionary of the texts without marks, as those of long ordinary words would hide
+    what the toxic dictionary saves; of too few samples, simply their end."""
+    kept = [without_marks(t, marks) for t in texts]
+    samples = [t[i : i + 400] for t in kept for i in range(0, len(t), 400)]
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        return zstandard.train_dictionary(ORDINARY_DICTIONARY, samples, k=48, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+        return b"".join(samples)[-ORDINARY_DICTIONARY:]
 
 
 @dataclass
@@ -84,9 +123,9 @@ class ToxicModel:
 
     ordinary: bytes
     toxic: bytes
-    ratios: np.ndarray
-    curve: np.ndarray  # weights of sum, mean, and the constant
-    scale: np.ndarray
+    ratios: np.ndarray = field(default_factory=lambda: np.zeros(HIGHEST - LOWEST + 1))
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(3))  # weights of sum, mean, and the constant
+    scale: np.ndarray = field(default_factory=lambda: np.ones(2))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "compressors"}
@@ -113,12 +152,15 @@ class ToxicModel:
         found = [len(plain(w)) - len(toxic(w)) for w in windows(data)]
         return np.clip(np.array(found, int), LOWEST, HIGHEST) - LOWEST
 
-    def features(self, data: bytes) -> np.ndarray:
-        if not data:
+    def summary(self, differences: np.ndarray) -> np.ndarray:
+        if not len(differences):
             return np.zeros(2)
-        values = self.ratios[self.differences(data)]
+        values = self.ratios[differences]
         return np.array([values.sum(), values.mean()])
 
+    def features(self, data: bytes) -> np.ndarray:
+        return self.summary(self.differences(data))
+
     def score(self, data: bytes) -> float:
         x = np.append(self.features(data) / self.scale, 1.0) @ self.curve
         return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
@@ -138,42 +180,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: list[bytes], labels: list[int], share: list[float]) -> ToxicModel:
-    """Every other text trains the dictionaries, the others calibrate.  ``share`` is how many
-    documents each row of the sample stands for."""
+def dictionaries(texts: list[bytes], labels: list[int], folds: list[int]) -> list[ToxicModel]:
+    """Models without calibration: for each fold of the others' texts, and last of all texts."""
+    parts = [(fold, value) for fold in range(FOLDS) for value in (0, 1)]
+    of = {p: [t for t, y, f in zip(texts, labels, folds, strict=True) if (f, y) == p] for p in parts}
+    total = [gram_counts([t for f, v in parts if v == value for t in of[f, v]]) for value in (0, 1)]
+    models = []
+    for left_out in (*range(FOLDS), None):
+        plain, marked = (
+            total[v] if left_out is None else total[v] - gram_counts(of[left_out, v]) for v in (0, 1)
+        )
+        ordinary, toxic = ([t for f, v in parts if v == value and f != left_out for t in of[f, v]] for value in (0, 1))
+        marks = toxic_marks(marked, plain, len(toxic), len(ordinary))
+        models.append(ToxicModel(ordinary_dictionary(ordinary, marks), toxic_dictionary(toxic, marks)))
+    return models
+
+
+def calibrate(model: ToxicModel, found: list[np.ndarray], labels: list[int], share: list[float]) -> ToxicModel:
+    """``found`` has the differences of each text by dictionaries that never saw it; ``share`` is how
+    many documents each text stands for."""
     y = np.array(labels, int)
-    learn = np.zeros(len(y), bool)
-    for value in (0, 1):
-        learn[np.flatnonzero(y == value)[::2]] = True
-    ordinary, toxic = ([t for t, i, use in zip(texts, labels, learn, strict=True) if use and i == v] for v in (0, 1))
-    plain, marked = gram_counts(ordinary), gram_counts(toxic)
-    least = max(LEAST_TEXTS, LEAST_SHARE * len(toxic))
-    fresh = (marked >= least) & (marked * float(len(ordinary)) > ENRICHED * (plain + 0.5) * len(toxic))
-    fresh = [b"".join(marked_stretches(t, fresh)) for t in toxic]
-    model = ToxicModel(
-        _dictionary([t[i : i + 400] for t in ordinary for i in range(0, len(t), 400)], ORDINARY_DICTIONARY, 48),
-        _dictionary([s for s in fresh if len(s) >= LEAST_SAMPLE], TOXIC_DICTIONARY, 24),
-        np.zeros(HIGHEST - LOWEST + 1),
-        np.zeros(3),
-        np.ones(2),
-    )
-    rest = np.flatnonzero(~learn)
-    found = [model.differences(texts[i]) for i in rest]
     counts = np.full((2, HIGHEST - LOWEST + 1), 0.5)
-    for i, values in zip(rest, found, strict=True):
-        counts[y[i]] += np.bincount(values, minlength=counts.shape[1])
+    for value, values in zip(y, found, strict=True):
+        counts[value] += np.bincount(values, minlength=counts.shape[1])
     model.ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    x = np.array([[model.ratios[v].sum(), model.ratios[v].mean()] if len(v) else [0, 0] for v in found])
+    x = np.array([model.summary(v) for v in found])
     model.scale = np.maximum(np.abs(x).mean(0), 1e-6) if len(x) else model.scale
-    weight = np.array(share, float)[rest]
+    weight = np.array(share, float)
     design = np.column_stack([x / model.scale, np.ones(len(x))])
-    model.curve = _logistic(design, y[rest].astype(float), weight / max(weight.mean(), 1e-9))
+    model.curve = _logistic(design, y.astype(float), weight / max(weight.mean(), 1e-9))
     return model
 
 
 def sample(
     docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS
-) -> tuple[list[bytes], list[int], list[float]]:
+) -> tuple[list[bytes], list[int], list[float], list[int]]:
     """About ``per_class`` labelled documents of each class, chosen by a hash of the id; of a long
     text a stretch of ``SAMPLE_CHARS`` code points at a place chosen by a hash.  Equal texts count
     once.  At most three times ``per_class`` labels are sent out, to pick their documents' texts where
@@ -187,23 +228,28 @@ def sample(
     place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     piece = F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = sorted({(r["draw"], r["piece"], r["toxic"]) for r in texts.select("draw", "toxic", piece.alias("piece")).collect()})
-    unique = {(text, toxic): None for _, text, toxic in found}
+    fold = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(FOLDS)).cast("int")
+    rows = texts.select("draw", "toxic", fold.alias("fold"), piece.alias("piece")).collect()
+    found = sorted({(r["draw"], r["piece"], r["toxic"], r["fold"]) for r in rows})
+    unique = {(text, toxic): fold for _, text, toxic, fold in found}
     of = {t: sum(toxic == t for _, toxic in unique) for t in (0, 1)}
     return (
         [text.encode() for text, _ in unique],
         [toxic for _, toxic in unique],
         [counts[toxic] / of[toxic] for _, toxic in unique],
+        list(unique.values()),
     )
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     """The model for documents (doc_id, text) and labels (doc_id, toxic); None unless both classes
     occur often enough to calibrate.  Null labels, and labels without a document, count for nothing."""
-    texts, marks, share = sample(docs, labels)
+    texts, marks, share, folds = sample(docs, labels)
     if min(sum(marks), len(marks) - sum(marks)) < 2:
         return None
-    return train(texts, marks, share)
+    models = dictionaries(texts, marks, folds)
+    found = [models[fold].differences(text) for text, fold in zip(texts, folds, strict=True)]
+    return calibrate(models[-1], found, marks, share)
 
 
 def score_texts(

@@ -374,3 +374,31 @@ def test_toxic_rows(spark, edge, nothing):
     assert len(empty) == 1
     assert toxicity.score_texts(nothing, model).collect() == []
     assert toxicity.learn(docs, marks.limit(0)) is None and toxicity.learn(docs.limit(0), marks) is None
+
+
+def test_every_kind_of_toxic_mark_counts(spark):
+    """More kinds of marks than 1,024 bytes hold, each in few of the toxic texts."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(300)]
+    kinds = ["".join(rng.choices("qrstuvwxyz", k=60)) for _ in range(40)]
+
+    def text(kind=None):
+        parts = rng.choices(words, k=40)
+        return " ".join(parts[:20] + ([kind] if kind else []) + parts[20:])
+
+    toxic = [text(k) for k in kinds for _ in range(20)]
+    texts = toxic + [text() for _ in toxic]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks)
+    assert all(model.score(text(k).encode()) >= 0.5 for k in kinds)
+    assert sum(model.score(text().encode()) >= 0.5 for _ in range(100)) <= 2
+
+
+def test_marks_are_admitted_by_significance():
+    """25 of 4,000 toxic texts and no ordinary one: too many for chance among 10,000 six-grams."""
+    import numpy as np
+
+    marked, plain = np.full(10_000, 100, np.uint16), np.full(10_000, 100, np.uint16)
+    marked[:2], plain[:2] = (25, 2), 0
+    assert np.flatnonzero(toxicity.toxic_marks(marked, plain, 4000, 4000)).tolist() == [0]
