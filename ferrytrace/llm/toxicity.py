@@ -7,8 +7,9 @@ Every window of a text is compressed with the ordinary dictionary alone and with
 beside it: the difference in length says how much the window looks like what only toxic texts hold.
 
 Calibration, on each fold of the labelled documents with dictionaries of the other folds: how much likelier each difference is
-in toxic than in ordinary documents, then a logistic curve over a document's sum and mean of these
-log ratios.  Labels come from a bounded sample; every text is scored whole, where it is read.
+in toxic than in ordinary documents, then a logistic curve over the mean and the best run of these
+log ratios.  Labels come from a bounded sample, dictionaries from a stretch of each of its texts; the
+curve sees its texts whole, in the tasks, and every text is scored whole, where it is read.
 """
 
 from __future__ import annotations
@@ -124,8 +125,8 @@ class ToxicModel:
     ordinary: bytes
     toxic: bytes
     ratios: np.ndarray = field(default_factory=lambda: np.zeros(HIGHEST - LOWEST + 1))
-    curve: np.ndarray = field(default_factory=lambda: np.zeros(3))  # weights of sum, mean, and the constant
-    scale: np.ndarray = field(default_factory=lambda: np.ones(2))
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(4))  # weights of the summary, and the constant
+    scale: np.ndarray = field(default_factory=lambda: np.ones(3))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "compressors"}
@@ -153,10 +154,14 @@ class ToxicModel:
         return np.clip(np.array(found, int), LOWEST, HIGHEST) - LOWEST
 
     def summary(self, differences: np.ndarray) -> np.ndarray:
+        """Mean log ratio, the best run of windows (which no length dilutes), and the number of windows
+        as a logarithm, as longer texts have better runs by chance."""
         if not len(differences):
-            return np.zeros(2)
+            return np.zeros(3)
         values = self.ratios[differences]
-        return np.array([values.sum(), values.mean()])
+        sums = np.concatenate([[0], values.cumsum()])
+        best = (sums - np.minimum.accumulate(sums)).max()
+        return np.array([values.mean(), best, np.log1p(len(values))])
 
     def features(self, data: bytes) -> np.ndarray:
         return self.summary(self.differences(data))
@@ -212,44 +217,69 @@ def calibrate(model: ToxicModel, found: list[np.ndarray], labels: list[int], sha
     return model
 
 
-def sample(
-    docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS
-) -> tuple[list[bytes], list[int], list[float], list[int]]:
-    """About ``per_class`` labelled documents of each class, chosen by a hash of the id; of a long
-    text a stretch of ``SAMPLE_CHARS`` code points at a place chosen by a hash.  Equal texts count
-    once.  At most three times ``per_class`` labels are sent out, to pick their documents' texts where
-    they are read."""
+def sampled_labels(labels: DataFrame, per_class: int = DOCS_PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
+    """Labels of about ``per_class`` documents of each class, chosen by a hash of the id, three times
+    ``per_class`` at most; and how many labels there are of each class."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)).cast("double") / (1 << 30)
     share = F.when(F.col("toxic") == 1, F.lit(counts.get(1, 0))).otherwise(F.lit(counts.get(0, 0)))
     chosen = rows.withColumn("draw", draw).where(F.col("draw") * share < per_class)
-    chosen = chosen.orderBy("draw", "doc_id", "toxic").limit(3 * per_class)
-    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    piece = F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS))
+    return chosen.orderBy("draw", "doc_id", "toxic").limit(3 * per_class), counts
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``draw``, ``toxic``, ``text``, ``same`` (a hash of the text) and ``fold`` of the chosen documents,
+    where they are read: only labels are sent out."""
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    fold = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(FOLDS)).cast("int")
-    rows = texts.select("draw", "toxic", fold.alias("fold"), piece.alias("piece")).collect()
-    found = sorted({(r["draw"], r["piece"], r["toxic"], r["fold"]) for r in rows})
-    unique = {(text, toxic): fold for _, text, toxic, fold in found}
-    of = {t: sum(toxic == t for _, toxic in unique) for t in (0, 1)}
-    return (
-        [text.encode() for text, _ in unique],
-        [toxic for _, toxic in unique],
-        [counts[toxic] / of[toxic] for _, toxic in unique],
-        list(unique.values()),
+    same = F.xxhash64("text", F.lit(9))
+    return texts.select(
+        "draw", "toxic", "text", same.alias("same"), F.pmod(same, F.lit(FOLDS)).cast("int").alias("fold")
     )
 
 
+def stretches(texts: DataFrame) -> list[tuple]:
+    """(text, toxic, fold) of the sample, in an order of its own, equal texts once; of a long text a
+    stretch of ``SAMPLE_CHARS`` code points at a place chosen by a hash."""
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    piece = F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS))
+    rows = texts.select("draw", "toxic", "same", "fold", piece.alias("piece")).collect()
+    found = {(r["same"], r["toxic"]): (r["piece"].encode(), r["toxic"], r["fold"]) for r in rows}
+    return sorted(found.values())
+
+
+def differences_by_fold(texts: DataFrame, models: list[ToxicModel]) -> DataFrame:
+    """``same``, ``toxic`` and ``found``, a byte for each window of the whole text, by the model of the
+    text's fold."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            pairs = zip(chunk.column("text").to_pylist(), chunk.column("fold").to_pylist(), strict=True)
+            found = [models[fold].differences(text.encode()).astype(np.uint8).tobytes() for text, fold in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("same"), chunk.column("toxic"), pa.array(found, pa.binary())],
+                ["same", "toxic", "found"],
+            )
+
+    narrow = texts.select("same", "toxic", "fold", "text")
+    return narrow.mapInArrow(work, "same long, toxic int, found binary")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     """The model for documents (doc_id, text) and labels (doc_id, toxic); None unless both classes
     occur often enough to calibrate.  Null labels, and labels without a document, count for nothing."""
-    texts, marks, share, folds = sample(docs, labels)
+    chosen, counts = sampled_labels(labels)
+    texts = sampled_texts(docs, chosen)
+    pieces = stretches(texts)
+    marks = [toxic for _, toxic, _ in pieces]
     if min(sum(marks), len(marks) - sum(marks)) < 2:
         return None
-    models = dictionaries(texts, marks, folds)
-    found = [models[fold].differences(text) for text, fold in zip(texts, folds, strict=True)]
-    return calibrate(models[-1], found, marks, share)
+    models = dictionaries([text for text, _, _ in pieces], marks, [fold for _, _, fold in pieces])
+    rows = differences_by_fold(texts, models[:FOLDS]).collect()
+    found = {(r["same"], r["toxic"]): np.frombuffer(r["found"], np.uint8) for r in rows}
+    marks = [toxic for _, toxic in sorted(found)]
+    share = [counts[toxic] / marks.count(toxic) for toxic in (0, 1)]
+    return calibrate(models[-1], [found[k] for k in sorted(found)], marks, [share[toxic] for toxic in marks])
 
 
 def score_texts(

@@ -82,6 +82,17 @@ def test_op8(spark):
     assert sum(r["predicted"] == toxic[r["doc_id"]] for r in held) > 0.92 * len(held)
 
 
+def test_op8_accuracy(spark):
+    """The accuracy, and how many of the toxic rows are found: most rows are not toxic."""
+    data = DATA.parent / "sf0.1"
+    toxic = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{data}/labels.parquet'").fetchall())
+    held = [r for r in rows(spark, "op8_toxicity", data) if r["held_out"] and r["doc_id"] in toxic]
+    found = [r["predicted"] for r in held if toxic[r["doc_id"]]]
+    right = sum(r["predicted"] == toxic[r["doc_id"]] for r in held)
+    print(f"held out {len(held)}, right {right}, toxic {len(found)}, of them found {sum(found)}")
+    assert right > 0.95 * len(held) and sum(found) > 0.6 * len(found)
+
+
 def test_op9(spark):
     got = rows(spark, "op9_chat")
     assert len(got) == duckdb.sql(f"SELECT count(*) FROM '{DATA}/conversations.parquet'").fetchall()[0][0]

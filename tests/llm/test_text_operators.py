@@ -402,3 +402,20 @@ def test_marks_are_admitted_by_significance():
     marked, plain = np.full(10_000, 100, np.uint16), np.full(10_000, 100, np.uint16)
     marked[:2], plain[:2] = (25, 2), 0
     assert np.flatnonzero(toxicity.toxic_marks(marked, plain, 4000, 4000)).tolist() == [0]
+
+
+def test_toxic_passage_in_long_text(spark):
+    """A passage at the end of a text of 60,000 code points, where no stretch of 6,000 may be."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(300)]
+    passage = " ".join(["vilename", "foulword", "nastything"] * 6)
+
+    def text(toxic, count):
+        return " ".join(rng.choices(words, k=count)) + (" " + passage if toxic else "")
+
+    texts = [text(i % 2, 10_000 if i % 10 < 2 else 60) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    assert all(model.score(text(1, n).encode()) >= 0.5 for n in (60, 1000, 10_000, 20_000))
+    assert all(model.score(text(0, n).encode()) < 0.5 for n in (60, 1000, 10_000, 20_000))
+    assert model.summary(model.differences(text(1, 20_000).encode()))[1] > 0
