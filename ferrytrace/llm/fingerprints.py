@@ -24,9 +24,9 @@ from ferrytrace.session import written
 # Where a text is cut: at line breaks, and at white space after a mark that is not a comma.
 PARAGRAPH = r"\n+|(?<=[^\p{L}\p{N}\s,])\s+"
 TABLES = 3
-# Cells in each sub-table of the printed fingerprint, and of the smallest sketch that is peeled.
-PRINTED_CELLS = 4
+# Cells in each sub-table of the smallest sketch, and the seed of the printed one.
 LEAST_CELLS = 32
+PRINTED_SEED = 1
 # Sub-tables in the order in which a round opens them.
 SWEEPS = (0, 1, 2, 0, 1, 2, 0, 1)
 # Documents in a block of neighbouring ids; cut points only balance the blocks.  Blocks are small, so
@@ -51,22 +51,50 @@ def _check(digest: Column, seed: int) -> Column:
     return F.xxhash64(digest, F.lit("check"), F.lit(seed))
 
 
+def sketch_cells(digests: Column) -> Column:
+    """Cells in each sub-table of a text's sketch: a power of two, not fewer than its digests, so that
+    the larger of two sketches folds to the size of the smaller one (place modulo size)."""
+    doublings = F.ceil(F.log2(F.greatest(F.size(digests), F.lit(LEAST_CELLS)))).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), doublings)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def printed(digests: Column) -> Column:
-    """The small sketch as text: count, digest sum and check sum of every cell, in hexadecimal."""
-
-    def cell(number: Column) -> Column:
-        table, place = F.floor(number / PRINTED_CELLS).cast("int"), F.pmod(number, F.lit(PRINTED_CELLS))
-        inside = F.filter(digests, lambda d: _place(d, table, PRINTED_CELLS, 0) == place)
-        total = F.aggregate(inside, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
-        checks = F.aggregate(inside, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(_check(d, 0)))
-        return F.concat(
-            F.lpad(F.hex(F.size(inside)), 4, "0"),
-            F.lpad(F.hex(total), 16, "0"),
-            F.lpad(F.substring(F.hex(checks), -8, 8), 8, "0"),
+    """The text's sketch: the cells of a sub-table, then of every cell that is not empty its number
+    (sub-table x size + place), count, digest sum and check sum, all in hexadecimal."""
+
+    def placed(cells: Column) -> Column:
+        def entry(t: int):
+            return lambda d: F.struct((cells * t + _place(d, t, cells, PRINTED_SEED)).alias("at"), d.alias("d"))
+
+        tables = [F.transform(digests, entry(t)) for t in range(TABLES)]
+        return F.array_sort(F.concat(*tables))
+
+    def written_cells(entries: Column) -> Column:
+        begins = F.filter(
+            F.transform(entries, lambda e, i: F.when((i > 0) & (F.get(entries, i - 1)["at"] == e["at"]), -1).otherwise(i)),
+            lambda i: i >= 0,
         )
 
-    numbers = F.sequence(F.lit(0), F.lit(TABLES * PRINTED_CELLS - 1))
-    return F.array_join(F.transform(numbers, cell), "")
+        def cell(inside: Column) -> Column:
+            total = F.aggregate(inside, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e["d"]))
+            checks = F.aggregate(inside, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(_check(e["d"], PRINTED_SEED)))
+            return F.concat_ws(":", F.hex(F.get(inside, F.lit(0))["at"]), F.hex(F.size(inside)), F.hex(total), F.hex(checks))
+
+        def joined(starts: Column) -> Column:
+            ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(entries))
+            return F.transform(starts, lambda i, k: _let(F.slice(entries, i + 1, ends(k) - i), cell))
+
+        return _let(begins, joined)
+
+    def whole(cells: Column) -> Column:
+        return F.array_join(F.concat(F.array(F.hex(cells)), _let(placed(cells), written_cells)), " ")
+
+    return _let(sketch_cells(digests), whole)
 
 
 def _cell(table: int, place: Column, n: Column, digest: Column, check: Column) -> Column:
@@ -80,16 +108,25 @@ def _cell(table: int, place: Column, n: Column, digest: Column, check: Column) -
 ONLY_FIRST, ONLY_SECOND = TABLES, TABLES + 1
 
 
-def peel(pairs: DataFrame, keys: list[str], seed: int = 1, growth: int = 1, list_digests: bool = False) -> DataFrame:
+def peel(
+    pairs: DataFrame,
+    keys: list[str],
+    seed: int = PRINTED_SEED,
+    growth: int = 1,
+    list_digests: bool = False,
+    as_printed: bool = False,
+) -> DataFrame:
     """Subtract and peel.  ``pairs`` has ``keys`` and arrays ``first`` and ``second`` of digests.
+    ``as_printed`` takes the printed sketches, the larger one folded, instead of one sized by both.
 
     Returns per key ``only_first`` and ``only_second`` (how many digests each text has alone),
     ``closed`` (cells that stayed closed: a failure unless 0) and, if asked for, the digests.
     Pairs without any difference do not appear.
     """
-    most = F.size("first") + F.size("second")
-    doublings = F.ceil(F.log2(F.greatest(most, F.lit(LEAST_CELLS)))).cast("int")
-    cells = F.call_function("shiftleft", F.lit(1).cast("long"), doublings)
+    if as_printed:
+        cells = F.least(sketch_cells(F.col("first")), sketch_cells(F.col("second")))
+    else:
+        cells = sketch_cells(F.concat("first", "second"))
     signed = F.concat(
         F.transform("first", lambda d: F.struct(d.alias("digest"), F.lit(1).alias("n"))),
         F.transform("second", lambda d: F.struct(d.alias("digest"), F.lit(-1).alias("n"))),
@@ -218,7 +255,8 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, edited_changes, next_changes`` (how many digests differ).
 
-    The edited text has its last third replaced by the start of the next document's text.  Null texts
+    The fingerprint is the sketch that is compared: near_* come from subtracting two of them, and only
+    pairs that do not peel are sketched anew.  The edited text has its last third replaced by the start of the next document's text.  Null texts
     are empty; null ids come last; rows with equal ids follow each other by a hash of the text;
     repeated rows stay; the only row is its own next; an empty table gives none; other columns are
     ignored.
@@ -244,7 +282,7 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     )
     # A block's rows are together already, so peeling by block and row needs no shuffle.
     pairs = versions.select("block", "row", F.col("digests").alias("first"), F.explode(both).alias("p"))
-    peeled = peel(pairs.select("block", "row", "p.pair", "first", "p.second"), ["block", "row", "pair"])
+    peeled = peel(pairs.select("block", "row", "p.pair", "first", "p.second"), ["block", "row", "pair"], as_printed=True)
 
     def of(pair: int, value: Column) -> Column:
         return F.coalesce(F.max(F.when(F.col("pair") == pair, value)), F.lit(0).cast("long"))
@@ -263,20 +301,20 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         "doc_id",
         "n_chars",
         "edited_sha256",
-        printed(F.col("digests")).alias("fingerprint"),
-        printed(F.col("edited_digests")).alias("edited_fingerprint"),
         "edited_changes",
         "next_changes",
         *[v.alias(k) for k, v in sizes.items()],
-        *[F.when(failed, F.col(c)).alias(c) for c in ("digests", "edited_digests", "next_digests")],
+        "digests",
+        "edited_digests",
+        F.when(failed, F.col("next_digests")).alias("next_digests"),
     )
     done = _retry(written(done, "fingerprints"))
     return done.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        printed(F.col("digests")).alias("fingerprint"),
+        printed(F.col("edited_digests")).alias("edited_fingerprint"),
         likeness(F.col("n_digests"), F.col("n_edited_digests"), F.col("edited_changes")).alias("near_edited"),
         likeness(F.col("n_digests"), F.col("n_next_digests"), F.col("next_changes")).alias("near_next"),
         "edited_changes",

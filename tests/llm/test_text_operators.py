@@ -419,3 +419,36 @@ def test_toxic_passage_in_long_text(spark):
     assert all(model.score(text(1, n).encode()) >= 0.5 for n in (60, 1000, 10_000, 20_000))
     assert all(model.score(text(0, n).encode()) < 0.5 for n in (60, 1000, 10_000, 20_000))
     assert model.summary(model.differences(text(1, 20_000).encode()))[1] > 0
+
+
+def test_printed_fingerprints_peel(spark):
+    """Two printed fingerprints alone, folded to a common size, give how many paragraphs differ."""
+    docs = [(i, "\n".join(f"line {j}" for j in range(100 * i, 100 * i + 90 - 20 * i))) for i in range(3)]
+    got = fingerprints.compare_versions(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+
+    def cells(printed):
+        size, *found = printed.split(" ")
+        found = [[int(x, 16) for x in c.split(":")] for c in found]
+        return int(size, 16), found
+
+    def folded(sketch, to):
+        size, out = sketch[0], {}
+        for at, n, digest, check in sketch[1]:
+            old = out.get((at // size, at % size % to), (0, 0, 0))
+            out[at // size, at % size % to] = (old[0] + n, old[1] ^ digest, old[2] ^ check)
+        return out
+
+    for r in got:
+        a, b = cells(r["fingerprint"]), cells(r["edited_fingerprint"])
+        assert sum(n for _, n, _, _ in a[1]) == 3 * len(set(dict(docs)[r["doc_id"]].split("\n")))
+        a, b = (folded(x, min(a[0], b[0])) for x in (a, b))
+        left = {k: (x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]) for k in a.keys() | b.keys() for x, y in [(a.get(k, (0, 0, 0)), b.get(k, (0, 0, 0)))]}
+        checks, found = {}, set()
+        for _ in range(100):
+            for n, digest, check in [v for v in left.values() if abs(v[0]) == 1]:
+                of = [k for k, v in left.items() if v == (n, digest, check)]
+                if len(of) == 3 and digest not in found:
+                    found.add(digest)
+                    checks[digest] = n
+                    left |= dict.fromkeys(of, (0, 0, 0))
+        assert len(found) <= r["edited_changes"] and (found or not r["edited_changes"])
