@@ -11,7 +11,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytrace.llm import bpe, chat, common, decontaminate, fingerprints, langid, ngram_join, pii, repeats, secrets, toxicity
+from ferrytrace.llm import (
+    bpe,
+    chat,
+    collocations,
+    common,
+    decontaminate,
+    fingerprints,
+    langid,
+    ngram_join,
+    pii,
+    repeats,
+    secrets,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +158,56 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words in each language."""
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+ORACLES["op11_collocations"] = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+),
+grams AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k:
+    list_transform(range(1, len(words) - k + 2), lambda i: words[i : i + k - 1])))) AS gram
+  FROM words
+),
+counted AS (SELECT lang, gram, count(*) AS a FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM words GROUP BY ALL),
+candidates AS (SELECT * FROM counted WHERE len(gram) > 1 AND a >= 30),
+cuts AS (SELECT *, unnest(range(1, len(gram))) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.gram, c.a, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM cuts c
+  JOIN counted x ON x.lang = c.lang AND x.gram = c.gram[1 : c.k]
+  JOIN counted y ON y.lang = c.lang AND y.gram = c.gram[c.k + 1 : len(c.gram)]
+),
+weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+),
+inside AS (
+  SELECT lang, unnest(flatten(list_transform(range(2, len(gram)), lambda m:
+    list_transform(range(1, len(gram) - m + 2), lambda i: gram[i : i + m - 1])))) AS gram, a
+  FROM candidates
+),
+longer AS (SELECT lang, gram, max(a) AS most FROM inside GROUP BY ALL),
+kept AS (
+  SELECT w.*, array_to_string(w.gram, ' ') AS phrase
+  FROM weakest w LEFT JOIN longer b ON b.lang = w.lang AND b.gram = w.gram
+  WHERE b.most IS NULL OR 100::HUGEINT * b.most < 80::HUGEINT * w.a
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score::BIGINT AS score
+FROM ranked r JOIN sizes USING (lang) WHERE rank <= 2000
+"""

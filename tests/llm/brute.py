@@ -118,3 +118,31 @@ def versions(docs):
         a, b, c = parts(text), parts(edited), parts(after)
         found.append((key, len(text), sha(edited), round(near(a, b), 9), round(near(a, c), 9)))
     return found
+
+
+def collocations(rows, least, top):
+    """[(lang, rank, phrase, a, l, r, n, score)] for rows (text, lang)."""
+    counts, sizes = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low(text)):
+            words = re.findall("[^\x20\x09]+", piece)
+            sizes[lang] += len(words)
+            for k in range(1, 5):
+                counts[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    found = []
+    for lang, of in counts.items():
+        candidates = {p: a for p, a in of.items() if len(p) > 1 and a >= least}
+        absorbed = set()
+        for longer, b in candidates.items():
+            for m in range(2, len(longer)):
+                inner = [longer[i : i + m] for i in range(len(longer) - m + 1)]
+                absorbed.update(p for p in inner if 100 * b >= 80 * candidates[p])
+        listed = []
+        for p in candidates.keys() - absorbed:
+            a = candidates[p]
+            score, k = min((2000000 * a // (of[p[:k]] + of[p[k:]]), k) for k in range(1, len(p)))
+            listed.append((-score, -a, " ".join(p).encode(), of[p[:k]], of[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(listed)[:top], 1):
+            found.append((lang, rank, phrase.decode(), -a, left, right, sizes[lang], -score))
+    return sorted(found)
