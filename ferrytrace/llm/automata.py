@@ -1,170 +1,144 @@
-"""Weighted acyclic automata over words: a set of word sequences, each with a count.
+"""Weighted acyclic automata over numbers: a set of sequences of one length, each with a count.
 
-An automaton is built incrementally from sorted sequences: as soon as the next sequence leaves a
-path, the states behind can't change any more and are merged with equal ones.  A sequence's place in
-the sorted order (how many are accepted before it) is its place in the array of counts, so states
-with equal continuations are shared whatever the counts are.
+An automaton is built from sorted sequences, a layer at a time from their ends: prefixes whose
+continuations are equal share a state.  A sequence's place in the sorted order (how many are accepted
+before it) is its place in the array of counts, so states are shared whatever the counts are.
 """
 
 from __future__ import annotations
 
 import struct
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable
 
 import numpy as np
 import zstandard
 
-Words = tuple[bytes, ...]
+from ferrytrace.llm.words import mixed
+
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
+def sequence_hash(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """One hash of several columns of numbers."""
+    found = None
+    for part in parts:
+        found = mixed(part) if found is None else mixed(found * _STEP + part)
+    return found
+
+
+def summed(columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal sequences (columns of the matrix) once, with the sum of their counts."""
+    _, place, inverse = np.unique(sequence_hash(columns), return_index=True, return_inverse=True)
+    total = np.zeros(len(place), np.int64)
+    np.add.at(total, inverse, counts)
+    return columns[:, place], total
 
 
 class CountAutomaton:
-    """States 0, 1, ...; the last one is the start.  The transitions of a state are in order of their
-    labels, which are places in the sorted ``alphabet``."""
-
-    def __init__(
-        self,
-        alphabet: list[bytes],
-        final: Sequence[int],
-        first: Sequence[int],
-        labels: Sequence[int],
-        targets: Sequence[int],
-        counts: Sequence[int],
-    ):
-        self.alphabet, self.final, self.first = alphabet, final, first
-        self.labels, self.targets, self.counts = labels, targets, counts
+    """Layer i has the transitions with the i-th label of each sequence: ``first[i]`` says where a
+    state's transitions begin, ``labels[i]`` (places in the sorted ``alphabet``) ascend within a state,
+    ``targets[i]`` are states of the next layer.  The first layer has one state."""
 
-    @classmethod
-    def build(cls, alphabet: list[bytes], sequences: Iterable[Sequence[int]], counts: Sequence[int]) -> CountAutomaton:
-        """From distinct sequences of labels in ascending order."""
-        known: dict[tuple, int] = {}
-        final, first, labels, targets = [], [0], [], []
-
-        def frozen(state: list) -> int:
-            key = (state[0], tuple(state[1]), tuple(state[2]))
-            number = known.get(key)
-            if number is None:
-                number = known[key] = len(final)
-                final.append(int(state[0]))
-                labels.extend(state[1])
-                targets.extend(state[2])
-                first.append(len(labels))
-            return number
-
-        path: list[list] = [[False, [], []]]
-        before: Sequence[int] = ()
-        for sequence in sequences:
-            common = 0
-            for a, b in zip(before, sequence, strict=False):
-                if a != b:
-                    break
-                common += 1
-            while len(path) > common + 1:
-                number = frozen(path.pop())
-                path[-1][2].append(number)
-            for label in sequence[common:]:
-                path[-1][1].append(label)
-                path.append([False, [], []])
-            path[-1][0] = True
-            before = sequence
-        while len(path) > 1:
-            number = frozen(path.pop())
-            path[-1][2].append(number)
-        # The start is always a state of its own, the last.
-        final.append(int(path[0][0]))
-        labels.extend(path[0][1])
-        targets.extend(path[0][2])
-        first.append(len(labels))
-        return cls(alphabet, final, first, labels, targets, counts)
+    def __init__(self, alphabet: np.ndarray, first: list, labels: list, targets: list, counts: np.ndarray):
+        self.alphabet, self.first, self.labels, self.targets, self.counts = alphabet, first, labels, targets, counts
 
     @classmethod
-    def of(cls, counted: dict[Words, int]) -> CountAutomaton:
-        """From sequences of words with their counts."""
-        alphabet = sorted({w for s in counted for w in s})
-        number = {w: i for i, w in enumerate(alphabet)}
-        ordered = sorted(counted)
-        return cls.build(alphabet, ([number[w] for w in s] for s in ordered), [counted[s] for s in ordered])
-
-    def __iter__(self) -> Iterator[tuple[Words, int]]:
-        """All sequences in order, with their counts."""
-        counts = iter(self.counts)
-        final, first, targets = self.final, self.first, self.targets
-        words = [self.alphabet[x] for x in self.labels]
-
-        def below(state: int, prefix: Words) -> Iterator[tuple[Words, int]]:
-            if final[state]:
-                yield prefix, next(counts)
-            for t in range(first[state], first[state + 1]):
-                target, sequence = targets[t], (*prefix, words[t])
-                if first[target] == first[target + 1]:
-                    yield sequence, next(counts)
-                else:
-                    yield from below(target, sequence)
-
-        if self.final:
-            yield from below(len(final) - 1, ())
-
-    def accepted(self) -> list[int]:
-        """How many sequences each state accepts."""
-        found = []
-        for state, is_final in enumerate(self.final):  # targets come before their sources
-            of_targets = self.targets[self.first[state] : self.first[state + 1]]
-            found.append(is_final + sum(map(found.__getitem__, of_targets)))
-        return found
+    def of(cls, columns: np.ndarray, counts: np.ndarray) -> CountAutomaton:
+        """From the matrix of distinct sequences: a row for each place, a column for each sequence."""
+        alphabet, labels = np.unique(columns, return_inverse=True)
+        labels = labels.reshape(columns.shape).astype(np.int32)
+        order = np.lexsort(labels[::-1])
+        labels, counts = labels[:, order], counts[order]
+        depth, size = labels.shape
+        # new[i]: where a prefix of i + 1 labels differs from the one before.
+        new = np.ones((depth, size), bool)
+        for i in range(depth):
+            new[i, 1:] = labels[i, 1:] != labels[i, :-1]
+            if i:
+                new[i] |= new[i - 1]
+        firsts, edges, ends = [None] * depth, [None] * depth, [None] * depth
+        # States of the next layer, by distinct prefix; behind the last label there is only one.
+        target = np.zeros(size, np.int32)
+        for i in range(depth - 1, -1, -1):
+            heads = np.flatnonzero(new[i])  # one for each transition
+            label = labels[i, heads]
+            if i:
+                begins = np.flatnonzero(new[i - 1][heads])  # one for each prefix before it
+            else:
+                begins = np.zeros(min(size, 1), np.int64)
+            degree = np.diff(np.append(begins, len(heads)))
+            sign = mixed(label.astype(np.uint64) * _STEP + mixed(target.astype(np.uint64)))
+            sign = np.add.reduceat(sign, begins) if len(begins) else sign
+            _, one, state = np.unique(mixed(sign + degree.astype(np.uint64)), return_index=True, return_inverse=True)
+            kept = np.repeat(begins[one] - np.cumsum(np.append(0, degree[one]))[:-1], degree[one]) + np.arange(degree[one].sum())
+            firsts[i] = np.append(0, np.cumsum(degree[one])).astype(np.int32)
+            edges[i], ends[i] = label[kept], target[kept]
+            target = state.astype(np.int32)
+        return cls(alphabet, firsts, edges, ends, counts.astype(np.int64))
+
+    def sequences(self) -> np.ndarray:
+        """The matrix of all sequences in order; ``counts`` belongs to it."""
+        states, columns = np.zeros(min(len(self.counts), 1), np.int32), []
+        for first, labels, targets in zip(self.first, self.labels, self.targets, strict=True):
+            degree = (first[states + 1] - first[states]).astype(np.int64)
+            ends = np.cumsum(degree)
+            edges = np.repeat(first[states] - (ends - degree), degree) + np.arange(degree.sum())
+            columns = [np.repeat(c, degree) for c in columns] + [labels[edges]]
+            states = targets[edges]
+        return self.alphabet[np.array(columns, np.int64).reshape(len(self.first), -1)]
 
     def compose(self, asked: CountAutomaton) -> CountAutomaton:
-        """The sequences of ``asked`` that this one has too, with this one's counts: both are walked
-        together, so what they share is looked up once."""
-        number = {w: i for i, w in enumerate(self.alphabet)}
-        own = [number.get(w, -1) for w in asked.alphabet]
-        accepted, found = self.accepted(), {}
-
-        def below(mine: int, theirs: int, rank: int, prefix: Words) -> None:
-            if asked.final[theirs] and self.final[mine]:
-                found[prefix] = self.counts[rank]
-            start, end = self.first[mine], self.first[mine + 1]
-            at, rank = start, rank + self.final[mine]
-            for t in range(asked.first[theirs], asked.first[theirs + 1]):
-                label = own[asked.labels[t]]
-                if label < 0:
-                    continue
-                place = bisect_left(self.labels, label, at, end)
-                rank += sum(accepted[x] for x in self.targets[at:place])
-                at = place
-                if place < end and self.labels[place] == label:
-                    below(self.targets[place], asked.targets[t], rank, (*prefix, self.alphabet[label]))
-
-        below(len(self.final) - 1, len(asked.final) - 1, 0, ())
-        return CountAutomaton.of(found)
+        """The sequences of ``asked`` that this one has too, with this one's counts."""
+        wanted = asked.sequences()
+        if not len(self.counts) or not wanted.size:
+            return CountAutomaton.of(wanted[:, :0], np.zeros(0, np.int64))
+        # How many sequences each transition accepts, and so how many stand before it.
+        before, inside = [None] * len(self.first), np.ones(1, np.int64)
+        for i in range(len(self.first) - 1, -1, -1):
+            through = inside[self.targets[i]]
+            upto = np.append(0, np.cumsum(through))
+            source = np.repeat(np.arange(len(self.first[i]) - 1), np.diff(self.first[i]))
+            before[i] = (upto[:-1] - upto[self.first[i][source]], source)
+            inside = upto[self.first[i][1:]] - upto[self.first[i][:-1]]
+        size = len(self.alphabet)
+        state, rank = np.zeros(wanted.shape[1], np.int64), np.zeros(wanted.shape[1], np.int64)
+        found = np.ones(wanted.shape[1], bool)
+        for i, column in enumerate(wanted):
+            label = np.minimum(np.searchsorted(self.alphabet, column), size - 1)
+            skipped, source = before[i]
+            keys = source.astype(np.int64) * size + self.labels[i]
+            edge = np.minimum(np.searchsorted(keys, state * size + label), len(keys) - 1)
+            found &= (self.alphabet[label] == column) & (keys[edge] == state * size + label)
+            rank += skipped[edge]
+            state = self.targets[i][edge].astype(np.int64)
+        return CountAutomaton.of(wanted[:, found], self.counts[rank[found]])
 
     def to_bytes(self) -> bytes:
-        words = b"".join(self.alphabet)
-        parts = [
-            np.asarray([len(w) for w in self.alphabet], "<i4").tobytes(),
-            np.asarray(self.final, "<u1").tobytes(),
-            np.diff(np.asarray(self.first, "<i4")).astype("<i4").tobytes(),
-            np.asarray(self.labels, "<i4").tobytes(),
-            np.asarray(self.targets, "<i4").tobytes(),
-            np.asarray(self.counts, "<i8").tobytes(),
-        ]
-        sizes = struct.pack("<5i", len(words), len(self.alphabet), len(self.final), len(self.labels), len(self.counts))
-        return _PACK.compress(sizes + words + b"".join(parts))
+        parts = [np.asarray(self.alphabet, "<u8"), np.asarray(self.counts, "<i8")]
+        sizes = [len(self.first), len(self.alphabet), len(self.counts)]
+        for first, labels, targets in zip(self.first, self.labels, self.targets, strict=True):
+            parts += [np.diff(first).astype("<i4"), labels.astype("<i4"), targets.astype("<i4")]
+            sizes += [len(first) - 1, len(labels)]
+        head = struct.pack(f"<{len(sizes)}i", *sizes)
+        return _PACK.compress(head + b"".join(p.tobytes() for p in parts))
 
     @classmethod
     def from_bytes(cls, packed: bytes) -> CountAutomaton:
         data = _UNPACK.decompress(packed)
-        length, letters, states, edges, paths = struct.unpack_from("<5i", data)
-        at = 20 + length
+        depth, letters, paths = struct.unpack_from("<3i", data)
+        sizes = struct.unpack_from(f"<{2 * depth}i", data, 12)
+        at = 12 + 8 * depth
 
-        def take(kind: str, count: int) -> list[int]:
+        def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
             values = np.frombuffer(data, kind, count, at)
             at += values.nbytes
-            return values.tolist()
+            return values
 
-        ends = [20, *(20 + np.cumsum(take("<i4", letters), dtype=np.int64)).tolist()]
-        alphabet = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        final, degrees = take("<u1", states), take("<i4", states)
-        first = [0, *np.cumsum(degrees, dtype=np.int64).tolist()]
-        return cls(alphabet, final, first, take("<i4", edges), take("<i4", edges), take("<i8", paths))
+        alphabet, counts = take("<u8", letters), take("<i8", paths)
+        layers = [
+            (np.append(0, np.cumsum(take("<i4", states))).astype(np.int32), take("<i4", edges), take("<i4", edges))
+            for states, edges in zip(sizes[::2], sizes[1::2], strict=True)
+        ]
+        return cls(alphabet, *map(list, zip(*layers, strict=True)), counts)

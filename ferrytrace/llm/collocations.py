@@ -3,9 +3,13 @@
 Each shard of the texts builds automata that count its n-grams, one for every range of prefixes.  The
 automata of a range are united, their weights summed, and what is frequent becomes that range's count
 transducer.  Shorter phrases come first: an n-gram enters an automaton only where all its bigrams (for
-bigrams: its words) were frequent, which a bit table of fixed size tells; where that table errs, the
-n-gram is counted and falls to the threshold.  To look up the parts of candidates, each group of
-candidates writes the parts it asks for as an automaton, and the transducers are composed with it.
+bigrams: its words) may be frequent, which a bit table of fixed size tells; where that table errs, the
+n-gram is counted and falls to the threshold.  To look up the parts of candidates, each batch of
+candidates writes the parts it asks for as automata, and the transducers are composed with them.
+
+Labels are 64-bit hashes of the language and the words; the words themselves travel once a shard,
+beside the bigrams they stand in.  Rows are (range, depth, packed): automata of sequences of ``depth``
+labels (the language and so many words less one), and at depth 0 the spellings of labels.
 """
 
 from __future__ import annotations
@@ -14,12 +18,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrytrace.llm.automata import CountAutomaton, Words
+from ferrytrace.llm.automata import CountAutomaton, sequence_hash, summed
 from ferrytrace.llm.common import chunks, string_bytes
-from ferrytrace.llm.words import LOWER, RangeHash, byte_class, mixed, word_spans
+from ferrytrace.llm.words import LOWER, RangeHash, byte_class, word_spans
 from ferrytrace.session import written
 
 UNKNOWN_LANG = "und"
@@ -29,10 +33,12 @@ WORD = byte_class(b" \t" + PIECE_ENDS)
 ENDS_PIECE = ~byte_class(PIECE_ENDS)
 # Bits of the table of frequent n-grams: 8 MB, whatever the input.
 TABLE_BITS = 26
-# Different n-grams a shard holds before its automata are built.
-SHARD_GRAMS = 1 << 20
+# Text bytes that are worked on at once, and numbers a shard holds before its automata are taken.
+CHUNK_BYTES = 1 << 20
+SHARD_NUMBERS = 4 << 20
 
-_STEP = np.uint64(0x9FB21C651E98DF25)
+ROW = "range int, depth int, packed binary"
+SPELLINGS, LANGUAGE, WORDS = 0, 1, 2
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -41,17 +47,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return RangeHash(data)(edges[:-1], edges[1:])
 
 
-def sequence_hash(parts: Iterable[np.ndarray]) -> np.ndarray:
-    """One hash of several columns of hashes."""
-    found = None
-    for part in parts:
-        found = mixed(part) if found is None else mixed(found * _STEP + part)
-    return found
+def prefix_range(columns: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of sequences (language, words), by the language and the first two words."""
+    return (sequence_hash(columns[:3]) >> np.uint64(33)).astype(np.int64) % ranges
 
 
-def prefix_range(hashes: list[np.ndarray], ranges: int) -> np.ndarray:
-    """The range of sequences (language, words) by the hash of the language and the first two words."""
-    return (sequence_hash(hashes[:3]) >> np.uint64(33)).astype(np.int64) % ranges
+def label_range(labels: np.ndarray, ranges: int) -> np.ndarray:
+    """The range that keeps the spelling of a label."""
+    return (sequence_hash([labels]) >> np.uint64(33)).astype(np.int64) % ranges
 
 
 def probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,65 +63,77 @@ def probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BitTable:
-    """Which n-grams may be frequent: never wrong about one that is."""
+    """Which sequences may be frequent: never wrong about one that is."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for at in probes(hashes):
-            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    def may_hold(self, columns: list[np.ndarray]) -> np.ndarray:
+        first, second = probes(sequence_hash(columns))
+        found = (self.bits[first >> 3] >> (first & 7).astype(np.uint8)) & 1 == 1
+        at = np.flatnonzero(found)
+        second = second[at]
+        found[at] = (self.bits[second >> 3] >> (second & 7).astype(np.uint8)) & 1 == 1
         return found
 
 
-def bit_table(frequent: DataFrame) -> BitTable:
-    """The table for rows (lang, words); its bits are set by Spark and reach the driver as at most
-    2**TABLE_BITS bits."""
+def bit_table(transducers: DataFrame) -> BitTable:
+    """The table for all sequences of the transducers; its bits are set by Spark and reach the driver
+    as at most 2**TABLE_BITS bits."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sequence_hash(h) for _, h in _hash_columns(_sequences(batch))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for x in found for p in probes(x)]) + 1)], ["bit"])
+        for packed in _packed(batches):
+            both = probes(sequence_hash(CountAutomaton.from_bytes(packed).sequences()))
+            # Spark numbers bits from 1.
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(both)) + 1)], ["bit"])
 
-    bits = frequent.select("lang", "words").mapInArrow(work, "bit long")
     rows = (
-        bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+        transducers.select("packed")
+        .mapInArrow(work, "bit long")
+        .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         .collect()
     )
     table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for row in rows:  # Spark numbers bits and buckets from 1
+    for row in rows:
         part = np.frombuffer(bytes(row["bits"]), np.uint8)
         start = (row["bucket"] - 1) * len(part)
         table[start : start + len(part)] = part
     return BitTable(table)
 
 
-def _sequences(batch: pa.RecordBatch) -> list[Words]:
-    """(language, word, ...) of each row, as bytes."""
-    langs, words = batch.column("lang").to_pylist(), batch.column("words").to_pylist()
-    return [(x.encode(), *(w.encode() for w in ws)) for x, ws in zip(langs, words, strict=True)]
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batches:
+        yield from batch.column("packed").to_pylist()
+
+
+def _row(number: int, depth: int, packed: bytes) -> pa.RecordBatch:
+    columns = [pa.array([number], pa.int32()), pa.array([depth], pa.int32()), pa.array([packed], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["range", "depth", "packed"])
 
 
-def _hash_columns(sequences: list[Words]) -> Iterator[tuple[list[Words], list[np.ndarray]]]:
-    """The sequences of each length, and the hashes of their first, second, ... members."""
-    for length in sorted({len(s) for s in sequences}):
-        same = [s for s in sequences if len(s) == length]
-        yield same, [word_hashes([s[i] for s in same]) for i in range(length)]
+def pack_words(words: list[bytes]) -> bytes:
+    sizes = np.array([len(words), *map(len, words)], "<i4")
+    return sizes.tobytes() + b"".join(words)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    count = int(np.frombuffer(packed, "<i4", 1)[0])
+    sizes = np.frombuffer(packed, "<i4", count, 4)
+    ends = (4 + 4 * count + np.append(0, np.cumsum(sizes, dtype=np.int64))).tolist()
+    return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class Shard:
-    """Counts of the n-grams of some texts, in bounded memory until its automata are taken."""
+    """Counts of the n-grams of some texts, in bounded memory until its rows are taken."""
 
     def __init__(self, orders: tuple[int, ...], ranges: int, table: BitTable | None):
         self.orders, self.ranges, self.table = orders, ranges, table
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[int, bytes] = {}
-        self.found: dict[int, list[tuple]] = {k: [] for k in self.orders}
+        self.spelled: dict[int, bytes] = {}
+        self.found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in self.orders}
         self.size = 0
 
     def add(self, langs: list[str | None], data: np.ndarray, offsets: np.ndarray) -> None:
@@ -126,131 +141,163 @@ class Shard:
         starts, ends, first = word_spans(low, offsets, WORD)
         if not len(starts):
             return
-        names, codes = np.unique([UNKNOWN_LANG if x is None else x for x in langs], return_inverse=True)
-        encoded = [str(n).encode() for n in names]
-        per_text = np.diff(first)
-        lang = np.repeat(word_hashes(encoded)[codes], per_text)
-        self.words.update(zip(word_hashes(encoded).tolist(), encoded, strict=True))
         word = RangeHash(low)(starts, ends)
-        piece = np.cumsum(ENDS_PIECE[low])[starts]
-        text = np.repeat(np.arange(len(per_text)), per_text)
-        joined = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
-        used = []
+        names = {x: (UNKNOWN_LANG if x is None else x).encode() for x in langs}
+        codes = dict(zip(names, word_hashes(list(names.values())), strict=True))
+        per_text = np.diff(first)
+        lang = np.repeat(np.array([codes[x] for x in langs], np.uint64), per_text)
+        # The number of separators before a word, texts counted as well: equal within a piece.
+        piece = np.cumsum(ENDS_PIECE[low], dtype=np.int32)[starts]
+        piece += np.repeat(np.arange(len(per_text), dtype=np.int32), per_text)
+        joined = piece[1:] == piece[:-1]
         for order, at in self._places(lang, word, joined):
-            columns = [lang[at], *(word[at + i] for i in range(order))]
-            grams, place, counts = np.unique(sequence_hash(columns), return_index=True, return_counts=True)
-            self.found[order].append((grams, np.array([c[place] for c in columns]), counts))
-            self.size += len(grams)
-            used.extend(at[place] + i for i in range(order))
-        places = np.concatenate(used) if used else np.zeros(0, np.int64)
-        _, once = np.unique(word[places], return_index=True)
-        places = places[once]
-        content = low.tobytes()
-        for key, a, b in zip(word[places].tolist(), starts[places].tolist(), ends[places].tolist(), strict=True):
-            if key not in self.words:
-                self.words[key] = content[a:b]
+            columns = np.array([lang[at], *(word[at + i] for i in range(order))])
+            some = summed(columns, np.ones(len(at), np.int64))
+            self.found[order].append(some)
+            self.size += some[0].size + some[1].size
+            if order == 1:
+                self.spelled.update((int(codes[x]), name) for x, name in names.items())
+            elif order == 2:
+                self._spell(low, starts, ends, word, np.concatenate([at, at + 1]))
+
+    def _spell(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, at: np.ndarray) -> None:
+        labels, once = np.unique(word[at], return_index=True)
+        at, content = at[once], low.tobytes()
+        for key, a, b in zip(labels.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
+            if key not in self.spelled:
+                self.spelled[key] = content[a:b]
 
     def _places(self, lang: np.ndarray, word: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Where n-grams of each order start whose shorter phrases may be frequent."""
         if self.orders == (1,):
             yield 1, np.arange(len(word))
         elif self.orders == (2,):
-            may = self.table.may_hold(sequence_hash([lang, word]))
+            may = self.table.may_hold([lang, word])
             yield 2, np.flatnonzero(joined & may[:-1] & may[1:])
         else:
             pairs = np.flatnonzero(joined)
             may = joined
-            may[pairs] = self.table.may_hold(sequence_hash([lang[pairs], word[pairs], word[pairs + 1]]))
+            may[pairs] = self.table.may_hold([lang[pairs], word[pairs], word[pairs + 1]])
             for order in self.orders:
                 whole = may[: max(len(word) - order + 1, 0)].copy()
                 for i in range(1, order - 1):
                     whole &= may[i : i + len(whole)]
                 yield order, np.flatnonzero(whole)
 
-    def automata(self) -> Iterator[tuple[int, bytes]]:
-        """One automaton for each range that has n-grams; the shard is empty afterwards."""
-        counted: dict[int, dict[Words, int]] = {}
-        for parts in self.found.values():
-            if not parts:
-                continue
-            grams, place, inverse = np.unique(
-                np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True
-            )
-            counts = np.zeros(len(grams), np.int64)
-            np.add.at(counts, inverse, np.concatenate([p[2] for p in parts]))
-            columns = np.concatenate([p[1] for p in parts], axis=1)[:, place]
-            of_range = prefix_range(list(columns), self.ranges).tolist()
-            sequences = zip(*(map(self.words.__getitem__, c.tolist()) for c in columns), strict=True)
-            for number, sequence, count in zip(of_range, sequences, counts.tolist(), strict=True):
-                counted.setdefault(number, {})[sequence] = count
+    def is_full(self) -> bool:
+        """Whether the shard stays large when equal n-grams of its chunks are merged."""
+        if self.size >= SHARD_NUMBERS:
+            self._merge()
+            return self.size >= SHARD_NUMBERS // 2
+        return False
+
+    def _merge(self) -> None:
+        """Equal n-grams of several chunks once."""
+        self.size = 0
+        for order, parts in self.found.items():
+            if parts:
+                some = summed(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
+                self.found[order] = [some]
+                self.size += some[0].size + some[1].size
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """One automaton for each range and order, and the spellings; the shard is empty afterwards."""
+        self._merge()
+        for order, parts in self.found.items():
+            for columns, counts in parts:
+                of_range = prefix_range(columns, self.ranges)
+                order_of = np.argsort(of_range, kind="stable")
+                cuts = np.flatnonzero(np.diff(of_range[order_of])) + 1
+                for at in np.split(order_of, cuts) if len(order_of) else []:
+                    made = CountAutomaton.of(columns[:, at], counts[at])
+                    yield _row(int(of_range[at[0]]), order + 1, made.to_bytes())
+        labels = np.array(list(self.spelled), np.uint64)
+        of_range = label_range(labels, self.ranges).tolist() if len(labels) else []
+        by_range: dict[int, list[bytes]] = {}
+        for number, name in zip(of_range, self.spelled.values(), strict=True):
+            by_range.setdefault(number, []).append(name)
+        for number, names in by_range.items():
+            yield _row(number, SPELLINGS, pack_words(names))
         self.clear()
-        for number in sorted(counted):
-            yield number, CountAutomaton.of(counted.pop(number)).to_bytes()
 
 
 def shard_automata(docs: DataFrame, orders: tuple[int, ...], ranges: int, table: BitTable | None = None) -> DataFrame:
-    """``range`` and ``automaton``: the counted n-grams of each shard of (lang, text)."""
+    """Rows of each shard of (lang, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(table.bits) if table else None
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(orders, ranges, BitTable(sent.value) if sent else None)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
             shard.add(chunk.column("lang").to_pylist(), *string_bytes(chunk.column("text")))
-            if shard.size >= SHARD_GRAMS:
-                yield from _rows(shard.automata())
-        yield from _rows(shard.automata())
-
-    return docs.select("lang", "text").mapInArrow(work, "range int, automaton binary")
-
+            if shard.is_full():
+                yield from shard.rows()
+        yield from shard.rows()
 
-def _rows(automata: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for number, packed in automata:
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], ["range", "automaton"])
+    return docs.select("lang", "text").mapInArrow(work, ROW)
 
 
 def unite(shards: DataFrame, ranges: int, least: int) -> DataFrame:
-    """The automata of each range united, their counts summed: ``range`` and ``automaton`` of what
-    occurs ``least`` times.  Words are also summed by language, as the sequence (language)."""
+    """The automata of each range and depth united, their counts summed, with what occurs ``least``
+    times; words also as their number by language (depth 1); each spelling once."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, dict[Words, int]] = {}
-        for batch in batches:
-            for number, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total = totals.setdefault(number, {})
-                for sequence, count in CountAutomaton.from_bytes(packed):
-                    total[sequence] = total.get(sequence, 0) + count
-        for number, total in totals.items():
-            kept = {s: c for s, c in total.items() if c >= least}
-            for sequence, count in total.items():
-                if len(sequence) == 2:
-                    kept[sequence[:1]] = kept.get(sequence[:1], 0) + count
-            yield from _rows([(number, CountAutomaton.of(kept).to_bytes())])
+        total: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        names: dict[int, set[bytes]] = {}
+
+        def add(key: tuple[int, int]) -> None:
+            parts = [*([total[key]] if key in total else []), *waiting.pop(key, [])]
+            if parts:
+                total[key] = summed(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
 
-    return shards.repartitionById(ranges, F.col("range")).mapInArrow(work, shards.schema)
+        for batch in batches:
+            for number, depth, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if depth == SPELLINGS:
+                    names.setdefault(number, set()).update(unpack_words(packed))
+                    continue
+                automaton, key = CountAutomaton.from_bytes(packed), (number, depth)
+                waiting.setdefault(key, []).append((automaton.sequences(), automaton.counts))
+                # As much again as is united already.
+                if sum(p[1].size for p in waiting[key]) > 100_000 + (total[key][1].size if key in total else 0):
+                    add(key)
+        for key in list(waiting):
+            add(key)
+        for (number, depth), (columns, counts) in total.items():
+            if depth == WORDS:
+                sizes = summed(columns[:1], counts)
+                yield _row(number, LANGUAGE, CountAutomaton.of(*sizes).to_bytes())
+            kept = counts >= least
+            yield _row(number, depth, CountAutomaton.of(columns[:, kept], counts[kept]).to_bytes())
+        for number, some in names.items():
+            yield _row(number, SPELLINGS, pack_words(sorted(some)))
+
+    return shards.repartitionById(ranges, F.col("range")).mapInArrow(work, ROW)
 
 
 def sequences_of(transducers: DataFrame) -> DataFrame:
-    """``lang``, ``words`` and ``count`` of all sequences in the transducers."""
+    """``lang``, ``words`` (labels) and ``count`` of all sequences in the transducers."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for packed in batch.column("automaton").to_pylist():
-                found = list(CountAutomaton.from_bytes(packed))
-                for start in range(0, len(found), 10_000):
-                    some = found[start : start + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([s[0].decode() for s, _ in some], pa.string()),
-                            pa.array([[w.decode() for w in s[1:]] for s, _ in some], pa.list_(pa.string())),
-                            pa.array([c for _, c in some], pa.int64()),
-                        ],
-                        ["lang", "words", "count"],
-                    )
-
-    return transducers.select("automaton").mapInArrow(work, "lang string, words array<string>, count long")
-
-
-def weakest_cut(sequence: Words, count: int, of: dict[Words, int]) -> tuple[int, int, int]:
+        for packed in _packed(batches):
+            automaton = CountAutomaton.from_bytes(packed)
+            columns, counts = automaton.sequences().view(np.int64), automaton.counts
+            depth = len(columns) - 1
+            for start in range(0, len(counts), 10_000):
+                some = columns[:, start : start + 10_000]
+                edges = np.arange(0, depth * some.shape[1] + 1, depth, dtype=np.int32) if depth else np.zeros(some.shape[1] + 1, np.int32)
+                words = pa.ListArray.from_arrays(pa.array(edges), pa.array(some[1:].T.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some[0]), words, pa.array(counts[start : start + 10_000])], ["lang", "words", "count"]
+                )
+
+    automata = transducers.where(F.col("depth") > SPELLINGS).select("packed")
+    return automata.mapInArrow(work, "lang long, words array<long>, count long")
+
+
+Sequence = tuple[int, ...]
+
+
+def weakest_cut(sequence: Sequence, count: int, of: dict[Sequence, int]) -> tuple[int, int, int]:
     """(score, l, r) of the cut with the lowest score, the first of those."""
     lang, words = sequence[:1], sequence[1:]
     cuts = []
@@ -261,65 +308,95 @@ def weakest_cut(sequence: Words, count: int, of: dict[Words, int]) -> tuple[int,
     return score, left, right
 
 
+def _candidates(table: pa.Table) -> list[Sequence]:
+    langs, words = table.column("lang").to_pylist(), table.column("words").to_pylist()
+    return [(x, *ws) for x, ws in zip(langs, words, strict=True)]
+
+
 def scored_by_parts(candidates: DataFrame, transducers: DataFrame, ranges: int) -> DataFrame:
-    """``lang``, ``words``, ``count`` with ``l``, ``r`` and ``score`` of the weakest cut.
+    """``lang``, ``words``, ``count`` with the ``name`` of the language, the ``phrase``, and ``l``, ``r``
+    and ``score`` of the weakest cut.
 
     Each batch of candidates asks every range once for what it needs of it, so a part that many
     candidates share is no hot key."""
 
     def ask(table: pa.Table) -> pa.Table:
-        parts: set[Words] = set()
-        for batch in table.to_batches():
-            for s in _sequences(batch):
-                for k in range(2, len(s)):
-                    parts |= {s[:k], s[:1] + s[k:]}
-        asked: dict[int, dict[Words, int]] = {}
-        for same, columns in _hash_columns(sorted(parts)):
-            for sequence, number in zip(same, prefix_range(columns, ranges).tolist(), strict=True):
-                asked.setdefault(number, {})[sequence] = 0
-        packed = [CountAutomaton.of(a).to_bytes() for a in asked.values()]
+        parts: set[Sequence] = set()
+        sequences = _candidates(table)
+        for s in sequences:
+            for k in range(2, len(s)):
+                parts |= {s[:k], s[:1] + s[k:]}
+        asked = []
+        for depth in sorted({len(p) for p in parts}):
+            columns = np.array([p for p in parts if len(p) == depth], np.int64).T.view(np.uint64)
+            of_range = prefix_range(columns, ranges)
+            for number in np.unique(of_range).tolist():
+                some = columns[:, of_range == number]
+                asked.append((number, depth, CountAutomaton.of(some, np.zeros(some.shape[1], np.int64)).to_bytes()))
+        labels = np.unique(np.array([x for s in sequences for x in s], np.int64)).view(np.uint64)
+        of_range = label_range(labels, ranges)
+        asked += [(n, SPELLINGS, labels[of_range == n].tobytes()) for n in np.unique(of_range).tolist()]
         batch = table.column("batch")[0].as_py()
-        return pa.table(
-            [pa.array([batch] * len(asked), pa.int64()), pa.array(list(asked), pa.int32()), pa.array(packed, pa.binary())],
-            ["batch", "range", "asked"],
-        )
+        kinds = [pa.int32(), pa.int32(), pa.binary()]
+        columns = [pa.array([a[i] for a in asked], kind) for i, kind in enumerate(kinds)]
+        return pa.table([pa.array([batch] * len(asked), pa.int64()), *columns], ["batch", "range", "depth", "packed"])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        counted = [CountAutomaton.from_bytes(p) for p in known.column("automaton").to_pylist()]
+        counted: dict[int, CountAutomaton] = {}
+        spelled: dict[int, bytes] = {}
+        for depth, packed in zip(known.column("depth").to_pylist(), known.column("packed").to_pylist(), strict=True):
+            if depth == SPELLINGS:
+                names = unpack_words(packed)
+                spelled.update(zip(word_hashes(names).tolist(), names, strict=True))
+            else:
+                counted[depth] = CountAutomaton.from_bytes(packed)
         found = []
-        for packed in asked.column("asked").to_pylist():
-            wanted, answers = CountAutomaton.from_bytes(packed), {}
-            for automaton in counted:
-                answers.update(automaton.compose(wanted))
-            found.append(CountAutomaton.of(answers).to_bytes())
-        return pa.table([asked.column("batch"), pa.array(found, pa.binary())], ["batch", "answer"])
+        for depth, packed in zip(asked.column("depth").to_pylist(), asked.column("packed").to_pylist(), strict=True):
+            if depth == SPELLINGS:
+                found.append(pack_words([spelled[x] for x in np.frombuffer(packed, "<u8").tolist() if x in spelled]))
+            else:
+                found.append(counted[depth].compose(CountAutomaton.from_bytes(packed)).to_bytes())
+        return pa.table([*asked.select(["batch", "depth"]).columns, pa.array(found, pa.binary())], ["batch", "depth", "packed"])
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        of = {s: c for p in answers.column("answer").to_pylist() for s, c in CountAutomaton.from_bytes(p)}
-        rows = []
-        for batch in table.to_batches():
-            counts = batch.column("count").to_pylist()
-            rows.extend(weakest_cut(s, c, of) for s, c in zip(_sequences(batch), counts, strict=True))
+        of: dict[Sequence, int] = {}
+        spelled: dict[int, str] = {}
+        for depth, packed in zip(answers.column("depth").to_pylist(), answers.column("packed").to_pylist(), strict=True):
+            if depth == SPELLINGS:
+                names = unpack_words(packed)
+                labels = word_hashes(names).view(np.int64).tolist()
+                spelled.update((x, n.decode()) for x, n in zip(labels, names, strict=True))
+            else:
+                automaton = CountAutomaton.from_bytes(packed)
+                columns = automaton.sequences().view(np.int64).tolist()
+                of.update(zip(zip(*columns, strict=True), automaton.counts.tolist(), strict=True))
+        sequences = _candidates(table)
+        rows = [weakest_cut(s, c, of) for s, c in zip(sequences, table.column("count").to_pylist(), strict=True)]
+        names = pa.array([spelled[s[0]] for s in sequences], pa.string())
+        phrases = pa.array([" ".join(spelled[x] for x in s[1:]) for s in sequences], pa.string())
         columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-        return pa.table([*table.select(["lang", "words", "count"]).columns, *columns], ["lang", "words", "count", "score", "l", "r"])
+        return pa.table(
+            [*table.select(["lang", "words", "count"]).columns, names, phrases, *columns],
+            ["lang", "words", "count", "name", "phrase", "score", "l", "r"],
+        )
 
     batches = F.pmod(F.xxhash64("lang", "words"), F.lit(ranges))
     dealt = candidates.withColumn("batch", batches)
-    asked = dealt.groupBy("batch").applyInArrow(ask, "batch long, range int, asked binary")
+    asked = dealt.groupBy("batch").applyInArrow(ask, "batch long, " + ROW)
     answers = (
-        asked.groupBy("range").cogroup(transducers.groupBy("range")).applyInArrow(answer, "batch long, answer binary")
+        asked.groupBy("range")
+        .cogroup(transducers.groupBy("range"))
+        .applyInArrow(answer, "batch long, depth int, packed binary")
     )
     return (
         dealt.groupBy("batch")
         .cogroup(answers.groupBy("batch"))
-        .applyInArrow(score, "lang string, words array<string>, count long, score long, l long, r long")
+        .applyInArrow(
+            score, "lang long, words array<long>, count long, name string, phrase string, score long, l long, r long"
+        )
     )
 
 
-def _exact(column: str | Column, factor: int) -> Column:
-    return F.col(column).cast("decimal(30,0)") * F.lit(factor).cast("decimal(3,0)")
-
-
 def without_absorbed(scored: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates that don't nearly always (four times of five) stand inside one longer candidate."""
     inner = F.expr(
@@ -328,8 +405,10 @@ def without_absorbed(scored: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     longer = candidates.where(F.size("words") > 2).select("lang", F.explode(inner).alias("words"), "count")
     most = longer.groupBy("lang", "words").agg(F.max("count").alias("longer"))
-    joined = scored.join(most, ["lang", "words"], "left")
-    return joined.where(F.coalesce(_exact("longer", 100) < _exact("count", 80), F.lit(True))).drop("longer")
+    # Products may pass 64 bits.
+    part = F.col("longer").cast("decimal(30,0)") * F.lit(100).cast("decimal(3,0)")
+    whole = F.col("count").cast("decimal(30,0)") * F.lit(80).cast("decimal(3,0)")
+    return scored.join(most, ["lang", "words"], "left").where(F.coalesce(part < whole, F.lit(True))).drop("longer")
 
 
 def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -350,15 +429,14 @@ def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, text: str =
         return written(united, f"phrases-{orders[-1]}")
 
     words = level((1,), None)
-    known = sequences_of(words)
-    pairs = level((2,), bit_table(known.where(F.size("words") == 1)))
-    longer = level((3, 4), bit_table(sequences_of(pairs)))
+    pairs = level((2,), bit_table(words.where(F.col("depth") == WORDS)))
+    longer = level((3, 4), bit_table(pairs.where(F.col("depth") > WORDS)))
     candidates = sequences_of(pairs.unionByName(longer))
-    scored = scored_by_parts(candidates, words.unionByName(pairs).unionByName(longer), ranges)
-    sizes = known.where(F.size("words") == 0).groupBy("lang").agg(F.sum("count").alias("n"))
-    listed = without_absorbed(scored, candidates).select(
-        "lang", F.array_join("words", " ").alias("phrase"), F.col("count").alias("a"), "l", "r", "score"
-    )
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    known = words.where(F.col("depth") != LANGUAGE).unionByName(pairs).unionByName(longer)
+    sizes = sequences_of(words.where(F.col("depth") == LANGUAGE)).groupBy("lang").agg(F.sum("count").alias("n"))
+    listed = without_absorbed(scored_by_parts(candidates, known, ranges), candidates)
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("count"), "phrase")
     ranked = listed.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(sizes, "lang").select(
+        F.col("name").alias("lang"), "rank", "phrase", F.col("count").alias("a"), "l", "r", "n", "score"
+    )

@@ -14,39 +14,60 @@ from ferrytrace.llm.automata import CountAutomaton
 from ferrytrace.llm.queries import ORACLES, QUERIES
 
 
-def counted(seed, size=400):
+def counted(seed, depth, size=400, values=30):
+    """{sequence: count}, and the same as a matrix and counts."""
     rng = random.Random(seed)
-    letters = [b"", b"a", b"ab", b"line\nbreak", "é".encode(), b"z" * 300]
-    return {tuple(rng.choices(letters, k=rng.randint(1, 4))): rng.randint(1, 1 << 60) for _ in range(size)}
+    of = {tuple(rng.randrange(values) << 58 for _ in range(depth)): rng.randint(1, 1 << 60) for _ in range(size)}
+    return of, *matrix(of, depth)
 
 
-def test_automaton_returns_what_it_was_built_from():
-    for of in (counted(1), {}, {(b"a",): 3}):
-        made = CountAutomaton.of(of)
-        assert dict(made) == of and [s for s, _ in made] == sorted(of)
-        assert list(CountAutomaton.from_bytes(made.to_bytes())) == list(made)
+def matrix(of, depth):
+    return np.array(list(of), np.uint64).reshape(len(of), depth).T, np.array(list(of.values()), np.int64)
+
+
+def listed(automaton):
+    return list(zip(zip(*automaton.sequences().tolist(), strict=True), automaton.counts.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5])
+@pytest.mark.parametrize("size", [0, 1, 2, 400])
+def test_automaton_returns_what_it_was_built_from(depth, size):
+    of, columns, counts = counted(depth, depth, size)
+    made = CountAutomaton.of(columns, counts)
+    assert listed(made) == sorted(of.items())
+    assert listed(CountAutomaton.from_bytes(made.to_bytes())) == listed(made)
 
 
 def test_automaton_is_minimal():
-    """States with the same continuations are one state: here only start, middle and end are left."""
-    made = CountAutomaton.of({(a, b): i for i, a in enumerate([b"x", b"y", b"z"]) for b in [b"1", b"2"]})
-    assert len(made.final) == 3 and len(made.labels) == 5
+    """States with the same continuations are one state: start, middle and end are left, five transitions."""
+    of = {(a, b): a * b for a in (10, 20, 30) for b in (1, 2)}
+    made = CountAutomaton.of(*matrix(of, 2))
+    assert [len(f) - 1 for f in made.first] == [1, 1] and [len(x) for x in made.labels] == [3, 2]
 
 
-def test_composition_looks_up_what_is_asked():
-    known, asked = counted(2), counted(3)
-    found = CountAutomaton.of(known).compose(CountAutomaton.of(asked))
-    assert dict(found) == {s: known[s] for s in asked if s in known}
-    assert dict(CountAutomaton.of({}).compose(CountAutomaton.of(asked))) == {}
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_composition_looks_up_what_is_asked(depth):
+    known, asked = counted(2, depth), counted(3, depth)
+    found = CountAutomaton.of(*known[1:]).compose(CountAutomaton.of(*asked[1:]))
+    assert listed(found) == sorted((s, known[0][s]) for s in asked[0] if s in known[0])
+    nothing = CountAutomaton.of(*counted(4, depth, 0)[1:])
+    assert listed(nothing.compose(CountAutomaton.of(*asked[1:]))) == []
+    assert listed(CountAutomaton.of(*known[1:]).compose(nothing)) == []
+
+
+def test_words_are_packed_whole():
+    words = [b"", b"a", b"line\nbreak", "é".encode(), b"z" * 300]
+    assert collocations.unpack_words(collocations.pack_words(words)) == words
+    assert collocations.unpack_words(collocations.pack_words([])) == []
 
 
 def test_bit_table_holds_all_that_is_frequent(spark):
-    rows = [("en", ["a"]), ("de", ["a"]), ("en", ["b"]), ("", ["é"])]
-    table = collocations.bit_table(spark.createDataFrame(rows, "lang string, words array<string>"))
-    hashes = [collocations.word_hashes([x.encode() for x in column]) for column in (["en", "de", "en", "", "fr"], "ababé")]
-    hashes[1] = collocations.word_hashes([w.encode() for w in ["a", "a", "b", "é", "a"]])
-    assert table.may_hold(collocations.sequence_hash(hashes)).tolist() == [True] * 4 + [False]
-    assert int(np.unpackbits(table.bits).sum()) <= 8
+    of, columns, counts = counted(5, 2)
+    rows = [(0, 2, bytearray(CountAutomaton.of(columns[:, i::3], counts[i::3]).to_bytes())) for i in range(3)]
+    table = collocations.bit_table(spark.createDataFrame(rows, collocations.ROW))
+    assert table.may_hold(list(columns)).all()
+    other = columns + np.uint64(1)
+    assert not table.may_hold(list(other)).any() and int(np.unpackbits(table.bits).sum()) <= 2 * len(of)
 
 
 def some_texts(seed, count=300):
@@ -69,20 +90,31 @@ def test_phrases_equal_the_plain_version(spark, seed, least, top):
 
 
 def test_small_shards(spark, monkeypatch):
-    """A shard whose automata are taken again and again counts the same."""
+    """Shards whose automata are taken again and again, and batches of a few rows, count the same."""
+    monkeypatch.setattr(collocations, "SHARD_NUMBERS", 40)
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 50)
     rows = some_texts(4)
-    shard, got = collocations.Shard((1,), 4, None), {}
+    shard, got = collocations.Shard((1,), 3, None), {}
     for text, lang in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         shard.add([lang], data, np.array([0, len(data)]))
-        for _, packed in shard.automata():
-            for sequence, count in CountAutomaton.from_bytes(packed):
-                got[sequence] = got.get(sequence, 0) + count
-    once = collocations.Shard((1,), 1, None)
-    for text, lang in rows:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        once.add([lang], data, np.array([0, len(data)]))
-    assert got == dict(CountAutomaton.from_bytes(next(once.automata())[1]))
+        if shard.is_full():
+            add_up(got, shard)
+    add_up(got, shard)
+    once, want = collocations.Shard((1,), 1, None), {}
+    data = [(text or "").encode() for text, _ in rows]
+    offsets = np.cumsum([0, *map(len, data)])
+    once.add([lang for _, lang in rows], np.frombuffer(b"".join(data), np.uint8), offsets)
+    add_up(want, once)
+    assert got == want
+
+
+def add_up(total, shard):
+    for batch in shard.rows():
+        row = batch.to_pylist()[0]
+        if row["depth"]:
+            for sequence, count in listed(CountAutomaton.from_bytes(row["packed"])):
+                total[sequence] = total.get(sequence, 0) + count
 
 
 def test_edge_rows(spark, edge, nothing):
