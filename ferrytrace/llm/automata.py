@@ -15,7 +15,7 @@ import zstandard
 
 from ferrytrace.llm.words import mixed
 
-_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+compressed, decompressed = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -121,11 +121,11 @@ class CountAutomaton:
             parts += [np.diff(first).astype("<i4"), labels.astype("<i4"), targets.astype("<i4")]
             sizes += [len(first) - 1, len(labels)]
         head = struct.pack(f"<{len(sizes)}i", *sizes)
-        return _PACK.compress(head + b"".join(p.tobytes() for p in parts))
+        return compressed(head + b"".join(p.tobytes() for p in parts))
 
     @classmethod
     def from_bytes(cls, packed: bytes) -> CountAutomaton:
-        data = _UNPACK.decompress(packed)
+        data = decompressed(packed)
         depth, letters, paths = struct.unpack_from("<3i", data)
         sizes = struct.unpack_from(f"<{2 * depth}i", data, 12)
         at = 12 + 8 * depth

@@ -2,14 +2,17 @@
 
 Each shard of the texts builds automata that count its n-grams, one for every range of prefixes.  The
 automata of a range are united, their weights summed, and what is frequent becomes that range's count
-transducer.  Shorter phrases come first: an n-gram enters an automaton only where all its bigrams (for
-bigrams: its words) may be frequent, which a bit table of fixed size tells; where that table errs, the
-n-gram is counted and falls to the threshold.  To look up the parts of candidates, each batch of
-candidates writes the parts it asks for as automata, and the transducers are composed with them.
-
-Labels are 64-bit hashes of the language and the words; the words themselves travel once a shard,
-beside the bigrams they stand in.  Rows are (range, depth, packed): automata of sequences of ``depth``
-labels (the language and so many words less one), and at depth 0 the spellings of labels.
+transducer.  To look up the parts of candidates, each batch of candidates writes the parts it asks for
+as automata, and the transducers are composed with them.
+
+Only n-grams enter whose parts may be frequent.  Two sieves tell, first of words, then of bigrams of
+such words: shards count short hashes, Spark sums them, and a bit table of fixed size keeps the
+frequent ones.  It never misses one; where hashes meet by chance, an n-gram is counted in vain and
+falls to the threshold.
+
+Labels are 64-bit hashes of the language and the words; the words themselves travel once a shard.
+Rows are (range, depth, packed): automata of sequences of ``depth`` labels (the language and so many
+words less one), and at depth 0 the spellings of labels.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrytrace.llm.automata import CountAutomaton, sequence_hash, summed
+from ferrytrace.llm.automata import CountAutomaton, compressed, decompressed, sequence_hash, summed
 from ferrytrace.llm.common import chunks, string_bytes
-from ferrytrace.llm.words import LOWER, RangeHash, byte_class, word_spans
+from ferrytrace.llm.words import LOWER, RangeHash, byte_class, mixed, word_spans
 from ferrytrace.session import written
 
 UNKNOWN_LANG = "und"
@@ -31,8 +34,10 @@ UNKNOWN_LANG = "und"
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 WORD = byte_class(b" \t" + PIECE_ENDS)
 ENDS_PIECE = ~byte_class(PIECE_ENDS)
-# Bits of the table of frequent n-grams: 8 MB, whatever the input.
+LONGEST = 4
+# Bits of a table of frequent n-grams: 8 MB, whatever the input; and of the hashes that sieves count.
 TABLE_BITS = 26
+HASH_BITS = 40
 # Text bytes that are worked on at once, and numbers a shard holds before its automata are taken.
 CHUNK_BYTES = 1 << 20
 SHARD_NUMBERS = 4 << 20
@@ -57,9 +62,14 @@ def label_range(labels: np.ndarray, ranges: int) -> np.ndarray:
     return (sequence_hash([labels]) >> np.uint64(33)).astype(np.int64) % ranges
 
 
+def short(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """The hash of sequences that sieves count."""
+    return sequence_hash(columns) >> np.uint64(64 - HASH_BITS)
+
+
 def probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << TABLE_BITS) - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+    second = mixed(hashes) >> np.uint64(64 - TABLE_BITS)
+    return (hashes >> np.uint64(HASH_BITS - TABLE_BITS)).astype(np.int64), second.astype(np.int64)
 
 
 class BitTable:
@@ -69,7 +79,7 @@ class BitTable:
         self.bits = bits
 
     def may_hold(self, columns: list[np.ndarray]) -> np.ndarray:
-        first, second = probes(sequence_hash(columns))
+        first, second = probes(short(columns))
         found = (self.bits[first >> 3] >> (first & 7).astype(np.uint8)) & 1 == 1
         at = np.flatnonzero(found)
         second = second[at]
@@ -77,29 +87,70 @@ class BitTable:
         return found
 
 
-def bit_table(transducers: DataFrame) -> BitTable:
-    """The table for all sequences of the transducers; its bits are set by Spark and reach the driver
-    as at most 2**TABLE_BITS bits."""
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: what is alike stands together."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _from_planes(data: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack_hashes(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending hashes as steps, with their counts."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
+    return compressed(_planes(steps) + _planes(counts.astype("<u8")))
+
+
+def unpack_hashes(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.split(np.frombuffer(decompressed(packed), np.uint8), 2)
+    return np.cumsum(_from_planes(steps, "<u8"), dtype=np.uint64), _from_planes(counts, "<u8").astype(np.int64)
+
+
+def sieve(docs: DataFrame, ranges: int, least: int, *tables: BitTable) -> BitTable:
+    """The table of words, or with their table of the bigrams, of (lang, text) that occur ``least``
+    times.  Hashes are summed by range; the bits are set by Spark and reach the driver as at most
+    2**TABLE_BITS bits."""
+    sent = [docs.sparkSession.sparkContext.broadcast(t.bits) for t in tables]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from HashShard(ranges, tuple(BitTable(b.value) for b in sent)).rows_of(batches)
+
+    def frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, total = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for packed in _packed(batches):
-            both = probes(sequence_hash(CountAutomaton.from_bytes(packed).sequences()))
-            # Spark numbers bits from 1.
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(both)) + 1)], ["bit"])
+            waiting.append(unpack_hashes(packed))
+            size += len(waiting[-1][0])
+            if size > 500_000 + len(total[0]):
+                total, waiting, size = united([total, *waiting]), [], 0
+        hashes, counts = united([total, *waiting])
+        both = probes(hashes[counts >= least])
+        # Spark numbers bits from 1.
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(both)) + 1)], ["bit"])
 
     rows = (
-        transducers.select("packed")
-        .mapInArrow(work, "bit long")
+        docs.select("lang", "text")
+        .mapInArrow(count, ROW)
+        .repartitionById(ranges, F.col("range"))
+        .mapInArrow(frequent, "bit long")
         .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         .collect()
     )
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
     for row in rows:
         part = np.frombuffer(bytes(row["bits"]), np.uint8)
         start = (row["bucket"] - 1) * len(part)
-        table[start : start + len(part)] = part
-    return BitTable(table)
+        bits[start : start + len(part)] = part
+    return BitTable(bits)
+
+
+def united(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal hashes once, in order, with the sum of their counts."""
+    hashes, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.zeros(len(hashes), np.int64)
+    np.add.at(total, inverse, np.concatenate([p[1] for p in parts]))
+    return hashes, total
 
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
@@ -125,17 +176,29 @@ def unpack_words(packed: bytes) -> list[bytes]:
 
 
 class Shard:
-    """Counts of the n-grams of some texts, in bounded memory until its rows are taken."""
+    """Counts of the n-grams of some texts, in bounded memory until its rows are taken.
 
-    def __init__(self, orders: tuple[int, ...], ranges: int, table: BitTable | None):
-        self.orders, self.ranges, self.table = orders, ranges, table
+    Without a table the words; with the table of words the bigrams of such words; with that of bigrams
+    too, the words and all orders up to ``LONGEST`` whose bigrams may be frequent."""
+
+    def __init__(self, ranges: int, tables: tuple[BitTable, ...]):
+        self.ranges, self.tables = ranges, tables
         self.clear()
 
     def clear(self) -> None:
-        self.spelled: dict[int, bytes] = {}
-        self.found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in self.orders}
+        self.found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.size = 0
 
+    def rows_of(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of the texts; they are taken as often as memory asks for."""
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
+            self.add(chunk.column("lang").to_pylist(), *string_bytes(chunk.column("text")))
+            if self.size >= SHARD_NUMBERS:
+                self.merge()
+                if self.size >= SHARD_NUMBERS // 2:
+                    yield from self.rows()
+        yield from self.rows()
+
     def add(self, langs: list[str | None], data: np.ndarray, offsets: np.ndarray) -> None:
         low = LOWER[data]
         starts, ends, first = word_spans(low, offsets, WORD)
@@ -150,67 +213,107 @@ class Shard:
         piece = np.cumsum(ENDS_PIECE[low], dtype=np.int32)[starts]
         piece += np.repeat(np.arange(len(per_text), dtype=np.int32), per_text)
         joined = piece[1:] == piece[:-1]
-        for order, at in self._places(lang, word, joined):
-            columns = np.array([lang[at], *(word[at + i] for i in range(order))])
-            some = summed(columns, np.ones(len(at), np.int64))
-            self.found[order].append(some)
+        places = self._places(lang, word, joined)
+        for order, at in places.items():
+            self.keep(order + 1, np.array([lang[at], *(word[at + i] for i in range(order))]))
+        self.spell(dict(zip(map(int, codes.values()), names.values(), strict=True)), lang, low, starts, ends, word, places)
+
+    def _places(self, lang: np.ndarray, word: np.ndarray, joined: np.ndarray) -> dict[int, np.ndarray]:
+        """Where n-grams of each order start that the tables let pass."""
+        if not self.tables:
+            return {1: np.arange(len(word))}
+        words = self.tables[0].may_hold([lang, word])
+        pairs = joined & words[:-1] & words[1:]
+        at = np.flatnonzero(pairs)
+        if len(self.tables) == 1:
+            return {2: at}
+        pairs[at] = self.tables[1].may_hold([lang[at], word[at], word[at + 1]])
+        places = {1: np.flatnonzero(words)}
+        for order in range(2, LONGEST + 1):
+            whole = pairs[: max(len(word) - order + 1, 0)].copy()
+            for i in range(1, order - 1):
+                whole &= pairs[i : i + len(whole)]
+            places[order] = np.flatnonzero(whole)
+        return places
+
+    def keep(self, depth: int, columns: np.ndarray) -> None:
+        some = summed(columns, np.ones(columns.shape[1], np.int64))
+        self.found.setdefault(depth, []).append(some)
+        self.size += some[0].size + some[1].size
+
+    def merge(self) -> None:
+        """Equal n-grams of several chunks once."""
+        self.size = 0
+        for depth, parts in self.found.items():
+            some = summed(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
+            self.found[depth] = [some]
             self.size += some[0].size + some[1].size
-            if order == 1:
-                self.spelled.update((int(codes[x]), name) for x, name in names.items())
-            elif order == 2:
-                self._spell(low, starts, ends, word, np.concatenate([at, at + 1]))
 
-    def _spell(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, at: np.ndarray) -> None:
+    def spell(self, names: dict[int, bytes], lang: np.ndarray, *text: object) -> None:
+        pass
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+
+class HashShard(Shard):
+    """Counts by short hash."""
+
+    def keep(self, depth: int, columns: np.ndarray) -> None:
+        some = np.unique(short(columns), return_counts=True)
+        self.found.setdefault(depth, []).append(some)
+        self.size += 2 * len(some[0])
+
+    def merge(self) -> None:
+        self.found = {depth: [united(parts)] for depth, parts in self.found.items()}
+        self.size = sum(2 * len(hashes) for [(hashes, _)] in self.found.values())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The hashes of each range in turn; the shard is empty afterwards."""
+        self.merge()
+        for depth, [(hashes, counts)] in self.found.items():
+            of_range = ((hashes >> np.uint64(HASH_BITS - 24)).astype(np.int64) * self.ranges) >> 24
+            for at in np.split(np.arange(len(hashes)), np.flatnonzero(np.diff(of_range)) + 1) if len(hashes) else []:
+                yield _row(int(of_range[at[0]]), depth, pack_hashes(hashes[at], counts[at]))
+        self.clear()
+
+
+class SpelledShard(Shard):
+    """Counts by sequence of labels, with their spellings, and of all words by language."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.spelled: dict[int, bytes] = {}
+
+    def spell(
+        self,
+        names: dict[int, bytes],
+        lang: np.ndarray,
+        low: np.ndarray,
+        starts: np.ndarray,
+        ends: np.ndarray,
+        word: np.ndarray,
+        places: dict[int, np.ndarray],
+    ) -> None:
+        self.keep(LANGUAGE, lang[None, :])
+        self.spelled.update(names)
+        at = places[1]
         labels, once = np.unique(word[at], return_index=True)
         at, content = at[once], low.tobytes()
         for key, a, b in zip(labels.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
             if key not in self.spelled:
                 self.spelled[key] = content[a:b]
 
-    def _places(self, lang: np.ndarray, word: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Where n-grams of each order start whose shorter phrases may be frequent."""
-        if self.orders == (1,):
-            yield 1, np.arange(len(word))
-        elif self.orders == (2,):
-            may = self.table.may_hold([lang, word])
-            yield 2, np.flatnonzero(joined & may[:-1] & may[1:])
-        else:
-            pairs = np.flatnonzero(joined)
-            may = joined
-            may[pairs] = self.table.may_hold([lang[pairs], word[pairs], word[pairs + 1]])
-            for order in self.orders:
-                whole = may[: max(len(word) - order + 1, 0)].copy()
-                for i in range(1, order - 1):
-                    whole &= may[i : i + len(whole)]
-                yield order, np.flatnonzero(whole)
-
-    def is_full(self) -> bool:
-        """Whether the shard stays large when equal n-grams of its chunks are merged."""
-        if self.size >= SHARD_NUMBERS:
-            self._merge()
-            return self.size >= SHARD_NUMBERS // 2
-        return False
-
-    def _merge(self) -> None:
-        """Equal n-grams of several chunks once."""
-        self.size = 0
-        for order, parts in self.found.items():
-            if parts:
-                some = summed(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
-                self.found[order] = [some]
-                self.size += some[0].size + some[1].size
-
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """One automaton for each range and order, and the spellings; the shard is empty afterwards."""
-        self._merge()
-        for order, parts in self.found.items():
-            for columns, counts in parts:
-                of_range = prefix_range(columns, self.ranges)
-                order_of = np.argsort(of_range, kind="stable")
-                cuts = np.flatnonzero(np.diff(of_range[order_of])) + 1
-                for at in np.split(order_of, cuts) if len(order_of) else []:
-                    made = CountAutomaton.of(columns[:, at], counts[at])
-                    yield _row(int(of_range[at[0]]), order + 1, made.to_bytes())
+        """One automaton for each range and depth, and the spellings; the shard is empty afterwards."""
+        self.merge()
+        for depth, [(columns, counts)] in self.found.items():
+            of_range = prefix_range(columns, self.ranges)
+            order = np.argsort(of_range, kind="stable")
+            cuts = np.flatnonzero(np.diff(of_range[order])) + 1
+            for at in np.split(order, cuts) if len(order) else []:
+                made = CountAutomaton.of(columns[:, at], counts[at])
+                yield _row(int(of_range[at[0]]), depth, made.to_bytes())
         labels = np.array(list(self.spelled), np.uint64)
         of_range = label_range(labels, self.ranges).tolist() if len(labels) else []
         by_range: dict[int, list[bytes]] = {}
@@ -221,24 +324,19 @@ class Shard:
         self.clear()
 
 
-def shard_automata(docs: DataFrame, orders: tuple[int, ...], ranges: int, table: BitTable | None = None) -> DataFrame:
+def shard_automata(docs: DataFrame, ranges: int, tables: tuple[BitTable, BitTable]) -> DataFrame:
     """Rows of each shard of (lang, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(table.bits) if table else None
+    sent = [docs.sparkSession.sparkContext.broadcast(t.bits) for t in tables]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(orders, ranges, BitTable(sent.value) if sent else None)
-        for chunk in chunks(batches, limit=CHUNK_BYTES):
-            shard.add(chunk.column("lang").to_pylist(), *string_bytes(chunk.column("text")))
-            if shard.is_full():
-                yield from shard.rows()
-        yield from shard.rows()
+        yield from SpelledShard(ranges, tuple(BitTable(b.value) for b in sent)).rows_of(batches)
 
     return docs.select("lang", "text").mapInArrow(work, ROW)
 
 
 def unite(shards: DataFrame, ranges: int, least: int) -> DataFrame:
     """The automata of each range and depth united, their counts summed, with what occurs ``least``
-    times; words also as their number by language (depth 1); each spelling once."""
+    times, and the number of words by language (depth 1); each spelling once."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -263,10 +361,7 @@ def unite(shards: DataFrame, ranges: int, least: int) -> DataFrame:
         for key in list(waiting):
             add(key)
         for (number, depth), (columns, counts) in total.items():
-            if depth == WORDS:
-                sizes = summed(columns[:1], counts)
-                yield _row(number, LANGUAGE, CountAutomaton.of(*sizes).to_bytes())
-            kept = counts >= least
+            kept = counts >= (least if depth > LANGUAGE else 1)
             yield _row(number, depth, CountAutomaton.of(columns[:, kept], counts[kept]).to_bytes())
         for number, some in names.items():
             yield _row(number, SPELLINGS, pack_words(sorted(some)))
@@ -424,19 +519,19 @@ def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, text: str =
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
-    def level(orders: tuple[int, ...], table: BitTable | None) -> DataFrame:
-        united = unite(shard_automata(narrow, orders, ranges, table), ranges, least)
-        return written(united, f"phrases-{orders[-1]}")
-
-    words = level((1,), None)
-    pairs = level((2,), bit_table(words.where(F.col("depth") == WORDS)))
-    longer = level((3, 4), bit_table(pairs.where(F.col("depth") > WORDS)))
-    candidates = sequences_of(pairs.unionByName(longer))
-    known = words.where(F.col("depth") != LANGUAGE).unionByName(pairs).unionByName(longer)
-    sizes = sequences_of(words.where(F.col("depth") == LANGUAGE)).groupBy("lang").agg(F.sum("count").alias("n"))
-    listed = without_absorbed(scored_by_parts(candidates, known, ranges), candidates)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("count"), "phrase")
-    ranked = listed.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(sizes, "lang").select(
+    words = sieve(narrow, ranges, least)
+    pairs = sieve(narrow, ranges, least, words)
+    found = written(unite(shard_automata(narrow, ranges, (words, pairs)), ranges, least), "phrases")
+    candidates = sequences_of(found.where(F.col("depth") > WORDS))
+    sizes = sequences_of(found.where(F.col("depth") == LANGUAGE)).groupBy("lang").agg(F.sum("count").alias("n"))
+    scored = scored_by_parts(candidates, found.where(F.col("depth") != LANGUAGE), ranges)
+    listed = without_absorbed(scored, candidates)
+    # First within parts of a language, so that no task ranks more than the best of a few.
+    order = [F.desc("score"), F.desc("count"), "phrase"]
+    listed = listed.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):
+        best = Window.partitionBy(*keys).orderBy(*order)
+        listed = listed.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    return listed.join(sizes, "lang").select(
         F.col("name").alias("lang"), "rank", "phrase", F.col("count").alias("a"), "l", "r", "n", "score"
     )

@@ -120,8 +120,8 @@ def versions(docs):
     return found
 
 
-def collocations(rows, least, top):
-    """[(lang, rank, phrase, a, l, r, n, score)] for rows (text, lang)."""
+def count_phrases(rows):
+    """{lang: counts of phrases of one to four words}, {lang: words} for rows (text, lang)."""
     counts, sizes = collections.defaultdict(collections.Counter), collections.Counter()
     for text, lang in rows:
         lang = "und" if lang is None else lang
@@ -130,6 +130,12 @@ def collocations(rows, least, top):
             sizes[lang] += len(words)
             for k in range(1, 5):
                 counts[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    return counts, sizes
+
+
+def collocations(rows, least, top):
+    """[(lang, rank, phrase, a, l, r, n, score)] for rows (text, lang)."""
+    counts, sizes = count_phrases(rows)
     found = []
     for lang, of in counts.items():
         candidates = {p: a for p, a in of.items() if len(p) > 1 and a >= least}

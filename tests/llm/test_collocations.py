@@ -5,8 +5,10 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import collocations as plain_phrases
+from brute import count_phrases
 from conftest import EDGE_ROWS
 
 from ferrytrace.llm import collocations
@@ -61,13 +63,27 @@ def test_words_are_packed_whole():
     assert collocations.unpack_words(collocations.pack_words([])) == []
 
 
-def test_bit_table_holds_all_that_is_frequent(spark):
-    of, columns, counts = counted(5, 2)
-    rows = [(0, 2, bytearray(CountAutomaton.of(columns[:, i::3], counts[i::3]).to_bytes())) for i in range(3)]
-    table = collocations.bit_table(spark.createDataFrame(rows, collocations.ROW))
-    assert table.may_hold(list(columns)).all()
-    other = columns + np.uint64(1)
-    assert not table.may_hold(list(other)).any() and int(np.unpackbits(table.bits).sum()) <= 2 * len(of)
+def test_hashes_are_packed_whole():
+    rng = np.random.default_rng(6)
+    hashes = np.unique(rng.integers(0, 1 << 40, 999, np.uint64))
+    counts = rng.integers(1, 1 << 50, len(hashes))
+    for size in (0, 1, len(hashes)):
+        got = collocations.unpack_hashes(collocations.pack_hashes(hashes[:size], counts[:size]))
+        assert got[0].tolist() == hashes[:size].tolist() and got[1].tolist() == counts[:size].tolist()
+
+
+@pytest.mark.parametrize("least", [1, 40, 300])
+def test_sieves_pass_all_that_is_frequent(spark, least):
+    rows = some_texts(7) + [("ab cd ef " * 400, "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    words = collocations.sieve(docs, 3, least)
+    pairs = collocations.sieve(docs, 3, least, words)
+    counts, _ = count_phrases(rows)
+    for table, size in ((words, 1), (pairs, 2)):
+        labels = [(lang, *p) for lang, of in counts.items() for p in of if len(p) == size]
+        often = np.array([counts[s[0]][s[1:]] >= least for s in labels])
+        passed = table.may_hold([collocations.word_hashes([x.encode() for x in c]) for c in zip(*labels, strict=True)])
+        assert passed[often].all() and passed.sum() <= often.sum() + 1
 
 
 def some_texts(seed, count=300):
@@ -89,28 +105,26 @@ def test_phrases_equal_the_plain_version(spark, seed, least, top):
     assert sorted(tuple(r) for r in got) == plain_phrases(rows, least, top)
 
 
+def as_batches(rows):
+    table = pa.table({"lang": [r[1] for r in rows], "text": [r[0] for r in rows]}, pa.schema([("lang", pa.string()), ("text", pa.string())]))
+    return table.to_batches(max_chunksize=7)
+
+
 def test_small_shards(spark, monkeypatch):
-    """Shards whose automata are taken again and again, and batches of a few rows, count the same."""
-    monkeypatch.setattr(collocations, "SHARD_NUMBERS", 40)
-    monkeypatch.setattr(collocations, "CHUNK_BYTES", 50)
+    """Shards whose automata are taken again and again, and chunks of a few rows, count the same."""
     rows = some_texts(4)
-    shard, got = collocations.Shard((1,), 3, None), {}
-    for text, lang in rows:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        shard.add([lang], data, np.array([0, len(data)]))
-        if shard.is_full():
-            add_up(got, shard)
-    add_up(got, shard)
-    once, want = collocations.Shard((1,), 1, None), {}
-    data = [(text or "").encode() for text, _ in rows]
-    offsets = np.cumsum([0, *map(len, data)])
-    once.add([lang for _, lang in rows], np.frombuffer(b"".join(data), np.uint8), offsets)
-    add_up(want, once)
-    assert got == want
-
-
-def add_up(total, shard):
-    for batch in shard.rows():
+    all_pass = collocations.BitTable(np.full(1 << (collocations.TABLE_BITS - 3), 255, np.uint8))
+    want, got = {}, {}
+    add_up(want, collocations.SpelledShard(1, (all_pass, all_pass)).rows_of(as_batches(rows)))
+    monkeypatch.setattr(collocations, "SHARD_NUMBERS", 400)
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 50)
+    parts = list(collocations.SpelledShard(3, (all_pass, all_pass)).rows_of(as_batches(rows)))
+    add_up(got, parts)
+    assert got == want and len(parts) > 100
+
+
+def add_up(total, batches):
+    for batch in batches:
         row = batch.to_pylist()[0]
         if row["depth"]:
             for sequence, count in listed(CountAutomaton.from_bytes(row["packed"])):
