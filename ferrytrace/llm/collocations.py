@@ -5,8 +5,8 @@ automata of a range are united, their weights summed, and what is frequent becom
 transducer.  To look up the parts of candidates, each batch of candidates writes the parts it asks for
 as automata, and the transducers are composed with them.
 
-Only n-grams enter whose parts may be frequent.  Two sieves tell, first of words, then of bigrams of
-such words: shards count short hashes, Spark sums them, and a bit table of fixed size keeps the
+Only n-grams enter that may be frequent.  Sieves tell, one for each order, of n-grams whose shorter
+ones passed: shards count short hashes, Spark sums them, and a bit table of fixed size keeps the
 frequent ones.  It never misses one; where hashes meet by chance, an n-gram is counted in vain and
 falls to the threshold.
 
@@ -108,9 +108,9 @@ def unpack_hashes(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sieve(docs: DataFrame, ranges: int, least: int, *tables: BitTable) -> BitTable:
-    """The table of words, or with their table of the bigrams, of (lang, text) that occur ``least``
-    times.  Hashes are summed by range; the bits are set by Spark and reach the driver as at most
-    2**TABLE_BITS bits."""
+    """The table of n-grams of (lang, text) that occur ``least`` times, of the order after those of the
+    given tables.  Hashes are summed by range; the bits are set by Spark and reach the driver as at
+    most 2**TABLE_BITS bits."""
     sent = [docs.sparkSession.sparkContext.broadcast(t.bits) for t in tables]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +178,8 @@ def unpack_words(packed: bytes) -> list[bytes]:
 class Shard:
     """Counts of the n-grams of some texts, in bounded memory until its rows are taken.
 
-    Without a table the words; with the table of words the bigrams of such words; with that of bigrams
-    too, the words and all orders up to ``LONGEST`` whose bigrams may be frequent."""
+    With the tables of all orders, the n-grams that pass; with fewer, those of the next order whose
+    shorter ones pass."""
 
     def __init__(self, ranges: int, tables: tuple[BitTable, ...]):
         self.ranges, self.tables = ranges, tables
@@ -219,21 +219,21 @@ class Shard:
         self.spell(dict(zip(map(int, codes.values()), names.values(), strict=True)), lang, low, starts, ends, word, places)
 
     def _places(self, lang: np.ndarray, word: np.ndarray, joined: np.ndarray) -> dict[int, np.ndarray]:
-        """Where n-grams of each order start that the tables let pass."""
-        if not self.tables:
-            return {1: np.arange(len(word))}
-        words = self.tables[0].may_hold([lang, word])
-        pairs = joined & words[:-1] & words[1:]
-        at = np.flatnonzero(pairs)
-        if len(self.tables) == 1:
-            return {2: at}
-        pairs[at] = self.tables[1].may_hold([lang[at], word[at], word[at + 1]])
-        places = {1: np.flatnonzero(words)}
-        for order in range(2, LONGEST + 1):
-            whole = pairs[: max(len(word) - order + 1, 0)].copy()
-            for i in range(1, order - 1):
-                whole &= pairs[i : i + len(whole)]
-            places[order] = np.flatnonzero(whole)
+        """Where n-grams of each order start."""
+        places: dict[int, np.ndarray] = {}
+        may = np.ones(len(word), bool)
+        for order in range(1, LONGEST + 1):
+            if order > 1:
+                may = may[:-1] & may[1:]
+            if order == 2:
+                may &= joined
+            at = np.flatnonzero(may)
+            if order > len(self.tables):
+                return {order: at}
+            at = at[self.tables[order - 1].may_hold([lang[at], *(word[at + i] for i in range(order))])]
+            may[:] = False
+            may[at] = True
+            places[order] = at
         return places
 
     def keep(self, depth: int, columns: np.ndarray) -> None:
@@ -324,7 +324,7 @@ class SpelledShard(Shard):
         self.clear()
 
 
-def shard_automata(docs: DataFrame, ranges: int, tables: tuple[BitTable, BitTable]) -> DataFrame:
+def shard_automata(docs: DataFrame, ranges: int, tables: tuple[BitTable, ...]) -> DataFrame:
     """Rows of each shard of (lang, text)."""
     sent = [docs.sparkSession.sparkContext.broadcast(t.bits) for t in tables]
 
@@ -519,9 +519,10 @@ def mine_phrases(docs: DataFrame, least: int = 30, top: int = 2000, text: str =
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
-    words = sieve(narrow, ranges, least)
-    pairs = sieve(narrow, ranges, least, words)
-    found = written(unite(shard_automata(narrow, ranges, (words, pairs)), ranges, least), "phrases")
+    tables: tuple[BitTable, ...] = ()
+    while len(tables) < LONGEST:
+        tables += (sieve(narrow, ranges, least, *tables),)
+    found = written(unite(shard_automata(narrow, ranges, tables), ranges, least), "phrases")
     candidates = sequences_of(found.where(F.col("depth") > WORDS))
     sizes = sequences_of(found.where(F.col("depth") == LANGUAGE)).groupBy("lang").agg(F.sum("count").alias("n"))
     scored = scored_by_parts(candidates, found.where(F.col("depth") != LANGUAGE), ranges)

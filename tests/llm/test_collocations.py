@@ -76,10 +76,11 @@ def test_hashes_are_packed_whole():
 def test_sieves_pass_all_that_is_frequent(spark, least):
     rows = some_texts(7) + [("ab cd ef " * 400, "en")]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
-    words = collocations.sieve(docs, 3, least)
-    pairs = collocations.sieve(docs, 3, least, words)
+    tables = ()
     counts, _ = count_phrases(rows)
-    for table, size in ((words, 1), (pairs, 2)):
+    for size in (1, 2, 3, 4):
+        table = collocations.sieve(docs, 3, least, *tables)
+        tables += (table,)
         labels = [(lang, *p) for lang, of in counts.items() for p in of if len(p) == size]
         often = np.array([counts[s[0]][s[1:]] >= least for s in labels])
         passed = table.may_hold([collocations.word_hashes([x.encode() for x in c]) for c in zip(*labels, strict=True)])
@@ -115,10 +116,10 @@ def test_small_shards(spark, monkeypatch):
     rows = some_texts(4)
     all_pass = collocations.BitTable(np.full(1 << (collocations.TABLE_BITS - 3), 255, np.uint8))
     want, got = {}, {}
-    add_up(want, collocations.SpelledShard(1, (all_pass, all_pass)).rows_of(as_batches(rows)))
+    add_up(want, collocations.SpelledShard(1, (all_pass,) * 4).rows_of(as_batches(rows)))
     monkeypatch.setattr(collocations, "SHARD_NUMBERS", 400)
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 50)
-    parts = list(collocations.SpelledShard(3, (all_pass, all_pass)).rows_of(as_batches(rows)))
+    parts = list(collocations.SpelledShard(3, (all_pass,) * 4).rows_of(as_batches(rows)))
     add_up(got, parts)
     assert got == want and len(parts) > 100
 
