@@ -19,6 +19,17 @@ compressed, decompressed = zstandard.ZstdCompressor(level=1).compress, zstandard
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: what is alike stands together."""
+    kept = np.ascontiguousarray(values, kind)
+    return kept.view(np.uint8).reshape(-1, kept.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(parts.T).view(kind).ravel()
+
+
 def sequence_hash(parts: Iterable[np.ndarray]) -> np.ndarray:
     """One hash of several columns of numbers."""
     found = None
@@ -115,13 +126,12 @@ class CountAutomaton:
         return CountAutomaton.of(wanted[:, found], self.counts[rank[found]])
 
     def to_bytes(self) -> bytes:
-        parts = [np.asarray(self.alphabet, "<u8"), np.asarray(self.counts, "<i8")]
-        sizes = [len(self.first), len(self.alphabet), len(self.counts)]
+        steps = np.diff(self.alphabet, prepend=np.uint64(0))
+        parts, sizes = [planes(steps, "<u8"), planes(self.counts, "<i8")], [len(self.first), len(steps), len(self.counts)]
         for first, labels, targets in zip(self.first, self.labels, self.targets, strict=True):
-            parts += [np.diff(first).astype("<i4"), labels.astype("<i4"), targets.astype("<i4")]
+            parts += [planes(np.diff(first), "<i4"), planes(labels, "<i4"), planes(targets, "<i4")]
             sizes += [len(first) - 1, len(labels)]
-        head = struct.pack(f"<{len(sizes)}i", *sizes)
-        return compressed(head + b"".join(p.tobytes() for p in parts))
+        return compressed(struct.pack(f"<{len(sizes)}i", *sizes) + b"".join(parts))
 
     @classmethod
     def from_bytes(cls, packed: bytes) -> CountAutomaton:
@@ -132,11 +142,10 @@ class CountAutomaton:
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
-            values = np.frombuffer(data, kind, count, at)
-            at += values.nbytes
-            return values
+            start, at = at, at + count * np.dtype(kind).itemsize
+            return from_planes(data[start:at], kind)
 
-        alphabet, counts = take("<u8", letters), take("<i8", paths)
+        alphabet, counts = np.cumsum(take("<u8", letters), dtype=np.uint64), take("<i8", paths)
         layers = [
             (np.append(0, np.cumsum(take("<i4", states))).astype(np.int32), take("<i4", edges), take("<i4", edges))
             for states, edges in zip(sizes[::2], sizes[1::2], strict=True)

@@ -24,7 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrytrace.llm.automata import CountAutomaton, compressed, decompressed, sequence_hash, summed
+from ferrytrace.llm.automata import (
+    CountAutomaton,
+    compressed,
+    decompressed,
+    from_planes,
+    planes,
+    sequence_hash,
+    summed,
+)
 from ferrytrace.llm.common import chunks, string_bytes
 from ferrytrace.llm.words import LOWER, RangeHash, byte_class, mixed, word_spans
 from ferrytrace.session import written
@@ -87,24 +95,15 @@ class BitTable:
         return found
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """The lowest bytes of all numbers, then the next ones: what is alike stands together."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-
-
-def _from_planes(data: np.ndarray, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def pack_hashes(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending hashes as steps, with their counts."""
-    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
-    return compressed(_planes(steps) + _planes(counts.astype("<u8")))
+    return compressed(planes(np.diff(hashes, prepend=np.uint64(0)), "<u8") + planes(counts, "<i8"))
 
 
 def unpack_hashes(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, counts = np.split(np.frombuffer(decompressed(packed), np.uint8), 2)
-    return np.cumsum(_from_planes(steps, "<u8"), dtype=np.uint64), _from_planes(counts, "<u8").astype(np.int64)
+    data = decompressed(packed)
+    steps, counts = data[: len(data) // 2], data[len(data) // 2 :]
+    return np.cumsum(from_planes(steps, "<u8"), dtype=np.uint64), from_planes(counts, "<i8")
 
 
 def sieve(docs: DataFrame, ranges: int, least: int, *tables: BitTable) -> BitTable:
