@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrytrace.llm import (
+    alignment,
     bpe,
     chat,
     collocations,
@@ -25,6 +26,7 @@ from ferrytrace.llm import (
     secrets,
     toxicity,
 )
+from ferrytrace.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,6 +168,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(table(spark, sf_dir, "documents"), least=30, top=2000)
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens by two vocabularies, aligned, with corpus-wide counts of linked ids."""
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.align_texts(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    slim = written(aligned.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256"), "aligned")
+    return alignment.with_counts(slim).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 ORACLES["op11_collocations"] = r"""
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang,

@@ -152,3 +152,46 @@ def collocations(rows, least, top):
         for rank, (score, a, phrase, left, right) in enumerate(sorted(listed)[:top], 1):
             found.append((lang, rank, phrase.decode(), -a, left, right, sizes[lang], -score))
     return sorted(found)
+
+
+def alignment(docs, path_a, path_b):
+    """[(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups)] token by token."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, other = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    one.encode_special_tokens = True
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(letters)))}
+    held, found = collections.Counter(), []
+    for key, text in docs:
+        whole = (" " + (text or "")).encode()
+        a = [(i, bytes(byte_of[c] for c in one.id_to_token(i))) for i in one.encode(whole.decode(), add_special_tokens=False).ids]
+        b = []
+        for i in other.encode(text or ""):
+            piece = other.id_to_piece(i)
+            b.append((i, bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x..>", piece) else piece.replace("▁", " ").encode()))
+        if not text or any(b"".join(t for _, t in x) != whole for x in (a, b)):
+            found.append((key, 0, 0, [], ""))
+            continue
+        groups, at = [([], [])], [0, 0]
+        while a or b:
+            side = 0 if a and (at[0] <= at[1] or not b) else 1
+            token, piece = (a, b)[side].pop(0)
+            groups[-1][side].append(token)
+            at[side] += len(piece)
+            if at[0] == at[1] and (a or b):
+                groups.append(([], []))
+        names = ";".join("|".join(",".join(map(str, half)) for half in g) for g in groups)
+        pairs = [(x, y) for g in groups for x in g[0] for y in g[1]]
+        held.update(set(pairs))
+        found.append((key, sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), (len(groups), pairs), names))
+    most = collections.Counter()
+    for (x, _), count in held.items():
+        most[x] = max(most[x], count)
+    rows = []
+    for key, n_a, n_b, of, names in found:
+        n_groups, pairs = of or (0, [])
+        best = sum(held[p] == most[p[0]] for p in pairs)
+        rows.append((key, n_a, n_b, n_groups, len(pairs), best, sum(held[p] for p in pairs), names))
+    return rows
