@@ -22,6 +22,7 @@ from ferrytrace.llm import (
     langid,
     ngram_join,
     pii,
+    quality,
     repeats,
     secrets,
     toxicity,
@@ -180,6 +181,18 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(common.crc_of_id(), F.lit(5)) == 0
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = quality.score_texts(docs, model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 ORACLES["op11_collocations"] = r"""
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang,
