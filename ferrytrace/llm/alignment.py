@@ -10,10 +10,10 @@ only the lists are exchanged for the counts.
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrytrace.llm.automata import compressed, decompressed, from_planes, planes
-from ferrytrace.llm.bpe import byte_letters
+from ferrytrace.llm.bpe import ByteBPE
 from ferrytrace.llm.common import chunks, ids_and_text
 
 # Text bytes that are tokenized at once, and places a block holds (unless one text alone has more).
@@ -37,47 +37,36 @@ class Tokenizers:
     """A byte-level vocabulary (a tokenizers file) and a sentencepiece model, with their tokens' bytes."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
+        self.a = ByteBPE(path_a)
+        self.a.special_pattern = None  # special strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-        size = self.a.get_vocab_size()
-        self.bytes_a = [self._bytes_a(self.a.id_to_token(i), byte_of) for i in range(size)]
         self.bytes_b = [self._bytes_b(i) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (
-            np.array([len(t) for t in tokens], np.int64) for tokens in (self.bytes_a, self.bytes_b)
+            np.array([len(t) for t in tokens], np.int64) for tokens in (self.a.token_bytes, self.bytes_b)
         )
-        # An id inside its group, and at the end of its half of it.
-        self.written_a = [f"{i}{end}" for i in range(size) for end in ",|"]
-        self.written_b = [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
-
-    @staticmethod
-    def _bytes_a(token: str | None, byte_of: dict[str, int]) -> bytes:
-        if token is None or any(c not in byte_of for c in token):
-            return (token or "").encode()
-        return bytes(byte_of[c] for c in token)
+        # An id inside its group, and at the end of its half of it; those of B behind those of A.
+        self.written = [f"{i}{end}" for i in range(len(self.length_a)) for end in ",|"]
+        self.written += [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
 
     def _bytes_b(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace(SPACE, " ").encode()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both; none where they don't spell space + text."""
-        ours = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        theirs = self.b.encode(texts, num_threads=1)
-        for text, one, other in zip(texts, ours, theirs, strict=True):
+        for text, other in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
             whole = (" " + text).encode()
-            ids = one.ids
-            same = text and all(
-                b"".join(map(of.__getitem__, x)) == whole for of, x in ((self.bytes_a, ids), (self.bytes_b, other))
-            )
-            yield (ids, other) if same else ([], [])
+            if text and b"".join(map(self.bytes_b.__getitem__, other)) == whole:
+                ids = np.frombuffer(self.a.encode(" " + text), "<u4").astype(np.int64)
+                if self.length_a[ids].sum() == len(whole):  # its tokens' bytes can only be the text's
+                    yield ids, np.array(other, np.int64)
+                    continue
+            yield _EMPTY, _EMPTY
+
+
+_EMPTY = np.zeros(0, np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -88,9 +77,11 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
 
 def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Where the groups begin in both lists, and where the last one ends."""
-    index_a, index_b = ({end: i for i, end in enumerate(ends, 1)} for ends in (ends_a, ends_b))
-    common = sorted(index_a.keys() & index_b.keys())
-    return tuple(np.array([0, *map(index.__getitem__, common)], np.int64) for index in (index_a, index_b))
+    index_a, index_b = (dict(zip(ends, range(1, len(ends) + 1), strict=True)) for ends in (ends_a, ends_b))
+    common = [end for end in ends_b if end in index_a]  # sorted, as ends ascend
+    return tuple(
+        np.fromiter(chain((0,), map(index.__getitem__, common)), np.int64, len(common) + 1) for index in (index_a, index_b)
+    )
 
 
 def links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +113,10 @@ def written_groups(
     # A token stands behind all tokens of the groups before, and those of B also behind A's own group.
     place_a = np.arange(len(a)) + np.repeat(cut_b[:-1], np.diff(cut_a))
     place_b = np.arange(len(b)) + np.repeat(cut_a[1:], np.diff(cut_b))
-    words = np.empty(len(a) + len(b), object)
-    words[place_a] = list(map(known.written_a.__getitem__, (2 * a + last_a).tolist()))
-    words[place_b] = list(map(known.written_b.__getitem__, (2 * b + last_b).tolist()))
-    return "".join(words.tolist())[:-1]
-
-
-_EMPTY = np.zeros(0, np.int64)
+    places = np.empty(len(a) + len(b), np.int64)
+    places[place_a] = 2 * a + last_a
+    places[place_b] = 2 * (b + len(known.length_a)) + last_b
+    return "".join(map(known.written.__getitem__, places.tolist()))[:-1]
 
 
 def align_texts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,8 +135,7 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
         for chunk in chunks(batches, limit=CHUNK_BYTES):
             keys = chunk.column("doc_id")
             texts = [t or "" for t in chunk.column("text").to_pylist()]
-            for i, (ids_a, ids_b) in enumerate(known.encode(texts)):
-                a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+            for i, (a, b) in enumerate(known.encode(texts)):
                 ends = [np.cumsum(n[x]).tolist() for n, x in ((known.length_a, a), (known.length_b, b))]
                 cut_a, cut_b = cuts(*ends)
                 pairs, times = links(a, b, cut_a, cut_b)
