@@ -129,13 +129,18 @@ def simplified(rule: Rule) -> Rule:
     return tuple(sorted((at, above, cut) for (at, above), cut in tight.items()))
 
 
-def lasso_logistic(x: np.ndarray, y: np.ndarray, strength: float, start: np.ndarray, steps: int = 600) -> np.ndarray:
-    """Weights (the last one is the constant, which isn't shrunk) by accelerated proximal gradient."""
+def lasso_logistic(
+    x: np.ndarray, ones: np.ndarray, size: np.ndarray, strength: float, start: np.ndarray, steps: int = 300
+) -> np.ndarray:
+    """Weights (the last one is the constant, which isn't shrunk) by accelerated proximal gradient.  Row i
+    of ``x`` stands for ``size[i]`` texts, ``ones[i]`` of them with label 1."""
+    total = max(size.sum(), 1e-12)
+    curvature = (x * (size / total)[:, None]).T @ x
+    step = 4.0 / max(float(np.linalg.eigvalsh(curvature)[-1]), 1e-12)
     weight, ahead, momentum = start.copy(), start.copy(), 1.0
-    step = 4.0 / max(np.linalg.norm(x, 2) ** 2 / len(y), 1e-12)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        moved = ahead - step * (x.T @ (p - y)) / len(y)
+        moved = ahead - step * (x.T @ (size * p - ones)) / total
         moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - step * strength, 0)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead = moved + (momentum - 1) / after * (moved - weight)
@@ -182,10 +187,6 @@ class RuleModel:
         return "\n".join(f"{weight:+.3f} if {text(rule)}" for rule, weight in self.rules)
 
 
-def _centred(values: np.ndarray, rules: list[Rule]) -> np.ndarray:
-    return np.column_stack([*(_holds(values, r) for r in rules), np.ones(len(values))]).astype(float)
-
-
 def fit(names: list[str], values: np.ndarray, labels: np.ndarray) -> RuleModel:
     """The model for rows of statistics and labels 0 / 1.  Equal rows count once; without both labels the
     score is the share of label 1 (1/2 without rows)."""
@@ -209,23 +210,36 @@ def fit(names: list[str], values: np.ndarray, labels: np.ndarray) -> RuleModel:
         if key not in seen and held.any() and not held.all():
             seen.add(key)
             listed.append(rule)
-    x = _centred(values, listed)
+    # Texts in which the same rules hold are one row.
+    held = np.column_stack([*(_holds(values, r) for r in listed), np.ones(len(values), bool)])
+    packed, group = np.unique(np.packbits(held, axis=1), axis=0, return_inverse=True)
+    group = group.ravel()
+    x = np.unpackbits(packed, axis=1, count=held.shape[1]).astype(float)
+    fold = rng.permutation(len(y)) % FOLDS
+
+    def counts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.bincount(group[rows], of[rows], len(x)) for of in (y, np.ones(len(y))))
+
+    whole = counts(np.ones(len(y), bool))
     start = np.zeros(x.shape[1])
     start[-1] = np.log(y.mean() / (1 - y.mean()))
-    most = np.abs(x[:, :-1].T @ (y - y.mean())).max(initial=1e-9) / len(y)
-    fold = rng.permutation(len(y)) % FOLDS
-    losses = np.zeros(len(STRENGTHS))
+    most = np.abs(x[:, :-1].T @ (whole[0] - whole[1] * y.mean())).max(initial=1e-9) / len(y)
+    losses = np.zeros((FOLDS, len(STRENGTHS)))
     for f in range(FOLDS):
-        inside, outside, weight = fold != f, fold == f, start
-        if not outside.any() or y[inside].min() == y[inside].max():
+        inside, outside, weight = counts(fold != f), counts(fold == f), start
+        if not outside[1].any() or inside[0].sum() in (0, inside[1].sum()):
             continue
         for i, strength in enumerate(STRENGTHS):
-            weight = lasso_logistic(x[inside], y[inside], strength * most, weight)
-            z = np.clip(x[outside] @ weight, -30, 30)
-            losses[i] += np.sum(np.logaddexp(0, z) - y[outside] * z)
+            weight = lasso_logistic(x, *inside, strength * most, weight)
+            z = np.clip(x @ weight, -30, 30)
+            losses[f, i] = np.sum(outside[1] * np.logaddexp(0, z) - outside[0] * z)
     weight = start
-    for strength in STRENGTHS[: int(np.argmin(losses)) + 1]:
-        weight = lasso_logistic(x, y, strength * most, weight)
+    # The sparsest model that is no worse than the best one by more than the error of its loss.
+    mean, error = losses.mean(0), losses.std(0) / np.sqrt(FOLDS)
+    best = int(np.argmin(mean))
+    chosen = int(np.argmax(mean <= mean[best] + error[best]))
+    for strength in STRENGTHS[: chosen + 1]:
+        weight = lasso_logistic(x, *whole, strength * most, weight)
     kept = [(rule, float(w)) for rule, w in zip(listed, weight[:-1], strict=True) if w]
     return RuleModel(names, float(weight[-1]), kept)
 

@@ -32,7 +32,7 @@ def test_lasso_is_at_its_minimum():
     rng = np.random.default_rng(3)
     x = np.column_stack([(rng.random((300, 20)) < 0.4).astype(float), np.ones(300)])
     y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - 2 * x[:, 1] + 0.3)))).astype(float)
-    weight = quality.lasso_logistic(x, y, 0.02, np.zeros(21), steps=5000)
+    weight = quality.lasso_logistic(x, y, np.ones(300), 0.02, np.zeros(21), steps=5000)
     gradient = x.T @ (1 / (1 + np.exp(-x @ weight)) - y) / len(y)
     used = weight[:-1] != 0
     assert 2 <= used.sum() < 20 and abs(gradient[-1]) < 1e-5
