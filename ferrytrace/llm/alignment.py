@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrytrace.llm.automata import compressed, decompressed, from_planes, planes
-from ferrytrace.llm.bpe import ByteBPE
+from ferrytrace.llm.bpe import PRE_TOKEN, ByteBPE, pack_ids
+from ferrytrace.llm.bpe import _Cache as Remembered
 from ferrytrace.llm.common import chunks, ids_and_text
 
 # Text bytes that are tokenized at once, and places a block holds (unless one text alone has more).
@@ -38,9 +38,17 @@ class Tokenizers:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
 
         self.a = ByteBPE(path_a)
         self.a.special_pattern = None  # special strings in a text are plain text
+        special = set(self.a.special.values())
+        ranks = {t: i for i, t in enumerate(self.a.token_bytes) if t and i not in special}
+        # The same merges, compiled, where ids ascend with them.
+        self.compiled = None
+        if self.a.merged == sorted(self.a.merged):
+            self.compiled = tiktoken.Encoding("a", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+        self.a.words = Remembered(self._word)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self._bytes_b(i) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (
@@ -54,12 +62,21 @@ class Tokenizers:
         piece = self.b.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace(SPACE, " ").encode()
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a pre-token; those that other engines may class or split otherwise go our way."""
+        if self.compiled is None or len(word) > 300 or word.isspace() or max(word) > "\u024f":
+            return self.a._encode_word(word)
+        return pack_ids(self.compiled.encode_ordinary(word))
+
+    def encode_a(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.a.encode(text), "<u4").astype(np.int64)
+
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both; none where they don't spell space + text."""
         for text, other in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
             whole = (" " + text).encode()
             if text and b"".join(map(self.bytes_b.__getitem__, other)) == whole:
-                ids = np.frombuffer(self.a.encode(" " + text), "<u4").astype(np.int64)
+                ids = self.encode_a(" " + text)
                 if self.length_a[ids].sum() == len(whole):  # its tokens' bytes can only be the text's
                     yield ids, np.array(other, np.int64)
                     continue
@@ -77,11 +94,11 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
 
 def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Where the groups begin in both lists, and where the last one ends."""
-    index_a, index_b = (dict(zip(ends, range(1, len(ends) + 1), strict=True)) for ends in (ends_a, ends_b))
-    common = [end for end in ends_b if end in index_a]  # sorted, as ends ascend
-    return tuple(
-        np.fromiter(chain((0,), map(index.__getitem__, common)), np.int64, len(common) + 1) for index in (index_a, index_b)
-    )
+    index_b = dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
+    # By index of A: the index in B of the same end, or 0; ends ascend, so common ones are in order.
+    common = np.array([index_b.get(end, 0) for end in ends_a], np.int64)
+    index_a = np.flatnonzero(common)
+    return np.append(0, index_a + 1), np.append(0, common[index_a])
 
 
 def links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

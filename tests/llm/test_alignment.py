@@ -46,6 +46,19 @@ def test_random_texts(spark, monkeypatch, block, many):
     assert plain(aligned(docs)) == plain(plain_alignment(rows, *PATHS))
 
 
+def test_compiled_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    known, library, rng = alignment.Tokenizers(*PATHS), Tokenizer.from_file(PATHS[0]), random.Random(11)
+    library.encode_special_tokens = True
+    letters = [chr(i) for i in range(0x250)] + list("  \n\n''srevtlld") * 9
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(1500)]
+    texts += ["<|endoftext|>a<|endoftext|>", "a" * 3000, " " * 500 + "x", "!" * 400, "中文 😀", "don't  we'LL\x1c\x85\xa0 x"]
+    assert known.compiled is not None
+    for text in texts:
+        assert known.encode_a(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_query(spark):
     data = Path("/root/testdata/sf0.001")
     if not data.exists():
