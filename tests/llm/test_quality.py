@@ -61,7 +61,8 @@ def test_column_equals_the_model(spark, edge):
     found = quality.statistics(F.col("text"))
     values = np.array([r[1:] for r in docs.select("doc_id", *found.values()).collect()], float)
     assert not np.isnan(values).any()
-    rules = [(((i, True, 0.1), (0, False, 9.0)), 0.1 * i - 0.5) for i in range(len(found))]
+    cuts = [0.1 * x for x in range(60)]
+    rules = [(((i, True, c), (0, False, 9.0)), 0.1 * i - 0.5 + c) for i in range(len(found)) for c in cuts]
     model = quality.RuleModel(list(found), -0.2, rules)
     got = [r["score"] for r in quality.score_texts(docs, model).collect()]
     assert np.allclose(got, model(values), atol=1e-12)
