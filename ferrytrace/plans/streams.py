@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ferrytrace.functions.measures import safe_ratio
 from ferrytrace.functions.messages import header_text
-from ferrytrace.operators.delivery import idle_cutoff_from_slots
 from ferrytrace.operators.packing import chunk_summary
 from ferrytrace.plans.aggregates import CHUNK_BYTES, IDLE_S
 from ferrytrace.plans.registry import (
@@ -99,13 +98,14 @@ def stream_chunk_transfer(t):
                count(*) FILTER (broken > 0) AS records_after FROM breaks GROUP BY 1""",
 )
 def stream_delivery_monitor(t):
-    """Live sums per run; the idle end is read off the latest snapshot."""
+    """Live sums per run; the idle end is read off closed and open sessions."""
     stream = t.event_stream().select(
         F.col("event_type").alias("run"), F.col("ts").alias("timestamp"), F.col("props").alias("value")
     )
-    target = t.area("monitor")
-    flows.drain(flows.monitor_delivery(stream, ["run"], IDLE_S, target, t.area("checkpoint")))
-    ended = idle_cutoff_from_slots(flows.latest_snapshot(t.spark, target), ["run"], IDLE_S)
+    target, checkpoint = t.area("monitor"), t.area("checkpoint")
+    flows.drain(flows.monitor_delivery(stream, ["run"], IDLE_S, target, checkpoint))
+    layout = flows.delivery_sessions(stream, ["run"], IDLE_S).schema
+    ended = flows.idle_end(flows.monitored_sessions(t.spark, layout, target, checkpoint), ["run"])
     return ended.select(
         "run",
         F.unix_micros("first_arrival").alias("first_us"),

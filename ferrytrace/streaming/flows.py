@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ferrytrace.functions.measures import prefixed_topic
-from ferrytrace.functions.messages import json_value, make_header, parse_json
-from ferrytrace.operators.delivery import idle_slots
+from ferrytrace.functions.messages import json_value, make_header, parse_json, payload_bytes
 from ferrytrace.operators.filters import keep_listed
 from ferrytrace.operators.packing import assign_chunks, chunk_number
 from ferrytrace.schemas import SQUARES, TOPIC
@@ -167,6 +166,31 @@ def transfer_chunks(
     return start(source.writeStream.foreachBatch(move), checkpoint, bounded)
 
 
+def delivery_sessions(
+    source: DataFrame, keys: Sequence[str], timeout_s: int, late_s: int = 0, strict: bool = False,
+    arrival: str = "timestamp",
+) -> DataFrame:
+    """Arrival sums of each run between idle gaps, over a stream or a table.
+
+    A gap that reaches the timeout (``strict``: exceeds it) ends a session.  On a stream, a session
+    leaves the state once the watermark, ``late_s`` behind the newest arrival, has passed its end.
+    """
+    # Spark joins a row to a session up to and including the session's end, and lets a session go when
+    # the watermark reaches that end; a millisecond more keeps it for arrivals of the same moment.
+    gap = timeout_s * 1_000_000 - int(not strict)
+    watched = source.withWatermark(arrival, f"{late_s * 1000 + 1} milliseconds") if source.isStreaming else source
+    return (
+        watched.withColumn("_size", payload_bytes())
+        .groupBy(*keys, F.session_window(arrival, f"{gap} microseconds").alias("session"))
+        .agg(
+            F.min(arrival).alias("first_arrival"),
+            F.max(arrival).alias("last_arrival"),
+            F.count(F.lit(1)).alias("records"),
+            F.sum("_size").alias("bytes"),
+        )
+    )
+
+
 def monitor_delivery(
     source: DataFrame,
     keys: Sequence[str],
@@ -174,27 +198,45 @@ def monitor_delivery(
     target_path: str,
     checkpoint: str,
     bounded: bool = True,
+    late_s: int = 0,
+    strict: bool = False,
 ) -> StreamingQuery:
-    """Live arrival sums per run and idle slot, as a snapshot table (see ``latest_snapshot``).
+    """Live arrival sums per run, closed by idle gaps.
 
-    State is one row per run and slot of the idle timeout, whatever the message rate.  Two
-    snapshots are kept in turn, so one is complete while the other is replaced.
+    A closed session is appended to ``target_path`` once and leaves the state, which holds one row for
+    each session that is still open.  ``monitored_sessions`` reads both.
     """
-    slots = idle_slots(source, keys, timeout_s)
+    sessions = delivery_sessions(source, keys, timeout_s, late_s, strict)
+    return append_files(sessions, target_path, checkpoint, bounded)
 
-    def snapshot(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        numbered.write.mode("overwrite").parquet(f"{target_path}/snapshot={batch_id % 2}")
 
-    writer = slots.writeStream.outputMode("complete").foreachBatch(snapshot)
-    return start(writer, checkpoint, bounded)
+def monitored_sessions(
+    spark: SparkSession, sessions: T.StructType, target_path: str, checkpoint: str
+) -> DataFrame:
+    """All sessions a monitor has seen in its finished batches, with ``open``: the closed ones from its
+    table, the open ones from its state.  ``sessions`` is the schema of ``delivery_sessions``.
+
+    While the monitor runs, a session may close between the two reads; it counts once, as closed.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("value.*")
+    opened = state.toDF(*sessions.names).withColumn("open", F.lit(True))
+    closed = spark.read.schema(sessions).parquet(target_path).withColumn("open", F.lit(False))
+    keys = sessions.names[: sessions.names.index("session")]
+    sums = sessions.names[len(keys) + 1 :]
+    # Once for each start; the closed row, where there are two, has the larger sums.
+    started = F.col("session.start").alias("started")
+    return closed.unionByName(opened).groupBy(*keys, started).agg(
+        *[(F.min if c == "first_arrival" else F.max)(c).alias(c) for c in sums], F.min("open").alias("open")
+    )
 
 
-def latest_snapshot(spark: SparkSession, target_path: str) -> DataFrame:
-    """The newest state written by ``monitor_delivery``."""
-    snapshots = spark.read.parquet(target_path)
-    newest = snapshots.agg(F.max("batch_id").alias("batch_id"))
-    return snapshots.join(newest, "batch_id", "left_semi").drop("batch_id", "snapshot")
+def idle_end(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a reader sees that stops at the first idle gap, from sessions: the sums of the first one,
+    whether it is still ``open``, and the records after it."""
+    at = F.unix_micros("started")
+    first = {c: F.min_by(c, at).alias(c) for c in ("first_arrival", "last_arrival", "records", "bytes", "open")}
+    ends = sessions.groupBy(*keys).agg(*first.values(), F.sum("records").alias("_all"))
+    return ends.withColumn("records_after", F.col("_all") - F.col("records")).drop("_all")
 
 
 def read_by_groups(

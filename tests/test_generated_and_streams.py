@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ferrytrace.operators.delivery import idle_cutoff, idle_cutoff_from_slots
+from ferrytrace.operators.delivery import idle_cutoff
 from ferrytrace.operators.packing import chunk_by_bytes, chunk_summary
 from ferrytrace.schemas import READING
 from ferrytrace.session import new_area
@@ -104,12 +104,70 @@ def test_replica_is_the_same_multiset_and_resumes(spark, topic):
     assert copied.count() == 600
 
 
-def test_monitor_equals_batch(spark, topic):
-    target, checkpoint = new_area(spark, "monitor"), new_area(spark, "cp")
-    stream = topic.read_stream(spark, "t", maxFilesPerTrigger="1")
-    flows.drain(flows.monitor_delivery(stream, ["topic"], 30, target, checkpoint))
-    live = idle_cutoff_from_slots(flows.latest_snapshot(spark, target), ["topic"], 30).collect()
-    assert live == idle_cutoff(topic.read(spark, "t"), ["topic"], 30).collect()
+IDLE_COLUMNS = ["first_arrival", "last_arrival", "records", "bytes", "records_after"]
+
+
+def monitored(spark, messages, files, timeout_s, strict=False, restart=False, late_s=0):
+    """The idle ends of runs whose messages arrive in so many files, and the rows of state by batch."""
+    source, target, checkpoint = (new_area(spark, x) for x in ("in", "monitor", "cp"))
+    rows = []
+    for part in range(files):
+        chosen = messages.filter(F.col("part") == part).coalesce(1)
+        chosen.write.mode("append").parquet(source)
+        if restart or part == files - 1:
+            stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            query = flows.drain(flows.monitor_delivery(stream, ["run"], timeout_s, target, checkpoint, True, late_s, strict))
+            rows += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    layout = flows.delivery_sessions(stream, ["run"], timeout_s).schema
+    ends = flows.idle_end(flows.monitored_sessions(spark, layout, target, checkpoint), ["run"])
+    return sorted(map(tuple, ends.select("run", *IDLE_COLUMNS).collect()), key=repr), rows
+
+
+def run_messages(spark, parts, seed=3, count=400):
+    rng, rows, now = random.Random(seed), [], 0
+    for i in range(count):
+        now += rng.choice([0, 1, 2, 3, 10, 11])
+        rows.append((rng.choice(["a", "b", None]), now, "x" * rng.randrange(9) if rng.random() < 0.9 else None, i * parts // count))
+    df = spark.createDataFrame(rows, "run string, s long, value string, part int")
+    return df.withColumn("timestamp", F.timestamp_micros(F.col("s") * 1_000_000)).drop("s")
+
+
+def batch_ends(messages, timeout_s, strict=False):
+    ends = idle_cutoff(messages, ["run"], timeout_s, strict)
+    return sorted(map(tuple, ends.select("run", *IDLE_COLUMNS).collect()), key=repr)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("timeout_s", [10, 25, 1000])
+def test_monitor_equals_batch(spark, timeout_s, strict):
+    """However the stream is cut into batches; gaps equal to the timeout count unless strict."""
+    for parts in (1, 4):
+        messages = run_messages(spark, parts)
+        assert monitored(spark, messages, parts, timeout_s, strict)[0] == batch_ends(messages, timeout_s, strict)
+
+
+def test_monitor_goes_on_after_a_restart(spark):
+    messages = run_messages(spark, 3, seed=4)
+    assert monitored(spark, messages, 3, 20, restart=True)[0] == batch_ends(messages, 20)
+
+
+def test_monitor_state_is_bounded_over_many_batches(spark):
+    """Closed sessions leave: never more rows than open sessions and those of one batch."""
+    messages = run_messages(spark, 50, seed=5, count=1500)
+    ends, rows = monitored(spark, messages, 50, 12)
+    assert ends == batch_ends(messages, 12)
+    assert len(rows) >= 50 and max(rows) <= 20 and max(rows[25:]) <= max(rows[:25]) + 6
+
+
+def test_live_monitor_counts_open_sessions(spark):
+    messages = run_messages(spark, 1, count=50)
+    source, target, checkpoint = (new_area(spark, x) for x in ("in", "monitor", "cp"))
+    messages.write.parquet(source)
+    stream = spark.readStream.schema(messages.schema).parquet(source)
+    flows.drain(flows.monitor_delivery(stream, ["run"], 10**6, target, checkpoint))
+    layout = flows.delivery_sessions(stream, ["run"], 10**6).schema
+    seen = flows.monitored_sessions(spark, layout, target, checkpoint).collect()
+    assert sum(r.records for r in seen) == 50 and all(r.open for r in seen)
 
 
 def test_filter_and_deliver_in_batches(spark, tmp_path):
