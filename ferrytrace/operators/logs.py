@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrytrace.operators.ordered import floor_div
 from ferrytrace.schemas import CONSUMER_METRICS
 
 # Fixed patterns and markers of the log formats: a number stands before each of these units.
@@ -30,6 +31,11 @@ RESULTS_START = "RESULTS_START"
 RESULTS_END = "RESULTS_END"
 CONSUMER_CSV = "CONSUMER_CSV:"
 
+# Lines of one log that one task puts in order.
+LINES_PER_BLOCK = 65_536
+# The size of quantile sketches: a rank error of 0.44 %.
+SKETCH_K = 1024
+
 _CONSUMER_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CONSUMER_METRICS)
 
 
@@ -89,25 +95,91 @@ def percentiles(lines: DataFrame) -> DataFrame:
     return _latest_numbers(lines, wanted, "p99_latency_ms").drop("_matched")
 
 
+def latency_sketches(
+    records: DataFrame, keys: Sequence[str], latency: str, k: int = SKETCH_K
+) -> DataFrame:
+    """One quantile sketch of the latencies per key, to be stored: ``sketch`` (binary), with the exact
+    number, least and greatest.  Nulls and NaN are no latencies; without any the sketch is null."""
+    value = F.nanvl(F.col(latency).cast("double"), F.lit(None))
+    count = F.count(value)
+    return records.groupBy(*keys).agg(
+        count.alias("records"),
+        F.min(value).alias("least"),
+        F.max(value).alias("greatest"),
+        F.when(count > 0, F.kll_sketch_agg_double(value, F.lit(k))).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """Stored sketches united over runs: the same columns by fewer keys."""
+    known = F.count("sketch")
+    return sketches.groupBy(*keys).agg(
+        F.sum("records").alias("records"),
+        F.min("least").alias("least"),
+        F.max("greatest").alias("greatest"),
+        F.when(known > 0, F.kll_merge_agg_double("sketch", F.lit(k))).alias("sketch"),
+    )
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """How far the rank of a sketch's quantile may be off, as a share of all latencies (at 99 %)."""
+    return 2.296 / k**0.9021
+
+
+def sketch_quantiles(sketches: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """The quantiles at the shares (by column name), within ``rank_error`` in rank."""
+    found = {
+        name: F.when(F.col("sketch").isNotNull(), F.kll_sketch_get_quantile_double("sketch", F.lit(share)))
+        for name, share in shares.items()
+    }
+    return sketches.withColumns(found).drop("sketch")
+
+
 def _csv_field(line: Column, position: int) -> Column:
     return F.trim(F.get(F.split(line, ","), F.lit(position - 1))).try_cast("double")
 
 
-def consumer_perf(lines: DataFrame) -> DataFrame:
-    """MB/s and records/s (fields 4 and 6) of the line that follows the last header."""
-    line = F.col("line")
-    is_header = line.contains(CONSUMER_HEADER)
-    headers = lines.groupBy("log").agg(F.max(F.when(is_header, F.col("line_ix"))).alias("at"))
-    after = lines.join(headers, "log").groupBy("log").agg(
-        F.min_by(line, F.when(F.col("line_ix") > F.col("at"), F.col("line_ix"))).alias("m")
+def consumer_perf(lines: DataFrame, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
+    """MB/s and records/s (fields 4 and 6) of the line that follows the last header.
+
+    Lines are shuffled as numbers, without text, to blocks of positions, so a huge log is many tasks'
+    work.  A block is summed up as its last header with the line after it, and its first line; along
+    the blocks of a log the first line of a block follows a header that ends the block before.
+    """
+    line, ix = F.col("line"), F.col("line_ix")
+    fields = {"mb_per_sec": 4, "records_per_sec": 6}
+    parsed = lines.select(
+        "log",
+        ix.cast("long").alias("line_ix"),
+        floor_div(ix.cast("long"), lines_per_block).alias("_block"),
+        F.coalesce(line.contains(CONSUMER_HEADER), F.lit(False)).alias("_header"),
+        line.isNotNull().alias("_is"),
+        *[_csv_field(line, position).alias(name) for name, position in fields.items()],
     )
-    metrics = F.col("m")
-    return after.select(
+    inside = Window.partitionBy("log", "_block").orderBy("line_ix")
+    followed = parsed.select(
+        "log", "_block", "line_ix", "_is", *fields,
+        F.when(F.col("_header"), ix).alias("_at"),
+        *[F.lead(c).over(inside).alias(f"_next_{c}") for c in ("_is", *fields)],
+    )
+    blocks = followed.groupBy("log", "_block").agg(
+        F.max("_at").alias("_at"),
+        *[F.max_by(f"_next_{c}", "_at").alias(f"_next_{c}") for c in ("_is", *fields)],
+        *[F.min_by(c, "line_ix").alias(f"_first_{c}") for c in ("_is", *fields)],
+    )
+    along = Window.partitionBy("log").orderBy("_block")
+    ends = blocks.select(
         "log",
-        _csv_field(metrics, 4).alias("mb_per_sec"),
-        _csv_field(metrics, 6).alias("records_per_sec"),
-        metrics.isNull().alias("failed"),
+        "_at",
+        *[
+            F.when(F.col("_next__is").isNotNull(), F.col(f"_next_{c}"))
+            .otherwise(F.lead(f"_first_{c}").over(along))
+            .alias(c)
+            for c in ("_is", *fields)
+        ],
     )
+    last = ends.groupBy("log").agg(*[F.max_by(c, "_at").alias(c) for c in ("_is", *fields)])
+    return last.select("log", *fields, (~F.coalesce("_is", F.lit(False))).alias("failed"))
 
 
 def consumer_perf_detailed(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrytrace.operators import logs
 from ferrytrace.plans.registry import query
+from ferrytrace.session import written
 
 K_SQL = "json_extract(props, '$.k')::INTEGER"
 
@@ -70,6 +71,35 @@ def log_percentiles(t):
     return logs.percentiles(_lines(t, _progress(), _summary()))
 
 
+@query(
+    "log_latency_sketches",
+    """SELECT l_returnflag || l_linestatus AS log, count(*) AS records, min(l_extendedprice) AS least_ms,
+              max(l_extendedprice) AS greatest_ms, true AS p50_within, true AS p99_within
+       FROM lineitem GROUP BY 1""",
+)
+def log_latency_sketches(t):
+    """Percentiles over raw latencies (prices stand in), from sketches stored for each run (line number)
+    and united over them; whether their true ranks are within the stated error (with a margin of two)."""
+    log = F.concat("l_returnflag", "l_linestatus").alias("log")
+    runs = t.lineitem.select(log, "l_linenumber", "l_extendedprice")
+    stored = written(logs.latency_sketches(runs, ["log", "l_linenumber"], "l_extendedprice"), "sketches")
+    shares = {"p50": 0.5, "p99": 0.99}
+    found = logs.sketch_quantiles(logs.merge_sketches(stored, ["log"]), shares)
+    value, off = F.col("l_extendedprice"), 2 * logs.rank_error()
+    ranks = runs.join(found.select("log", *shares), "log").groupBy("log").agg(
+        *[
+            (
+                (F.count_if(value <= F.col(name)) / F.count(value) >= share - off)
+                & (F.count_if(value < F.col(name)) / F.count(value) <= share + off)
+            ).alias(f"{name}_within")
+            for name, share in shares.items()
+        ]
+    )
+    return found.join(ranks, "log").select(
+        "log", "records", F.col("least").alias("least_ms"), F.col("greatest").alias("greatest_ms"), "p50_within", "p99_within"
+    )
+
+
 _HEADER_LINE = "start.time, end.time, data.consumed.in.MB, MB.sec, data.consumed.in.nMsg, nMsg.sec"
 
 

@@ -1,5 +1,7 @@
 """Result reports and log extraction on small frames with gaps, ties and failures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,71 @@ def test_tail(spark):
     assert {r.log: r.tail_max for r in logs.tail_max(lines, logs.RECORDS_PER_SEC).collect()} == {"a": 50.0, "b": 8.0}
     plan = logs.tail_mean(lines, logs.RECORDS_PER_SEC)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan[plan.index("Exchange") :]
+
+
+def plain_consumer_perf(rows):
+    """{log: (mb, records, failed)}: the line with the next higher position after the last header."""
+    found = {}
+    for log in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == log), key=lambda r: r[1])
+        at = [i for i, r in enumerate(mine) if r[2] is not None and logs.CONSUMER_HEADER in r[2]]
+        after = [r[2] for r in mine[at[-1] + 1 : at[-1] + 2]] if at else []
+        fields = after[0].split(",") if after and after[0] is not None else None
+        pick = lambda i: float(fields[i]) if fields and len(fields) > i and fields[i].strip() else None
+        found[log] = (pick(3), pick(5), fields is None)
+    return found
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 65_536])
+def test_consumer_log_in_blocks(spark, block):
+    """Headers at the end of a block, gaps in positions, empty blocks, null lines, negative positions."""
+    rng = random.Random(block)
+    rows = []
+    for log in range(40):
+        at = rng.randint(-20, 0)
+        for _ in range(rng.randint(1, 25)):
+            at += rng.choice([1, 1, 2, 9])
+            kind = rng.choice(["start.time, MB", "0, 0, 0, 1.5, 0, 2.5", "junk", None, f"a,b,c,{at},e,{at + 1}", ",,,,,"])
+            rows.append((log, at, kind))
+    lines = spark.createDataFrame(rows, "log int, line_ix int, line string").repartition(5)
+    got = logs.consumer_perf(lines, block)
+    assert {r.log: (r.mb_per_sec, r.records_per_sec, r.failed) for r in got.collect()} == plain_consumer_perf(rows)
+
+
+def test_consumer_log_sends_no_text_and_joins_nothing(spark):
+    lines = spark.createDataFrame([(1, 1, "x")], "log int, line_ix long, line string")
+    plan = logs.consumer_perf(lines)._jdf.queryExecution().executedPlan().toString()
+    steps = plan.splitlines()
+    exchanges = [i for i, x in enumerate(steps) if "Exchange" in x]
+    text = [i for i, x in enumerate(steps) if " line#" in x or "[line#" in x or ",line#" in x]
+    assert len(exchanges) == 2 and min(text) > max(exchanges)
+    assert plan.count("Scan ExistingRDD") == 1 and "Join" not in plan.replace("isFinalPlan", "")
+
+
+@pytest.mark.parametrize("shape", ["even", "heavy tail", "few values", "one log"])
+def test_latency_sketches_are_within_their_error(spark, shape):
+    """Sketches of parts, united, against the exact percentile by rank."""
+    rng = random.Random(shape)
+    draw = {
+        "even": lambda: rng.random(), "heavy tail": lambda: rng.paretovariate(0.7),
+        "few values": lambda: float(rng.randrange(5)), "one log": lambda: rng.gauss(100, 15),
+    }[shape]
+    rows = [(0 if shape == "one log" or rng.random() < 0.6 else rng.randrange(1, 4), i % 7, draw()) for i in range(20_000)]
+    df = spark.createDataFrame([*rows, (0, 1, None), (0, 1, float("nan"))], "log int, run int, ms double")
+    parts = logs.latency_sketches(df, ["log", "run"], "ms")
+    shares = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "p999": 0.999}
+    for r in logs.sketch_quantiles(logs.merge_sketches(parts, ["log"]), shares).collect():
+        mine = sorted(x[2] for x in rows if x[0] == r.log)
+        assert (r.records, r.least, r.greatest) == (len(mine), mine[0], mine[-1])
+        for name, share in shares.items():
+            below, upto = sum(x < r[name] for x in mine), sum(x <= r[name] for x in mine)
+            off = 2 * logs.rank_error() * len(mine) + 1
+            assert below - off <= share * len(mine) <= upto + off, name
+
+
+def test_sketches_of_few_and_no_latencies(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", None), (None, 5.0)], "log string, ms double")
+    merged = logs.merge_sketches(logs.latency_sketches(df, ["log"], "ms"), ["log"])
+    got = {r.log: (r.records, r.p50) for r in logs.sketch_quantiles(merged, {"p50": 0.5}).collect()}
+    assert got == {"a": (3, 2.0), "b": (0, None), None: (1, 5.0)}
+    assert logs.sketch_quantiles(logs.merge_sketches(logs.latency_sketches(df.limit(0), ["log"], "ms"), ["log"]), {"p50": 0.5}).collect() == []
