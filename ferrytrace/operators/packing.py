@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,23 +82,6 @@ def chunk_number(running_bytes: Column, chunk_bytes: int) -> Column:
     return floor_div(F.greatest(running_bytes - 1, F.lit(0)), chunk_bytes)
 
 
-def assign_chunks(
-    topic: DataFrame,
-    chunk_bytes: int,
-    keys: Sequence[str] = ("topic", "partition"),
-    position: str = "offset",
-    positions_per_block: int = POSITIONS_PER_BLOCK,
-) -> DataFrame:
-    """Number the transfer chunk of each message: the running byte count of its partition over
-    the chunk size.  A chunk exceeds the size by less than one message."""
-    sized = topic.withColumn("_bytes", payload_bytes())
-    summed = running_totals(
-        sized, keys, position, {"running_bytes": F.col("_bytes")}, positions_per_block
-    )
-    numbered = summed.withColumn("chunk", chunk_number(F.col("running_bytes"), chunk_bytes))
-    return numbered.withColumnRenamed("_bytes", "bytes")
-
-
 def chunk_summary(
     chunked: DataFrame, keys: Sequence[str] = ("topic", "partition"), position: str = "offset"
 ) -> DataFrame:
@@ -115,16 +99,39 @@ def chunk_by_bytes(
     keys: Sequence[str] = ("topic", "partition"),
     position: str = "offset",
     positions_per_block: int = POSITIONS_PER_BLOCK,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per chunk.  Only positions and sizes are shuffled, never the message text."""
+    """One row per chunk: the running byte count of a partition over the chunk size numbers a message's
+    chunk, so a chunk exceeds the size by less than one message.  Only positions and sizes are
+    shuffled, never the message text.  ``carried`` (keys, ``carried``) has bytes that came before."""
     narrow = topic.select(*keys, position, payload_bytes().alias("_size"))
     summed = running_totals(
         narrow, keys, position, {"running_bytes": F.col("_size")}, positions_per_block
     )
+    upto = F.col("running_bytes")
+    if carried is not None:
+        summed = summed.join(carried, list(keys), "left")
+        upto = upto + F.coalesce(F.col("carried"), F.lit(0))
     chunked = summed.select(
-        *keys,
-        position,
-        F.col("_size").alias("bytes"),
-        chunk_number(F.col("running_bytes"), chunk_bytes).alias("chunk"),
+        *keys, position, F.col("_size").alias("bytes"), chunk_number(upto, chunk_bytes).alias("chunk")
     )
     return chunk_summary(chunked, keys, position)
+
+
+def in_chunks(
+    topic: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("topic", "partition"), position: str = "offset"
+) -> DataFrame:
+    """Each message with the number of its ``chunk``, from the rows of ``chunk_by_bytes``, and ``bytes``.
+
+    A chunk is an interval of positions.  Intervals are cut at blocks of as many positions as chunks
+    have on average, so the join is on equal keys and blocks, and few intervals meet in one block.
+    Messages move only if the intervals are too many to be sent to them.
+    """
+    sizes = chunks.agg(F.sum(F.col("last_offset") - F.col("first_offset") + 1), F.count(F.lit(1))).first()
+    block = max(1, math.ceil((sizes[0] or 0) / max(sizes[1], 1)))
+    first, last = (floor_div(F.col(c), block) for c in ("first_offset", "last_offset"))
+    intervals = chunks.select(*keys, "chunk", "first_offset", "last_offset", F.explode(F.sequence(first, last)).alias("_block"))
+    placed = topic.withColumn("_block", floor_div(F.col(position), block))
+    inside = (F.col(position) >= F.col("first_offset")) & (F.col(position) <= F.col("last_offset"))
+    met = placed.join(intervals, [*keys, "_block"]).where(inside)
+    return met.select(*topic.columns, payload_bytes().alias("bytes"), "chunk")

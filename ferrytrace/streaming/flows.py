@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from ferrytrace.functions.measures import prefixed_topic
 from ferrytrace.functions.messages import json_value, make_header, parse_json, payload_bytes
 from ferrytrace.operators.filters import keep_listed
-from ferrytrace.operators.packing import assign_chunks, chunk_number
+from ferrytrace.operators.packing import chunk_by_bytes, in_chunks
 from ferrytrace.schemas import SQUARES, TOPIC
 from ferrytrace.sources.topics import FileTopics, KafkaTopics
 
@@ -135,33 +135,30 @@ def transfer_chunks(
     """Move a topic as size-bounded chunks.
 
     A batch continues the byte count of the batches before it, so chunk numbers do not depend on
-    how the stream was cut into batches.  Messages go to ``messages/batch_id=n`` and byte totals
-    to ``totals/batch_id=n``; a repeated batch replaces both.
+    how the stream was cut into batches.  Messages go to ``messages/batch_id=n``, chunks to
+    ``chunks/batch_id=n``, and the byte totals up to and with the batch to ``totals/batch_id=n``, so
+    a batch reads only what the one before it left.  A repeated batch replaces all three.
     """
+    keys = ["topic", "partition"]
 
     def move(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carried = batch
+
+        def at(table: str, number: int) -> str:
+            return f"{target_path}/{table}/batch_id={number}"
+
+        layout = T.StructType([batch.schema["topic"], batch.schema["partition"], T.StructField("carried", T.LongType())])
         if batch_id > 0:
-            moved = (
-                spark.read.parquet(f"{target_path}/totals")
-                .filter(F.col("batch_id") < batch_id)
-                .groupBy("topic", "partition")
-                .agg(F.sum("bytes").alias("_carried"))
-            )
-            carried = batch.join(moved, ["topic", "partition"], "left")
+            carried = spark.read.schema(layout).parquet(at("totals", batch_id - 1))
         else:
-            carried = batch.withColumn("_carried", F.lit(0).cast("long"))
-        chunked = assign_chunks(carried, chunk_bytes)
-        upto = F.col("running_bytes") + F.coalesce(F.col("_carried"), F.lit(0))
-        placed = chunked.withColumn(
-            "chunk", chunk_number(upto, chunk_bytes)
-        ).drop("_carried", "running_bytes")
-        placed.write.mode("overwrite").parquet(f"{target_path}/messages/batch_id={batch_id}")
-        written = spark.read.parquet(f"{target_path}/messages/batch_id={batch_id}")
-        written.groupBy("topic", "partition").agg(F.sum("bytes").alias("bytes")).write.mode(
-            "overwrite"
-        ).parquet(f"{target_path}/totals/batch_id={batch_id}")
+            carried = spark.createDataFrame([], layout)
+        numbered = chunk_by_bytes(batch, chunk_bytes, carried=carried)
+        numbered.write.mode("overwrite").parquet(at("chunks", batch_id))
+        chunks = spark.read.schema(numbered.schema).parquet(at("chunks", batch_id))
+        in_chunks(batch, chunks).write.mode("overwrite").parquet(at("messages", batch_id))
+        totals = carried.unionByName(chunks.select(*keys, F.col("bytes").alias("carried")))
+        totals = totals.groupBy(*keys).agg(F.sum("carried").alias("carried"))
+        totals.coalesce(1).write.mode("overwrite").parquet(at("totals", batch_id))
 
     return start(source.writeStream.foreachBatch(move), checkpoint, bounded)
 

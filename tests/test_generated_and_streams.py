@@ -1,12 +1,14 @@
 """Generators do not depend on partitions; streams equal their batch form, also across batches."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ferrytrace.operators.delivery import idle_cutoff
-from ferrytrace.operators.packing import chunk_by_bytes, chunk_summary
+from ferrytrace.operators.packing import chunk_by_bytes, chunk_summary, in_chunks
 from ferrytrace.schemas import READING
 from ferrytrace.session import new_area
 from ferrytrace.sources import generated
@@ -93,6 +95,39 @@ def test_chunks_equal_the_batch_form(spark, topic):
     assert moved == sorted(map(tuple, chunk_by_bytes(topic.read(spark, "t"), 300).collect()))
 
 
+def test_chunk_bookkeeping_stays_constant_over_many_batches(spark):
+    """Fifty batches: each leaves one small file of totals, of all partitions seen so far, and its
+    messages are chunked as in one go; batch n reads the totals of batch n - 1 alone."""
+    rng = random.Random(8)
+    rows = [("t", i % 3 if i < 200 else 0, None, "x" * rng.choice([0, 1, 30, 400]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "topic string, partition int, key string, value string, i long")
+    window = Window.partitionBy("partition").orderBy("i")
+    df = df.withColumn("offset", (F.row_number().over(window) + 10).cast("long"))
+    source, target, checkpoint = (new_area(spark, x) for x in ("in", "chunks", "cp"))
+    df.cache().count()
+    for part in range(50):
+        df.filter(F.floor(F.col("i") / 10) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    flows.drain(flows.transfer_chunks(stream, 700, target, checkpoint))
+    moved = spark.read.parquet(f"{target}/messages")
+    assert sorted(map(tuple, chunk_summary(moved).collect())) == sorted(map(tuple, chunk_by_bytes(df, 700).collect()))
+    assert moved.select(df.columns).exceptAll(df).isEmpty() and moved.count() == 500
+    files = [len(list(Path(f"{target}/totals/batch_id={n}").glob("part-*"))) for n in range(50)]
+    assert files == [1] * 50
+    newest = {r.partition: r.carried for r in spark.read.parquet(f"{target}/totals/batch_id=49").collect()}
+    assert newest == {p: sum(len(r[3]) for r in rows if r[1] == p) for p in range(3)}
+
+
+@pytest.mark.parametrize("size", [1, 700, 10**9])
+def test_messages_find_their_chunk(spark, topic, size):
+    """Chunks of one message, of some, and one for all: each message is in the chunk whose interval has it."""
+    messages = topic.read(spark, "t")
+    chunks = chunk_by_bytes(messages, size)
+    placed = in_chunks(messages, chunks)
+    assert placed.count() == 600
+    assert sorted(map(tuple, chunk_summary(placed).collect())) == sorted(map(tuple, chunks.collect()))
+
+
 def test_replica_is_the_same_multiset_and_resumes(spark, topic):
     target, checkpoint = new_area(spark, "replica"), new_area(spark, "cp")
     for _ in range(2):

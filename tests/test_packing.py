@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ferrytrace.functions.measures import producer_batch_bytes, records_per_pack
-from ferrytrace.operators.packing import assign_chunks, chunk_by_bytes, pack_messages
+from ferrytrace.operators.packing import chunk_by_bytes, in_chunks, pack_messages
 
 
 def test_pack_sizes():
@@ -67,6 +67,6 @@ def test_chunk_exceeds_limit_by_less_than_one_message(spark):
 def test_assigned_chunks_agree_with_summary(spark):
     sizes = [30, 5, 200, 1, 99, 42] * 20
     topic = _topic(spark, sizes)
-    rows = assign_chunks(topic, 100, positions_per_block=9).groupBy("chunk").agg(F.sum("bytes").alias("b"))
+    rows = in_chunks(topic, chunk_by_bytes(topic, 100, positions_per_block=9)).groupBy("chunk").agg(F.sum("bytes").alias("b"))
     summed = chunk_by_bytes(topic, 100, positions_per_block=11)
     assert {r.chunk: r.b for r in rows.collect()} == {r.chunk: r.bytes for r in summed.collect()}
