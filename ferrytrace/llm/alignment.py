@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,10 @@ class Tokenizers:
         if self.a.merged == sorted(self.a.merged):
             self.compiled = tiktoken.Encoding("a", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
         self.a.words = Remembered(self._word)
+        # No piece has a space behind another character: then words are merged independently.
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.words_b = Remembered(self.b.encode)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self._bytes_b(i) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (
@@ -71,10 +76,16 @@ class Tokenizers:
     def encode_a(self, text: str) -> np.ndarray:
         return np.frombuffer(self.a.encode(text), "<u4").astype(np.int64)
 
+    def encode_b(self, text: str) -> list[int]:
+        """Each word with the space before it, remembered; texts with other spaces as a whole."""
+        if not self.by_word or "  " in text or text[:1] == " " or text[-1:] == " ":
+            return self.b.encode(text)
+        return list(chain.from_iterable(map(self.words_b.__getitem__, text.split(" "))))
+
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both; none where they don't spell space + text."""
-        for text, other in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            whole = (" " + text).encode()
+        for text in texts:
+            whole, other = (" " + text).encode(), self.encode_b(text)
             if text and b"".join(map(self.bytes_b.__getitem__, other)) == whole:
                 ids = self.encode_a(" " + text)
                 if self.length_a[ids].sum() == len(whole):  # its tokens' bytes can only be the text's

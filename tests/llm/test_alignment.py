@@ -59,6 +59,18 @@ def test_compiled_encoder_equals_the_library():
         assert known.encode_a(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_encoded_as_the_library_does_texts():
+    import sentencepiece
+
+    known, library, rng = alignment.Tokenizers(*PATHS), sentencepiece.SentencePieceProcessor(model_file=PATHS[1]), random.Random(12)
+    letters = [chr(i) for i in range(1, 0x250)] + list("  \n\t▁中😀ﬁ½ err the ing tion") * 9
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", " ", "a ", " a", "a  b", "the \n the", "<s> </s> <unk> <0x0A>", "x" * 5000 + " y", "a\u00a0b \u3000c"]
+    assert known.by_word
+    for text in texts:
+        assert known.encode_b(text) == library.encode(text), text
+
+
 def test_query(spark):
     data = Path("/root/testdata/sf0.001")
     if not data.exists():
