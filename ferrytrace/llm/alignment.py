@@ -50,11 +50,11 @@ class Tokenizers:
         if self.a.merged == sorted(self.a.merged):
             self.compiled = tiktoken.Encoding("a", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
         self.a.words = Remembered(self._word)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         # No piece has a space behind another character: then words are merged independently.
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.words_b = Remembered(self.b.encode)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self._bytes_b(i) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (
             np.array([len(t) for t in tokens], np.int64) for tokens in (self.a.token_bytes, self.bytes_b)
@@ -78,7 +78,7 @@ class Tokenizers:
 
     def encode_b(self, text: str) -> list[int]:
         """Each word with the space before it, remembered; texts with other spaces as a whole."""
-        if not self.by_word or "  " in text or text[:1] == " " or text[-1:] == " ":
+        if not self.by_word or "  " in text or SPACE in text or text[:1] == " " or text[-1:] == " ":
             return self.b.encode(text)
         return list(chain.from_iterable(map(self.words_b.__getitem__, text.split(" "))))
 
