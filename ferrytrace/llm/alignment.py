@@ -186,23 +186,25 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
     return narrow.mapInArrow(work, schema)
 
 
-def _pack(ascending: np.ndarray, numbers: np.ndarray) -> bytes:
-    return compressed(planes(np.diff(ascending, prepend=0), "<i8") + planes(numbers, "<i8"))
+def _pack(ascending: np.ndarray, numbers: np.ndarray, kind: str = "<i8") -> bytes:
+    return compressed(planes(np.diff(ascending, prepend=0), kind) + planes(numbers, "<i8"))
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = decompressed(packed)
-    steps, numbers = data[: len(data) // 2], data[len(data) // 2 :]
-    return np.cumsum(from_planes(steps, "<i8")), from_planes(numbers, "<i8")
+def _unpack(packed: bytes, kind: str = "<i8") -> tuple[np.ndarray, np.ndarray]:
+    data, width = decompressed(packed), np.dtype(kind).itemsize
+    cut = len(data) * width // (width + 8)
+    return np.cumsum(from_planes(data[:cut], kind)), from_planes(data[cut:], "<i8")
 
 
 def _block(number: int, rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    pairs, documents = np.unique(np.concatenate([r[6] for r in rows]), return_counts=True)
+    every = np.concatenate([r[6] for r in rows])
+    pairs, place, documents = np.unique(every, return_inverse=True, return_counts=True)
+    ends = np.cumsum([0, *(len(r[6]) for r in rows)]).tolist()
     for start in range(0, len(rows), 1000):
         some = rows[start : start + 1000]
         columns = [pa.array([number] * len(some), pa.int64()), pa.array([r[0].as_py() for r in some], kind)]
         columns += [pa.array([r[i] for r in some], pa.int64()) for i in range(1, 5)]
-        packed = [_pack(np.searchsorted(pairs, r[6]), r[7]) for r in some]
+        packed = [_pack(place[ends[i] : ends[i + 1]], r[7], _PLACE) for i, r in enumerate(some, start)]
         columns += [pa.array([r[5] for r in some], pa.string()), pa.array(packed, pa.binary()), pa.nulls(len(some), pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, list(_NAMES))
     columns = [pa.array([number], pa.int64()), pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 4]
@@ -210,6 +212,8 @@ def _block(number: int, rows: list[tuple], kind: pa.DataType) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays(columns, list(_NAMES))
 
 
+# A place in the list of a block.
+_PLACE = "<i4"
 _NAMES = ("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "pairs")
 
 
@@ -255,7 +259,7 @@ def with_counts(aligned: DataFrame) -> DataFrame:
         best = lists.column("best").to_numpy(zero_copy_only=False)[order]
         sums = []
         for packed in rows.column("links").to_pylist():
-            places, times = _unpack(packed)
+            places, times = _unpack(packed, _PLACE)
             sums.append((int(times[best[places]].sum()), int((times * count[places]).sum())))
         columns = [pa.array([s[i] for s in sums], pa.int64()) for i in (0, 1)]
         return pa.table([*rows.select(kept).columns, *columns], [*kept, "n_best", "count_sum"])
