@@ -24,7 +24,10 @@ CYCLE_DAYS, CYCLE_LEFT, CYCLE_RIGHT = 146_097, 189, 773
 
 # Kind -> pattern; the first that matches at a place decides.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # A mail domain runs to its last label that begins with two letters.  Every loop over a group is
+    # possessive: the JVM's engine runs those without recursion, however long the text.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?=[A-Za-z0-9-])"
+    r"(?:[A-Za-z0-9-]*+(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+\.[A-Za-z]{2,}+)++",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
     r"(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -232,7 +235,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     """The documents with personal data in ``text`` replaced; all columns and rows stay.
 
     ``count`` names a column for the number of values replaced (null texts: 0).  A null text stays
-    null.  Values that look right but fail validation (checksum, calendar, ranges) stay.
+    null, an empty one empty.  Values that look right but fail validation (checksum, calendar, ranges,
+    local parts of over 64 characters) stay.  Repeated rows are treated alike, an empty table gives
+    none, and columns may have any names, this function's own included.  Texts of any length are
+    rewritten whole.
     """
     found, new = free_name(docs, "found_values"), free_name(docs, "new_values")
     content = F.coalesce(F.col(text), F.lit(""))

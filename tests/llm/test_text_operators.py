@@ -1,6 +1,11 @@
 """Each operator on awkward rows and against its plain version."""
 
+import datetime
+import hashlib
 import random
+import re
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from ferrytrace.llm import bpe, decontaminate, fingerprints, langid, ngram_join, pii, toxicity
 from ferrytrace.llm import repeats as repeats_operator
 from ferrytrace.llm import secrets as secrets_operator
+from ferrytrace.llm.queries import ROOT
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PAIRS = [r[:2] for r in EDGE_ROWS]
@@ -209,6 +215,87 @@ def test_pii_edge(edge, nothing):
     assert pii.pseudonymise(nothing, "k").collect() == []
 
 
+def _noise(key, kind, turn, value, modulus):
+    return int(hashlib.sha256(f"{key}|{kind}|{turn}|{value}".encode()).hexdigest()[:14], 16) % modulus
+
+
+def _permuted(key, kind, value, left, right):
+    """The Feistel network on plain integers."""
+    a, b = divmod(value, right)
+    for turn in range(pii.ROUNDS):
+        if turn % 2:
+            b = (b + _noise(key, kind, turn, a, right)) % right
+        else:
+            a = (a + _noise(key, kind, turn, b, left)) % left
+    return a * right + b
+
+
+def _plain_pseudonym(value):
+    """Plain version for the kinds that are numbers: social security numbers, addresses, dates."""
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value):
+        area, group, serial = map(int, value.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return value
+        n = _permuted("k", "ssn", ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999)
+        place, rest = divmod(n, 99 * 9999)
+        return f"{place + 1 + (place >= 665):03}-{rest // 9999 + 1:02}-{rest % 9999 + 1:04}"
+    if value.count(".") == 3:
+        parts = [int(x) for x in value.split(".")]
+        if max(parts) > 255:
+            return value
+        n = _permuted("k", "ip", int.from_bytes(bytes(parts)), 1 << 16, 1 << 16)
+        return ".".join(map(str, n.to_bytes(4)))
+    day = datetime.date.fromisoformat(value)
+    within = (day - datetime.date(1800, 1, 1)).days % pii.CYCLE_DAYS
+    moved = _permuted("k", "date", within, pii.CYCLE_LEFT, pii.CYCLE_RIGHT)
+    return str(day + datetime.timedelta(moved - within))
+
+
+def test_pseudonyms_equal_plain_feistel(spark):
+    rng = random.Random(5)
+    values = ["666-12-3456", "899-99-9999", "001-01-0001", "900-01-0001", "0.0.0.0", "255.255.255.255", "256.1.1.1"]
+    for _ in range(60):
+        values.append(f"{rng.randrange(1000):03}-{rng.randrange(100):02}-{rng.randrange(10000):04}")
+        values.append(".".join(str(rng.randrange(262)) for _ in range(4)))
+        values.append(str(datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(140_000))))
+    df = spark.createDataFrame([(i, f"at {v} end") for i, v in enumerate(values)], "i int, text string")
+    got = {r["i"]: r["text"] for r in pii.pseudonymise(df, "k").collect()}
+    assert got == {i: f"at {_plain_pseudonym(v)} end" for i, v in enumerate(values)}
+
+
+def test_mail_pattern(spark):
+    """The loops without recursion find what the plain pattern finds."""
+    plain_pattern = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab1-..@@ x") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["x" * 65 + "@ab.de", "x" * 64 + "@ab.de", "a@b.com...", "a@b.com.x", "a@b.c.d1.ef2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = df.select("i", F.regexp_extract_all("text", F.lit(pii.PATTERNS["email"]), F.lit(0)).alias("m"))
+    assert {r["i"]: r["m"] for r in found.collect()} == {i: plain_pattern.findall(t) for i, t in enumerate(texts)}
+
+
+COLD = """
+from pyspark.sql import SparkSession, functions as F
+from ferrytrace.llm import pii, secrets
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+n = 1_000_000
+bodies = ["mail x@" + "a." * (n // 2), "x@" + "ab." * (n // 3), "y." * (n // 2) + "@a.de", "1" * n, "1.2" * (n // 3),
+          "12-" * (n // 3), "+1 " * (n // 3), "password" + " " * n, "AKIA" + "A" * n, "a1B" * (n // 3), "abc0" * (n // 4),
+          "http://" + "a/" * (n // 2), "login=" + "a.b" * (n // 3), "token=" + "=" * n, "(12)" * (n // 4)]
+df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+assert pii.pseudonymise(df, "k").agg(F.sum(F.length("text"))).first()[0] > 14 * n - 100
+assert secrets.report(secrets.find_secrets(df)).count() == len(bodies)
+print("whole")
+"""
+
+
+def test_long_texts_on_a_cold_engine():
+    """A million characters of near-matches for every pattern of personal data and secrets, in a new JVM
+    whose matching code is not compiled yet."""
+    done = subprocess.run([sys.executable, "-c", COLD], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "whole" in done.stdout, done.stderr[-3000:]
+
+
 # --- Secrets ---------------------------------------------------------------------------------------
 
 SECRETS = [
