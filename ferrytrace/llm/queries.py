@@ -112,7 +112,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text without the bytes that strings of 400 bytes cover which occur elsewhere too."""
+    """Every text without the bytes that strings of 400 bytes cover which occur elsewhere too; ``text``
+    has the replacement character where a cut fell inside a character."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
@@ -121,6 +122,7 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
