@@ -6,15 +6,20 @@ similar sets agree on all tokens of some part: on a *combination* of tokens, whi
 indexed.  Sets are compared within size classes, so that both sides deal into the same parts.
 
 Documents that share a combination, directly or in a chain, form a candidate component.  No link
-leads out of one.  Inside each, all sets are compared exactly; large ones are compared block by
-block.  What leaves a task is a spanning forest of the links, never all pairs.
+leads out of one.  Chains through passages make such components large, so they are cut by *parity
+sketches* first: a bit for each bucket tells whether the set has an odd number of tokens there.  Two
+sketches differ in at most as many bits as the sets in tokens, so similar sets never have sketches
+further apart than that, and chains of near sketches are small.  A sketch has one to two bits a token,
+a fiftieth of the text.  Inside each chain, all sets are compared exactly.  What is too large for a
+task is dealt into blocks, every two of which meet.  What leaves a task is a spanning forest, never
+all pairs.
 
 A document is its text here: copies of a text are one node, so they are linked and cost one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +32,10 @@ from ferrytrace.llm.components import components
 from ferrytrace.llm.words import NOT_SPACE, RangeHash, mixed, word_spans
 from ferrytrace.session import written
 
-# Documents of one block: two blocks are compared in a task.
+# Documents of one block, twice as many sketches: two blocks are compared in a task.
 BLOCK_DOCS = 5000
+# Rows of a block of sketches compared at once.
+SKETCH_ROWS = 128
 # Columns of the membership matrix held at once.
 COLUMN_BLOCK = 2048
 
@@ -116,6 +123,63 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+def sketch_bits(size: int | np.ndarray, percent: int) -> np.ndarray:
+    """Bits of the sketch of a set: the next power of two, at least 64.  Unrelated sets differ in about
+    half of the bits, which has to be more than similar ones may: low thresholds need twice as many."""
+    wanted = np.maximum(size, 1) * (2 if percent < 75 else 1)
+    return 1 << np.maximum(np.ceil(np.log2(wanted)), 6).astype(np.int64)
+
+
+def parity_sketch(tokens: np.ndarray, percent: int) -> bytes:
+    """For each bucket of token hashes, whether it holds an odd number of tokens."""
+    bits = int(sketch_bits(len(tokens), percent))
+    buckets = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(buckets, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def near_sketches(sizes: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected by pairs of sketches near enough to be of similar sets.
+
+    Sets of a and b tokens differ in (a + b) * (100 - percent) / (100 + percent) tokens if they just
+    reach the threshold.  The longer of two sketches folds to the length of the shorter.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes = np.asarray(sizes, np.int64)[order]
+    bits = sketch_bits(sizes, percent)
+    starts = np.append(np.flatnonzero(np.diff(bits, prepend=0)), len(bits))
+    classes = [
+        (a, b, np.frombuffer(b"".join(sketches[i] for i in order[a:b]), np.uint64).reshape(b - a, -1))
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+    ]
+
+    def folded(first: int, last: int, words: int) -> np.ndarray:
+        parts = [m[max(first - a, 0) : last - a] for a, b, m in classes if a < last and b > first]
+        return np.concatenate([np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1) for x in parts])
+
+    label, links = np.arange(len(sizes)), []
+    for a, b, matrix in classes:
+        for first in range(a, b, SKETCH_ROWS):
+            end = min(first + SKETCH_ROWS, b)
+            last = int(np.searchsorted(sizes, sizes[end - 1] * 100 // percent, "right"))
+            words = matrix.shape[1]
+            others = np.ascontiguousarray(folded(first, last, words).T)
+            differ = np.zeros((end - first, last - first), np.int64)
+            for own in others:
+                differ += np.bitwise_count(own[: end - first, None] ^ own[None, :])
+            own_sizes, other_sizes = sizes[first:end, None], sizes[None, first:last]
+            differ = np.maximum(differ, np.abs(own_sizes - other_sizes))
+            near = differ * (100 + percent) <= (own_sizes + other_sizes) * (100 - percent)
+            for row in range(end - first):
+                at = first + row
+                reached = at + 1 + np.flatnonzero(near[row, row + 1 :])
+                names, once = np.unique(label[reached], return_index=True)
+                apart = names != label[at]
+                if apart.any():
+                    links.extend((int(order[at]), int(order[i])) for i in reached[once[apart]])
+                    label[np.isin(label, names)] = label[at]
+    return links
+
+
 def _prefix_groups(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """Groups of sets outside which no set has a similar one.
 
@@ -222,45 +286,71 @@ def _index(batches: Iterable[pa.RecordBatch], words: int, percent: int) -> Itera
                 chunk.column("t2"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                pa.array([parity_sketch(s, percent) for s in sets], pa.binary()),
             ],
-            ["doc_id", "t1", "t2", "n_shingles", "keys"],
+            ["doc_id", "t1", "t2", "n_shingles", "keys", "sketch"],
         )
 
 
-def _compare(batches: Iterable[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group; each group holds one block of documents, or two to compare."""
-    held: list[tuple] = []
-    group = None
+Links = list[tuple[int, int]]
+
+
+def _met(
+    batches: Iterable[pa.RecordBatch], payload: list[str], linked: Callable[..., Links]
+) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group; each group holds one block, or two that meet.  ``linked`` finds the links
+    of a group from the payload columns of its different texts."""
+    held: dict[tuple[int, int], tuple] = {}
+    group, sides = None, set()
 
     def links() -> pa.RecordBatch:
-        rows = {(a, b): (side, text) for side, a, b, text in held}
-        one_side = len({side for side, _ in rows.values()}) == 1
-        keys = sorted(rows, key=lambda k: rows[k][0])
-        sets = shingle_sets(pa.array([rows[k][1] for k in keys], pa.large_string()), words)
-        alone = len(keys) < 2 or group[1] != group[2] and one_side
-        found = [] if alone else _forest(sets, percent)
-        ones, twos = [keys[a] for a, _ in found], [keys[b] for _, b in found]
+        keys = sorted(held)
+        alone = len(keys) < 2 or group[1] != group[2] and len(sides) == 1
+        found = [] if alone else linked(*zip(*[held[k] for k in keys], strict=True))
+        ends = {"a": [keys[a] for a, _ in found], "b": [keys[b] for _, b in found]}
         return pa.RecordBatch.from_pydict(
-            {
-                "a1": pa.array([x[0] for x in ones], pa.int64()),
-                "a2": pa.array([x[1] for x in ones], pa.int64()),
-                "b1": pa.array([x[0] for x in twos], pa.int64()),
-                "b2": pa.array([x[1] for x in twos], pa.int64()),
-            }
+            {f"{x}{i + 1}": pa.array([key[i] for key in ends[x]], pa.int64()) for x in "ab" for i in (0, 1)}
         )
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "side", "t1", "t2", "text")]
-        for *key, side, t1, t2, text in zip(*columns, strict=True):
-            if key != group and held:
+        columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "side", "t1", "t2", *payload)]
+        for row in zip(*columns, strict=True):
+            if row[:3] != group and held:
                 yield links()
-                held = []
-            group = key
-            held.append((side, t1, t2, text))
+                held, sides = {}, set()
+            group = row[:3]
+            sides.add(row[3])
+            held[row[4:6]] = row[6:]
     if held:
         yield links()
 
 
+def _connected(
+    rows: DataFrame, block: int, payload: list[str], linked: Callable[..., Links], label: str
+) -> DataFrame:
+    """``node`` and ``component``, both (t1, t2), of what the links connect.  ``rows`` have a component
+    and its ``size``; larger ones than ``block`` are dealt into blocks, every two of which meet."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / block))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("t2"), F.col("blocks")))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda k: F.struct(
+            F.least(k, F.col("own")).alias("i"),
+            F.greatest(k, F.col("own")).alias("j"),
+            F.when(k >= F.col("own"), 0).otherwise(1).alias("side"),
+        ),
+    )
+    met = dealt.select("component", F.explode(pairs).alias("p"), "t1", "t2", *payload)
+    links = (
+        met.select("component", "p.*", "t1", "t2", *payload)
+        .repartition("component", "i", "j")
+        .sortWithinPartitions("component", "i", "j")
+        .mapInArrow(lambda batches: _met(batches, payload, linked), "a1 long, a2 long, b1 long, b2 long")
+    )
+    ends = [F.struct(F.col(f"{x}1").alias("t1"), F.col(f"{x}2").alias("t2")).alias(x) for x in "ab"]
+    return components(links.select(*ends), label)
+
+
 def _groups(docs: DataFrame, words: int, percent: int, key: str, text: str, block_docs: int) -> DataFrame:
     """Per row ``doc_id, t1, t2, n_shingles, component`` (a node, null without n-grams) and
     ``component_id`` (the least doc_id of the component)."""
@@ -270,7 +360,7 @@ def _groups(docs: DataFrame, words: int, percent: int, key: str, text: str, bloc
     index = written(
         keyed.mapInArrow(
             lambda batches: _index(batches, words, percent),
-            f"doc_id {kind}, t1 long, t2 long, n_shingles long, keys array<long>",
+            f"doc_id {kind}, t1 long, t2 long, n_shingles long, keys array<long>, sketch binary",
         ),
         "ngrams",
     )
@@ -280,43 +370,30 @@ def _groups(docs: DataFrame, words: int, percent: int, key: str, text: str, bloc
     ties = entries.withColumn("b", F.min("a").over(Window.partitionBy("key"))).where("a != b")
     candidates = written(components(ties.select("a", "b"), "candidates"), "candidates")
 
-    # One row of each candidate text; large components are cut into blocks, every two compared.
-    sized = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = nodes.join(candidates.withColumnRenamed("node", "t1"), "t1").join(sized, "component")
-    members = members.select(
-        "component",
-        F.col("t1").alias("m1"),
-        F.col("t2").alias("m2"),
-        "least",
-        F.ceil(F.col("size") / block_docs).alias("blocks"),
-    )
+    def members(found: DataFrame, node: str) -> DataFrame:
+        """One row of each text in a component, named by its key and smallest id."""
+        sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        of = nodes.withColumn("node", F.struct("t1", "t2") if node == "text" else F.col("t1"))
+        named = of.join(found, "node").join(sized, "component")
+        return named.select("component", "size", F.col("t1").alias("m1"), F.col("t2").alias("m2"), "least")
+
     same = [
         F.col("t1") == F.col("m1"),
         F.col("t2") == F.col("m2"),
         F.col("doc_id").eqNullSafe(F.col("least")),
     ]
-    rows = keyed.join(members, same).withColumn("own", F.pmod(F.xxhash64("t2"), F.col("blocks")))
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda k: F.struct(
-            F.least(k, F.col("own")).alias("i"),
-            F.greatest(k, F.col("own")).alias("j"),
-            F.when(k >= F.col("own"), 0).otherwise(1).alias("side"),
-        ),
-    )
-    blocked = rows.select("component", "t1", "t2", "text", F.explode(pairs).alias("p"))
-    blocked = blocked.select("component", "p.*", "t1", "t2", "text")
-    links = (
-        blocked.repartition("component", "i", "j")
-        .sortWithinPartitions("component", "i", "j")
-        .mapInArrow(lambda batches: _compare(batches, words, percent), "a1 long, a2 long, b1 long, b2 long")
-    )
-    linked = components(
-        links.select(
-            *[F.struct(F.col(f"{x}1").alias("t1"), F.col(f"{x}2").alias("t2")).alias(x) for x in "ab"]
-        ),
-        "links",
+
+    def by_sketch(sizes: tuple[int, ...], sketches: tuple[bytes, ...]) -> Links:
+        return near_sketches(np.array(sizes), list(sketches), percent)
+
+    def by_tokens(texts: tuple[str, ...]) -> Links:
+        return _forest(shingle_sets(pa.array(texts, pa.large_string()), words), percent)
+
+    sketched = index.join(members(candidates, "hash"), same)
+    chains = written(
+        _connected(sketched, block_docs * 2, ["n_shingles", "sketch"], by_sketch, "sketches"), "chains"
     )
+    linked = _connected(keyed.join(members(chains, "text"), same), block_docs, ["text"], by_tokens, "links")
     groups = nodes.withColumn("node", F.struct("t1", "t2")).join(linked, "node", "left")
     groups = groups.withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))

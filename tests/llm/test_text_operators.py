@@ -7,6 +7,7 @@ import re
 import subprocess
 import sys
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import components, contamination, repeats, secrets, sha, versions
@@ -140,6 +141,40 @@ def test_near_duplicates(spark, words, percent, block):
     assert len({c for _, _, c in want}) < len(docs)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_near_sketches(percent):
+    """No similar pair is lost: the chains of near sketches hold the components of the exact links."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in [1, 2, 3, 9, 63, 64, 65, 130, 700, 1024, 3000]:
+        for _ in range(3):
+            base = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2)
+            for gone in (0, 1, size // 20, size // 9, size // 5, size // 3):
+                kept = base[rng.permutation(size)[: max(size - gone, 1)]]
+                sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, gone // 2, np.uint64)])))
+    for chosen in (sets, sets[::-1], sets[:1], []):
+        links = ngram_join.near_sketches(
+            np.array([len(x) for x in chosen], np.int64), [ngram_join.parity_sketch(x, percent) for x in chosen], percent
+        )
+        parent = list(range(len(chosen)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            assert root(a) != root(b)  # a forest
+            parent[root(a)] = root(b)
+        pairs = [(a, b) for a in range(len(chosen)) for b in range(a)]
+        for a, b in pairs:
+            both = len(np.intersect1d(chosen[a], chosen[b]))
+            if 100 * both >= percent * (len(chosen[a]) + len(chosen[b]) - both):
+                assert root(a) == root(b)
+        if len(chosen) > 1:
+            assert len({root(x) for x in range(len(chosen))}) > len(chosen) // 12
+
+
 def test_near_duplicates_edge(edge, nothing):
     got = ngram_join.near_duplicates(edge, 3, 90)
     rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()]
