@@ -36,8 +36,11 @@ from ferrytrace.session import written
 BLOCK_DOCS = 5000
 # Rows of a block of sketches compared at once.
 SKETCH_ROWS = 128
-# Columns of the membership matrix held at once.
+# Columns of the membership matrix, and rows of their products, held at once.
 COLUMN_BLOCK = 2048
+ROW_STRIP = 2048
+
+Links = list[tuple[int, int]]
 
 _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -171,13 +174,8 @@ def near_sketches(sizes: np.ndarray, sketches: list[bytes], percent: int) -> lis
             near = differ * (100 + percent) <= (own_sizes + other_sizes) * (100 - percent)
             for row in range(end - first):
                 at = first + row
-                reached = at + 1 + np.flatnonzero(near[row, row + 1 :])
-                names, once = np.unique(label[reached], return_index=True)
-                apart = names != label[at]
-                if apart.any():
-                    links.extend((int(order[at]), int(order[i])) for i in reached[once[apart]])
-                    label[np.isin(label, names)] = label[at]
-    return links
+                links += _joined(label, at, at + 1 + np.flatnonzero(near[row, row + 1 :]))
+    return [(int(order[a]), int(order[b])) for a, b in links]
 
 
 def _prefix_groups(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -237,30 +235,36 @@ def _compared(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     place = new[place]
     order = np.argsort(place, kind="stable")
     rows, place = rows[order], place[order]
-    common = np.zeros((m, m), np.float32)
     total = int(new[-1]) + 1 if len(new) else 0
-    for start in range(0, total, COLUMN_BLOCK):
-        a, b = np.searchsorted(place, [start, start + COLUMN_BLOCK])
-        block = np.zeros((m, min(COLUMN_BLOCK, total - start)), np.float32)
-        block[rows[a:b], place[a:b] - start] = 1
-        common += block @ block.T
-    near = np.empty((m, m), bool)
-    for i in range(m):
-        # The same as 100 * common >= percent * (sizes' sum - common), in whole numbers.
-        near[i] = (100 + percent) * common[i].astype(np.int64) >= percent * (sizes[i] + sizes)
-    links, unseen = [], np.ones(m, bool)
-    for start in range(m):
-        reached = [start] if unseen[start] else []
-        unseen[start] = False
-        while reached:
-            at = reached.pop()
-            others = np.flatnonzero(near[at] & unseen)
-            unseen[others] = False
-            reached.extend(others.tolist())
-            links.extend((at, other) for other in others.tolist())
+    edges = np.searchsorted(place, np.arange(0, total + COLUMN_BLOCK, COLUMN_BLOCK))
+    label, links = np.arange(m), []
+    for first in range(0, m, ROW_STRIP):
+        end = min(first + ROW_STRIP, m)
+        # Common tokens of this strip's sets with all later ones.
+        common = np.zeros((end - first, m - first), np.float32)
+        for start, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            later = rows[a:b] >= first
+            block = np.zeros((m - first, COLUMN_BLOCK), np.float32)
+            block[rows[a:b][later] - first, place[a:b][later] - start * COLUMN_BLOCK] = 1
+            common += block[: end - first] @ block.T
+        for at in range(first, end):
+            # The same as 100 * common >= percent * (sizes' sum - common), in whole numbers.
+            shared = common[at - first, at - first + 1 :].astype(np.int64)
+            near = (100 + percent) * shared >= percent * (sizes[at] + sizes[at + 1 :])
+            links += _joined(label, at, at + 1 + np.flatnonzero(near))
     return links
 
 
+def _joined(label: np.ndarray, at: int, others: np.ndarray) -> Links:
+    """Give ``at`` and the others one label; one link to each label that was a different one."""
+    others = others[label[others] != label[at]]
+    if not len(others):
+        return []
+    names, once = np.unique(label[others], return_index=True)
+    label[np.isin(label, names)] = label[at]
+    return [(at, int(i)) for i in others[once]]
+
+
 def text_key(text: str | Column) -> list[Column]:
     """Two independent 64-bit hashes that stand for a text (null is the empty text)."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -292,9 +296,6 @@ def _index(batches: Iterable[pa.RecordBatch], words: int, percent: int) -> Itera
         )
 
 
-Links = list[tuple[int, int]]
-
-
 def _met(
     batches: Iterable[pa.RecordBatch], payload: list[str], linked: Callable[..., Links]
 ) -> Iterator[pa.RecordBatch]:

@@ -171,10 +171,35 @@ def test_near_sketches(percent):
             both = len(np.intersect1d(chosen[a], chosen[b]))
             if 100 * both >= percent * (len(chosen[a]) + len(chosen[b]) - both):
                 assert root(a) == root(b)
-        if len(chosen) > 1:
+        if len(chosen) > 1 and percent >= 80:  # low thresholds tell small sets apart by chance only
             assert len({root(x) for x in range(len(chosen))}) > len(chosen) // 12
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_compared_in_strips(percent, monkeypatch):
+    """Strips of any height give the connectivity of comparing every pair."""
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 1 << 63, 40, np.uint64)) for _ in range(4)]
+    sets = [np.unique(rng.permutation(b)[: rng.integers(25, 41)]) for b in base for _ in range(9)]
+    monkeypatch.setattr(ngram_join, "COLUMN_BLOCK", 16)
+    found = []
+    for strip in (1, 7, 36, 2048):
+        monkeypatch.setattr(ngram_join, "ROW_STRIP", strip)
+        links = ngram_join._compared(sets, percent)
+        group = list(range(len(sets)))
+        for a, b in links:
+            assert group[a] != group[b]
+            group = [group[a] if g == group[b] else g for g in group]
+        found.append([group.index(g) for g in group])
+    plain = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                plain = [plain[a] if g == plain[b] else g for g in plain]
+    assert found == [[plain.index(g) for g in plain]] * 4
+
+
 def test_near_duplicates_edge(edge, nothing):
     got = ngram_join.near_duplicates(edge, 3, 90)
     rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()]
