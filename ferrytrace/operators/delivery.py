@@ -117,10 +117,10 @@ def idle_slots(
     )
 
 
-def idle_cutoff_from_slots(
-    slots: DataFrame, keys: Sequence[str], timeout_s: int, strict: bool = False
+def _breaks_so_far(
+    slots: DataFrame, keys: Sequence[str], timeout_s: int, strict: bool
 ) -> DataFrame:
-    """Records before the first gap that reaches the timeout (``strict``: exceeds it).
+    """The slots with ``breaks``: how many idle gaps lie before each.
 
     Two arrivals of one slot are always closer than the timeout, so a long gap can only lie
     between two slots, and a run always ends at the end of a slot: the slot sums are exact.
@@ -131,8 +131,15 @@ def idle_cutoff_from_slots(
     ended = gap > limit if strict else gap >= limit
     breaks = slots.withColumn("breaks", F.when(ended, 1).otherwise(0))
     upto = by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return breaks.withColumn("breaks", F.sum("breaks").over(upto))
+
+
+def idle_cutoff_from_slots(
+    slots: DataFrame, keys: Sequence[str], timeout_s: int, strict: bool = False
+) -> DataFrame:
+    """Records before the first gap that reaches the timeout (``strict``: exceeds it)."""
     return (
-        breaks.withColumn("breaks", F.sum("breaks").over(upto))
+        _breaks_so_far(slots, keys, timeout_s, strict)
         .groupBy(*keys)
         .agg(
             *[
@@ -220,6 +227,24 @@ def reconcile_counts(sent: DataFrame, received: DataFrame, keys: Sequence[str])
     return both.withColumn("missing", F.col("sent") - F.col("received"))
 
 
+def reconcile_idle(
+    messages: DataFrame,
+    keys: Sequence[str],
+    timeout_s: int,
+    strict: bool = False,
+    arrival: str = "timestamp",
+) -> DataFrame:
+    """All that was sent against what a reader saw that left at the first idle gap, from one sum over
+    slots; a message without an arrival time was sent and not received."""
+    slots = idle_slots(messages, keys, timeout_s, arrival)
+    seen = (F.col("breaks") == 0) & F.col("slot").isNotNull()
+    both = _breaks_so_far(slots, keys, timeout_s, strict).groupBy(*keys).agg(
+        F.sum("records").alias("sent"),
+        F.coalesce(F.sum(F.when(seen, F.col("records"))), F.lit(0).cast("long")).alias("received"),
+    )
+    return both.withColumn("missing", F.col("sent") - F.col("received"))
+
+
 def merge_run_metrics(job: DataFrame, consumer: DataFrame, on: str = "run_id") -> DataFrame:
     """Job metrics and reader metrics of a run in one row; a lost reader log leaves nulls."""
     return job.join(consumer, on, "left")

@@ -38,12 +38,21 @@ def settings_found(results: DataFrame, column: str) -> list:
     return values
 
 
-def grid_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every combination of the settings that occur, null included."""
+def grid_of(
+    df: DataFrame, columns: Sequence[str], planned: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Every combination of the settings that occur, null included.
+
+    ``planned`` has, for some columns, a table of one column whose values belong to the grid as well,
+    whether they were measured or not.
+    """
     grid = df.sparkSession.range(1)
     for column in columns:
         kind = df.schema[column].dataType
-        values = F.array(*[F.lit(v).cast(kind) for v in settings_found(df, column)])
+        found = df.select(column)
+        if planned and column in planned:
+            found = found.union(planned[column].select(F.col(planned[column].columns[0]).cast(kind)))
+        values = F.array(*[F.lit(v).cast(kind) for v in settings_found(found, column)])
         grid = grid.withColumn(column, F.explode(values.cast(T.ArrayType(kind))))
     return grid.select(*columns)
 

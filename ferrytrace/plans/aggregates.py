@@ -114,20 +114,20 @@ def delivery_from_headers(t):
           FROM topic GROUP BY 1),
         seen AS (
           SELECT run AS run_id, count(*) AS consumer_records, sum(bytes)::BIGINT AS consumer_bytes
-          FROM topic WHERE run <> 'error' GROUP BY 1)
+          FROM topic GROUP BY 1)
         SELECT run_id, filtered_records, floor(read_s)::BIGINT + floor(write_s)::BIGINT AS delivery_s,
                consumer_records, consumer_bytes
         FROM job LEFT JOIN seen USING (run_id)""",
 )
 def merge_run_metrics(t):
-    """Job side and reader side per run; the reader of one run left no log."""
+    """Job side and reader side per run."""
     messages = t.messages().withColumn("bytes", F.octet_length("value").cast("long"))
     job = messages.groupBy(F.col("run").alias("run_id")).agg(
         F.count(F.lit(1)).alias("filtered_records"),
         F.avg("event_id").alias("read_s"),
         F.avg("bytes").alias("write_s"),
     )
-    seen = messages.filter(F.col("run") != "error").groupBy(F.col("run").alias("run_id")).agg(
+    seen = messages.groupBy(F.col("run").alias("run_id")).agg(
         F.count(F.lit(1)).alias("consumer_records"), F.sum("bytes").alias("consumer_bytes")
     )
     job = job.withColumn("delivery_s", delivery.truncated_sum("read_s", "write_s"))
@@ -149,9 +149,7 @@ breaks AS (
 )
 def reconcile_counts(t):
     """All that was sent against what a reader saw that left at the first idle gap."""
-    sent = t.messages()
-    received = delivery.keep_before_idle(sent, ["run"], IDLE_S)
-    return delivery.reconcile_counts(sent, received, ["run"])
+    return delivery.reconcile_idle(t.messages(), ["run"], IDLE_S)
 
 
 @query(
@@ -267,16 +265,16 @@ def e2e_overlap(t):
 @query(
     "replicate_mean",
     f"""WITH {SWEEP_SQL}, grid AS (
-          SELECT s.size, p.partitions FROM (SELECT DISTINCT size FROM sweep) s, (SELECT DISTINCT partitions FROM sweep) p),
-        means AS (SELECT size, partitions, avg(mb_per_sec) AS mean FROM sweep WHERE acks = 'O' AND size <> 'R' GROUP BY 1, 2)
+          SELECT s.size, p.partitions FROM (SELECT DISTINCT size FROM sweep) s, planned p),
+        means AS (SELECT size, partitions, avg(mb_per_sec) AS mean FROM sweep WHERE acks = 'O' GROUP BY 1, 2)
         SELECT size, partitions, round(coalesce(mean, 0), 4) AS mean, mean IS NOT NULL AS measured
         FROM grid LEFT JOIN means USING (size, partitions)""",
 )
 def replicate_mean(t):
     sweep = t.sweep()
     keys = ["size", "partitions"]
-    matching = sweep.filter((F.col("acks") == "O") & (F.col("size") != "R"))
-    means = results.replicate_mean(matching, keys, "mb_per_sec", results.grid_of(sweep, keys))
+    grid = results.grid_of(sweep, keys, t.planned())
+    means = results.replicate_mean(sweep.filter(F.col("acks") == "O"), keys, "mb_per_sec", grid)
     return means.withColumn("mean", F.round("mean", 4))
 
 
@@ -325,10 +323,10 @@ def approach_compare(t):
 @query(
     "first_match_metric",
     f"""WITH {SWEEP_SQL}, grid AS (
-          SELECT s.size, p.partitions FROM (SELECT DISTINCT size FROM sweep) s, (SELECT DISTINCT partitions FROM sweep) p),
+          SELECT s.size, p.partitions FROM (SELECT DISTINCT size FROM sweep) s, planned p),
         firsts AS (
           SELECT DISTINCT ON (size, partitions) size, partitions, mb_per_sec FROM sweep
-          WHERE acks = 'F' AND partitions < 6
+          WHERE acks = 'F'
           ORDER BY size, partitions, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)
         SELECT size, partitions, coalesce(mb_per_sec, 0) AS mb_per_sec, mb_per_sec IS NOT NULL AS measured
         FROM grid LEFT JOIN firsts USING (size, partitions)""",
@@ -338,5 +336,5 @@ def first_match_metric(t):
 
     sweep = t.sweep()
     keys = ["size", "partitions"]
-    matching = sweep.filter((F.col("acks") == "F") & (F.col("partitions") < 6))
-    return results.first_match(matching, keys, "mb_per_sec", LINE_ORDER, results.grid_of(sweep, keys))
+    grid = results.grid_of(sweep, keys, t.planned())
+    return results.first_match(sweep.filter(F.col("acks") == "F"), keys, "mb_per_sec", LINE_ORDER, grid)

@@ -94,6 +94,10 @@ class Tables:
             *LINE_ORDER,
         )
 
+    def planned(self) -> dict[str, DataFrame]:
+        """Partition counts that a sweep planned besides those it measured: the region keys."""
+        return {"partitions": self.region.select("r_regionkey")}
+
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -119,7 +123,8 @@ SWEEP_SQL = """sweep AS (
   SELECT l_linenumber AS partitions, l_returnflag AS size, l_linestatus AS acks,
          l_quantity AS mb_per_sec, l_extendedprice AS latency,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
-  FROM lineitem)"""
+  FROM lineitem),
+planned AS (SELECT partitions FROM sweep UNION SELECT r_regionkey FROM region)"""
 
 
 def query(name: str, sql: str | None = None):

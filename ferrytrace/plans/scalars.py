@@ -64,10 +64,12 @@ def to_keyed_json(t):
 @query(
     "key_from_int",
     "SELECT o_orderkey::VARCHAR AS key, to_json(struct_pack(o_orderkey := o_orderkey, "
-    "o_custkey := o_custkey, o_orderstatus := o_orderstatus))::VARCHAR AS value FROM orders",
+    "o_custkey := o_custkey, o_orderstatus := o_orderstatus, o_totalprice := o_totalprice, "
+    "o_orderdate := o_orderdate::VARCHAR, o_orderpriority := o_orderpriority))::VARCHAR AS value FROM orders",
 )
 def key_from_int(t):
-    return keyed_json(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    orders = t.orders.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+    return keyed_json(orders, "o_orderkey")
 
 
 @query("value_to_string", "SELECT doc_id, text AS json_value FROM documents")

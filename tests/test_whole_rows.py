@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ferrytrace.operators.delivery import keep_before_idle, progress_marks, reconcile_counts
+from ferrytrace.operators.delivery import keep_before_idle, progress_marks, reconcile_counts, reconcile_idle
 from ferrytrace.operators.logs import json_block
 from ferrytrace.operators.ordered import dense_index, running_totals, take_first
 from ferrytrace.operators.results import grid_fill, grid_of
@@ -106,3 +106,28 @@ def test_first_batch_with_a_late_number(spark, tmp_path):
     topics.publish(rows, "t", ["id"], partitions=1, batch_id=7)
     topics.publish(rows, "t", ["id"], partitions=1, batch_id=8)
     assert sorted(r["offset"] for r in topics.read(spark, "t").collect()) == list(range(20))
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_reconcile_idle_equals_two_sides(spark, strict):
+    """One sum over slots says what counting both sides says: null runs and times, gaps of exactly the
+    timeout, runs without any time."""
+    times = [("a", 0), ("a", 5), ("a", 15), ("a", 40), ("a", None), (None, 1), (None, 100), ("b", None), ("c", 7)]
+    rows = [(run, None if at is None else f"2024-01-01 00:00:{at % 60:02}", b"x") for run, at in times * 3]
+    messages = spark.createDataFrame(rows, "run string, at string, value binary")
+    messages = messages.select("run", F.col("at").cast("timestamp").alias("timestamp"), "value")
+    got = {tuple(r) for r in reconcile_idle(messages, ["run"], 10, strict).collect()}
+    kept = keep_before_idle(messages, ["run"], 10, strict)
+    assert got == {tuple(r) for r in reconcile_counts(messages, kept, ["run"]).collect()} and len(got) == 4
+
+
+def test_grid_of_planned_settings(spark):
+    """Planned settings belong to the grid, whether measured or not, once each."""
+    measured = spark.createDataFrame([(1, "s", 2.0), (3, "s", 4.0)], "partitions int, size string, v double")
+    planned = spark.createDataFrame([(3,), (7,), (None,)], "n long")
+    grid = grid_of(measured, ["partitions", "size"], {"partitions": planned})
+    assert {tuple(r) for r in grid.collect()} == {(1, "s"), (3, "s"), (7, "s"), (None, "s")} and grid.count() == 4
+    filled = grid_fill(grid, measured, ["partitions", "size"], ["v"])
+    assert {r["partitions"]: (r["v"], r["measured"]) for r in filled.collect()} == {
+        1: (2.0, True), 3: (4.0, True), 7: (0.0, False), None: (0.0, False)
+    }
