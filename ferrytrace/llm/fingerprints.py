@@ -17,12 +17,14 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrytrace.llm.common import ids_and_text
 from ferrytrace.session import written
 
-# Where a text is cut: at line breaks, and at white space after a mark that is not a comma.
-PARAGRAPH = r"\n+|(?<=[^\p{L}\p{N}\s,])\s+"
+# Where a text is cut: at line breaks, at white space after a mark that is not a comma, and where 256
+# characters have gone by since the last cut.
+PARAGRAPH = r"\n+|(?<=[^\p{L}\p{N}\s,])\s+|(?<=\G[\s\S]{256})"
 TABLES = 3
 # Cells in each sub-table of the smallest sketch, and the seed of the printed one.
 LEAST_CELLS = 32
@@ -189,6 +191,15 @@ def likeness(first: Column, second: Column, differing: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise((total - differing) / (total + differing))
 
 
+def _as_number(docs: DataFrame) -> Column:
+    """A number that never falls as the id grows: of text ids, their first six bytes."""
+    ident = F.col("doc_id")
+    if not isinstance(docs.schema["doc_id"].dataType, T.StringType):
+        return ident.cast("double")
+    lead = F.rpad(F.hex(F.substring(F.encode(ident, "UTF-8"), 1, 6)), 12, "0")
+    return F.conv(lead, 16, 10).cast("double")
+
+
 def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     """Add ``block``, a number that never falls along descending ids (nulls last); and their number."""
     rows = docs.count()
@@ -196,12 +207,12 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     cuts = []
     if parts > 1:
         shares = [i / parts for i in range(1, parts)]
-        found = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, 4 * parts)).first()[0]
+        found = docs.agg(F.percentile_approx(_as_number(docs), shares, 4 * parts)).first()[0]
         cuts = sorted(set(found or []))
     if not cuts:
         return docs.withColumn("block", F.lit(0).cast("long")), 1
     splits = [-math.inf, *cuts, math.inf]
-    placed = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf)))
+    placed = docs.withColumn("place", F.coalesce(_as_number(docs), F.lit(-math.inf)))
     placed = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(placed)
     last = F.lit(len(splits) - 2).cast("long")
     return placed.withColumn("block", last - F.col("bucket").cast("long")).drop("place", "bucket"), len(splits) - 1
@@ -291,9 +302,16 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     changes = peeled.groupBy("block", "row").agg(
         of(0, apart).alias("edited_changes"), of(1, apart).alias("next_changes")
     )
-    first = versions.drop("block").join(changes.drop("block"), "row", "left").withColumns(
-        {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("edited_changes", "next_changes")}
+    # Sums of a block are where its rows are, so rows and sums meet by grouping, without a shuffle.
+    payload = F.struct(
+        "doc_id", "n_chars", "edited_sha256", "digests", "edited_digests", "next_digests"
+    ).alias("version")
+    known = versions.select("block", "row", payload)
+    met = known.unionByName(changes, allowMissingColumns=True).groupBy("block", "row").agg(
+        F.first("version", ignorenulls=True).alias("version"),
+        *[F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in ("edited_changes", "next_changes")],
     )
+    first = met.select("row", "version.*", "edited_changes", "next_changes")
     failed = (F.col("edited_changes") < 0) | (F.col("next_changes") < 0)
     sizes = {f"n_{c}": F.size(c).cast("long") for c in ("digests", "edited_digests", "next_digests")}
     done = first.select(
@@ -336,8 +354,10 @@ def _retry(done: DataFrame) -> DataFrame:
         F.col("digests").alias("first"),
     ).where("p.d < 0").select("row", "p.pair", "first", "p.second")
     fixed, turn = None, 1
-    while not left.isEmpty():
+    while count := left.count():
         turn += 1
+        # The digests move, not the cells they make.
+        left = left.repartition(math.ceil(count / BLOCK_ROWS), "row", "pair")
         opened = written(peel(left, ["row", "pair"], seed=turn, growth=2 ** (turn - 1)), "peeled")
         good = opened.where("closed = 0").select("row", "pair", (F.col("only_first") + F.col("only_second")).alias("d"))
         fixed = good if fixed is None else fixed.unionByName(good)

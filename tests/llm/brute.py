@@ -104,7 +104,7 @@ def versions(docs):
     """{row: (id, n_chars, edited sha, near edited, near next)} for documents with distinct ids."""
 
     def parts(text):
-        return {p for p in CUT.split(text) if p}
+        return {p[i : i + 256] for p in CUT.split(text) for i in range(0, len(p), 256)}
 
     def near(a, b):
         return len(a & b) / len(a | b) if a | b else 1.0

@@ -599,3 +599,16 @@ def test_printed_fingerprints_peel(spark):
                     checks[digest] = n
                     left |= dict.fromkeys(of, (0, 0, 0))
         assert len(found) <= r["edited_changes"] and (found or not r["edited_changes"])
+
+
+def test_fingerprints_of_markless_text_and_text_ids(spark):
+    """Text without a mark is cut by length; ids may be text, in the order of their bytes."""
+    docs = [("b", "".join(chr(97 + (i * i) % 23) for i in range(30_000))), ("Ω", "x" * 5000), ("10", "z"), ("9", ""), (None, "y")]
+    got = {r["doc_id"]: r for r in fingerprints.compare_versions(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    order = ["Ω", "b", "9", "10", None]
+    texts = dict(docs)
+    for here, after in zip(order, order[1:] + order[:1], strict=True):
+        text, third = texts[here], len(texts[here]) // 3
+        edited = text[: len(text) - third] + texts[after][:third]
+        assert got[here]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert got["b"]["near_edited"] > 0.45
