@@ -27,7 +27,9 @@ from ferrytrace.session import written
 PARAGRAPH = r"\n+|(?<=[^\p{L}\p{N}\s,])\s+|(?<=\G[\s\S]{256})"
 TABLES = 3
 # Cells in each sub-table of the smallest sketch, and the seed of the printed one.
-LEAST_CELLS = 32
+LEAST_CELLS = 64
+# Cells in each sub-table for one digest: a text opens against one of several times its size.
+ROOM = 4
 PRINTED_SEED = 1
 # Sub-tables in the order in which a round opens them.
 SWEEPS = (0, 1, 2, 0, 1, 2)
@@ -54,9 +56,9 @@ def _check(digest: Column, seed: int) -> Column:
 
 
 def sketch_cells(digests: Column) -> Column:
-    """Cells in each sub-table of a text's sketch: a power of two, not fewer than its digests, so that
+    """Cells in each sub-table of a text's sketch: a power of two, at least ROOM for each digest, so that
     the larger of two sketches folds to the size of the smaller one (place modulo size)."""
-    doublings = F.ceil(F.log2(F.greatest(F.size(digests), F.lit(LEAST_CELLS)))).cast("int")
+    doublings = F.ceil(F.log2(F.greatest(F.size(digests) * ROOM, F.lit(LEAST_CELLS)))).cast("int")
     return F.call_function("shiftleft", F.lit(1).cast("long"), doublings)
 
 
