@@ -363,15 +363,20 @@ def _retry(done: DataFrame) -> DataFrame:
         opened = written(peel(left, ["row", "pair"], seed=turn, growth=2 ** (turn - 1)), "peeled")
         good = opened.where("closed = 0").select("row", "pair", (F.col("only_first") + F.col("only_second")).alias("d"))
         fixed = good if fixed is None else fixed.unionByName(good)
-        left = written(left.join(opened.where("closed > 0").select("row", "pair"), ["row", "pair"], "left_semi"), "closed")
+        again = opened.where("closed > 0").select("row", "pair")
+        if again.isEmpty():
+            break
+        left = written(left.join(again, ["row", "pair"], "left_semi"), "closed")
     if fixed is None:
         return done
     repaired = fixed.groupBy("row").agg(
         F.max(F.when(F.col("pair") == 0, F.col("d"))).alias("d0"), F.max(F.when(F.col("pair") == 1, F.col("d"))).alias("d1")
     )
-    return done.join(repaired, "row", "left").withColumns(
+    # Only the rows that were peeled again meet their results.
+    mended = closed.join(repaired, "row", "left").withColumns(
         {
             "edited_changes": F.when(F.col("edited_changes") < 0, F.col("d0")).otherwise(F.col("edited_changes")),
             "next_changes": F.when(F.col("next_changes") < 0, F.col("d1")).otherwise(F.col("next_changes")),
         }
     )
+    return done.where("edited_changes >= 0 AND next_changes >= 0").unionByName(mended.drop("d0", "d1"))
