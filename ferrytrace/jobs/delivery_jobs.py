@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from ferrytrace.functions.measures import MIB, records_per_pack
 from ferrytrace.functions.messages import json_value, payload_bytes
-from ferrytrace.operators.delivery import delivery_from_headers, delivery_summary
+from ferrytrace.operators.delivery import delivery_from_headers, delivery_summary, keep_before_idle
 from ferrytrace.operators.filters import keep_listed
+from ferrytrace.operators.ordered import take_first
 from ferrytrace.operators.packing import pack_messages
 from ferrytrace.schemas import PAYLOAD, RUN_METRICS, RUN_METRICS_PACKED
 from ferrytrace.session import size_shuffles, written
@@ -227,3 +228,21 @@ def measure_topic(
     if started is None:
         return delivery_from_headers(messages, ["topic"])
     return delivery_summary(messages, ["topic"], F.lit(started).cast("timestamp"))
+
+
+def receive_topic(
+    spark: SparkSession,
+    topics: Topics,
+    topic: str,
+    idle_s: int,
+    target: int = 0,
+    started: str | None = None,
+) -> DataFrame:
+    """Arrival measures of a reader that stops at the first idle gap or after ``target`` messages (0: no
+    target), whichever comes first.  ``started`` is when it began (a UTC timestamp; default: the first
+    arrival).  A topic without messages has latency -1 and throughput 0."""
+    messages = take_first(topics.read(spark, topic), ["timestamp", "offset", "partition"], target)
+    seen = keep_before_idle(messages, ["topic"], idle_s)
+    began = F.col("timestamp") if started is None else F.lit(started).cast("timestamp")
+    asked = spark.createDataFrame([(topic,)], "topic string")
+    return delivery_summary(seen, ["topic"], began, expected=asked)

@@ -60,6 +60,12 @@ def _parser() -> argparse.ArgumentParser:
     measure = add("measure", "arrival measures of a topic")
     measure.add_argument("--started", help="UTC time the reader began")
     topic_options(measure)
+    receive = add("receive", "measures of a reader that stops at an idle gap or a target")
+    receive.add_argument("--idle-s", type=int, default=30)
+    receive.add_argument("--target", type=int, default=0, help="messages to stop after; 0: none")
+    receive.add_argument("--started", help="UTC time the reader began")
+    receive.add_argument("--metrics", help="table to append the measures to")
+    topic_options(receive)
     cube = add("cube-stream", "stream JSON numbers, add their cube", "output")
     cube.add_argument("--seconds", type=float, help="stop after this time; default: when drained")
     topic_options(cube)
@@ -106,6 +112,8 @@ def main(argv: list[str] | None = None) -> None:
         result = jobs.throughput_read(spark, _topics(args), args.topic)
     elif args.job == "measure":
         result = jobs.measure_topic(spark, _topics(args), args.topic, args.started)
+    elif args.job == "receive":
+        result = jobs.receive_topic(spark, _topics(args), args.topic, args.idle_s, args.target, args.started)
     elif args.job == "cube-stream":
         stream = _topics(args).read_stream(spark, args.topic)
         bounded = args.seconds is None

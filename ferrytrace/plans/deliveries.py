@@ -68,11 +68,11 @@ def deliver_files(
 
 
 def deliver_replicated(
-    spark: SparkSession, topics: FileTopics, topic: str, target_path: str, checkpoint: str
+    spark: SparkSession, topics: FileTopics, topic: str, target: FileTopics, checkpoint: str
 ) -> DataFrame:
     """Copy a published topic to a prefixed one; returns the copy."""
-    drain(replicate(topics.read_stream(spark, topic), target_path, checkpoint))
-    return spark.read.parquet(target_path)
+    drain(replicate(topics.read_stream(spark, topic), target, checkpoint))
+    return target.read(spark, f"source.{topic}")
 
 
 def deliver_chunked(

@@ -54,7 +54,7 @@ def pipe_filter_files(t):
 def pipe_replicated(t):
     topics = _direct(t, t.event_text())
     copied = deliveries.deliver_replicated(
-        t.spark, topics, "kept", t.area("replica"), t.area("checkpoint")
+        t.spark, topics, "kept", t.topics(), t.area("checkpoint")
     )
     return key_value_view(copied)
 

@@ -55,9 +55,9 @@ def stream_filter_deliver(t):
 )
 def stream_replicate(t):
     stream = t.published().read_stream(t.spark, "events")
-    target = t.area("replica")
-    flows.drain(flows.replicate(stream, target, t.area("checkpoint")))
-    copied = t.spark.read.parquet(target)
+    target = t.topics()
+    flows.drain(flows.replicate(stream, target, t.area("checkpoint"), names=["events"]))
+    copied = target.read(t.spark, "source.events")
     return copied.select(
         "topic",
         F.col("partition").alias("part"),
@@ -116,6 +116,37 @@ def stream_delivery_monitor(t):
     )
 
 
+READER_TARGET = 400
+
+
+@query(
+    "stream_reader_end",
+    f"""WITH gaps AS (
+          SELECT event_type AS run, epoch_us(ts) AS ts_us, strlen(props) AS bytes,
+                 row_number() OVER w AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap
+          FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, strlen(props))),
+        breaks AS (
+          SELECT *, sum(CASE WHEN gap >= {IDLE_S * 1000000} THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY run ORDER BY n) AS broken FROM gaps),
+        ends AS (
+          SELECT run, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS records, sum(bytes)::BIGINT AS bytes,
+                 CASE WHEN count(*) = {READER_TARGET} THEN 'target' ELSE 'idle' END AS ended
+          FROM breaks WHERE broken = 0 AND n <= {READER_TARGET} GROUP BY 1)
+        SELECT * FROM ends
+        WHERE last_us + CASE WHEN ended = 'idle' THEN {IDLE_S * 1000000} ELSE 0 END
+              <= ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 1) * 1000""",
+)
+def stream_reader_end(t):
+    """Where a live reader of each run stops: at its first idle gap or after so many messages."""
+    stream = t.event_stream().select(
+        F.col("event_type").alias("run"), F.col("ts").alias("timestamp"), F.col("props").alias("value")
+    )
+    target = t.area("ends")
+    ends = flows.reader_ends(stream, ["run"], IDLE_S, READER_TARGET)
+    flows.drain(flows.append_files(ends, target, t.area("checkpoint")))
+    return t.spark.read.schema(ends.schema).parquet(target)
+
+
 @query(
     "fan_out_groups",
     f"""WITH {TOPIC_SQL}, s AS (

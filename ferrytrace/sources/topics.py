@@ -8,6 +8,7 @@ connector; it needs the connector's jar and is covered by option-mapping tests o
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ferrytrace.functions.measures import prefixed_topic
 from ferrytrace.operators.ordered import dense_index
 from ferrytrace.schemas import TOPIC
 from ferrytrace.session import written
@@ -85,6 +87,14 @@ def depth_per_partition(topic: DataFrame) -> DataFrame:
     )
 
 
+def copy_lag(source: DataFrame, copy: DataFrame, prefix: str = "source") -> DataFrame:
+    """How many messages of each source partition its copy under a prefixed name still lacks."""
+    copied = depth_per_partition(copy).withColumnsRenamed({"topic": "_copy", "depth": "_copied"})
+    named = depth_per_partition(source).withColumn("_copy", prefixed_topic(F.col("topic"), prefix))
+    lag = F.col("depth") - F.coalesce("_copied", F.lit(0))
+    return named.join(copied, ["_copy", "partition"], "left").select("topic", "partition", lag.alias("lag"))
+
+
 def topic_depth(topic: DataFrame) -> DataFrame:
     return depth_per_partition(topic).groupBy("topic").agg(F.sum("depth").alias("depth"))
 
@@ -125,28 +135,36 @@ class FileTopics:
         self.write_batch(numbered, topic, batch_id)
 
     def write_batch(self, topic_rows: DataFrame, topic: str, batch_id: int = 0) -> None:
-        """Write rows that already have partition and offset, then the end offsets they reach."""
+        """Write rows that already have partition and offset, then the end offsets the topic has
+        reached with them, so the newest batch's ends are the topic's."""
+        spark = topic_rows.sparkSession
         target = f"{self.path(topic)}/{BATCH_DIR}={batch_id}"
         topic_rows.select(*[f.name for f in TOPIC]).write.mode("overwrite").parquet(target)
-        written = topic_rows.sparkSession.read.schema(TOPIC).parquet(target)
-        ends = written.groupBy("partition").agg((F.max("offset") + 1).alias("end_offset"))
+        reached = spark.read.schema(TOPIC).parquet(target).select("partition", (F.col("offset") + 1).alias("end_offset"))
+        if batch_id > 0:
+            reached = reached.unionByName(self.ends_before(spark, topic, batch_id))
+        ends = reached.groupBy("partition").agg(F.max("end_offset").alias("end_offset"))
         ends.coalesce(1).write.mode("overwrite").parquet(f"{self._ends(topic)}/{BATCH_DIR}={batch_id}")
 
     def _ends(self, topic: str) -> str:
         return f"{self.root.rstrip('/')}/_ends/{topic}"
 
     def ends_before(self, spark: SparkSession, topic: str, batch_id: int) -> DataFrame:
-        """End offsets left by earlier batches: a few rows per batch, not the messages.  A topic that
-        has none yet begins at 0, whatever the batch is called."""
-        layout = f"partition int, end_offset long, {BATCH_DIR} long"
+        """End offsets reached before a batch: only the ends the newest earlier batch left are read.
+        A topic that has none yet begins at 0, whatever the batch is called."""
+        layout = "partition int, end_offset long"
+        reader = spark.read.schema(layout)
         try:
-            ends = spark.read.schema(layout).parquet(self._ends(topic))
+            left = reader.option("recursiveFileLookup", True).parquet(self._ends(topic)).inputFiles()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            ends = spark.createDataFrame([], layout)
-        earlier = ends.filter(F.col(BATCH_DIR) < batch_id)
-        return earlier.groupBy("partition").agg(F.max("end_offset").alias("end_offset"))
+            left = []
+        numbers = [int(n) for n in re.findall(rf"/{BATCH_DIR}=(\d+)/", "\n".join(left))]
+        earlier = [n for n in numbers if n < batch_id]
+        if not earlier:
+            return spark.createDataFrame([], layout)
+        return spark.read.schema(layout).parquet(f"{self._ends(topic)}/{BATCH_DIR}={max(earlier)}")
 
     def read(self, spark: SparkSession, topic: str) -> DataFrame:
         """Everything from the earliest to the latest offset."""

@@ -7,14 +7,17 @@ there, then stop.  Progress lives in the checkpoint, so a restarted query goes o
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ferrytrace.functions.measures import prefixed_topic
+from ferrytrace.functions.measures import prefixed_topic, safe_ratio
 from ferrytrace.functions.messages import json_value, make_header, parse_json, payload_bytes
 from ferrytrace.operators.filters import keep_listed
 from ferrytrace.operators.packing import chunk_by_bytes, in_chunks
@@ -96,14 +99,48 @@ def filter_and_deliver(
 
 
 def replicate(
-    source: DataFrame, target_path: str, checkpoint: str, prefix: str = "source", bounded: bool = True
+    source: DataFrame,
+    target: FileTopics,
+    checkpoint: str,
+    prefix: str = "source",
+    bounded: bool = True,
+    names: Sequence[str] | None = None,
 ) -> StreamingQuery:
     """Copy messages with key, value, headers, partition and offset to prefixed topics.
 
-    The checkpoint stores how far each source was read.
+    The checkpoint stores how far each source was read.  A batch is written under its own id, in
+    replace mode, so one that is run again does not copy twice; the copies open as topics.  ``names``
+    are the topics in the source; where they are not given, a batch is asked for them first.
     """
-    copied = source.withColumn("topic", prefixed_topic(F.col("topic"), prefix))
-    return append_files(copied.select(*[f.name for f in TOPIC]), target_path, checkpoint, bounded)
+
+    def copy(batch: DataFrame, batch_id: int) -> None:
+        found = names or [row[0] for row in batch.select("topic").distinct().collect()]
+        for name in found:
+            copied = batch.where(F.col("topic") == name)
+            renamed = copied.withColumn("topic", prefixed_topic(F.col("topic"), prefix))
+            target.write_batch(renamed, f"{prefix}.{name}", batch_id)
+
+    return start(source.writeStream.foreachBatch(copy), checkpoint, bounded)
+
+
+def run_until(query: StreamingQuery, done: Callable[[], bool], poll_s: float = 0.5) -> StreamingQuery:
+    """Let an unbounded query run until a condition, looked at between polls, holds."""
+    while not query.awaitTermination(poll_s):
+        if done():
+            query.stop()
+    return query
+
+
+def batch_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """What the recent batches of a query read, and how fast: ``batch_id, records, seconds, records_per_sec``.
+    A batch that several actions read counts its records for each."""
+    rows = [
+        (p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000)
+        for p in query.recentProgress
+        if p["numInputRows"]
+    ]
+    seen = spark.createDataFrame(rows, "batch_id long, records long, seconds double")
+    return seen.withColumn("records_per_sec", F.round(safe_ratio(F.col("records"), F.col("seconds")), 2))
 
 
 def replicate_to_kafka(
@@ -236,6 +273,76 @@ def idle_end(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ends.withColumn("records_after", F.col("_all") - F.col("records")).drop("_all")
 
 
+def reader_ends(
+    source: DataFrame,
+    keys: Sequence[str],
+    timeout_s: int,
+    target: int = 0,
+    late_s: int = 0,
+    strict: bool = False,
+    arrival: str = "timestamp",
+) -> DataFrame:
+    """A live reader with an end: one row per run, once it is certain that the reader stopped, at its
+    first idle gap (which reaches the timeout; ``strict``: exceeds it) or at its ``target``-th message
+    (0: none).  Later messages are not reported.
+
+    Returns keys, ``first_us``, ``last_us``, ``records``, ``bytes`` and ``ended`` (``idle`` or ``target``).
+    Messages of one moment count by size, smaller first.  An event-time timer wakes a run when the
+    watermark, ``late_s`` behind the newest arrival, reaches its expected end.  The state has the sums of
+    what the watermark has passed, and arrival and size of newer messages; after the end one flag.
+    Only keys, arrivals and sizes reach Python.
+    """
+    keys = list(keys)
+    gap = timeout_s * 1_000_000 + int(strict)
+    narrow = (
+        source.withWatermark(arrival, f"{late_s * 1000 + 1} milliseconds")
+        .select(*keys, F.col(arrival).alias("_at"), F.unix_micros(arrival).alias("_us"), payload_bytes().alias("_size"))
+    )
+    outputs = [T.StructField(c, T.LongType()) for c in ("first_us", "last_us", "records", "bytes")]
+    layout = T.StructType([narrow.schema[k] for k in keys] + outputs + [T.StructField("ended", T.StringType())])
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        over, first, last, records, size, held = state.get if state.exists else (False, 0, 0, 0, 0, b"")
+        if over:
+            return
+        parts = [np.frombuffer(held, np.int64).reshape(-1, 2)]
+        if not state.hasTimedOut:
+            parts += [f[["_us", "_size"]].to_numpy(np.int64) for f in frames]
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        at = rows[:, 0]
+        # The first gap among what is known, else the one expected after the last message.
+        steps = np.diff(at, prepend=last if records else at[:1])
+        wide = np.flatnonzero(steps >= gap)
+        inside, ended = int(wide[0]) if len(wide) else len(rows), "idle"
+        end = int(at[inside - 1] if inside else last) + gap
+        if 0 < target <= records + inside:
+            inside, ended = target - records, "target"
+            end = int(at[inside - 1])
+        passed = state.getCurrentWatermarkMs() * 1000
+        certain = passed >= end
+        # Nothing at or before the watermark can still come: those messages become sums.
+        kept = inside if certain else min(inside, int(np.searchsorted(at, passed, "right")))
+        if kept:
+            first = first if records else int(at[0])
+            last = int(at[kept - 1])
+            records, size = records + kept, size + int(rows[:kept, 1].sum())
+        if certain:
+            state.update((True, 0, 0, 0, 0, b""))
+            yield pd.DataFrame([[*key, first, last, records, size, ended]], columns=layout.names)
+        else:
+            state.update((False, first, last, records, size, rows[kept:].tobytes()))
+            state.setTimeoutTimestamp(max(-(-end // 1000), state.getCurrentWatermarkMs() + 1))
+
+    return narrow.groupBy(*keys).applyInPandasWithState(
+        follow,
+        layout,
+        "over boolean, first long, last long, records long, bytes long, held binary",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def read_by_groups(
     sources: Sequence[DataFrame], target_path: str, checkpoint: str, bounded: bool = True
 ) -> list[StreamingQuery]:

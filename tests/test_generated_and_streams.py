@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ferrytrace.operators.delivery import idle_cutoff
 from ferrytrace.operators.packing import chunk_by_bytes, chunk_summary, in_chunks
-from ferrytrace.schemas import READING
-from ferrytrace.session import new_area
+from ferrytrace.schemas import READING, TOPIC
+from ferrytrace.session import new_area, written
 from ferrytrace.sources import generated
-from ferrytrace.sources.topics import FileTopics
+from ferrytrace.sources.topics import FileTopics, copy_lag, end_offsets, topic_depth
 from ferrytrace.streaming import flows
 
 
@@ -129,16 +129,82 @@ def test_messages_find_their_chunk(spark, topic, size):
 
 
 def test_replica_is_the_same_multiset_and_resumes(spark, topic):
-    target, checkpoint = new_area(spark, "replica"), new_area(spark, "cp")
+    target, checkpoint = FileTopics(new_area(spark, "replica")), new_area(spark, "cp")
     for _ in range(2):
         flows.drain(flows.replicate(topic.read_stream(spark, "t"), target, checkpoint))
-    copied = spark.read.parquet(target)
+    copied = target.read(spark, "source.t")
+    assert topic_depth(copied).first()["depth"] == topic_depth(topic.read(spark, "t")).first()["depth"]
+    assert {r.lag for r in copy_lag(topic.read(spark, "t"), copied).collect()} == {0}
     assert {r.topic for r in copied.select("topic").distinct().collect()} == {"source.t"}
     columns = ["key", "value", "partition", "offset", "timestamp"]
     assert copied.select(columns).exceptAll(topic.read(spark, "t").select(columns)).isEmpty()
     assert copied.count() == 600
 
 
+def test_replica_of_many_batches(spark, topic):
+    """Repeated batches replace themselves; ends reach over all batches; the lag shows what is missing."""
+    target, checkpoint = FileTopics(new_area(spark, "replica")), new_area(spark, "cp")
+    stream = topic.read_stream(spark, "t", maxFilesPerTrigger="1")
+    query = flows.drain(flows.replicate(stream, target, checkpoint, names=["t"]))
+    source, copied = topic.read(spark, "t"), target.read(spark, "source.t")
+    progress = flows.batch_progress(spark, query).collect()
+    assert sum(r.records for r in progress) == copied.count() == 600
+    ends = target.ends_before(spark, "source.t", 10**6)
+    assert sorted(map(tuple, ends.collect())) == sorted(
+        (r["partition"], r["end_offset"]) for r in end_offsets(source).collect()
+    )
+    first = spark.read.schema(TOPIC).parquet(f"{target.path('source.t')}/batch_id=0")
+    lags = copy_lag(source, first).agg(F.sum("lag")).first()[0]
+    assert lags == 600 - first.count()
+    target.write_batch(written(first, "again"), "source.t", 0)
+    assert target.read(spark, "source.t").count() == 600
+
+
+def test_unbounded_replica_until_the_copy_is_whole(spark, topic):
+    target = FileTopics(new_area(spark, "replica"))
+    source = topic.read(spark, "t")
+    query = flows.replicate(topic.read_stream(spark, "t"), target, new_area(spark, "cp"), bounded=False)
+
+    def whole():
+        if not query.lastProgress:
+            return False
+        return copy_lag(source, target.read(spark, "source.t")).filter("lag > 0").isEmpty()
+
+    flows.run_until(query, whole, 0.2)
+    assert not query.isActive and target.read(spark, "source.t").count() == 600
+
+
+def plain_ends(rows, timeout_us, target):
+    """Per run (first, last, records, bytes, why) of a reader with an end, from (run, us, bytes)."""
+    found, newest = [], max(us for _, us, _ in rows) // 1000 * 1000 - 1000
+    for run in {r[0] for r in rows}:
+        mine = sorted((us, size) for key, us, size in rows if key == run)
+        taken = [mine[0]]
+        while len(taken) != target and len(taken) < len(mine) and mine[len(taken)][0] - taken[-1][0] < timeout_us:
+            taken.append(mine[len(taken)])
+        why = "target" if len(taken) == target else "idle"
+        if taken[-1][0] + (timeout_us if why == "idle" else 0) <= newest:
+            found.append((run, taken[0][0], taken[-1][0], len(taken), sum(x for _, x in taken), why))
+    return found
+
+
+@pytest.mark.parametrize(("files", "restart"), [(1, False), (5, False), (5, True)])
+@pytest.mark.parametrize("target", [0, 1, 30, 10**6])
+def test_reader_ends_at_the_first_gap_or_target(spark, files, restart, target):
+    """The same ends however the stream is cut, in files whose order is not that of arrival, and restarted."""
+    messages = run_messages(spark, files)
+    source, ended, checkpoint = (new_area(spark, x) for x in ("in", "ends", "cp"))
+    for part in range(files):
+        messages.filter(F.col("part") == part).orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(source)
+        if restart or part == files - 1:
+            stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            ends = flows.reader_ends(stream, ["run"], 20, target)
+            flows.drain(flows.append_files(ends, ended, checkpoint))
+    rows = messages.select("run", F.unix_micros("timestamp"), F.coalesce(F.octet_length("value"), F.lit(0))).collect()
+    got = sorted(map(tuple, spark.read.schema(ends.schema).parquet(ended).collect()), key=repr)
+    assert got == sorted(plain_ends([tuple(r) for r in rows], 20 * 1_000_000, target), key=repr)
+
+
 IDLE_COLUMNS = ["first_arrival", "last_arrival", "records", "bytes", "records_after"]
 
 
