@@ -81,3 +81,23 @@ def test_command_line(spark, data, tmp_path, capsys, monkeypatch):
     run.main(["cube-stream", "--topic", "n", "--output", str(tmp_path / "cubes"), *place])
     cubes = spark.read.parquet(str(tmp_path / "cubes"))
     assert sorted(r.cubed for r in cubes.collect()) == [0, 1, 8, 27, 64]
+
+
+def test_receive_stops_at_a_gap_or_a_target(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(run, "build_session", lambda name: spark)
+    seconds = [0, 1, 1, 2, 40, 41]
+    rows = [(i, s, "x" * (i + 1)) for i, s in enumerate(seconds)]
+    messages = spark.createDataFrame(rows, "id long, s long, value string").select(
+        F.lit(None).cast("string").alias("key"), "value", F.timestamp_seconds("s").alias("timestamp"), "id"
+    )
+    topics = FileTopics(str(tmp_path / "t"))
+    topics.publish(messages, "m", ["id"], partitions=2)
+    topics.publish(messages.limit(0), "none", ["id"], partitions=2)
+    for idle_s, target, records, active in ((30, 0, 4, 2.0), (60, 0, 6, 41.0), (30, 2, 2, 1.0), (30, 5, 4, 2.0)):
+        got = jobs.receive_topic(spark, topics, "m", idle_s, target, "1969-12-31 23:59:55").first()
+        assert (got.records, got.active_duration_s, got.first_record_latency_s) == (records, active, 5.0)
+    nothing = jobs.receive_topic(spark, topics, "none", 30).first()
+    assert (nothing.records, nothing.first_record_latency_s) == (0, -1.0)
+    metrics = str(tmp_path / "metrics")
+    run.main(["receive", "--topic", "m", "--topic-root", topics.root, "--target", "3", "--metrics", metrics])
+    assert spark.read.parquet(metrics).first().records == 3
