@@ -32,7 +32,7 @@ LEAST_CELLS = 64
 ROOM = 4
 PRINTED_SEED = 1
 # Sub-tables in the order in which a round opens them.
-SWEEPS = (0, 1, 2, 0, 1, 2)
+SWEEPS = (0, 1, 2, 0)
 # Documents in a block of neighbouring ids; cut points only balance the blocks.  Blocks are small, so
 # that the cells of a task's documents fit in memory; beyond MOST_CUTS they grow, and sums spill.
 BLOCK_ROWS = 300
