@@ -71,7 +71,7 @@ def deliver_replicated(
     spark: SparkSession, topics: FileTopics, topic: str, target: FileTopics, checkpoint: str
 ) -> DataFrame:
     """Copy a published topic to a prefixed one; returns the copy."""
-    drain(replicate(topics.read_stream(spark, topic), target, checkpoint))
+    drain(replicate(topics.read_stream(spark, topic), target, checkpoint, [topic]))
     return target.read(spark, f"source.{topic}")
 
 

@@ -102,20 +102,19 @@ def replicate(
     source: DataFrame,
     target: FileTopics,
     checkpoint: str,
+    names: Sequence[str],
     prefix: str = "source",
     bounded: bool = True,
-    names: Sequence[str] | None = None,
 ) -> StreamingQuery:
     """Copy messages with key, value, headers, partition and offset to prefixed topics.
 
     The checkpoint stores how far each source was read.  A batch is written under its own id, in
     replace mode, so one that is run again does not copy twice; the copies open as topics.  ``names``
-    are the topics in the source; where they are not given, a batch is asked for them first.
+    are the topics to copy.
     """
 
     def copy(batch: DataFrame, batch_id: int) -> None:
-        found = names or [row[0] for row in batch.select("topic").distinct().collect()]
-        for name in found:
+        for name in names:
             copied = batch.where(F.col("topic") == name)
             renamed = copied.withColumn("topic", prefixed_topic(F.col("topic"), prefix))
             target.write_batch(renamed, f"{prefix}.{name}", batch_id)

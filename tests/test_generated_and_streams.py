@@ -131,7 +131,7 @@ def test_messages_find_their_chunk(spark, topic, size):
 def test_replica_is_the_same_multiset_and_resumes(spark, topic):
     target, checkpoint = FileTopics(new_area(spark, "replica")), new_area(spark, "cp")
     for _ in range(2):
-        flows.drain(flows.replicate(topic.read_stream(spark, "t"), target, checkpoint))
+        flows.drain(flows.replicate(topic.read_stream(spark, "t"), target, checkpoint, ["t"]))
     copied = target.read(spark, "source.t")
     assert topic_depth(copied).first()["depth"] == topic_depth(topic.read(spark, "t")).first()["depth"]
     assert {r.lag for r in copy_lag(topic.read(spark, "t"), copied).collect()} == {0}
@@ -163,7 +163,7 @@ def test_replica_of_many_batches(spark, topic):
 def test_unbounded_replica_until_the_copy_is_whole(spark, topic):
     target = FileTopics(new_area(spark, "replica"))
     source = topic.read(spark, "t")
-    query = flows.replicate(topic.read_stream(spark, "t"), target, new_area(spark, "cp"), bounded=False)
+    query = flows.replicate(topic.read_stream(spark, "t"), target, new_area(spark, "cp"), ["t"], bounded=False)
 
     def whole():
         if not query.lastProgress:
