@@ -24,7 +24,7 @@ from ferrytrace.session import written
 
 # Where a text is cut: at line breaks, at white space after a mark that is not a comma, and where 256
 # characters have gone by since the last cut.
-PARAGRAPH = r"\n+|(?<=[^\p{L}\p{N}\s,])\s+|(?<=\G[\s\S]{256})"
+PARAGRAPH = r"\n+|\s(?<=[^\p{L}\p{N}\s,]\s)\s*|(?<=\G[\s\S]{256})"
 TABLES = 3
 # Cells in each sub-table of the smallest sketch, and the seed of the printed one.
 LEAST_CELLS = 64
@@ -45,6 +45,12 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
+def shared_start(first: Column, second: Column) -> Column:
+    """How many digests two arrays have alike from their beginnings."""
+    differs = F.transform(first, lambda d, i: ~d.eqNullSafe(F.get(second, i)))
+    return F.coalesce(F.nullif(F.array_position(differs, True), F.lit(0)) - 1, F.size(first)).cast("int")
+
+
 def _place(digest: Column, table: int | Column, cells: Column | int, seed: int) -> Column:
     table = F.lit(table) if isinstance(table, int) else table
     cells = F.lit(cells).cast("long") if isinstance(cells, int) else cells
@@ -76,7 +82,7 @@ def printed(digests: Column) -> Column:
             return lambda d: F.struct((cells * t + _place(d, t, cells, PRINTED_SEED)).alias("at"), d.alias("d"))
 
         tables = [F.transform(digests, entry(t)) for t in range(TABLES)]
-        return F.array_sort(F.concat(*tables))
+        return F.sort_array(F.concat(*tables))
 
     def written_cells(entries: Column) -> Column:
         begins = F.filter(
@@ -84,6 +90,9 @@ def printed(digests: Column) -> Column:
             lambda i: i >= 0,
         )
 
+        def alone(e: Column) -> Column:
+            return F.concat_ws(":", F.hex(e["at"]), F.lit("1"), F.hex(e["d"]), F.hex(_check(e["d"], PRINTED_SEED)))
+
         def cell(inside: Column) -> Column:
             total = F.aggregate(inside, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e["d"]))
             checks = F.aggregate(inside, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(_check(e["d"], PRINTED_SEED)))
@@ -91,7 +100,11 @@ def printed(digests: Column) -> Column:
 
         def joined(starts: Column) -> Column:
             ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(entries))
-            return F.transform(starts, lambda i, k: _let(F.slice(entries, i + 1, ends(k) - i), cell))
+            several = lambda i, k: _let(F.slice(entries, i + 1, ends(k) - i), cell)
+            return F.transform(
+                starts,
+                lambda i, k: F.when(ends(k) - i == 1, _let(F.get(entries, i), alone)).otherwise(several(i, k)),
+            )
 
         return _let(begins, joined)
 
@@ -221,11 +234,12 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, digests) with ``block``, ``row`` (a unique number), ``next_text``, ``next_digests``:
-    of the next row in descending order of doc_id (nulls last, ties by the text's hash), in a ring.
+    """Rows (doc_id, text) with ``block``, ``row`` (a unique number), ``digests``, and ``next_text``,
+    ``next_digests``: of the next row in descending order of doc_id (nulls last, ties by the text's
+    hash), in a ring.
 
     Rows are dealt into blocks of neighbouring ids.  The first row of each block also goes to the end
-    of the block before, so one shuffle is enough.
+    of the block before, so one shuffle is enough.  Only texts move; they are cut where they arrive.
     """
     tied = docs.withColumn("tie", F.bitwise_not(F.xxhash64("text")))
     blocked, count = _blocks(tied)
@@ -247,8 +261,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("block").alias("block"), F.lit(0).alias("copy"))
     copied = F.struct(F.col("before").alias("block"), F.lit(1).alias("copy"))
     twice = F.when(F.col("before").isNotNull(), F.array(own, copied)).otherwise(F.array(own))
-    dealt = marked.select("doc_id", "text", "digests", "tie", F.explode(twice).alias("p"))
-    dealt = dealt.select("doc_id", "text", "digests", "tie", "p.*").repartition(2 * count, "block")
+    dealt = marked.select("doc_id", "text", "tie", F.explode(twice).alias("p"))
+    dealt = dealt.select("doc_id", "text", "tie", "p.*").repartition(2 * count, "block")
+    dealt = dealt.withColumn("digests", paragraph_digests(F.col("text")))
     order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     ringed = dealt.select(
         "block",
@@ -275,7 +290,7 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     ignored.
     """
     source = ids_and_text(docs, key, text).withColumn("text", F.coalesce("text", F.lit("")))
-    lined = with_next(source.withColumn("digests", paragraph_digests(F.col("text"))))
+    lined = with_next(source)
     size = F.length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - third), F.substr("next_text", F.lit(1), third))
@@ -314,6 +329,7 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         *[F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in ("edited_changes", "next_changes")],
     )
     first = met.select("row", "version.*", "edited_changes", "next_changes")
+    first = first.withColumn("shared", shared_start(F.col("digests"), F.col("edited_digests")))
     failed = (F.col("edited_changes") < 0) | (F.col("next_changes") < 0)
     sizes = {f"n_{c}": F.size(c).cast("long") for c in ("digests", "edited_digests", "next_digests")}
     done = first.select(
@@ -325,16 +341,19 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         "next_changes",
         *[v.alias(k) for k, v in sizes.items()],
         "digests",
-        "edited_digests",
+        # Both texts begin alike: what they share is kept once.
+        "shared",
+        _after(F.col("edited_digests"), F.col("shared")).alias("edited_rest"),
         F.when(failed, F.col("next_digests")).alias("next_digests"),
     )
     done = _retry(written(done, "fingerprints"))
+    edited_digests = _joined(F.col("digests"), F.col("shared"), F.col("edited_rest"))
     return done.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         printed(F.col("digests")).alias("fingerprint"),
-        printed(F.col("edited_digests")).alias("edited_fingerprint"),
+        printed(edited_digests).alias("edited_fingerprint"),
         likeness(F.col("n_digests"), F.col("n_edited_digests"), F.col("edited_changes")).alias("near_edited"),
         likeness(F.col("n_digests"), F.col("n_next_digests"), F.col("next_changes")).alias("near_next"),
         "edited_changes",
@@ -342,6 +361,15 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     )
 
 
+def _after(digests: Column, shared: Column) -> Column:
+    return F.slice(digests, shared + 1, F.size(digests) - shared)
+
+
+def _joined(first: Column, shared: Column, rest: Column) -> Column:
+    """The array that begins like ``first`` and goes on with ``rest``."""
+    return F.concat(F.slice(first, F.lit(1), shared), rest)
+
+
 def _retry(done: DataFrame) -> DataFrame:
     """Peel what stayed closed again, each time twice as large and with other hash functions."""
     closed = done.where("edited_changes < 0 OR next_changes < 0")
@@ -349,18 +377,19 @@ def _retry(done: DataFrame) -> DataFrame:
         "row",
         F.explode(
             F.array(
-                F.struct(F.lit(0).alias("pair"), F.col("edited_changes").alias("d"), F.col("edited_digests").alias("second")),
-                F.struct(F.lit(1).alias("pair"), F.col("next_changes").alias("d"), F.col("next_digests").alias("second")),
+                F.struct(F.lit(0).alias("pair"), F.col("edited_changes").alias("d"), "shared", F.col("edited_rest").alias("rest")),
+                F.struct(F.lit(1).alias("pair"), F.col("next_changes").alias("d"), F.lit(0).alias("shared"), F.col("next_digests").alias("rest")),
             )
         ).alias("p"),
         F.col("digests").alias("first"),
-    ).where("p.d < 0").select("row", "p.pair", "first", "p.second")
+    ).where("p.d < 0").select("row", "p.pair", "first", "p.shared", "p.rest")
     fixed, turn = None, 1
     while count := left.count():
         turn += 1
         # The digests move, not the cells they make.
         left = left.repartition(math.ceil(count / BLOCK_ROWS), "row", "pair")
-        opened = written(peel(left, ["row", "pair"], seed=turn, growth=2 ** (turn - 1)), "peeled")
+        pairs = left.withColumn("second", _joined(F.col("first"), F.col("shared"), F.col("rest")))
+        opened = written(peel(pairs, ["row", "pair"], seed=turn, growth=2 ** (turn - 1)), "peeled")
         good = opened.where("closed = 0").select("row", "pair", (F.col("only_first") + F.col("only_second")).alias("d"))
         fixed = good if fixed is None else fixed.unionByName(good)
         again = opened.where("closed > 0").select("row", "pair")

@@ -612,3 +612,37 @@ def test_fingerprints_of_markless_text_and_text_ids(spark):
         edited = text[: len(text) - third] + texts[after][:third]
         assert got[here]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
     assert got["b"]["near_edited"] > 0.45
+
+
+def test_fingerprints_move_and_keep_digests_once(spark, monkeypatch):
+    """Texts are shuffled without their digests; what the edited text shares is not stored again."""
+    docs = [(i, "\n".join(f"line {j} of {i}" for j in range(90 + i))) for i in range(6)] + [(6, None), (7, "a.\nb.\na."), (8, "a.\nb.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    stored, real = [], fingerprints.written
+
+    def seen(df, label):
+        table = real(df, label)
+        if label == "fingerprints":
+            stored.extend(table.collect())
+        return table
+
+    monkeypatch.setattr(fingerprints, "written", seen)
+    got = fingerprints.compare_versions(df).collect()
+    rows = [(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got]
+    assert plain(rows) == plain(versions(docs))
+
+    plan = fingerprints.with_next(df)._jdf.queryExecution().optimizedPlan().toString()
+    arrives, leaves = plan.split("RepartitionByExpression")
+    assert "split(" in arrives and "split(" not in leaves
+    arrays = [v for r in stored for v in r.asDict().values() if isinstance(v, list)]
+    distinct = sum(len(set((t or "").split("\n"))) for _, t in docs)
+    assert sum(map(len, arrays)) < 1.6 * distinct
+
+
+def test_shared_start(spark):
+    rows = [([1, 2, 3], [1, 2, 4], 2), ([1, 2], [1, 2, 4], 2), ([1, 2, 3], [1], 1), ([], [5], 0), ([5], [], 0), ([1], [2], 0), ([], [], 0)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    shared = fingerprints.shared_start(F.col("a"), F.col("b"))
+    rest = fingerprints._after(F.col("b"), shared)
+    for a, b, n, found, joined in df.select("*", shared, fingerprints._joined(F.col("a"), shared, rest)).collect():
+        assert found == n and joined == b
