@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ferrytrace.llm import bpe, common, decontaminate, langid, ngram_join, pii
 from ferrytrace.llm.queries import table, workers_find_package
-from ferrytrace.session import new_area
+from ferrytrace.session import bound_batches, new_area
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,22 +21,28 @@ PII_KEY = "corpus pipeline"
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def ready_for_python(spark: SparkSession) -> None:
+    """Workers find the package and get texts in batches of bounded size."""
+    workers_find_package(spark)
+    bound_batches(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no known language, go."""
-    workers_find_package(spark)
+    ready_for_python(spark)
     learned = docs.where(F.pmod(common.crc_of_id(), F.lit(3)) != 1).select("text", "lang")
     return langid.keep_identified(docs, langid.learn(learned), LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five words, similarity 0.8."""
-    workers_find_package(spark)
+    ready_for_python(spark)
     return ngram_join.keep_one_of_each(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
-    workers_find_package(spark)
+    ready_for_python(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -51,7 +57,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers), with digests of ids and decoded text."""
-    workers_find_package(spark)
+    ready_for_python(spark)
     coded = bpe.encode_and_decode(docs, public_tokenizers.path(VOCABULARY))
     return coded.select(
         "doc_id",

@@ -134,8 +134,13 @@ class Network:
         return grads
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, ...]:
-    """Table rows (windows, steps, STRIDE) that cover all texts, how many positions of each window are
+def _table_rows(taken: np.ndarray) -> np.ndarray:
+    """Table rows of the bytes of windows: each place of a step has a part of the table."""
+    return taken.astype(np.int32) + np.arange(STRIDE, dtype=np.int32) * 256
+
+
+def _byte_windows(data: np.ndarray, offsets: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, ...]:
+    """Bytes (windows, steps, STRIDE) that cover all texts, how many positions of each window are
     text, and the text each belongs to."""
     span = steps * STRIDE
     sizes = np.diff(offsets)
@@ -145,10 +150,15 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, steps: int = STEPS) -> tup
     start = offsets[owner] + within * span
     left = np.minimum(offsets[owner + 1] - start, span)
     padded = np.concatenate([data, np.zeros(span, np.uint8)])
-    taken = padded[start[:, None] + np.arange(span)]
+    taken = np.lib.stride_tricks.sliding_window_view(padded, span)[start]
     taken[np.arange(span) >= left[:, None]] = 0
-    rows = taken.reshape(-1, steps, STRIDE).astype(np.int32) + np.arange(STRIDE, dtype=np.int32) * 256
-    return rows, -(-left // STRIDE), owner
+    return taken.reshape(-1, steps, STRIDE), -(-left // STRIDE), owner
+
+
+def windows_of(data: np.ndarray, offsets: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, ...]:
+    """The same with table rows in place of bytes."""
+    taken, left, owner = _byte_windows(data, offsets, steps)
+    return _table_rows(taken), left, owner
 
 
 def train(
@@ -181,12 +191,13 @@ def train(
 def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts, languages): means over all positions of each text; zeros for empty texts."""
     total = np.zeros((len(offsets) - 1, len(net.languages)))
-    rows, left, owner = windows_of(data, offsets)
+    # Of all windows only the bytes are held.
+    taken, left, owner = _byte_windows(data, offsets)
     order = np.argsort(left, kind="stable")
     for a in range(0, len(order), WINDOWS_AT_ONCE):
         some = order[a : a + WINDOWS_AT_ONCE]
         longest = int(left[some].max())
-        found = net.probabilities(rows[some][:, :longest])
+        found = net.probabilities(_table_rows(taken[some, :longest]))
         mask = np.arange(longest)[:, None] < left[some]
         np.add.at(total, owner[some], np.einsum("tnl,tn->nl", found, mask.astype(np.float32)))
     return total / np.maximum(total.sum(1, keepdims=True), 1e-9)
